@@ -36,7 +36,9 @@ ROWS = 2
 #: Counters that one merged row holds.
 RANGE_BITS = 20
 #: Windows that a task holds before it sends what it has decided.
-HELD = 1_500_000
+HELD = 300_000
+#: Text bytes that are hashed at a time; some 20 arrays of eight bytes for each are alive meanwhile.
+STEP = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
@@ -136,7 +138,7 @@ def cells(anchors: np.ndarray, row: int) -> np.ndarray:
 
 
 def _runs(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for part in slices(batch, text):
+    for part in slices(batch, text, STEP):
         yield part, *utf8(part.column(text))
 
 

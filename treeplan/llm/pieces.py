@@ -32,7 +32,9 @@ RANK0 = 10.0
 #: Shares are multiples of 1 / STEPS, and random numbers lie between those, so comparing them is exact at any node.
 STEPS = 1 << 28
 #: Units whose tables a task keeps.
-CACHED = 120_000
+CACHED = 300_000
+#: Characters of a unit up to which many are filtered at once.
+LONG = 64
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,13 +73,21 @@ class Vocabulary:
             for k in range(1, len(piece)):
                 self.trie.setdefault(piece[:k], None)
             self.trie[piece] = (i, w * scale ** len(piece))
+        self.longest = max(map(len, found))
+        # the same beginnings as a table of steps: state << 21 | character, sorted; the state reached; its piece and weight
+        number = {"": 0} | {p: k for k, p in enumerate(self.trie, 1)}
+        steps = sorted((number[p[:-1]] << 21 | ord(p[-1]), k) for p, k in number.items() if p)
+        self.step, self.reached = (np.array(x, np.int64) for x in zip(*steps, strict=True))
+        known = [(-1, 0.0), *[hit or (-1, 0.0) for hit in self.trie.values()]]
+        self.piece, self.weight = np.array([i for i, _ in known], np.int64), np.array([w for _, w in known])
+        self.single = np.array([self.byte_id[c] for c in range(128)] + [-1], np.int64)
         self.spelled = float(weight.min() * 1e-3 * scale)
         #: Characters in no piece of several characters but spaces: the lattice falls apart around them.
         self.alone = "".join(c for c in "\n\t\r" if not any(c in p and len(p) > 1 for p in found))
         self.unit = re.compile((f"[{re.escape(self.alone)}]|" if self.alone else "") + f" *[^ {re.escape(self.alone)}]+| +")
 
     def lattice(self, unit: str) -> list[list[tuple[int, int, float]]]:
-        """By end place: (start, id, weight) of the pieces there; id -1 is a character spelled in bytes."""
+        """By end place: (start, id, weight) of the pieces there; id -1 is a character spelled in several bytes."""
         trie, n = self.trie, len(unit)
         ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
         for i in range(n):
@@ -91,107 +101,193 @@ class Vocabulary:
                 one = one or j == i + 1
                 ends[j].append((i, *hit))
             if not one:
-                ends[i + 1].append((i, -1, self.spelled))
+                ends[i + 1].append((i, self.byte_id[ord(unit[i])] if unit[i] < "\x80" else -1, self.spelled))
         return ends
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind) -> None:
+        self.room, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.room):
+            wide = np.zeros(max(n, 2 * len(self.room)), self.room.dtype)
+            wide[: self.n] = self.room[: self.n]
+            self.room = wide
+        self.room[self.n : n] = values
+        self.n = n
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Sampler:
-    """Draws segmentations of texts; keeps the tables of the units it met."""
+    """Draws segmentations of texts; keeps the tables of the units it met.
+
+    A unit of n characters has n nodes, its ends 1..n. Node x's choices are the pieces that end there, by
+    start; they lie in x < cum <= x + 1, by their share of the weight of all ways to x."""
 
     def __init__(self, vocab: Vocabulary, seed: int) -> None:
         self.vocab, self.seed = vocab, seed
         self.clear()
 
     def clear(self) -> None:
-        self.units: dict[str, int] = {}  # its first node
+        self.units: dict[str, int] = {}
+        self.first, self.length = _Grown(np.int64), _Grown(np.int64)  # by unit: its first node, its characters
         self.nodes = 0
-        self.new: list[str] = []
-        self.cum = np.zeros(0)
-        self.start = np.zeros(0, np.int32)
-        self.id = np.zeros(0, np.int32)
-
-    def learn(self) -> None:
-        """Forward filtering of the units met since. A unit of n characters has n nodes, its ends 1..n;
-        node x's choices lie in x < cum <= x + 1, by their share of its total."""
-        cum, starts, ids, node = [], [], [], self.nodes - sum(map(len, self.new))
-        for unit in self.new:
-            total = [1.0]
-            for j, edges in enumerate(self.vocab.lattice(unit)):
-                if not j:
-                    continue
-                ways = [total[i] * w for i, _, w in edges]
-                all_ways = sum(ways)
-                if not 1e-200 < all_ways < 1e200:  # rescale what later steps look back on
-                    total = [t / all_ways for t in total]
-                    ways = [w / all_ways for w in ways]
-                    all_ways = 1.0
-                total.append(all_ways)
-                run = 0.0
-                for (i, p, _), w in zip(edges, ways, strict=True):
-                    run += w
-                    cum.append(node + round(run / all_ways * STEPS) / STEPS)
-                    starts.append(i)
-                    ids.append(p)
-                cum[-1] = node + 1.0
-                node += 1
-        self.new = []
-        self.cum = np.concatenate([self.cum, np.array(cum)])
-        self.start = np.concatenate([self.start, np.array(starts, np.int32)])
-        self.id = np.concatenate([self.id, np.array(ids, np.int32)])
+        self.cum, self.start, self.id = _Grown(float), _Grown(np.int32), _Grown(np.int32)
+
+    def learn(self, new: list[str]) -> None:
+        """Forward filtering of units; they get the next numbers in order."""
+        size = np.array([len(u) for u in new], np.int64)
+        base = np.zeros(len(new), np.int64)
+        for wide in (False, True):
+            some = np.flatnonzero((size > LONG) == wide)
+            if not len(some):
+                continue
+            base[some] = self.nodes + np.concatenate([[0], np.cumsum(size[some])])[:-1]
+            find = _filtered_long if wide else _filtered
+            cum, start, ids, node = find(self.vocab, [new[k] for k in some.tolist()], size[some])
+            self.cum.add(cum + (node + self.nodes))
+            self.start.add(start)
+            self.id.add(ids)
+            self.nodes += int(size[some].sum())
+        self.first.add(base)
+        self.length.add(size)
 
     def draw(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; keys: an unsigned 64-bit number for each."""
         if len(self.units) > CACHED or self.nodes > 1 << 23:
             self.clear()
-        units, find = self.units, self.vocab.unit.findall
-        first, length, count = [], [], []
+        units, find, met, count, new = self.units, self.vocab.unit.findall, [], [], []
         texts = [" " + t if t else "" for t in texts]
         for text in texts:
             own = find(text)
-            for u in own:
-                at = units.get(u)
-                if at is None:
-                    at = units[u] = self.nodes
-                    self.nodes += len(u)
-                    self.new.append(u)
-                first.append(at)
-            length += map(len, own)
+            got = list(map(units.get, own))
+            if None in got:
+                for k, at in enumerate(got):
+                    if at is None:
+                        u = own[k]
+                        at = units.get(u)
+                        if at is None:
+                            at = units[u] = len(units)
+                            new.append(u)
+                        got[k] = at
+            met.append(np.array(got, np.int64))
             count.append(len(own))
-        if self.new:
-            self.learn()
-        node, end = np.array(first, np.int64), np.array(length, np.int64)
-        place = np.concatenate([[0], np.cumsum(end)])[:-1] if len(end) else end  # of each unit, in all texts
-        sizes = np.array([len(t) for t in texts], np.int64)
-        base = np.concatenate([[0], np.cumsum(sizes)])
+        if new:
+            self.learn(new)
+        unit = np.concatenate(met) if met else np.zeros(0, np.int64)
+        node, end = self.first.all[unit], self.length.all[unit]
+        place = np.cumsum(end) - end  # of each unit, in all texts
+        base = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         of = np.repeat(np.arange(len(texts)), count)
-        key = np.array([(k + self.seed * int(_GOLDEN)) % 2**64 for k in keys], np.uint64)[of]
+        key = mixed(np.array([(k + self.seed * int(_GOLDEN)) % 2**64 for k in keys], np.uint64))[of] - base[of].astype(np.uint64) * _GOLDEN
         order = np.argsort(node, kind="stable")  # neighbours look in the same part of the tables
-        node, end, place, key, shift = node[order], end[order], place[order], key[order], base[of[order]]
+        node, end, place, key = node[order], end[order], place[order], key[order]
+        cum, starts, ids = self.cum.all, self.start.all, self.id.all
         out = np.full(int(base[-1]), -2, np.int32)
         while len(node):
-            spot = place + end
-            u = ((mixed(mixed(key) + (spot - shift).astype(np.uint64) * _GOLDEN) >> np.uint64(36)).astype(np.float64) + 0.5) / STEPS
-            pick = np.searchsorted(self.cum, node + end - 1 + u)
-            start = self.start[pick]
-            out[place + start] = self.id[pick]
-            more = start > 0
-            node, end, place, key, shift = node[more], start[more].astype(np.int64), place[more], key[more], shift[more]
+            u = ((mixed(key + (place + end).astype(np.uint64) * _GOLDEN) >> np.uint64(36)).astype(np.float64) + 0.5) / STEPS
+            pick = np.searchsorted(cum, node + end - 1 + u)
+            start = starts[pick].astype(np.int64)
+            out[place + start] = ids[pick]
+            more = np.flatnonzero(start)
+            node, end, place, key = node[more], start[more], place[more], key[more]
         result, byte = [], self.vocab.byte_id
+        several = set(of[np.searchsorted(np.cumsum(self.length.all[unit]), np.flatnonzero(out == -1), side="right")].tolist())
         for i, text in enumerate(texts):
             own = out[base[i] : base[i + 1]]
-            if (own == -1).any():
-                ids: list[int] = []
+            if i in several:
+                spelled: list[int] = []
                 for at in np.flatnonzero(own > -2).tolist():
-                    ids += [byte[b] for b in text[at].encode("utf-8", "replace")] if own[at] == -1 else [int(own[at])]
-                result.append(np.array(ids, np.int32))
+                    spelled += [byte[b] for b in text[at].encode("utf-8", "replace")] if own[at] == -1 else [int(own[at])]
+                result.append(np.array(spelled, np.int32))
             else:
                 result.append(own[own >= 0])
         return result
 
 
+def _filtered(vocab: Vocabulary, units: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cum within the node, start, id, node) of all choices, by node and start; for many short units at once."""
+    codes = np.frombuffer("".join(units).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    n = len(codes)
+    head = np.repeat(np.cumsum(size) - size, size)  # by place: its unit's first place, and the one after its last
+    stop = head + np.repeat(size, size)
+    at, state, edges, covered = np.arange(n), np.zeros(n, np.int64), [], np.zeros(n, bool)
+    for k in range(1, vocab.longest + 1):
+        inside = at + k <= stop[at]
+        at, state = at[inside], state[inside]
+        key = state << 21 | codes[at + k - 1]
+        to = np.minimum(np.searchsorted(vocab.step, key), len(vocab.step) - 1)
+        real = np.flatnonzero(vocab.step[to] == key)
+        at, state = at[real], vocab.reached[to[real]]
+        piece = vocab.piece[state]
+        hit = np.flatnonzero(piece >= 0)
+        edges.append((at[hit], np.full(len(hit), k), piece[hit], vocab.weight[state[hit]]))
+        if k == 1:
+            covered[at[hit]] = True
+        if not len(at):
+            break
+    bare = np.flatnonzero(~covered)
+    edges.append((bare, np.ones(len(bare), np.int64), vocab.single[np.minimum(codes[bare], 128)], np.full(len(bare), vocab.spelled)))
+    start, length, piece, weight = (np.concatenate(x) for x in zip(*edges, strict=True))
+    node = start + length - 1
+    order = np.argsort(node << 6 | (63 - length), kind="stable")
+    start, piece, weight, node = start[order], piece[order], weight[order], node[order]
+    count = np.bincount(node, minlength=n)
+    first = np.cumsum(count) - count
+    total, cum = np.zeros(n + 1), np.zeros(len(node))  # total[n]: of a unit's beginning
+    total[n] = 1.0
+    before = np.where(start == head[start], n, start - 1)
+    level = np.arange(n) - head
+    by_level = np.argsort(level, kind="stable")
+    cut = np.searchsorted(level[by_level], np.arange(level.max(initial=-1) + 2))
+    for a, b in zip(cut, cut[1:]):
+        own = by_level[a:b]
+        c = count[own]
+        place = np.arange(c.max())
+        held = place < c[:, None]
+        edge = np.minimum(first[own, None] + place, len(node) - 1)
+        ways = np.cumsum(np.where(held, total[before[edge]] * weight[edge], 0.0), axis=1)
+        total[own] = ways[:, -1]
+        cum[edge[held]] = (np.rint(ways / ways[:, -1:] * STEPS) / STEPS)[held]
+    cum[first + count - 1] = 1.0
+    return cum, (start - head[start]).astype(np.int32), piece.astype(np.int32), node
+
+
+def _filtered_long(vocab: Vocabulary, units: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for units of any length, one after the other, with totals scaled on the way."""
+    cum, starts, ids, nodes, node = [], [], [], [], 0
+    for unit in units:
+        total = [1.0]
+        for edges in vocab.lattice(unit)[1:]:
+            ways = [total[i] * w for i, _, w in edges]
+            most = sum(ways)
+            if not 1e-200 < most < 1e200:  # scale what later steps look back on
+                back = max(0, len(total) - 2 * vocab.longest)
+                total[back:] = [t / most for t in total[back:]]
+                ways, most = [w / most for w in ways], 1.0
+            total.append(most)
+            run = 0.0
+            for (i, p, _), w in zip(edges, ways, strict=True):
+                run += w
+                cum.append(np.rint(run / most * STEPS) / STEPS)
+                starts.append(i)
+                ids.append(p)
+                nodes.append(node)
+            cum[-1] = 1.0
+            node += 1
+    return np.array(cum), np.array(starts, np.int32), np.array(ids, np.int32), np.array(nodes, np.int64)
+
+
 def row_key(value) -> int:
     return xxh64_intdigest(b"" if value is None else str(value).encode(), 42)
 

@@ -28,7 +28,8 @@ from treeplan.llm.shared import attach
 
 QUERIES = 4096
 CANDIDATES = 8192
-ROWS = 256
+#: Queries, and survivors, that are compared at a time.
+ROWS, STEP = 64, 4096
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -42,29 +43,34 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: (its row, rows of its best candidates, their scores); rows of float64 integers."""
     levels = [s for s in (1, 2, 4, 8, 16, 32) if s <= max(1, x.shape[1] // 2)]
-    sx = [statistics(x, s) for s in levels]
+    sx = [statistics(x, s).astype(np.float32) for s in levels]
+    longest = np.sqrt((x * x).sum(axis=1).max(initial=0))
     for at in range(0, len(q), ROWS):
         own, ids = q[at : at + ROWS], q_ids[at : at + ROWS]
-        sq = [statistics(own, s) for s in levels]
-        slack = 1e-9 * (1 + np.abs(own).sum(axis=1, keepdims=True) * (np.abs(x).max() if x.size else 1))
+        sq = [statistics(own, s).astype(np.float32) for s in levels]
         other = ids[:, None] != x_ids[None, :]
-        # exact scores of the candidates that a middle level likes best give the first threshold
-        mid = len(levels) // 2
-        guess = np.where(other, sq[mid] @ sx[mid].T, -np.inf)
+        # exact scores of the candidates that the finest level likes best give the threshold
+        finest = sq[-1] @ sx[-1].T
         some = min(4 * k, len(x))
-        likely = np.argpartition(-guess, some - 1, axis=1)[:, :some]
+        likely = np.argpartition(np.where(other, -finest, np.inf), some - 1, axis=1)[:, :some]
         scores = np.einsum("rd,rcd->rc", own, x[likely])
         scores[~np.take_along_axis(other, likely, 1)] = -np.inf
         least = -np.sort(-scores, axis=1)[:, k - 1 : k] if some >= k else np.full((len(own), 1), -np.inf)
-        alive, columns = other, np.arange(len(x))
-        for level in range(len(levels)):
-            alive = alive & (sq[level] @ sx[level][columns].T >= least - slack)
+        # single precision: sums of up to thousands of products err by less than this share of |q| |x|
+        low = (least - 2e-5 * (1 + longest * np.sqrt((own * own).sum(axis=1, keepdims=True)))).astype(np.float32)
+        alive, columns = other, None
+        for level in range(len(levels) - 1):
+            alive = alive & (sq[level] @ (sx[level] if columns is None else sx[level][columns]).T >= low)
             used = alive.any(axis=0)
-            if not used.all():
-                alive, columns = alive[:, used], columns[used]
+            if 2 * used.sum() < len(used):
+                columns = np.flatnonzero(used) if columns is None else columns[used]
+                alive = alive[:, used]
+        alive = alive & ((finest if columns is None else finest[:, columns]) >= low)
         r, c = np.nonzero(alive)
-        c = columns[c]
-        exact = np.concatenate([np.einsum("nd,nd->n", own[r[i : i + 65536]], x[c[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0)])
+        c = c if columns is None else columns[c]
+        exact = np.concatenate([np.einsum("nd,nd->n", own[r[i : i + STEP]], x[c[i : i + STEP]]) for i in range(0, len(r), STEP)] or [np.zeros(0)])
+        good = exact >= least[r, 0]
+        r, c, exact = r[good], c[good], exact[good]
         cut = np.searchsorted(r, np.arange(len(own) + 1))
         for i in range(len(own)):
             rows, s = c[cut[i] : cut[i + 1]], exact[cut[i] : cut[i + 1]]

@@ -177,7 +177,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     attach(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = max(partitions(spark), -(-own.count() // ROWS_A_PART))
-    done = materialize(own.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(_neighbours, f"{RESULT}, part int, edge string, text string"), "neighbours")
+    done = materialize(own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_neighbours, f"{RESULT}, part int, edge string, text string"), "neighbours")
     firsts = done.where("edge = 'first'").select("part", F.col("text").alias("after"))
     filled = sorted(r.part for r in firsts.select("part").collect())  # numbers of partitions
     follow = spark.createDataFrame([(a, filled[(k + 1) % len(filled)]) for k, a in enumerate(filled)], "own int, part int")

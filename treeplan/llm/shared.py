@@ -18,8 +18,16 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of text that an Arrow batch holds at most; JVM and Python each keep a few batches.
+BATCH_ROWS = 1000
+
+
 def attach(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and bounds the
+    session's Arrow batches, whose default of 10,000 rows is meant for rows of a few numbers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

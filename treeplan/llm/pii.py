@@ -127,7 +127,7 @@ def _date(m: Column, key: str) -> Column:
     low, high = F.lit("1900-01-01").cast("date"), F.lit("2099-12-31").cast("date")
     span = 73049
     part = lambda i: F.get(F.split(m, r"[./-]"), i).cast("int")
-    day = lambda y, mo, d: F.expr("1") if False else F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd")
+    day = lambda y, mo, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd")
     iso, dotted = m.contains("-"), m.contains(".")
     first, second = day(part(2), part(0), part(1)), day(part(2), part(1), part(0))
     real = F.when(iso, day(part(0), part(1), part(2))).when(dotted, second).otherwise(F.coalesce(first, second))

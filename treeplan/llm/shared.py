@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Environment of Python workers: large arrays go back to the system when they are freed.
+MALLOC = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "16777216", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows of text that an Arrow batch holds at most; JVM and Python each keep a few batches.
 BATCH_ROWS = 1000
 
@@ -30,6 +32,8 @@ def attach(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    for k, v in MALLOC.items():
+        env.setdefault(k, v)
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in parts:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
@@ -188,50 +192,52 @@ def hex_digest(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-#: Bits of a member map; it is collected and broadcast, so this bounds both (2^27 bits are 16 MB).
-MEMBER_BITS = 27
-_RANGE = 20
+#: Bits of a member map: 16 for each member, between these powers of two. It is collected and broadcast, so
+#: the larger bounds both (2^27 bits are 16 MB).
+MEMBER_BITS = (20, 27)
+_RANGE = 17
 
 
 class Members:
-    """A bit map of hashed longs, of fixed size: `may_hold` misses no member and lets others through
-    at the share of bits that are set. It only decides which rows need an exact join."""
+    """A bit map of hashed longs: `may_hold` misses no member and lets others through at the share of
+    bits that are set. It only decides which rows need an exact join; at its largest size it lets
+    more through as members grow, at worst all."""
 
     def __init__(self, values: DataFrame) -> None:
-        """values: one long column."""
+        """values: one long column, of a table that is cheap to read twice."""
+        bits = min(max((16 * values.count()).bit_length(), MEMBER_BITS[0]), MEMBER_BITS[1])
 
         def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cell = np.unique(_cell(batch.column(0)))
+                cell = np.unique(_cell(batch.column(0), bits))
                 part = cell >> _RANGE
                 for k in np.unique(part):
                     own = (cell[part == k] & ((1 << _RANGE) - 1)).astype("<u4")
                     yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["part", "cells"])
 
         def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(1 << _RANGE, bool)
+            own = np.zeros(1 << _RANGE, bool)
             for batch in batches:
                 for value in batch.column("cells"):
-                    bits[np.frombuffer(value.as_py(), "<u4")] = True
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "bits"])
+                    own[np.frombuffer(value.as_py(), "<u4")] = True
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["part", "bits"])
 
-        spark = values.sparkSession
         got = {r.part: bytes(r.bits) for r in values.mapInArrow(cells, "part int, cells binary").groupBy("part").applyInArrow(merged, "part int, bits binary").collect()}
         empty = bytes(1 << (_RANGE - 3))
-        self.sent = spark.sparkContext.broadcast(b"".join(got.get(k, empty) for k in range(1 << (MEMBER_BITS - _RANGE))))
+        self.bits, self.sent = bits, values.sparkSession.sparkContext.broadcast(b"".join(got.get(k, empty) for k in range(1 << (bits - _RANGE))))
 
     def may_hold(self, column: Column) -> Column:
-        sent = self.sent
+        sent, bits = self.sent, self.bits
 
         @F.arrow_udf("boolean")
         def test(x: pa.Array) -> pa.Array:
-            at = _cell(x)
-            bits = np.frombuffer(sent.value, np.uint8)
-            return pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+            at = _cell(x, bits)
+            held = np.frombuffer(sent.value, np.uint8)
+            return pa.array((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
 
         return test(column)
 
 
-def _cell(x: pa.Array) -> np.ndarray:
+def _cell(x: pa.Array, bits: int) -> np.ndarray:
     x = pc.fill_null(x.cast(pa.int64()), 0).to_numpy(zero_copy_only=False).view(np.uint64)
-    return (mixed(x + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMBER_BITS)).astype(np.int64)
+    return (mixed(x + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)

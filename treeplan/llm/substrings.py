@@ -31,7 +31,7 @@ from xxhash import xxh64_intdigest
 from treeplan.llm.shared import Members, attach, materialize, mixed, slices, utf8
 
 #: Two rows of counters; a merged row is sent as one bit a counter (counted twice or not).
-WIDTH_BITS = 27
+WIDTH_BITS = 26
 ROWS = 2
 #: Counters that one merged row holds.
 RANGE_BITS = 20

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -27,10 +27,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None) -> None:
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.fast = None
+        self.vocabulary, self.fast = vocabulary, None
         if ranks and pattern:
             import tiktoken
 
@@ -38,6 +35,12 @@ class Encoder:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and not _OTHER.search(text):
             try:

@@ -104,8 +104,8 @@ class Model:
 
     def scores(self, w: Words) -> np.ndarray:
         """[words, langs], at most 0 and at least -CLIP; the best language of each word has 0."""
-        if not len(w.begin):
-            return np.zeros((0, len(self.langs)), np.float32)
+        if not len(w.begin) or not self.langs:
+            return np.zeros((len(w.begin), len(self.langs)), np.float32)
         out = np.add.reduceat(self.table[w.bucket], w.begin, axis=0)
         out[~self.uses[w.script]] = -np.inf
         return np.maximum(out - out.max(axis=1, keepdims=True), -CLIP)

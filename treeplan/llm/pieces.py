@@ -32,7 +32,7 @@ RANK0 = 10.0
 #: Shares are multiples of 1 / STEPS, and random numbers lie between those, so comparing them is exact at any node.
 STEPS = 1 << 28
 #: Units whose tables a task keeps.
-CACHED = 300_000
+CACHED = 600_000
 #: Characters of a unit up to which many are filtered at once.
 LONG = 64
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)

@@ -5,8 +5,8 @@ a keyed permutation of itself within its format (a Feistel network whose round f
 SHA-256 of key, kind, round and the other half), so equal values stay equal across
 documents and different ones stay different:
 
-* number (13 to 19 digits, also in groups): all digits but the last are permuted; the last
-  keeps its distance from the Luhn check digit, so valid card numbers stay valid;
+* number (13 to 19 digits, also in groups, Luhn valid): all digits but the last are permuted,
+  the last is the new check digit; a number that fails the check is no card and stays;
 * phone (international or North American): digits after the country code;
 * ssn (area, group and serial valid): digits, walked on until valid again;
 * iban (mod 97 valid): the account part, with new check digits;
@@ -163,9 +163,10 @@ def _ssn(m: Column, key: str) -> Column:
 def _number(m: Column, key: str) -> Column:
     def renumbered(all_digits: Column) -> Column:
         body, last = F.substr(all_digits, F.lit(1), F.length(all_digits) - 1), F.substr(all_digits, F.length(all_digits), F.lit(1)).cast("int")
-        return let(permuted(body, key, "number"), lambda new: F.concat(new, ((luhn_digit(new) + last - luhn_digit(body) + 10) % 10).cast("string")))
+        new = let(permuted(body, key, "number"), lambda new: _refilled(m, F.concat(new, luhn_digit(new).cast("string")), "0-9"))
+        return F.when(luhn_digit(body) == last, new).otherwise(m)
 
-    return let(let(_digits(m), renumbered), lambda v: _refilled(m, v, "0-9"))
+    return let(_digits(m), renumbered)
 
 
 def _phone(m: Column, key: str) -> Column:

@@ -133,6 +133,43 @@ def test_links_in_hot_buckets(spark, monkeypatch):
     assert groups(mine) == groups(want)
 
 
+def test_similar_groups_keep_doubtful_links(spark):
+    """Links around the threshold: no document parts from a group that brute force puts it into."""
+    rng = random.Random(11)
+    texts = {}
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(300)]
+        for k in range(8):
+            own = base[:]
+            for at in rng.sample(range(300), rng.choice((0, 3, 5, 6, 7, 8, 9))):
+                own[at] = f"x{g}-{k}-{at}"
+            texts[g * 10 + k] = " ".join(own)
+    sets = {d: set(simhash.shingle_hashes(t, 5).tolist()) for d, t in texts.items()}
+    want = shared.Forest()
+    for a in texts:
+        want.root(a)
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                want.join(a, b)
+    got = simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {d: want.root(d) for d in texts}
+
+
+def test_spare_forests():
+    """A link in doubt has others beside it; one beyond doubt needs none."""
+    import pyarrow as pa
+
+    base = bytes(range(128))
+
+    def sent(step):
+        nodes = [{"node": i, "fp": 0, "sig": base[: step * i] + bytes(128)[:step] + base[step * (i + 1) :]} for i in range(6)]
+        kind = pa.list_(pa.struct([("shard", pa.int32()), ("nodes", pa.list_(pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("sig", pa.binary())])))]))
+        batch = pa.RecordBatch.from_arrays([pa.array([[{"shard": 0, "nodes": nodes}]], kind)], names=["shards"])
+        return sum(len(b) for b in simhash._proposed(0.8)(iter([batch])))
+
+    assert sent(0) == 5 and sent(19) > 10 and sent(21) == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
@@ -161,13 +198,14 @@ def luhn(digits):
 def test_pii_formats(spark):
     values = ["4111 1111 1111 1111", "4111111111111111", "4111111111111112", "+1 (555) 123-4567", "219-09-9999", "000-12-3456", "10.20.30.40", "300.1.1.1", "2024-02-29", "2023-02-29", "31.12.1999", "12/31/1999", "jane.doe7@mail.example.com", "DE89 3704 0044 0532 0130 00", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "version 2.0"]
     got = dict(zip(values, replaced(spark, *values)))
-    for same in ("000-12-3456", "300.1.1.1", "2023-02-29", "version 2.0"):
+    left = {"4111111111111112", "000-12-3456", "300.1.1.1", "2023-02-29", "version 2.0"}
+    for same in left:
         assert got[same] == same
-    for v in set(values) - {"000-12-3456", "300.1.1.1", "2023-02-29", "version 2.0"}:
+    for v in set(values) - left:
         assert got[v] != v
         if "." not in v or "@" in v:
             assert re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "9", got[v]))) == re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "9", v))) or v.startswith("9f86")
-    assert luhn(got["4111111111111111"]) % 10 == 0 and luhn(got["4111111111111112"]) % 10 != 0
+    assert luhn(got["4111111111111111"]) % 10 == 0
     assert got["4111 1111 1111 1111"].replace(" ", "") == got["4111111111111111"]
     assert re.fullmatch("[0-9a-f]{40}", got["9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"])
     iban = got["DE89 3704 0044 0532 0130 00"].replace(" ", "")
@@ -190,7 +228,9 @@ def test_pii_documents(spark, sf, texts):
     private = re.compile(r"[\w.]+@[\w.]+|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\d)\d{16}(?!\d)|\d{1,3}(?:\.\d{1,3}){3}")
     for d, t in texts.items():
         found = private.findall(t)
-        assert not any(x in rows[d].text for x in found)
+        invalid = {x for x in found if re.fullmatch(r"\d{16}", x) and luhn(x) % 10}
+        assert all((x in rows[d].text) == (x in invalid) for x in found)
+        found = set(found) - invalid
         if not found and "token" not in t:
             assert rows[d].text == t
 

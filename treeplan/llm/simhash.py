@@ -22,8 +22,9 @@ How all links are found without comparing all pairs, exactly and for any corpus
 similar_groups() groups by the Jaccard similarity of word shingles instead. Fingerprints of
 texts that are 0.8 alike differ in up to about 20 of 64 bits, too many for blocks of bits,
 so there the buckets are min-hash bands; inside a shard the BK-tree proposes links within
-REACH bits, signatures rank them, a spanning forest of the likeliest is kept, and each of
-its links must pass an exact comparison of whole shingle sets.
+REACH bits, signatures rank them, spanning forests of the likeliest are kept, and each of
+their links must pass an exact comparison of whole shingle sets. Where signatures leave a
+link in doubt, SPARE forests stand beside each other, so that a link that fails has others.
 """
 
 from __future__ import annotations
@@ -44,8 +45,10 @@ REFINE = 4096
 #: similar_groups(): differing bits that a link of similar texts may have; bands, rows of each, min-hashes.
 REACH = 22
 BANDS, BAND_ROWS, HASHES = 16, 5, 128
-#: Signatures may fall short of the similarity asked for by this much (3.5 standard errors) before a link is dropped unchecked.
+#: Signatures may fall short of the similarity asked for by this much (3.5 standard errors) before a link is dropped unchecked;
+#: beyond it by as much, a link is taken to hold. Of links between, so many forests without common links are checked.
 SHORT = 0.12
+SPARE = 4
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -241,9 +244,13 @@ def _proposed(similarity: float):
                             alike = (np.frombuffer(y["sig"], np.uint8) == own).mean()
                             if alike >= similarity - SHORT:
                                 found.append((-alike, x["node"], y["node"]))
-                joined = Forest()
-                for _, x, y in sorted(found):  # the likeliest links first
-                    if joined.join(x, y):
+                forests = [Forest() for _ in range(SPARE)]
+                for lack, x, y in sorted(found):  # the likeliest links first
+                    if -lack >= similarity + SHORT:  # needs no other beside it
+                        new = all([f.join(x, y) for f in forests])
+                    else:
+                        new = any(f.join(x, y) for f in forests)
+                    if new:
                         a.append(x)
                         b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

@@ -1,8 +1,11 @@
+import collections
 import os
+import random
 
 import pytest
 
 from treeplan.functions.rules import glob_regex, rules, verdict
+from treeplan.operators import ranking, stats
 from treeplan.options import SyncOptions, parse_chmod, parse_chown, parse_remote, parse_size
 from treeplan.plans import manifest, sync
 from treeplan.sources import fs_tree, snapshots
@@ -95,3 +98,37 @@ def test_stream(spark, sf, tmp_path):
         run_available(made, f"{tmp_path}/out", f"{tmp_path}/state")
     got = sorted((r.rel_path, r.action) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == sorted((r.rel_path, r.action) for r in sync.plan(src, snapshots.dst_files(spark, sf)).collect())
+
+
+def test_running_along_a_hot_stream(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(("hot", "hot", "hot", "b", None)), k, rng.randrange(9)) for k in rng.sample(range(10**6), 700)]
+    frame = spark.createDataFrame(rows, "stream string, at long, size long")
+    want, n, total = set(), collections.Counter(), collections.Counter()
+    for s, k, v in sorted(rows, key=lambda r: r[1]):
+        n[s] += 1
+        total[s] += v
+        want.add((s, k, v, n[s], total[s]))
+    made = ranking.running(frame, "stream", "at", F.col("size"))
+    assert made.columns == ["stream", "at", "size", "nth", "passed"] and {tuple(r) for r in made.collect()} == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [row_number() windowspecdefinition(stream" in plan and "__range" in plan
+    back = ranking.running(frame.select("stream", "at"), "stream", F.desc("at")).collect()
+    assert {(r.stream, r.at): n[r.stream] + 1 - r.nth for r in back} == {(s, k): i for s, k, _, i, _ in want}
+    assert ranking.running(frame.limit(0), "stream", "at").count() == 0
+
+
+def test_ranked_statistics_are_exact(spark):
+    rng = random.Random(4)
+    groups = {"many": [rng.gauss(0, 50) for _ in range(400)], "same": [7.0] * 130, "mixed": [0.0, -1.5, 2.0, -1e300, 1e-300, float("inf"), float("-inf")] * 3, "few": [3.0, -3.0], None: [1.0, 2.0, 4.0], "none": []}
+    rows = [(g, v) for g, vs in groups.items() for v in [*vs, None]]
+    got = {r.g: r for r in stats.bench_statistics(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        v, r = sorted(vs), got[g]
+        n = len(v)
+        assert r.n == n
+        if not n:
+            assert r.median is None and r.p95 is None and r.p99 is None
+            continue
+        assert (r.median, r.p95, r.p99) == (v[n // 2], v[int(n * 0.95)] if n >= 20 else v[-1], v[int(n * 0.99)] if n >= 100 else v[-1])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeplan.functions import paths, rules
-from treeplan.operators import batching, chunks, delta, extents, rebuild, stats
+from treeplan.operators import batching, chunks, delta, extents, ranking, rebuild, stats
 from treeplan.options import SyncOptions
 from treeplan.plans import manifest, sync
 from treeplan.sources import snapshots
@@ -297,7 +297,34 @@ def file_digests(spark, d):
     return _src(spark, d).select("rel_path", "size", F.sha2(F.col("text"), 256).alias("digest"))
 
 
-@query()
+def _cdc_side(name: str, table: str) -> str:
+    """Content-defined chunks of a table (target 256) as SQL: a fold over the bytes of each file."""
+    moved = "(s.h // 2 + e.g) % 18446744073709551616::HUGEINT"
+    return f"""
+{name}b AS (SELECT rel_path, size, encode(text) AS c FROM {table} WHERE NOT is_symlink AND size > 0),
+{name}r AS (SELECT rel_path, size, c, list_reduce(
+    list_transform(range(0, size), lambda i: {{'i': i, 'g': gears[('0x' || hex(c[i + 1 : i + 1]))::INTEGER + 1], 'h': 0::HUGEINT, 'first': 0::BIGINT, 'cuts': []::BIGINT[]}}),
+    lambda s, e: CASE WHEN e.i - s.first >= 64 AND (e.i - s.first >= 1024 OR {moved} % CASE WHEN e.i - s.first < 256 THEN 1024 ELSE 64 END = 0)
+        THEN {{'i': e.i, 'g': e.g, 'h': e.g, 'first': e.i, 'cuts': list_append(s.cuts, e.i)}}
+        ELSE {{'i': e.i, 'g': e.g, 'h': {moved}, 'first': s.first, 'cuts': s.cuts}} END,
+    {{'i': -1::BIGINT, 'g': 0::HUGEINT, 'h': 0::HUGEINT, 'first': 0::BIGINT, 'cuts': [0::BIGINT]}}).cuts AS cuts FROM {name}b, gear),
+{name}c AS (SELECT rel_path, CAST(k - 1 AS BIGINT) AS idx, cuts[k] AS off, coalesce(cuts[k + 1], size) - cuts[k] AS len, sha256(c[cuts[k] + 1 : coalesce(cuts[k + 1], size)]) AS h
+    FROM (SELECT *, unnest(range(1, len(cuts) + 1)) AS k FROM {name}r))"""
+
+
+#: The table of byte values is splitmix64 from its seed, modulo 2^64.
+CDC = FILES + f""", gear AS (SELECT list(CAST(xor(c, c >> 31) AS HUGEINT) ORDER BY i) AS gears FROM (
+    SELECT i, xor(b, b >> 27) * {0x94D049BB133111EB}::UHUGEINT % 18446744073709551616::UHUGEINT AS c FROM (
+    SELECT i, xor(a, a >> 30) * {0xBF58476D1CE4E5B9}::UHUGEINT % 18446744073709551616::UHUGEINT AS b FROM (
+    SELECT i, ({chunks.SEED}::UHUGEINT + (i + 1)::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) % 18446744073709551616::UHUGEINT AS a FROM range(256) AS r(i))))),
+{_cdc_side("s", "src")}"""
+CDC_OPS = CDC + f""",{_cdc_side("d", "dst")},
+first AS (SELECT rel_path, h, arg_min(off, idx) AS doff, arg_min(len, idx) AS dlen FROM dc GROUP BY ALL),
+ops AS (SELECT rel_path, s.idx AS op_idx, CASE WHEN doff IS NULL THEN 'write' ELSE 'copy' END AS kind, s.off, coalesce(doff, s.off) AS src_offset, CASE WHEN doff IS NULL THEN s.len ELSE least(s.len, dlen) END AS len FROM sc s LEFT JOIN first USING (rel_path, h))
+"""
+
+
+@query(CDC + " SELECT rel_path, idx, off, len, h FROM sc")
 def chunks_cdc(spark, d):
     return chunks.cdc_chunks(_src(spark, d).where("not is_symlink"), 256)
 
@@ -307,17 +334,20 @@ def _cdc_ops(spark, d):
     return delta.by_hash(pair(_src(spark, d)), pair(_dst(spark, d)))
 
 
-@query()
+@query(CDC_OPS + "SELECT rel_path, op_idx, kind, off, src_offset, len FROM ops")
 def delta_cdc(spark, d):
     return _cdc_ops(spark, d)
 
 
-@query()
+@query(CDC_OPS + TOTALS)
 def delta_totals_cdc(spark, d):
     return delta.totals(_cdc_ops(spark, d))
 
 
-@query()
+@query(CDC_OPS + """SELECT rel_path, off, src_offset, len FROM (SELECT rel_path, run, min(off) AS off, min(src_offset) AS src_offset, CAST(sum(len) AS BIGINT) AS len FROM (
+    SELECT *, sum(breaks) OVER (PARTITION BY rel_path ORDER BY off) AS run FROM (
+    SELECT *, CASE WHEN lag(off + len) OVER w = off AND lag(src_offset + len) OVER w = src_offset THEN 0 ELSE 1 END AS breaks FROM ops WHERE kind = 'copy' WINDOW w AS (PARTITION BY rel_path ORDER BY off)))
+    GROUP BY rel_path, run) WHERE off <> src_offset""")
 def shifted_ranges(spark, d):
     return delta.merged_copies(_cdc_ops(spark, d))
 
@@ -476,8 +506,8 @@ def throughput(spark, d):
 
 @query(FILES + "SELECT rel_path, row_number() OVER (PARTITION BY source ORDER BY ino, rel_path) AS by_inode, row_number() OVER (PARTITION BY source ORDER BY rel_path DESC) AS from_end FROM src")
 def sort_orders(spark, d):
-    rank = lambda *o: F.row_number().over(Window.partitionBy("source").orderBy(*o)).cast("long")
-    return _src(spark, d, inodes=True).select("rel_path", rank("ino", "rel_path").alias("by_inode"), rank(F.desc("rel_path")).alias("from_end"))
+    one = ranking.running(_src(spark, d, inodes=True).select("source", "ino", "rel_path"), "source", F.struct("ino", "rel_path")).withColumnRenamed("nth", "by_inode")
+    return ranking.running(one, "source", F.desc("rel_path")).select("rel_path", "by_inode", F.col("nth").alias("from_end"))
 
 
 @query(FILES + "SELECT rel_path, (row_number() OVER (PARTITION BY source ORDER BY rel_path) - 1) // 200 AS frame FROM src")

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeplan.operators.ranking import running
+
 #: A batch closes at so many files or bytes; a larger file goes alone.
 FILES, BYTES, ALONE = 256, 64 << 20, 4 << 20
 
 
 def frames(rows: DataFrame, stream: str, order: str, size: int) -> DataFrame:
     """Adds frame: so many rows of a stream in order."""
-    return rows.withColumn("frame", F.expr(f"(row_number() over (partition by {stream} order by {order}) - 1) div {size}").cast("long"))
+    return running(rows, stream, order).withColumn("frame", F.expr(f"(nth - 1) div {size}").cast("long")).drop("nth")
 
 
 def greedy(rows: DataFrame, stream: str, order: str, files: int = FILES, limit: int = BYTES, alone: int = ALONE) -> DataFrame:
@@ -50,5 +52,5 @@ def token_bucket(rows: DataFrame, stream: str, order: str, rate: int) -> DataFra
     """Adds finish_ns, when each row's bytes have passed a bucket of one second's capacity that starts full and
     is asked at once; the wait is the deficit over the rate. In closed form: everything beyond the first
     second's bytes takes its time."""
-    passed = F.sum("size").over(Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(stream, order, "size", passed.alias("passed")).withColumn("finish_ns", F.expr(f"cast((cast(greatest(passed - {rate}, 0) as decimal(28,0)) * 1000000000) div {rate} as bigint)")).drop("passed")
+    passed = running(rows.select(stream, order, "size"), stream, order, F.col("size"))
+    return passed.withColumn("finish_ns", F.expr(f"cast((cast(greatest(passed - {rate}, 0) as decimal(28,0)) * 1000000000) div {rate} as bigint)")).drop("nth", "passed")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,13 +45,34 @@ def energy(runs: DataFrame) -> DataFrame:
     return runs.select("name", F.round(kwh * 1000, 6).alias("wh_saved"), F.round(year, 6).alias("kwh_year"), F.round(year * 0.475, 6).alias("kg_year"), F.round(year / 10700 * 100, 6).alias("home_pct"))
 
 
+def _range(x: Column) -> Column:
+    """The number of a value's range, never falling as values rise: 1000 ranges for each factor of e, below 4 million in all."""
+    inf = float("inf")
+    part = lambda y: F.floor(F.ln(y) * 1000)
+    return F.when(F.isnan(x), 4_000_000).when(x == inf, 3_000_000).when(x == -inf, -3_000_000).when(x > 0, part(x) + 2_000_000).when(x < 0, -part(-x) - 2_000_000).otherwise(0)
+
+
 def bench_statistics(runs: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean, upper median, sample deviation, p95 and p99 (the largest below 20 and 100 runs), cv in per cent."""
-    v = F.col("v")
-    at = lambda share: F.get(v, F.floor(F.size(v) * F.lit(share)).cast("int"))
-    per = runs.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("v"))
-    largest = F.element_at(v, -1)
-    return per.select(group, "n", F.round("mean", 4).alias("mean"), F.get(v, F.expr("size(v) div 2").cast("int")).alias("median"), F.round("sd", 4).alias("stddev"), F.when(F.col("n") >= 20, at(0.95)).otherwise(largest).alias("p95"), F.when(F.col("n") >= 100, at(0.99)).otherwise(largest).alias("p99"), F.round(F.when(F.col("mean") != 0, F.col("sd") / F.col("mean") * 100).otherwise(0.0), 4).alias("cv_pct"))
+    """Mean, upper median, sample deviation, p95 and p99 (the largest below 20 and 100 runs), cv in per cent.
+
+    Ranked values are exact, and no group is gathered: equal values are counted, the counts of value ranges tell which
+    range holds a rank, and only the values of such ranges are looked through. Null values don't count; a null group is one.
+    """
+    x, key = F.col("x"), F.struct(F.col(group)).alias("key")
+    rows = runs.select(key, F.col(value).cast("double").alias("x"))
+    per = rows.groupBy("key").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd"), F.max("x").alias("largest"))
+    counted = rows.where(x.isNotNull()).groupBy("key", "x").agg(F.count("*").alias("m")).withColumn("range", _range(x))
+    upto = lambda by, o: F.sum("m").over(Window.partitionBy(*by).orderBy(o))
+    ends = counted.groupBy("key", "range").agg(F.sum("m").alias("m")).withColumn("upto", upto(["key"], "range"))
+    at = lambda name, place: F.struct(F.lit(name).alias("name"), place.cast("long").alias("place"))
+    asked = per.select("key", F.inline(F.array(at("median", F.floor(F.col("n") / 2)), at("p95", F.floor(F.col("n") * 0.95)), at("p99", F.floor(F.col("n") * 0.99)))))
+    within = (F.col("upto") > F.col("place")) & (F.col("upto") - F.col("m") <= F.col("place"))
+    hit = ends.join(asked, "key").where(within).select("key", "range", "name", (F.col("place") - F.col("upto") + F.col("m")).alias("place"))
+    some = counted.join(hit.select("key", "range").distinct(), ["key", "range"], "left_semi").withColumn("upto", upto(["key", "range"], "x"))
+    got = some.join(hit, ["key", "range"]).where(within).groupBy("key").agg(*[F.max(F.when(F.col("name") == n, x)).alias(n) for n in ("median", "p95", "p99")])
+    at_least = lambda n, name: F.when(F.col("n") >= n, F.col(name)).otherwise(F.col("largest")).alias(name)
+    cv = F.when(F.col("mean") != 0, F.col("sd") / F.col("mean") * 100).otherwise(0.0)
+    return per.join(got, "key", "left").select(F.col("key").getField(group).alias(group), "n", F.round("mean", 4).alias("mean"), "median", F.round("sd", 4).alias("stddev"), at_least(20, "p95"), at_least(100, "p99"), F.round(cv, 4).alias("cv_pct"))
 
 
 def geometric_mean(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -11,7 +11,7 @@ from treeplan.functions import paths, rules
 from treeplan.operators import batching, chunks, delta, extents, ranking, rebuild, stats
 from treeplan.options import SyncOptions
 from treeplan.plans import manifest, sync
-from treeplan.sources import snapshots
+from treeplan.sources import fs_tree, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,6 +162,12 @@ def follow_links(spark, d):
     return snapshots.resolved_links(_src(spark, d)).select("rel_path", "size", "mtime_ns", "mode")
 
 
+@query()
+def scan_fs(spark, d):
+    """The folder of the tables as a live tree."""
+    return fs_tree.scan(spark, d).select("rel_path", "is_dir", "size", "mtime_ns", "mode", "is_symlink")
+
+
 @query(FILES + "SELECT rel_path, size FROM dst WHERE rel_path NOT IN (SELECT rel_path FROM src)")
 def delete_plan(spark, d):
     return sync.deletions(_src(spark, d), _dst(spark, d))
@@ -352,6 +358,23 @@ def shifted_ranges(spark, d):
     return delta.merged_copies(_cdc_ops(spark, d))
 
 
+def _by_strategy(spark, d):
+    s, t = (f.where("not is_symlink") for f in (_src(spark, d), _dst(spark, d)))
+    return delta.by_strategy(chunks.chunks(s, CHUNK), chunks.chunks(t.join(s.select("rel_path"), "rel_path", "left_semi"), CHUNK))
+
+
+@query()
+def delta_strategy(spark, d):
+    """Tests hold it against golden totals and the rebuilt contents."""
+    return _by_strategy(spark, d)
+
+
+@query(FILES + "SELECT rel_path, size, sha256(text) AS digest, true AS ok FROM src WHERE NOT is_symlink AND size > 0")
+def rebuild_strategy(spark, d):
+    s = _src(spark, d)
+    return rebuild.verified(rebuild.rebuilt(_by_strategy(spark, d), s, _dst(spark, d)), s)
+
+
 @query(FILES + "SELECT rel_path, size, sha256(text) AS digest, true AS ok FROM src WHERE NOT is_symlink AND size > 0")
 def rebuild_verify(spark, d):
     s = _src(spark, d)
@@ -515,6 +538,11 @@ def frames_200(spark, d):
     return batching.frames(_src(spark, d), "source", "rel_path", 200).select("rel_path", "frame")
 
 
+@query(FILES + "SELECT rel_path, n || ' ' || rel_path AS line FROM (SELECT rel_path, size, row_number() OVER (PARTITION BY source ORDER BY rel_path) AS n FROM src) WHERE n % 10 = 0 OR size >= 8192")
+def progress_lines(spark, d):
+    return stats.progress(_src(spark, d), "source", "rel_path", every=10, large=8192)
+
+
 @query(FILES + "SELECT source, frame, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT source, size, (row_number() OVER (PARTITION BY source ORDER BY rel_path) - 1) // 128 AS frame FROM src) GROUP BY ALL")
 def frame_totals(spark, d):
     return batching.frames(_src(spark, d), "source", "rel_path", 128).groupBy("source", "frame").agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"))

@@ -20,6 +20,13 @@ def by_hash(src: DataFrame, dst: DataFrame) -> DataFrame:
     return _ops(src.join(d, ["rel_path", "h"], "left"), F.col("doff").isNotNull())
 
 
+def by_strategy(src: DataFrame, dst: DataFrame) -> DataFrame:
+    """Chunks with is_cdc: by hash where both sides of a file are content-defined, else by number. Returns ops."""
+    hashed = src.where("is_cdc").select("rel_path").distinct().join(dst.where("is_cdc").select("rel_path").distinct(), "rel_path")
+    part = lambda chunks, how: chunks.join(hashed, "rel_path", how)
+    return by_hash(part(src, "left_semi"), part(dst, "left_semi")).unionByName(by_index(part(src, "left_anti"), part(dst, "left_anti")))
+
+
 def _ops(joined: DataFrame, hit) -> DataFrame:
     """(rel_path, op_idx, kind, off, src_offset, len): off is the place in the result; src_offset the place in
     the old content of a copy, in the new content of a write."""

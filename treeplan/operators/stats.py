@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeplan.operators.ranking import running
+
 
 def summary(planned: DataFrame, scanned_bytes: DataFrame) -> DataFrame:
     """One row of counts and bytes; saved_pct of the planned bytes, and of all scanned bytes."""
@@ -37,6 +39,12 @@ def log_lines(planned: DataFrame) -> DataFrame:
     return planned.where("action <> 'skip'").select("rel_path", F.format_string("%s %s %d bytes", "action", "rel_path", "size").alias("line"))
 
 
+def progress(files: DataFrame, stream: str, order: str, every: int = 100, large: int = 10 << 20) -> DataFrame:
+    """(rel_path, line) of the files that are told of: every so many of a stream, and large ones. files: rel_path, size."""
+    told = running(files, stream, order).where((F.col("nth") % every == 0) | (F.col("size") >= large))
+    return told.select("rel_path", F.format_string("%d %s", "nth", "rel_path").alias("line"))
+
+
 def energy(runs: DataFrame) -> DataFrame:
     """runs: (name, seconds) of CPU-saving runs. Watt-hours saved by the run at 10 W against four times its time, by
     year if hourly, carbon at 0.475 kg a kWh, and the share of a home's 10,700 kWh."""

@@ -7,6 +7,7 @@ import shutil
 import stat
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -84,36 +85,126 @@ def scan(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return spark.read.format("fs_tree").options(**options).load(root)
 
 
-def execute(planned: DataFrame, src_root: str, dst_root: str) -> DataFrame:
-    """Carries a plan out on file systems that all executors see: (rel_path, action, ok, error).
+DONE = "rel_path string, action string, ok boolean, error string"
 
-    Copies go to a temporary name and are then renamed, so a task that runs again after a lost executor
-    does no harm. Rows of a directory are dealt to one task. A failed row is a row, not an error."""
 
-    def run(batches):
-        import pyarrow as pa
+def _each(rows: DataFrame, act) -> DataFrame:
+    """(rel_path, action, ok, error) of act(row) for each row, a dict; what the file system refuses is a row, not an error."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.string())
         for batch in batches:
             out = []
-            for path, action in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in batch.to_pylist():
                 error = None
-                src, dst = os.path.join(src_root, path), os.path.join(dst_root, path)
                 try:
-                    if action == "delete":
-                        if os.path.lexists(dst):
-                            os.unlink(dst)
-                    elif action != "skip":
-                        os.makedirs(os.path.dirname(dst), exist_ok=True)
-                        part = f"{dst}.part{os.getpid()}"
-                        if os.path.islink(src):
-                            os.symlink(os.readlink(src), part)
-                        else:
-                            shutil.copy2(src, part)
-                        os.replace(part, dst)
+                    act(row)
                 except OSError as e:
                     error = str(e)
-                out.append((path, action, error is None, error))
-            yield pa.RecordBatch.from_arrays([pa.array(c) if k != 3 else pa.array(c, pa.string()) for k, c in enumerate(zip(*out, strict=True))], names=["rel_path", "action", "ok", "error"]) if out else pa.RecordBatch.from_pylist([], pa.schema([("rel_path", pa.string()), ("action", pa.string()), ("ok", pa.bool_()), ("error", pa.string())]))
+                out.append((row["rel_path"], row["action"], error is None, error))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["rel_path", "action", "ok", "error"])
+
+    return rows.mapInArrow(run, DONE)
+
+
+def _replaced(dst: str, make) -> None:
+    """make(part), then dst becomes part: a task that runs again after a lost executor does no harm."""
+    part = f"{dst}.part{os.getpid()}"
+    if os.path.lexists(part):
+        os.unlink(part)
+    try:
+        make(part)
+        os.replace(part, dst)
+    except OSError:
+        if os.path.lexists(part):
+            os.unlink(part)
+        raise
+
+
+def execute(planned: DataFrame, src_root: str, dst_root: str, backups: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """Carries a plan out on file systems that all executors see: (rel_path, action, ok, error).
 
-    dealt = planned.select("rel_path", "action").repartition(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1))
-    return dealt.mapInArrow(run, "rel_path string, action string, ok boolean, error string")
+    Rows of a directory are dealt to one task. backups (rel_path, backup_path, below dst_root): what a file is moved
+    to before it is overwritten; metadata (as sync.final_metadata): what a copy ends with, nulls left as they are.
+    Without it a copy has the source's mode and time."""
+
+    def act(row: dict) -> None:
+        path, action = row["rel_path"], row["action"]
+        src, dst = os.path.join(src_root, path), os.path.join(dst_root, path)
+        if action == "delete":
+            if os.path.lexists(dst):
+                os.unlink(dst)
+            return
+        if action == "skip":
+            return
+        os.makedirs(os.path.dirname(dst), exist_ok=True)
+        if row.get("backup_path") and os.path.lexists(dst):
+            to = os.path.join(dst_root, row["backup_path"])
+            os.makedirs(os.path.dirname(to), exist_ok=True)
+            # a copy, so that a task that dies between the two steps leaves the file in place
+            _replaced(to, lambda part: shutil.copy2(dst, part, follow_symlinks=False))
+        link = os.path.islink(src)
+
+        def make(part: str) -> None:
+            if link:
+                os.symlink(os.readlink(src), part)
+                return
+            if "final_mode" not in row:
+                shutil.copy2(src, part)
+                return
+            shutil.copyfile(src, part)
+            own = [-1 if row[c] is None else row[c] for c in ("final_uid", "final_gid")]
+            now = os.stat(part)
+            if own[0] not in (-1, now.st_uid) or own[1] not in (-1, now.st_gid):
+                os.chown(part, *own)
+            if row["final_mode"] is not None:
+                os.chmod(part, row["final_mode"])
+            if row["final_mtime_ns"] is not None:
+                os.utime(part, ns=(row["final_mtime_ns"],) * 2)
+
+        _replaced(dst, make)
+
+    rows = planned.select("rel_path", "action")
+    if backups is not None:
+        rows = rows.join(backups.select("rel_path", "backup_path"), "rel_path", "left")
+    if metadata is not None:
+        rows = rows.join(metadata.select("rel_path", "final_mode", "final_mtime_ns", "final_uid", "final_gid"), "rel_path", "left")
+    return _each(rows.repartition(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1)), act)
+
+
+def link_up(links: DataFrame, dst_root: str, leader_root: str | None = None) -> DataFrame:
+    """Makes files hard links of their leaders (rel_path, leader; as sync.hard_links), which must be there: run it after
+    the copies. leader_root: where the leaders are, if not in dst_root (an older copy on the same file system)."""
+    base = leader_root or dst_root
+
+    def act(row: dict) -> None:
+        first, dst = os.path.join(base, row["leader"]), os.path.join(dst_root, row["rel_path"])
+        if os.path.lexists(dst) and os.path.samefile(first, dst):
+            return
+        os.makedirs(os.path.dirname(dst), exist_ok=True)
+        _replaced(dst, lambda part: os.link(first, part, follow_symlinks=False))
+
+    rows = links.select("rel_path", F.lit("link").alias("action"), "leader")
+    return _each(rows if leader_root else rows.where("rel_path <> leader"), act)
+
+
+def make_dirs(dirs: DataFrame, root: str) -> DataFrame:
+    """Makes directories (rel_path), in any order."""
+    return _each(dirs.select("rel_path", F.lit("mkdir").alias("action")), lambda row: os.makedirs(os.path.join(root, row["rel_path"]), exist_ok=True))
+
+
+def remove_dirs(dirs: DataFrame, root: str, force: bool = False) -> DataFrame:
+    """Removes directories (rel_path), the deepest first; with force what is in them too. Directories below one of
+    the first level go in one task, as they wait for each other."""
+
+    def act(row: dict) -> None:
+        path = os.path.join(root, row["rel_path"])
+        if not os.path.lexists(path):
+            return
+        if force:
+            shutil.rmtree(path)
+        else:
+            os.rmdir(path)
+
+    rows = dirs.select("rel_path", F.lit("rmdir").alias("action"), F.size(F.split("rel_path", "/")).alias("depth"))
+    return _each(rows.repartition(F.substring_index("rel_path", "/", 1)).sortWithinPartitions(F.desc("depth")), act)

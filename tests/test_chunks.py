@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from treeplan import catalog
+from treeplan.operators import chunks
 from treeplan.operators.chunks import MASK64, CdcParams, boundaries, gear
 
 
@@ -71,3 +74,30 @@ def test_query_against_kernel(spark, sf):
 def test_totals_add_up(spark, sf):
     for r in catalog.delta_totals_cdc(spark, sf).collect():
         assert r.transfer_bytes + r.reuse_bytes == r.final_size
+
+
+def plain_boundaries(data, p):
+    """Byte by byte."""
+    cuts, start, h = [0] if data else [], 0, 0
+    for i, x in enumerate(data):
+        h = (h >> 1) + chunks.gear()[x] & chunks.MASK64
+        pos = i - start
+        if pos >= p.least and (pos >= p.most or not h & p.masks[pos >= p.target]):
+            cuts.append(i)
+            start, h = i, chunks.gear()[x]
+    return cuts
+
+
+@pytest.mark.parametrize("piece, warm", [(4 << 20, 128), (3000, 128), (3000, 8)])
+def test_lanes_match_the_plain_loop(monkeypatch, piece, warm):
+    """Also where contents are cut into pieces, and where guesses are often wrong."""
+    monkeypatch.setattr(chunks, "PIECE", piece)
+    monkeypatch.setattr(chunks, "WARM", warm)
+    rng = random.Random(3)
+    made = [b"", b"x", bytes(1), bytes(70), b"", bytes(5000), b"\xff" * 3000, bytes(2000) + b"\x07" * 1500 + bytes(40)]
+    made += [bytes(rng.choices(range(256), k=n)) for n in (63, 64, 65, 255, 256, 257, 1023, 1024, 1025, 4096, 30000)] + [bytes(rng.choices(b"abcdefgh ", k=9000))]
+    for p in (chunks.CdcParams(256), chunks.CdcParams(300, 64, 301), chunks.CdcParams(1024)):
+        want = [plain_boundaries(d, p) for d in made]
+        assert [chunks.boundaries(d, p) for d in made] == want
+        assert list(chunks.boundaries_of(made, p)) == want
+    assert list(chunks.boundaries_of([b"", b""], chunks.CdcParams(256))) == [[], []]

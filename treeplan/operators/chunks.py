@@ -7,9 +7,11 @@ column expressions.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,19 +57,105 @@ class CdcParams:
         return (1 << min(bits + 2, 63)) - 1, (1 << max(bits - 2, 1)) - 1
 
 
+#: Bytes whose hashes are held at a time (at least twice the largest chunk); bytes of a lane, and those it warms up on.
+PIECE, LANE, WARM = 4 << 20, 1024, 128
+
+
+def running_hashes(raw: np.ndarray) -> np.ndarray:
+    """The rolling hash at each byte, never started anew: h = (h >> 1) + value of the byte, modulo 2^64.
+
+    Lanes are hashed side by side, each from a guess: what it has after the WARM bytes before it. Shifts lose an older
+    state within some 64 bytes, so guesses are right but for rare carries; each is held against the lane before, and a
+    wrong one is hashed again from the true state until both agree."""
+    table, n = np.array(gear(), np.uint64), len(raw)
+    lanes = -(-n // LANE)
+    grid = np.zeros(lanes * LANE, np.uint8)
+    grid[:n] = raw
+    grid = np.ascontiguousarray(grid.reshape(lanes, LANE).T)
+    h, one = np.zeros(lanes, np.uint64), np.uint64(1)
+    for row in grid[LANE - WARM :]:
+        h[1:] = (h[1:] >> one) + table[row[:-1]]
+    guess, out = h, np.empty((LANE, lanes), np.uint64)
+    for k, row in enumerate(grid):
+        h = (h >> one) + table[row]
+        out[k] = h
+    flat = out.T.reshape(-1)[:n]
+    for lane in (np.flatnonzero(guess[1:] != out[-1, :-1]) + 1).tolist():
+        true = int(flat[lane * LANE - 1])
+        for i in range(lane * LANE, n):
+            true = (true >> 1) + gear()[raw[i]] & MASK64
+            if true == int(flat[i]):
+                break
+            flat[i] = true
+    return flat
+
+
+def _cuts(raw: np.ndarray, starts: list[int], p: CdcParams) -> list[list[int]]:
+    """For each content raw[starts[i] : starts[i + 1]], where its chunks start, counted in raw.
+
+    A chunk's own hash starts anew with it; it is stepped until it meets the running hash, from where on both are one
+    and the next cut is the next hit of that."""
+    running, (hard, easy), out = running_hashes(raw), p.masks, []
+    hits = [np.flatnonzero((running & np.uint64(m)) == 0).tolist() for m in (hard, easy)]
+    value = gear()
+
+    def following(start: int, stop: int) -> int | None:
+        h, met = 0, None
+        for at in range(start, stop, WARM):
+            for i, (x, other) in enumerate(zip(raw[at : min(at + WARM, stop)].tolist(), running[at : min(at + WARM, stop)].tolist()), at):
+                h = (h >> 1) + value[x] & MASK64
+                pos = i - start
+                if pos >= p.least and (pos >= p.most or not h & (hard if pos < p.target else easy)):
+                    return i
+                if h == other:
+                    met = i + 1
+                    break
+            if met is not None:
+                break
+        else:
+            return None
+        for found, low, high in ((hits[0], p.least, p.target), (hits[1], p.target, p.most)):
+            k = bisect_left(found, max(met, start + low))
+            if k < len(found) and found[k] < min(start + high, stop):
+                return found[k]
+        return start + p.most if start + p.most < stop else None
+
+    for start, stop in zip(starts, starts[1:]):
+        cuts = [start] if stop > start else []
+        while cuts and (cut := following(cuts[-1], stop)) is not None:
+            cuts.append(cut)
+        out.append(cuts)
+    return out
+
+
 def boundaries(data: bytes, p: CdcParams) -> list[int]:
     """Where chunks start. A hit byte belongs to the next chunk; hashing starts anew with it."""
     if not data:
         return []
-    table, (hard, easy), least, target, most = gear(), p.masks, p.least, p.target, p.most
-    cuts, start, h = [0], 0, 0
-    for i, x in enumerate(data):
-        pos = i - start
-        h = ((h >> 1) + table[x]) & MASK64
-        if pos >= least and (pos >= most or not h & (hard if pos < target else easy)):
-            cuts.append(i)
-            start, h = i, table[x]
-    return cuts
+    raw, cuts, size = np.frombuffer(data, np.uint8), [0], max(PIECE, 2 * p.most)
+    while True:  # a cut depends on no byte after it, so the next piece starts at the last cut
+        at = cuts[-1]
+        part = raw[at : at + size]
+        cuts += [at + c for c in _cuts(part, [0, len(part)], p)[0][1:]]
+        if at + size >= len(raw):
+            return cuts
+
+
+def boundaries_of(contents: list[bytes], p: CdcParams) -> Iterator[list[int]]:
+    """boundaries() of each, small ones hashed together."""
+    at = 0
+    while at < len(contents):
+        to, total = at, 0
+        while to < len(contents) and (to == at or total + len(contents[to]) <= PIECE):
+            total += len(contents[to])
+            to += 1
+        if to == at + 1:
+            yield boundaries(contents[at], p)
+        else:
+            starts = [0, *accumulate(map(len, contents[at:to]))]
+            for start, cuts in zip(starts, _cuts(np.frombuffer(b"".join(contents[at:to]) or b"\0", np.uint8), starts, p)):
+                yield [c - start for c in cuts]
+        at = to
 
 
 def fixed_chunks(files: DataFrame, size: int) -> DataFrame:
@@ -89,9 +177,8 @@ def cdc_chunks(files: DataFrame, target: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path, idx, off, size, part = [], [], [], [], []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py() or b""
-                starts = boundaries(data, p)
+            contents = [content or b"" for content in batch.column(1).to_pylist()]
+            for name, data, starts in zip(batch.column(0).to_pylist(), contents, boundaries_of(contents, p), strict=True):
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(data)], strict=True)):
                     path.append(name), idx.append(k), off.append(a), size.append(b - a), part.append(data[a:b])
             yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(np.array(idx, np.int64)), pa.array(np.array(off, np.int64)), pa.array(np.array(size, np.int64)), pa.array(part, pa.binary())], names=["rel_path", "idx", "off", "len", "part"])

@@ -155,6 +155,17 @@ def test_similar_groups_keep_doubtful_links(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {d: want.root(d) for d in texts}
 
 
+def test_similar_groups_ignore_repeats(spark):
+    """A line that stands many times counts once in a set, so it does not part texts that are alike."""
+    own = " ".join(f"w{k}" for k in range(300))
+    line = "the same line of these words again "
+    texts = [(1, f"{own} end {line}"), (2, f"{own} end {line * 300}"), (3, f"{own} and {line * 300}"), (4, " ".join(f"v{k}" for k in range(300)) + f" {line * 300}")]
+    sets = {d: set(simhash.shingle_hashes(t, 5).tolist()) for d, t in texts}
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in ((1, 2), (2, 3), (1, 3))) and len(sets[4] & sets[2]) < 0.1 * len(sets[2])
+    got = simhash.similar_groups(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_spare_forests():
     """A link in doubt has others beside it; one beyond doubt needs none."""
     import pyarrow as pa

@@ -276,9 +276,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             out = []
             for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), words)
-                distinct = np.unique(hashes)
-                out.append((_set_hash(distinct), _signed(fingerprint_of(hashes)), *signature(distinct)))
+                distinct = np.unique(shingle_hashes(text.as_py(), words))  # repeats don't count in sets, so not in these fingerprints
+                out.append((_set_hash(distinct), _signed(fingerprint_of(distinct)), *signature(distinct)))
             if out:
                 node, fp, sig, keys = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "sig", "keys"])

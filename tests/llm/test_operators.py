@@ -224,6 +224,21 @@ def test_pii_formats(spark):
     assert replaced(spark, *values) == list(got.values()) and replaced(spark, values[0], key="other") != [got[values[0]]]
 
 
+def test_pii_numbers_beside_digits(spark):
+    card, other = "4111 1111 1111 1111", "5555555555554444"
+    values = [f"{card} {card}", f"{other} 4111111111111111", f"{card} 12/26", "4111111111111111 123", f"order 12 {card}", f"{card} 123 {other}", f"{card} 2024-05-01", f"2024-05-01 {card}", "4111 1111 1111 1112 " + other, "41 11 11 11 11 11 11 11 (555) 123-4567", f"\x00 {other} \x00", f"AB12 {card}", "378282246310005 10.20.30.40"]
+    got = dict(zip(values, replaced(spark, *values)))
+    one, two, day = replaced(spark, card, other, "2024-05-01")
+    flat = one.replace(" ", "")
+    want = {
+        values[0]: f"{one} {one}", values[1]: f"{two} {flat}", values[2]: f"{one} 12/26", values[3]: f"{flat} 123", values[4]: f"order 12 {one}", values[5]: f"{one} 123 {two}",
+        values[6]: f"{one} {day}", values[7]: f"{day} {one}", values[8]: f"4111 1111 1111 1112 {two}", values[10]: f"\x00 {two} \x00", values[11]: f"AB12 {one}",
+    }
+    assert {v: got[v] for v in want} == want
+    assert got[values[9]] == " ".join(replaced(spark, "41 11 11 11 11 11 11 11", "(555) 123-4567"))
+    assert got[values[12]] == " ".join(replaced(spark, "378282246310005", "10.20.30.40"))
+
+
 def test_pii_permutes(spark):
     """Distinct values stay distinct: all 7-digit local parts' last two digits, and a run of days."""
     mails = [f"a{k:02d}@x.org" for k in range(100)]

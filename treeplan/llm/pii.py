@@ -1,12 +1,14 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-One pattern finds candidates, each is validated by its kind, and a valid one is replaced by
-a keyed permutation of itself within its format (a Feistel network whose round function is
+Patterns find candidates kind by kind, each is validated, and a valid one is replaced by a
+keyed permutation of itself within its format (a Feistel network whose round function is
 SHA-256 of key, kind, round and the other half), so equal values stay equal across
 documents and different ones stay different:
 
 * number (13 to 19 digits, also in groups, Luhn valid): all digits but the last are permuted,
-  the last is the new check digit; a number that fails the check is no card and stays;
+  the last is the new check digit. Of a longer run of groups every valid part on group borders
+  is replaced: first parts in the groups of cards, then any; of parts that overlap the leftmost,
+  then the longest. A number that fails the check is no card and stays;
 * phone (international or North American): digits after the country code;
 * ssn (area, group and serial valid): digits, walked on until valid again;
 * iban (mod 97 valid): the account part, with new check digits;
@@ -16,6 +18,9 @@ documents and different ones stay different:
 * email: letters and digits before the @, each within its class;
 * secret (24 or more hexadecimal digits, letters and digits both): within its alphabet.
 
+A value that is replaced is held back while the kinds after it are looked for, so none runs on
+into it, and a candidate that fails its check hides no value of a later kind.
+
 Separators, letter case and lengths stay (an address's octets may get other lengths). The
 permutations can be inverted with the key. The key is a parameter: take it from a secret
 store; it appears in query plans.
@@ -27,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: What finds candidates, by kind (Java regular expressions), in order of precedence.
+#: What finds candidates, by kind (Java regular expressions).
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SECRET = r"(?=[0-9a-f]*+(?![A-Za-z0-9])|[0-9A-F]*+(?![A-Za-z0-9]))(?=[A-Fa-f]*+\d)(?=\d*+[A-Fa-f])[0-9A-Fa-f]{24,}+"
@@ -35,8 +40,14 @@ IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d)"
 SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
-NUMBER = r"\d(?:[ -]?\d){12,18}(?![ -]?\d)"
-FOUND = rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]*+@){EMAIL}|(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d){IBAN}|(?<![A-Za-z0-9]){SECRET}|(?<![\d.]){IP}|(?<![\d./-]){DATE}|(?<![\d-]){SSN}|(?<![\d+]){PHONE}|(?<!\d)(?<!\d[ -]){NUMBER}"
+#: A whole run of groups with 13 digits or more; the groups that cards are written in, and any.
+NUMBER = r"(?=\d(?:[ -]?\d){12})\d++(?:[ -]\d++)*+"
+CARD = r"^(?:\d{13,19}|\d{4} \d{6} \d{4,5}|\d{4} \d{4} \d{4} \d{4}(?: \d{3})?)$"
+ANY = "^"
+#: Stands for a value that is replaced already.
+HELD = "\x00"
+#: Not the rest of a phone number behind its country code.
+FREE = r"(?<!\+\d{1,3}[ .-])"
 
 
 def let(value: Column, body) -> Column:
@@ -144,36 +155,70 @@ def _date(m: Column, key: str) -> Column:
         )
 
     moved = lambda d: walked(F.datediff(d, low).cast("long"), lambda v: permuted_bits(v, 9, key, "date"), lambda v: v < span, 160)
-    return let(real, lambda d: F.when(d.between(low, high), let(moved(d), shown)).otherwise(m))
+    return let(real, lambda d: F.when(d.between(low, high), let(moved(d), shown)))
 
 
 def _ip(m: Column, key: str) -> Column:
     octet = lambda i: F.get(F.split(m, r"\."), i).cast("long")
     whole = F.shiftleft(octet(0), 24) + F.shiftleft(octet(1), 16) + F.shiftleft(octet(2), 8) + octet(3)
     shown = lambda v: F.concat_ws(".", *[F.shiftright(v, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
-    return F.when(F.greatest(*[octet(i) for i in range(4)]) <= 255, let(permuted_bits(whole, 16, key, "ip"), shown)).otherwise(m)
+    return F.when(F.greatest(*[octet(i) for i in range(4)]) <= 255, let(permuted_bits(whole, 16, key, "ip"), shown))
 
 
 def _ssn(m: Column, key: str) -> Column:
     valid = lambda v: ~v.rlike(r"^(?:000|666|9)|^\d{3}00|0000$")
     new = walked(_digits(m), lambda v: permuted(v, key, "ssn"), valid, 96)
-    return F.when(valid(_digits(m)), let(new, lambda v: _refilled(m, v, "0-9"))).otherwise(m)
+    return F.when(valid(_digits(m)), let(new, lambda v: _refilled(m, v, "0-9")))
 
 
 def _number(m: Column, key: str) -> Column:
     def renumbered(all_digits: Column) -> Column:
-        body, last = F.substr(all_digits, F.lit(1), F.length(all_digits) - 1), F.substr(all_digits, F.length(all_digits), F.lit(1)).cast("int")
-        new = let(permuted(body, key, "number"), lambda new: _refilled(m, F.concat(new, luhn_digit(new).cast("string")), "0-9"))
-        return F.when(luhn_digit(body) == last, new).otherwise(m)
+        body = F.substr(all_digits, F.lit(1), F.length(all_digits) - 1)
+        return let(permuted(body, key, "number"), lambda new: _refilled(m, F.concat(new, luhn_digit(new).cast("string")), "0-9"))
 
     return let(_digits(m), renumbered)
 
 
+def _luhn(digits: Column) -> Column:
+    return luhn_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.substr(digits, F.length(digits), F.lit(1)).cast("int")
+
+
+def _numbers(m: Column, key: str, groups: str) -> Column:
+    """A run of groups of digits, as _read() gives it: valid parts of `groups` on group borders are held."""
+
+    def parted(units: Column) -> Column:
+        part = lambda i, k: F.regexp_replace(F.array_join(F.slice(units, i + 1, k), ""), "[ -]$", "")
+
+        def valid(p: Column) -> Column:
+            fits = lambda d: F.when(F.length(d).between(13, 19) & F.regexp_replace(p, "-", " ").rlike(groups), _luhn(d)).otherwise(False)
+            return let(_digits(p), fits)
+
+        def reading(i: Column) -> Column:
+            sizes = F.sequence(F.least(F.lit(19), F.size(units) - i), F.lit(1), F.lit(-1))
+            return F.coalesce(F.get(F.filter(sizes, lambda k: let(part(i, k), valid)), 0), F.lit(0))
+
+        def chosen(sizes: Column) -> Column:
+            def add(s: Column, i: Column) -> Column:
+                unit = F.element_at(units, i + 1)
+                last = lambda k: F.regexp_replace(F.element_at(units, i + k), r"\d", "")
+                taken = let(F.element_at(sizes, i + 1), lambda k: F.struct((i + k).alias("next"), F.concat(s["text"], F.lit(HELD), last(k)).alias("text"), F.concat(s["values"], F.array(_number(part(i, k), key))).alias("values")))
+                passed = F.struct((i + 1).alias("next"), F.concat(s["text"], unit).alias("text"), s["values"].alias("values"))
+                return F.when(s["next"] > i, s).when(F.element_at(sizes, i + 1) > 0, taken).otherwise(passed)
+
+            start = F.struct(F.lit(0).alias("next"), F.lit("").alias("text"), F.array().cast("array<string>").alias("values"))
+            made = F.aggregate(F.sequence(F.lit(0), F.size(units) - 1), start, add, lambda s: F.struct(s["text"].alias("text"), s["values"].alias("values")))
+            return F.when(F.exists(sizes, lambda k: k > 0), made).otherwise(_left(m))
+
+        return let(F.transform(F.sequence(F.lit(0), F.size(units) - 1), reading), chosen)
+
+    return let(F.regexp_extract_all(m, F.lit(r"\d+[ -]?"), F.lit(0)), parted)
+
+
 def _phone(m: Column, key: str) -> Column:
     head = F.regexp_extract(m, r"^(?:\+\d{1,3}(?=[ .(-]))?", 0)
     tail = F.substr(m, F.length(head) + 1, F.length(m))
     enough = F.length(_digits(m)).between(8, 15)
-    return F.when(enough, F.concat(head, let(permuted(_digits(tail), key, "phone"), lambda v: _refilled(tail, v, "0-9")))).otherwise(m)
+    return F.when(enough, F.concat(head, let(permuted(_digits(tail), key, "phone"), lambda v: _refilled(tail, v, "0-9"))))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -181,7 +226,7 @@ def _iban(m: Column, key: str) -> Column:
     land, own = F.substr(flat, F.lit(1), F.lit(2)), F.substr(flat, F.lit(5), F.length(flat))
     valid = _mod97(F.concat(own, F.substr(flat, F.lit(1), F.lit(4)))) == 1
     new = let(permuted(own, key, "iban"), lambda b: F.concat(land, F.lpad((98 - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b))
-    return F.when(valid & F.length(flat).between(15, 34), let(new, lambda v: _refilled(m, v, "A-Z0-9"))).otherwise(m)
+    return F.when(valid & F.length(flat).between(15, 34), let(new, lambda v: _refilled(m, v, "A-Z0-9")))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -189,31 +234,71 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(permuted(own, key, "email"), F.substr(m, F.length(own) + 1, F.length(m)))
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """The replacement of one candidate; itself if it is not valid."""
-    return (
-        F.when(m.contains("@"), _email(m, key))
-        .when(m.rlike(rf"^{IP}$"), _ip(m, key))
-        .when(m.rlike(rf"^{DATE}$"), _date(m, key))
-        .when(m.rlike(rf"^{SSN}$"), _ssn(m, key))
-        .when(m.rlike(rf"^{PHONE}$"), _phone(m, key))
-        .when(m.rlike(rf"^{NUMBER}$"), _number(m, key))
-        .when(m.rlike(r"^[A-Z]{2}\d{2}"), F.when(m.rlike(rf"^{SECRET}$"), permuted(m, key, "secret", 6)).otherwise(_iban(m, key)))
-        .otherwise(permuted(m, key, "secret", 6))
-    )
+def _left(m: Column) -> Column:
+    """A candidate without valid values, as _read() gives it."""
+    return F.struct(m.alias("text"), F.array().cast("array<string>").alias("values"))
+
+
+def _read(new: Column, m: Column) -> Column:
+    """struct(text, values) of a candidate: HELD and its replacement, or the candidate itself if that is null."""
+    return let(new, lambda v: F.when(v.isNull(), _left(m)).otherwise(F.struct(F.lit(HELD).alias("text"), F.array(v).alias("values"))))
+
+
+def _swept(text: Column, pattern: str, read, counts: bool = True) -> Column:
+    """struct(text, values, n): the text with HELD for each value that `read` finds in candidates, what stands there,
+    and how many candidates there were. HELD itself is found again in its turn. Not counts: valid ones only."""
+    every = rf"\x00|{pattern}"
+
+    def joined(found: Column) -> Column:
+        gaps = F.split(text, every, -1)
+        join = lambda gap, i: F.concat(gap, F.coalesce(F.get(found, i)["text"], F.lit("")))
+        values = F.flatten(F.transform(found, lambda x: x["values"]))
+        own = F.size(F.filter(values, lambda v: v != HELD))
+        failed = F.size(F.filter(found, lambda x: F.size(x["values"]) == 0)) if counts else F.lit(0)
+        return F.struct(F.array_join(F.transform(gaps, join), "").alias("text"), values.alias("values"), (own + failed).cast("long").alias("n"))
+
+    held = lambda m: F.struct(F.lit(HELD).alias("text"), F.array(F.lit(HELD)).alias("values"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(every), F.lit(0)), lambda m: F.when(m == HELD, held(m)).otherwise(read(m)))
+    none = F.struct(text.alias("text"), F.lit(None).cast("array<string>").alias("values"), F.lit(0).cast("long").alias("n"))
+    return F.when(text.rlike(pattern), let(found, joined)).otherwise(none)
+
+
+def _filled(text: Column, values: Column) -> Column:
+    """The text with each HELD replaced by its value."""
+    join = lambda gap, i: F.concat(gap, F.coalesce(F.get(values, i), F.lit("")))
+    return F.when(values.isNull(), text).otherwise(F.array_join(F.transform(F.split(text, r"\x00", -1), join), ""))
+
+
+def _sweeps(key: str) -> list[tuple]:
+    """Arguments of _swept(), in order of precedence."""
+
+    def named(m: Column) -> Column:
+        return _read(F.when(m.contains("@"), _email(m, key)).otherwise(permuted(m, key, "secret", 6)), m)
 
+    def dotted(m: Column) -> Column:
+        return _read(F.when(m.rlike(rf"^{IP}$"), _ip(m, key)).when(m.rlike(rf"^{DATE}$"), _date(m, key)).otherwise(_ssn(m, key)), m)
 
-def pseudonymized(text: Column, key: str) -> Column:
-    """struct(text, n_found): the text with every valid value replaced, and the number of candidates; null for null."""
+    return [
+        (rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]*+@){EMAIL}|(?<![A-Za-z0-9]){SECRET}", named),
+        (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d){IBAN}", lambda m: _read(_iban(m, key), m)),
+        (rf"{FREE}(?:(?<![\d.]){IP}|(?<![\d./-]){DATE}|(?<![\d-]){SSN})", dotted),
+        (rf"(?<![\d+]){NUMBER}", lambda m: _numbers(m, key, CARD), False),
+        (rf"(?<![\d+]){PHONE}", lambda m: _read(_phone(m, key), m)),
+        (rf"(?<!\d){NUMBER}", lambda m: _numbers(m, key, ANY)),
+    ]
 
-    def rebuilt(found: Column) -> Column:
-        gaps = F.split(text, FOUND, -1)
-        join = lambda gap, i: F.concat(gap, F.coalesce(F.get(found, i), F.lit("")))
-        return F.struct(F.array_join(F.transform(gaps, join), "").alias("text"), F.size(found).cast("long").alias("n_found"))
 
-    plain = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_found"))
-    every = F.transform(F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)), lambda m: pseudonym(m, key))
-    return F.when(text.isNull() | ~text.rlike("[0-9@]"), plain).otherwise(let(every, rebuilt))
+def pseudonymized(docs: DataFrame, text: Column, key: str, name: str) -> DataFrame:
+    """docs and a column struct(text, n_found): the text with every valid value replaced, and the number of candidates; null for null."""
+    now, sweeps = text, _sweeps(key)
+    done = [f"__sweep{k}" for k in range(len(sweeps))]
+    made = docs
+    for column, sweep in zip(done, sweeps, strict=True):  # one projection each: nested in one, they are too deep for the analyzer
+        made = made.withColumn(column, _swept(now, *sweep))
+        now = F.col(column)["text"]
+    for column in reversed(done):
+        now = _filled(now, F.col(column)["values"])
+    return made.withColumn(name, F.struct(now.alias("text"), sum((F.col(c)["n"] for c in done), F.lit(0).cast("long")).alias("n_found"))).drop(*done)
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,5 +308,6 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     equal values have equal pseudonyms in all rows; repeated rows give repeated rows; an empty
     table gives none; other columns are not looked at.
     """
-    made = docs.select(F.col(id_col).alias("doc_id"), pseudonymized(F.col(text_col), key).alias("made"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    made = pseudonymized(rows, F.col("text"), key, "made")
     return made.select("doc_id", F.col("made.text").alias("text"), F.col("made.n_found").alias("n_found"))

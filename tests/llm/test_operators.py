@@ -239,6 +239,18 @@ def test_pii_numbers_beside_digits(spark):
     assert got[values[12]] == " ".join(replaced(spark, "378282246310005", "10.20.30.40"))
 
 
+def test_pii_phones_beside_digits(spark):
+    phones = ["+1 (826) 555-4081", "+49 170 1234567", "+44 20 7946 0958", "+493012345678", "+49 170.12.34.56.78", "+33 6 12 34 56 78", "(555) 123-4567", "555-123-4567"]
+    others = ["190.137.223.204", "2024-05-01", "4111 1111 1111 1111", "219-09-9999", "5555555555554444"]
+    values = [f"{p} {o}" for p in phones for o in others]
+    first, second = replaced(spark, *phones), replaced(spark, *others)
+    assert not set(first) & set(phones) and not set(second) & set(others)
+    assert replaced(spark, *values) == [f"{p} {o}" for p in first for o in second]
+    assert replaced(spark, "+1 (826) 555-4081 42 300.137.223.204") == [f"{first[0]} 42 300.137.223.204"]
+    assert replaced(spark, *[f"{p} 300.137.223.204" for p in phones]) == [f"{p} 300.137.223.204" for p in first]
+    assert replaced(spark, "AT61 1904 3002 3457 3201 4111 1111 1111 1111") == [" ".join(replaced(spark, "AT61 1904 3002 3457 3201", "4111 1111 1111 1111"))]
+
+
 def test_pii_permutes(spark):
     """Distinct values stay distinct: all 7-digit local parts' last two digits, and a run of days."""
     mails = [f"a{k:02d}@x.org" for k in range(100)]

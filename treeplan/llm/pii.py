@@ -9,7 +9,8 @@ documents and different ones stay different:
   the last is the new check digit. Of a longer run of groups every valid part on group borders
   is replaced: first parts in the groups of cards, then any; of parts that overlap the leftmost,
   then the longest. A number that fails the check is no card and stays;
-* phone (international or North American): digits after the country code;
+* phone (international or North American, whole groups of 8 to 15 digits): digits after the
+  country code;
 * ssn (area, group and serial valid): digits, walked on until valid again;
 * iban (mod 97 valid): the account part, with new check digits;
 * ip (dotted quad of octets): the 32-bit address;
@@ -39,7 +40,11 @@ SECRET = r"(?=[0-9a-f]*+(?![A-Za-z0-9])|[0-9A-F]*+(?![A-Za-z0-9]))(?=[A-Fa-f]*+\
 IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d)"
 SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
+#: Behind a country code and an area in brackets of so many digits: whole groups, 8 to 15 digits in all, and no address or date.
+_TAIL = rf"[ .-]?\d(?:(?:(?: (?!{IP}|{DATE})|[.-])(?=\d\d))?\d)"
+WORLD = "|".join(rf"\+\d{{{c}}}{rf'[ .-]?\(\d{{{a}}}\)' if a else ''}{_TAIL}{{{max(7 - c - a, 1)},{14 - c - a}}}(?!\d)" for c in (1, 2, 3) for a in range(5))
+#: Of ten digits, so that its end is known whatever follows.
+AMERICA = r"(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
 #: A whole run of groups with 13 digits or more; the groups that cards are written in, and any.
 NUMBER = r"(?=\d(?:[ -]?\d){12})\d++(?:[ -]\d++)*+"
 CARD = r"^(?:\d{13,19}|\d{4} \d{6} \d{4,5}|\d{4} \d{4} \d{4} \d{4}(?: \d{3})?)$"
@@ -229,6 +234,18 @@ def _iban(m: Column, key: str) -> Column:
     return F.when(valid & F.length(flat).between(15, 34), let(new, lambda v: _refilled(m, v, "A-Z0-9")))
 
 
+def _ibans(m: Column, key: str) -> Column:
+    """A run of groups, as _read() gives it: the longest valid IBAN at its start is held."""
+
+    def parted(groups: Column) -> Column:
+        part = lambda k: F.array_join(F.slice(groups, 1, k), " ")
+        new = F.filter(F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.struct(k.alias("k"), _iban(part(k), key).alias("new"))), lambda x: x["new"].isNotNull())
+        held = lambda x: F.struct(F.concat(F.lit(HELD), F.substr(m, F.length(part(x["k"])) + 1, F.length(m))).alias("text"), F.array(x["new"]).alias("values"))
+        return let(F.get(new, 0), lambda x: F.when(x.isNull(), _left(m)).otherwise(held(x)))
+
+    return let(F.split(m, " "), parted)
+
+
 def _email(m: Column, key: str) -> Column:
     own = F.substring_index(m, "@", 1)
     return F.concat(permuted(own, key, "email"), F.substr(m, F.length(own) + 1, F.length(m)))
@@ -278,12 +295,16 @@ def _sweeps(key: str) -> list[tuple]:
     def dotted(m: Column) -> Column:
         return _read(F.when(m.rlike(rf"^{IP}$"), _ip(m, key)).when(m.rlike(rf"^{DATE}$"), _date(m, key)).otherwise(_ssn(m, key)), m)
 
+    def phone(m: Column) -> Column:
+        return _read(_phone(m, key), m)
+
     return [
         (rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]*+@){EMAIL}|(?<![A-Za-z0-9]){SECRET}", named),
-        (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d){IBAN}", lambda m: _read(_iban(m, key), m)),
+        (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d){IBAN}", lambda m: _ibans(m, key)),
         (rf"{FREE}(?:(?<![\d.]){IP}|(?<![\d./-]){DATE}|(?<![\d-]){SSN})", dotted),
+        (rf"(?<![\d+]){AMERICA}", phone),
         (rf"(?<![\d+]){NUMBER}", lambda m: _numbers(m, key, CARD), False),
-        (rf"(?<![\d+]){PHONE}", lambda m: _read(_phone(m, key), m)),
+        (rf"(?<![\d+])(?:{WORLD})", phone),
         (rf"(?<!\d){NUMBER}", lambda m: _numbers(m, key, ANY)),
     ]
 

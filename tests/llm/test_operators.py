@@ -166,6 +166,21 @@ def test_similar_groups_ignore_repeats(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_one_of_each_by_component(spark):
+    rng = random.Random(11)
+    text = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
+    near = [t + " end" for t in text]
+    rows = [(None, t) for t in text[:20]] + [(None, near[0]), (None, text[1].upper()), (None, text[1])]  # null ids: 20 components
+    rows += [(7, text[20]), (7, text[21]), (7, near[21]), (7, text[22]), (5, near[22])]  # one id over three components, one led by another id
+    rows += [(None, text[23]), (9, near[23]), (-(1 << 63), text[24]), (10, text[25]), (11, near[25]), (None, None), (None, "")]
+    frame = lambda some, n: spark.createDataFrame([(d, t, "x") for d, t in some], "doc_id long, text string, __own string").repartition(n)
+    got = [sorted((r.doc_id or 0, r.text or "") for r in simhash.one_of_each(frame(some, n)).collect()) for some, n in ((rows, 3), (rows[::-1], 5))]
+    assert got[0] == got[1]
+    alike = {t: k for k, pair in enumerate(zip(text, near)) for t in (*pair, pair[0].upper())}
+    want = [(0, k) for k in range(20)] + [(7, 20), (7, 21), (5, 22), (9, 23), (-(1 << 63), 24), (10, 25), (0, -1)]
+    assert sorted((d, alike.get(t, -1)) for d, t in got[0]) == sorted(want)
+
+
 def test_spare_forests():
     """A link in doubt has others beside it; one beyond doubt needs none."""
     import pyarrow as pa

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from treeplan.llm.shared import Forest, Members, attach, components, materialize, mixed, slices
@@ -269,6 +270,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are; nulls are texts without words; a null doc_id is kept; repeated rows are copies;
     an empty table gives no rows; other columns are not looked at.
     """
+    return _grouped(docs, id_col, text_col, words, similarity).select("doc_id", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(doc_id, node, root, component_id) for similar_groups(): a node is a shingle set, a root a component."""
     attach(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -323,22 +329,37 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = likely.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     roots = components(both.select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"))
     named = nodes.select("node", "least").join(roots.withColumnRenamed("item", "node"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return made.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    return made.select("doc_id", "node").join(named, "node").select("doc_id", "node", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near-duplicates: of each component of similar_groups() the row of the smallest id stays.
-    Of rows that repeat that id one stays. Rows with a null id stay only if their component has no other."""
-    groups = materialize(similar_groups(docs, id_col, text_col, words, similarity), "groups")
-    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    # an id stays if a row of it leads its component; where rows repeat an id, the exact way decides
-    lead = groups.select(key(F.col("doc_id")).alias("__id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("__lead"))
-    state = lead.groupBy("__id").agg(F.count("*").alias("__n"), F.max("__lead").alias("__lead"))
-    odd = materialize(state.where("__n > 1 or not __lead"), "odd")
-    some = Members(odd.select("__id")).may_hold(key(F.col(id_col).cast("long")))
-    sure = docs.where(~some)
-    dealt = docs.where(some).withColumn("__id", key(F.col(id_col).cast("long"))).join(odd, "__id", "left")
-    single = dealt.where("__n is null").drop("__id", "__n", "__lead")
-    several = dealt.where("__n > 1 and __lead").dropDuplicates(["__id"]).drop("__id", "__n", "__lead")
-    return sure.unionByName(single).unionByName(several)
+    """docs without near-duplicates: of each component of similar_groups() one row stays, that of the smallest id;
+    a row with a null id only if no row of its component has one. Of several such rows of a component the one
+    with the least shingle set hash stays, then with the least text, then with the least values as JSON."""
+    groups = materialize(_grouped(docs, id_col, text_col, words, similarity), "groups")
+    own = F.col(id_col).cast("long")
+    # an id of one row decides by itself; where rows repeat an id or have none, each is looked up by its shingle set
+    state = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n"), F.max(F.col("doc_id") == F.col("component_id")).alias("__lead"))
+    odd = materialize(state.where("__n > 1 or not __lead").withColumnRenamed("doc_id", "__id"), "odd")
+    may = Members(odd.select("__id")).may_hold
+    some = may(F.coalesce(own, F.lit(0).cast("long")))
+    sure = docs.where(own.isNotNull()).where(~some)
+    dealt = docs.where(own.isNotNull()).where(some).withColumn("__id", own).join(odd, "__id", "left")
+    single = dealt.where("__n is null").select(*docs.columns)
+    several = dealt.where("__n > 1 and __lead").select(*docs.columns).unionByName(docs.where(own.isNull()))
+
+    def noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(at)
+            node = pa.array([_set_hash(np.unique(shingle_hashes(t.as_py(), words))) for t in text], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], names=[*batch.schema.names, "__node"])
+
+    at = docs.columns.index(text_col)
+    named = several.mapInArrow(noded, StructType([*docs.schema.fields, StructField("__node", LongType())]))
+    rank = F.struct(F.col(text_col), F.to_json(F.struct(*docs.columns)))
+    least = named.groupBy(own.alias("__id"), "__node").agg(F.min_by(F.struct(*docs.columns), rank).alias("__row"))
+    leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).where(F.col("doc_id").isNull() | may(F.coalesce("doc_id", F.lit(0).cast("long"))))
+    chosen = leads.groupBy("root").agg(F.min("node").alias("__own"), F.first("component_id").alias("__least"))
+    kept = least.join(chosen, F.col("__node").eqNullSafe(F.col("__own")) & F.col("__id").eqNullSafe(F.col("__least")), "left_semi")
+    return sure.unionByName(single).unionByName(kept.select("__row.*"))

@@ -642,26 +642,55 @@ def test_substrings_odd(odd, none, spark):
     assert substrings.dedup(none).count() == 0
 
 
-def test_substrings_overfull_sketch(spark, monkeypatch):
-    """A sketch far too small, tiny flushes and heavy repetition lose nothing."""
-    for name, value in (("WIDTH_BITS", 4), ("RANGE_BITS", 3), ("HELD", 40), ("STEP", 200)):
-        monkeypatch.setattr(substrings, name, value)
+def thue_morse(n, x="a", y="b"):
+    out = x, y
+    while len(out[0]) < n:
+        out = out[0] + out[1], out[1] + out[0]
+    return out
+
+
+def test_substrings_unlike_words_of_equal_polynomials(spark):
+    """Polynomials modulo 2^64 can't tell these words apart, whatever their base."""
+    one, two = thue_morse(1024)
+    raw, starts = shared.utf8(__import__("pyarrow").array([one, two]))
+    assert len(set(substrings.word_hashes(raw, starts)[0].tolist())) == 1
+    rows = [(1, " ".join([*(f"w{k}" for k in range(19)), one])), (2, " ".join([*(f"w{k}" for k in range(19)), two]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.dedup(docs).collect()} == {1: 0, 2: 0}
+
+
+@pytest.mark.parametrize(
+    "sizes",
+    [
+        substrings.Sizes(counted=4000, block_bits=(3, 4), held=40, step=200),  # far too few counters, tiny runs
+        substrings.Sizes(block_bits=(3, 6), blocks=4, broadcast=0, held=40, step=200),  # never broadcast
+        substrings.Sizes(counted=4000, block_bits=(3, 4), broadcast=0),
+    ],
+)
+def test_substrings_whatever_the_sketch(spark, sizes):
+    """Overfull, tiny or partitioned sketches and heavy repetition lose and add nothing."""
     rng = random.Random(9)
     base = [rng.choices(WORDS[:6], k=90) for _ in range(4)]
-    rows = []
-    for d in range(30):
+    rows = [(100, None), (101, ""), (102, " ".join(f"u{k}" for k in range(300)))]
+    for d in range(60):
         own = list(rng.choice(base))
         for _ in range(rng.randrange(4)):
             own[rng.randrange(90)] = rng.choice(WORDS)
-        rows.append((d, " ".join(own * rng.randrange(1, 3))))
-    # local workers fork from this process only once, so the kernel runs here
-    raw, starts = shared.utf8(__import__("pyarrow").array([t for _, t in rows]))
-    w = substrings.Windows(raw, starts, 20, 10)
-    bits = [np.packbits(np.bincount(substrings.cells(w.occurrences(), r), minlength=16) > 1) for r in range(2)]
-    kept = set(np.flatnonzero(substrings._repeated(bits, w.anchor)).tolist())
-    words = [t.split() for _, t in rows]
-    keys = [tuple(words[d][a : a + 20]) for d, a in zip(w.doc.tolist(), w.at.tolist())]
-    count = collections.Counter(keys)
-    assert {k for k, x in enumerate(keys) if count[x] > 1} <= kept
-    one, two = w.hashed(np.arange(len(keys)))
-    assert len(set(zip(one.tolist(), two.tolist()))) == len(count)
+        rows.append((d, "  ".join(own * rng.randrange(1, 3))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(docs, sizes=sizes).collect()}
+    assert got == plain_dedup(rows)
+
+
+def test_sketch_keeps_its_load():
+    """Counters grow with the text, so a unique window passes as seldom at any size; a large sketch is not broadcast."""
+    for n in (10**6, 10**9, 3 * 10**10, 10**14):
+        at = substrings.Layout(n, substrings.Sizes())
+        assert at.blocks << at.bits >= n // 8 and at.blocks < 1 << 31
+        assert at.small == (n < 6 * 10**8)
+    layout = substrings.Layout(1 << 23, substrings.Sizes())  # 28 anchors in a thousand bytes is usual
+    rng = np.random.default_rng(3)
+    anchors = rng.integers(0, 2**63, 235_000).astype(np.uint64)
+    places = np.concatenate([layout.block(anchors) * (2 << layout.bits) + layout.cell(anchors, r) for r in range(2)])
+    bits = np.packbits(np.bincount(places, minlength=layout.blocks * (2 << layout.bits)) > 1)
+    assert layout.repeated(bits, layout.block(anchors) * (2 << layout.bits), anchors).mean() < 0.06

@@ -15,7 +15,9 @@ documents and different ones stay different:
 * iban (mod 97 valid): the account part, with new check digits;
 * ip (dotted quad of octets): the 32-bit address;
 * date (a real day from 1900 to 2099; year-month-day, day.month.year, month/day/year or, if
-  that is no day, day/month/year): the day's number, walked on until in range;
+  that is no day, day/month/year): year with month against day, walked on until a real day. A
+  date moves among those of its format: the same order and as many digits of day and month, so
+  a day/month date gets a day over 12 again and is never read as another's pseudonym;
 * email: letters and digits before the @, each within its class;
 * secret (24 or more hexadecimal digits, letters and digits both): within its alphabet.
 
@@ -24,7 +26,8 @@ into it, and a candidate that fails its check hides no value of a later kind.
 
 Separators, letter case and lengths stay (an address's octets may get other lengths). The
 permutations can be inverted with the key. The key is a parameter: take it from a secret
-store; it appears in query plans.
+store; it appears in query plans, so set spark.sql.redaction.string.regex to a pattern that
+it matches.
 """
 
 from __future__ import annotations
@@ -139,28 +142,63 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), lambda t, c: add(t, c).cast("int"))
 
 
+def permuted_pair(pair: Column, sizes: tuple[Column, Column], key: str, kind: Column) -> Column:
+    """A keyed permutation of struct(a long, b long) with 0 <= a < sizes[0] and 0 <= b < sizes[1]: each in turn is
+    moved by a function of the other."""
+
+    def moved(own: Column, other: Column, size: Column, n: Column) -> Column:
+        start = F.concat(F.lit(f"{key}\x1f"), kind, F.lit("\x1f"), n.cast("string"), F.lit("\x1f"), other.cast("string"))
+        return (own + F.conv(F.substr(F.sha2(start, 256), F.lit(1), F.lit(12)), 16, 10).cast("long")) % size
+
+    def turn(s: Column, n: Column) -> Column:
+        return let(moved(s["a"], s["b"], sizes[0], n), lambda a: F.struct(a.alias("a"), moved(s["b"], a, sizes[1], n).alias("b")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), pair, turn)
+
+
+#: The years of dates.
+FIRST_YEAR, YEARS = 1900, 200
+
+
+def _real(y: Column, mo: Column, d: Column) -> Column:
+    """Whether it is a day of those years."""
+    leap = F.when((y % 4 == 0) & (y != 1900), 29).otherwise(28)
+    return y.between(FIRST_YEAR, FIRST_YEAR + YEARS - 1) & mo.between(1, 12) & d.between(1, F.when(mo == 2, leap).when(mo.isin(4, 6, 9, 11), 30).otherwise(31))
+
+
 def _date(m: Column, key: str) -> Column:
-    low, high = F.lit("1900-01-01").cast("date"), F.lit("2099-12-31").cast("date")
-    span = 73049
-    part = lambda i: F.get(F.split(m, r"[./-]"), i).cast("int")
-    day = lambda y, mo, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd")
-    iso, dotted = m.contains("-"), m.contains(".")
-    first, second = day(part(2), part(0), part(1)), day(part(2), part(1), part(0))
-    real = F.when(iso, day(part(0), part(1), part(2))).when(dotted, second).otherwise(F.coalesce(first, second))
-
-    def shown(v: Column) -> Column:
-        new = F.date_add(low, v.cast("int"))
-        wide = F.length(F.get(F.split(m, r"[./-]"), 0))
-        pad = lambda x, i: F.when(F.length(F.get(F.split(m, r"[./-]"), i)) == 2, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
-        return (
-            F.when(iso, F.date_format(new, "yyyy-MM-dd"))
-            .when(dotted, F.concat_ws(".", pad(F.day(new), 0), pad(F.month(new), 1), F.year(new).cast("string")))
-            .when(first.isNotNull(), F.concat_ws("/", pad(F.month(new), 0), pad(F.day(new), 1), F.year(new).cast("string")))
-            .otherwise(F.concat_ws("/", pad(F.day(new), 0), pad(F.month(new), 1), F.year(new).cast("string")))
-        )
-
-    moved = lambda d: walked(F.datediff(d, low).cast("long"), lambda v: permuted_bits(v, 9, key, "date"), lambda v: v < span, 160)
-    return let(real, lambda d: F.when(d.between(low, high), let(moved(d), shown)))
+    def read(parts: Column) -> Column:
+        n = [F.get(parts, i).cast("long") for i in range(3)]
+        iso, dotted = m.contains("-"), m.contains(".")
+        american = ~iso & ~dotted & _real(n[2], n[0], n[1])
+        at = F.when(iso, F.array(F.lit(0), F.lit(1), F.lit(2))).when(american, F.array(F.lit(2), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2), F.lit(1), F.lit(0)))
+        form = F.when(iso, "-").when(dotted, ".").when(american, "/").otherwise("//")
+        return let(at, lambda at: placed(F.struct(form.alias("form"), *[F.get(parts, at[k]).alias(c) for k, c in enumerate("ymd")])))
+
+    def placed(own: Column) -> Column:
+        # days over 12 only, where less would be read as a month; as many digits as before
+        least = F.when(own["form"] == "//", 13).otherwise(1).cast("long")
+        months = F.when(F.length(own["m"]) == 1, 9).otherwise(12).cast("long")
+        days = F.when(F.length(own["d"]) == 1, 9).otherwise(31).cast("long") - least + 1
+        kind = F.concat(F.lit("date"), own["form"], months.cast("string"), F.lit(","), days.cast("string"))
+        return let(F.struct(own.alias("own"), least.alias("least"), months.alias("months"), days.alias("days"), kind.alias("kind")), moved)
+
+    def moved(c: Column) -> Column:
+        own, y, mo, d = c["own"], *(c["own"][x].cast("long") for x in "ymd")
+        start = F.struct(((y - FIRST_YEAR) * c["months"] + mo - 1).alias("a"), (d - c["least"]).alias("b"))
+        step = lambda v: permuted_pair(v, (c["months"] * YEARS, c["days"]), key, c["kind"])
+        parts = lambda v: (F.floor(v["a"] / c["months"]) + FIRST_YEAR, v["a"] % c["months"] + 1, v["b"] + c["least"])
+        new = walked(start, step, lambda v: _real(*parts(v)), 40)  # at most one in 20 is no day
+
+        def written(v: Column) -> Column:
+            y, mo, d = (F.lpad(n.cast("string"), F.length(own[x]), F.lit("0")) for n, x in zip(parts(v), "ymd", strict=True))
+            form = own["form"]
+            mark = F.substr(form, F.lit(1), F.lit(1))
+            return F.when(form == "-", F.concat(y, mark, mo, mark, d)).when(form == "/", F.concat(mo, mark, d, mark, y)).otherwise(F.concat(d, mark, mo, mark, y))
+
+        return F.when(_real(y, mo, d), let(new, written))
+
+    return let(F.split(m, r"[./-]"), read)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -261,9 +299,9 @@ def _read(new: Column, m: Column) -> Column:
     return let(new, lambda v: F.when(v.isNull(), _left(m)).otherwise(F.struct(F.lit(HELD).alias("text"), F.array(v).alias("values"))))
 
 
-def _swept(text: Column, pattern: str, read, counts: bool = True) -> Column:
+def _swept(text: Column, pattern: str, read) -> Column:
     """struct(text, values, n): the text with HELD for each value that `read` finds in candidates, what stands there,
-    and how many candidates there were. HELD itself is found again in its turn. Not counts: valid ones only."""
+    and how many new values that are. HELD itself is found again in its turn."""
     every = rf"\x00|{pattern}"
 
     def joined(found: Column) -> Column:
@@ -271,8 +309,7 @@ def _swept(text: Column, pattern: str, read, counts: bool = True) -> Column:
         join = lambda gap, i: F.concat(gap, F.coalesce(F.get(found, i)["text"], F.lit("")))
         values = F.flatten(F.transform(found, lambda x: x["values"]))
         own = F.size(F.filter(values, lambda v: v != HELD))
-        failed = F.size(F.filter(found, lambda x: F.size(x["values"]) == 0)) if counts else F.lit(0)
-        return F.struct(F.array_join(F.transform(gaps, join), "").alias("text"), values.alias("values"), (own + failed).cast("long").alias("n"))
+        return F.struct(F.array_join(F.transform(gaps, join), "").alias("text"), values.alias("values"), own.cast("long").alias("n"))
 
     held = lambda m: F.struct(F.lit(HELD).alias("text"), F.array(F.lit(HELD)).alias("values"))
     found = F.transform(F.regexp_extract_all(text, F.lit(every), F.lit(0)), lambda m: F.when(m == HELD, held(m)).otherwise(read(m)))
@@ -303,32 +340,33 @@ def _sweeps(key: str) -> list[tuple]:
         (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d){IBAN}", lambda m: _ibans(m, key)),
         (rf"{FREE}(?:(?<![\d.]){IP}|(?<![\d./-]){DATE}|(?<![\d-]){SSN})", dotted),
         (rf"(?<![\d+]){AMERICA}", phone),
-        (rf"(?<![\d+]){NUMBER}", lambda m: _numbers(m, key, CARD), False),
+        (rf"(?<![\d+]){NUMBER}", lambda m: _numbers(m, key, CARD)),
         (rf"(?<![\d+])(?:{WORLD})", phone),
         (rf"(?<!\d){NUMBER}", lambda m: _numbers(m, key, ANY)),
     ]
 
 
-def pseudonymized(docs: DataFrame, text: Column, key: str, name: str) -> DataFrame:
-    """docs and a column struct(text, n_found): the text with every valid value replaced, and the number of candidates; null for null."""
-    now, sweeps = text, _sweeps(key)
-    done = [f"__sweep{k}" for k in range(len(sweeps))]
-    made = docs
+def pseudonymized(docs: DataFrame, text: Column, key: str) -> DataFrame:
+    """(row, made): the columns of docs, which may have any names, as a struct; and struct(text, n_replaced), the text
+    with every valid value replaced, and how many that were; the text is null for null."""
+    sweeps = _sweeps(key)
+    made, now = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text")), F.col("text")
+    done = [f"sweep{k}" for k in range(len(sweeps))]
     for column, sweep in zip(done, sweeps, strict=True):  # one projection each: nested in one, they are too deep for the analyzer
         made = made.withColumn(column, _swept(now, *sweep))
         now = F.col(column)["text"]
     for column in reversed(done):
         now = _filled(now, F.col(column)["values"])
-    return made.withColumn(name, F.struct(now.alias("text"), sum((F.col(c)["n"] for c in done), F.lit(0).cast("long")).alias("n_found"))).drop(*done)
+    return made.select("row", F.struct(now.alias("text"), sum((F.col(c)["n"] for c in done), F.lit(0).cast("long")).alias("n_replaced")).alias("made"))
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_found), one row for each row of docs.
+    """(doc_id, text, n_replaced), one row for each row of docs.
 
-    A null text stays null with 0 found, a null id stays; a text without candidates stays as it is;
+    A null text stays null with 0 replaced, a null id stays; a text without candidates stays as it is;
     equal values have equal pseudonyms in all rows; repeated rows give repeated rows; an empty
-    table gives none; other columns are not looked at.
+    table gives none; other columns are not looked at; a very long text is one value of one row.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    made = pseudonymized(rows, F.col("text"), key, "made")
-    return made.select("doc_id", F.col("made.text").alias("text"), F.col("made.n_found").alias("n_found"))
+    made = pseudonymized(rows, F.col("text"), key)
+    return made.select(F.col("row.doc_id").alias("doc_id"), F.col("made.text").alias("text"), F.col("made.n_replaced").alias("n_replaced"))

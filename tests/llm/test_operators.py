@@ -632,7 +632,7 @@ def test_chat(spark, sf, duck):
     assert all(r.formatted_chars >= r.loss_chars for r in got.values())
 
 
-@pytest.mark.parametrize("budget, history, most", [(60, 20, 3), (1024, 256, 4), (1, 0, 0)])
+@pytest.mark.parametrize("budget, history, most", [(240, 80, 3), (4096, 1024, 4), (1, 0, 0)])
 def test_chat_windows(spark, budget, history, most):
     rng = random.Random(budget)
     parts = ["<|start|>", "<|end|>\n", "<\\|end|>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "[\\\\INST]", "\\", "\n", "word ", "<", "[", "é"]
@@ -643,11 +643,32 @@ def test_chat_windows(spark, budget, history, most):
     for w in frame.collect():
         bodies = re.findall(r"<\|start\|>.*?<\|end\|>\n", w.formatted, re.S)
         assert "".join(bodies) == w.formatted
-        cost = lambda xs: sum(-(-len(x) // 4) for x in xs)
+        cost = lambda xs: sum(len(x.encode()) for x in xs)
         assert cost(bodies) <= budget or len(bodies) - w.n_repeated == 1
         assert w.n_repeated == 0 if w.window == 0 else w.n_repeated <= most + 1
 
 
+def test_chat_long_conversations(spark):
+    """Linear in a conversation's turns, also in one of null ids; windows are those of a plain loop."""
+    turns = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") < 2, "system").when(F.col("id") % 4 < 2, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id").cast("string")).alias("text"), (F.col("id") % 50 + 5).alias("tokens"))
+    rows = chat.windows(turns, 200, 60, 3, cost_col="tokens").select("conv_id", "window", "formatted", "n_repeated").collect()
+    got = collections.defaultdict(dict)
+    for r in rows:
+        got[r.conv_id][r.window] = ([int(x) for x in re.findall("turn ([0-9]+)", r.formatted)], r.n_repeated)
+    for conv, first in ((7, 0), (None, 1)):
+        ids = list(range(first, 100_000, 2))
+        cost, at, want = [k % 50 + 5 for k in ids], 0, {}
+        while at < len(ids):
+            past = max([k for k in range(4) if at - k >= min(at, 1) and sum(cost[at - k : at]) <= 60]) if at else 0
+            room, to = 200 - (cost[0] + sum(cost[at - past : at]) if at else 0), at
+            while to < len(ids) and to // chat.STRETCH == at // chat.STRETCH and (to == at or sum(cost[at : to + 1]) <= room):
+                to += 1
+            repeated = ([0] if at else []) + list(range(at - past, at))
+            want[len(want)] = ([ids[k] for k in (*repeated, *range(at, to))], len(repeated))
+            at = to
+        assert got[conv] == want
+
+
 def test_chat_empty(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.windows(frame).count() == 0

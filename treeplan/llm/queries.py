@@ -45,7 +45,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.read_back(chat.windows(turns.unionByName(added), budget=1024, history_budget=256, max_history=4))
+    return chat.read_back(chat.windows(turns.unionByName(added), budget=4096, history_budget=1024, max_history=4))
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

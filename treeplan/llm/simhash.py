@@ -336,30 +336,30 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each component of similar_groups() one row stays, that of the smallest id;
     a row with a null id only if no row of its component has one. Of several such rows of a component the one
-    with the least shingle set hash stays, then with the least text, then with the least values as JSON."""
+    with the least shingle set hash stays, then with the least text, then with the least values as JSON.
+
+    A null text is one without words, like an empty one; repeated rows are copies, one of which stays; an empty
+    table gives no rows; other columns may have any names and stay; a very long text is one row of its task."""
     groups = materialize(_grouped(docs, id_col, text_col, words, similarity), "groups")
-    own = F.col(id_col).cast("long")
+    # the row itself is a struct, so its columns may have any names
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # an id of one row decides by itself; where rows repeat an id or have none, each is looked up by its shingle set
-    state = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n"), F.max(F.col("doc_id") == F.col("component_id")).alias("__lead"))
-    odd = materialize(state.where("__n > 1 or not __lead").withColumnRenamed("doc_id", "__id"), "odd")
-    may = Members(odd.select("__id")).may_hold
-    some = may(F.coalesce(own, F.lit(0).cast("long")))
-    sure = docs.where(own.isNotNull()).where(~some)
-    dealt = docs.where(own.isNotNull()).where(some).withColumn("__id", own).join(odd, "__id", "left")
-    single = dealt.where("__n is null").select(*docs.columns)
-    several = dealt.where("__n > 1 and __lead").select(*docs.columns).unionByName(docs.where(own.isNull()))
+    state = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("lead"))
+    odd = materialize(state.where("n > 1 or not lead"), "odd")
+    may = Members(odd.select("id")).may_hold
+    some = may(F.coalesce("id", F.lit(0).cast("long")))
+    sure = rows.where("id is not null").where(~some)
+    dealt = rows.where("id is not null").where(some).join(odd, "id", "left")
+    several = dealt.where("n > 1 and lead").select("id", "text", "row").unionByName(rows.where("id is null"))
 
     def noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(at)
-            node = pa.array([_set_hash(np.unique(shingle_hashes(t.as_py(), words))) for t in text], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, node], names=[*batch.schema.names, "__node"])
-
-    at = docs.columns.index(text_col)
-    named = several.mapInArrow(noded, StructType([*docs.schema.fields, StructField("__node", LongType())]))
-    rank = F.struct(F.col(text_col), F.to_json(F.struct(*docs.columns)))
-    least = named.groupBy(own.alias("__id"), "__node").agg(F.min_by(F.struct(*docs.columns), rank).alias("__row"))
+            node = pa.array([_set_hash(np.unique(shingle_hashes(t.as_py(), words))) for t in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], names=["id", "text", "row", "node"])
+
+    named = several.mapInArrow(noded, StructType([*several.schema.fields, StructField("node", LongType())]))
+    least = named.groupBy("id", "node").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
     leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).where(F.col("doc_id").isNull() | may(F.coalesce("doc_id", F.lit(0).cast("long"))))
-    chosen = leads.groupBy("root").agg(F.min("node").alias("__own"), F.first("component_id").alias("__least"))
-    kept = least.join(chosen, F.col("__node").eqNullSafe(F.col("__own")) & F.col("__id").eqNullSafe(F.col("__least")), "left_semi")
-    return sure.unionByName(single).unionByName(kept.select("__row.*"))
+    chosen = leads.groupBy("root").agg(F.min("node").alias("own"), F.first("component_id").alias("first"))
+    kept = least.join(chosen, F.col("node").eqNullSafe(F.col("own")) & F.col("id").eqNullSafe(F.col("first")), "left_semi")
+    return sure.select("row").unionByName(dealt.where("n is null").select("row")).unionByName(kept.select("row")).select("row.*")

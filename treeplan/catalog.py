@@ -603,15 +603,5 @@ def sparse_copy(spark, d):
 @query()
 def compression_ratio(spark, d):
     """Wire size of frames of 200 files and of single files, by source."""
-    import zlib
-
-    @F.arrow_udf("long")
-    def packed(x):
-        import pyarrow as pa
-
-        return pa.array([len(zlib.compress(v.as_py() or b"", 3)) for v in x], pa.int64())
-
-    rows = batching.frames(_src(spark, d), "source", "rel_path", 200).select("source", "frame", "rel_path", F.encode("text", "UTF-8").alias("b"), packed(F.encode("text", "UTF-8")).alias("one"))
-    per = rows.groupBy("source", "frame").agg(F.sum("one").alias("single_bytes"), F.sort_array(F.collect_list(F.struct("rel_path", "b"))).alias("v"))
-    whole = F.unhex(F.array_join(F.transform("v", lambda x: F.hex(x["b"])), ""))
-    return per.select("source", "frame", "single_bytes", packed(whole).alias("frame_bytes"))
+    rows = batching.frames(_src(spark, d), "source", "rel_path", 200).select("source", "frame", "rel_path", F.encode("text", "UTF-8").alias("content"))
+    return batching.wire_sizes(rows, "source")

@@ -63,6 +63,18 @@ def human_size(n: Column) -> Column:
     return F.when(n >= 1 << 30, big(30, "GiB")).when(n >= 1 << 20, big(20, "MiB")).when(n >= 1 << 10, big(10, "KiB")).otherwise(F.format_string("%d B", n))
 
 
+def human_speed(n: Column, elapsed: Column) -> Column:
+    """Bytes per second as a readable number; of no time, 0 B/s."""
+    return F.concat(human_size(F.floor(rate(n, elapsed))), F.lit("/s"))
+
+
+def normalized(path: Column) -> Column:
+    """A relative path without `.` and `..`; null if it is absolute or leaves the root."""
+    up = lambda s, part: F.when(part == "..", F.when(F.size(s) == 0, None).otherwise(F.slice(s, F.lit(1), F.size(s) - 1)))
+    step = lambda s, part: F.when(s.isNull() | part.isin("", "."), s).otherwise(F.when(part == "..", up(s, part)).otherwise(F.concat(s, F.array(part))))
+    return F.when(~path.startswith("/"), F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step, lambda s: F.array_join(s, "/")))
+
+
 def rate(amount: Column, elapsed: Column) -> Column:
     """Per second; 0 if no time passed."""
     return F.when(elapsed > 0, amount / elapsed).otherwise(F.lit(0.0))

@@ -70,10 +70,21 @@ def rules(includes: list[str] = (), excludes: list[str] = (), include_lines: lis
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The entries of a list file: trimmed, without blank lines and comments. A missing file raises."""
-    line = F.trim("value")
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
     return spark.read.text(path).select(line.alias("line")).where((line != "") & ~line.startswith("#"))
 
 
+def rules_from_files(spark: SparkSession, includes: list[str] = (), excludes: list[str] = (), include_from: list[str] = (), exclude_from: list[str] = ()) -> list[Rule]:
+    """rules() with the lines of these files, which become part of the plan and so must be few."""
+    lines = lambda files: [r.line for f in files for r in read_lines(spark, f).collect()]
+    return rules(includes, excludes, lines(include_from), lines(exclude_from))
+
+
+def listed(spark: SparkSession, files: DataFrame, path: str) -> DataFrame:
+    """The files that a list file names."""
+    return files.join(read_lines(spark, path).select(F.col("line").alias("rel_path")).distinct(), "rel_path", "left_semi")
+
+
 def matches(r: Rule, path: Column, is_dir: Column) -> Column:
     hit = (path if r.anchored else paths.name(path)).rlike(r.regex)
     return hit & is_dir if r.dir_only else hit

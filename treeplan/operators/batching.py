@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from treeplan.operators.ranking import running
 
@@ -21,17 +23,20 @@ def frames(rows: DataFrame, stream: str, order: str, size: int) -> DataFrame:
 
 def greedy(rows: DataFrame, stream: str, order: str, files: int = FILES, limit: int = BYTES, alone: int = ALONE) -> DataFrame:
     """Adds batch: rows of each stream in order; a batch closes once it has `files` rows or `limit` bytes, and a
-    row of over `alone` bytes closes the one before and is its own. Columns: stream, order and size.
+    row of over `alone` bytes closes the one before and is its own. Columns: stream, order and size. A null stream is
+    one, a null size is 0.
 
     Resets make this a fold: one pass over the sorted stream, its state carried from batch to batch."""
 
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = batch = n = total = None
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = nothing = object()  # no key equals it, null is one
+        batch = n = total = 0
         for part in parts:
             out = []
-            for key, size in zip(part[stream], part["size"], strict=True):
-                if key != now:
+            for key, size in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if now is nothing or key != now:
                     now, batch, n, total = key, 0, 0, 0
+                size = size or 0
                 if size > alone:
                     batch += n > 0
                     out.append(batch)
@@ -41,11 +46,44 @@ def greedy(rows: DataFrame, stream: str, order: str, files: int = FILES, limit:
                 n, total = n + 1, total + size
                 if n >= files or total >= limit:
                     batch, n, total = batch + 1, 0, 0
-            yield part.assign(batch=out)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], names=[*part.schema.names, "batch"])
 
-    kind = {c: t for c, t in rows.select(stream, order, "size").dtypes}
-    dealt = rows.select(stream, order, "size").repartition(stream).sortWithinPartitions(stream, order)
-    return dealt.mapInPandas(fold, f"{stream} {kind[stream]}, {order} {kind[order]}, size {kind['size']}, batch long")
+    kept = rows.select(stream, order, "size")
+    dealt = kept.repartition(stream).sortWithinPartitions(stream, order)
+    return dealt.mapInArrow(fold, StructType([*kept.schema.fields, StructField("batch", LongType())]))
+
+
+def payloads(batches: DataFrame, contents: DataFrame, stream: str, order: str) -> DataFrame:
+    """(stream, batch, rel_paths, lengths, payload): what one message of a batch carries, its files' contents behind each
+    other. batches: stream, order, rel_path, batch; contents: rel_path, content. A batch is bounded by greedy()."""
+    own = batches.join(contents.select("rel_path", "content"), "rel_path")
+    per = own.groupBy(stream, "batch").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "rel_path", "content"))).alias("v"))
+    parts = per.select(stream, "batch", F.col("v.rel_path").alias("rel_paths"), F.transform("v", lambda x: F.coalesce(F.octet_length(x["content"]), F.lit(0)).cast("long")).alias("lengths"), F.col("v.content").alias("parts"))
+
+    def joined(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in some:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns[:4], pa.array([b"".join(x or b"" for x in row.column(4)[0].as_py())], pa.binary())], names=[*row.schema.names[:4], "payload"])
+
+    return parts.mapInArrow(joined, StructType([*parts.schema.fields[:4], StructField("payload", BinaryType())]))
+
+
+def wire_sizes(frames: DataFrame, stream: str, level: int = 3) -> DataFrame:
+    """(stream, frame, single_bytes, frame_bytes): what zlib makes of the files of a frame one by one, and together.
+    frames: stream, frame, rel_path, content."""
+
+    @F.arrow_udf("long")
+    def packed(x: pa.Array) -> pa.Array:
+        return pa.array([len(zlib.compress(v.as_py() or b"", level)) for v in x], pa.int64())
+
+    per = frames.withColumn("one", packed("content")).groupBy(stream, "frame").agg(F.sum("one").alias("single_bytes"), F.sort_array(F.collect_list(F.struct("rel_path", "content"))).alias("v"))
+
+    @F.arrow_udf("long")
+    def together(x: pa.Array) -> pa.Array:
+        return pa.array([len(zlib.compress(b"".join(p or b"" for p in v.as_py()), level)) for v in x], pa.int64())
+
+    return per.select(stream, "frame", "single_bytes", together("v.content").alias("frame_bytes"))
 
 
 def token_bucket(rows: DataFrame, stream: str, order: str, rate: int) -> DataFrame:

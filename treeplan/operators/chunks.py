@@ -1,8 +1,8 @@
 """Fixed and content-defined chunks of file contents.
 
 Fixed chunks are plain column expressions. Content-defined ones need a rolling hash with
-carry, byte by byte; that is one kernel over Arrow batches, and their digests are again
-column expressions.
+carry, byte by byte; that is one kernel over Arrow batches, which takes their digests too, so
+no content is sent back.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import sha256
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,11 +160,16 @@ def boundaries_of(contents: list[bytes], p: CdcParams) -> Iterator[list[int]]:
         at = to
 
 
+def content_of(files: DataFrame):
+    """The bytes of files: their column `content`, or `text` in UTF-8."""
+    return F.col("content") if "content" in files.columns else F.encode("text", "UTF-8")
+
+
 def fixed_chunks(files: DataFrame, size: int) -> DataFrame:
-    """(rel_path, idx, off, len, h) of files with `text`; empty files have none."""
+    """(rel_path, idx, off, len, h) of files with `content` or `text`; empty files have none."""
     if size < 512:
         raise ValueError("chunks have 512 bytes or more")
-    content, n = F.encode("text", "UTF-8"), F.col("size")
+    content, n = content_of(files), F.col("size")
     last = F.expr(f"(size + {size - 1}) div {size} - 1")
     rows = files.where("size > 0").select("rel_path", content.alias("content"), n.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("idx"))
     off = F.col("idx") * size
@@ -176,15 +183,28 @@ def cdc_chunks(files: DataFrame, target: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path, idx, off, size, part = [], [], [], [], []
-            contents = [content or b"" for content in batch.column(1).to_pylist()]
-            for name, data, starts in zip(batch.column(0).to_pylist(), contents, boundaries_of(contents, p), strict=True):
-                for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(data)], strict=True)):
-                    path.append(name), idx.append(k), off.append(a), size.append(b - a), part.append(data[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(np.array(idx, np.int64)), pa.array(np.array(off, np.int64)), pa.array(np.array(size, np.int64)), pa.array(part, pa.binary())], names=["rel_path", "idx", "off", "len", "part"])
-
-    rows = files.where("size > 0").select("rel_path", F.encode("text", "UTF-8").alias("content"))
-    return rows.mapInArrow(cut, "rel_path string, idx long, off long, len long, part binary").select("rel_path", "idx", "off", "len", F.sha2("part", 256).alias("h"))
+            for part in _pieces(batch, PIECE):
+                names, contents = part.column(0).to_pylist(), [c.as_buffer() if c.is_valid else pa.py_buffer(b"") for c in part.column(1)]
+                path, idx, off, size, digest = [], [], [], [], []
+                for name, data, starts in zip(names, map(memoryview, contents), boundaries_of(contents, p), strict=True):
+                    for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(data)], strict=True)):
+                        path.append(name), idx.append(k), off.append(a), size.append(b - a), digest.append(sha256(data[a:b]).hexdigest())
+                yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), *(pa.array(np.array(x, np.int64)) for x in (idx, off, size)), pa.array(digest, pa.string())], names=["rel_path", "idx", "off", "len", "h"])
+
+    rows = files.where("size > 0").select("rel_path", content_of(files).alias("content"))
+    return rows.mapInArrow(cut, "rel_path string, idx long, off long, len long, h string")
+
+
+def _pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose contents hold at most `limit` bytes together, or one row; nothing is copied."""
+    at = total = 0
+    for k, size in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+        if k > at and total + size > limit:
+            yield batch.slice(at, k - at)
+            at, total = k, 0
+        total += size
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 def strategy(size, chunk_size: int):

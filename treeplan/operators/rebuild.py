@@ -2,31 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeplan.operators.chunks import content_of
+
 
 def rebuilt(ops: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
     """(rel_path, content binary): operations in order, copies from the old content, writes from the new.
 
-    Operations are gathered by file first, so each content is joined once, not once for each operation."""
+    Operations are gathered by file first, so each content is joined once, not once for each operation. Null where an
+    operation reaches beyond what it reads from."""
     per = ops.groupBy("rel_path").agg(F.sort_array(F.collect_list(F.struct("op_idx", "kind", "src_offset", "len"))).alias("ops"))
-    joined = per.join(src.select("rel_path", F.encode("text", "UTF-8").alias("new")), "rel_path").join(dst.select("rel_path", F.encode("text", "UTF-8").alias("old")), "rel_path", "left")
-    # binary slices keep their bytes as hexadecimal digits until they are joined
-    piece = "transform(ops, o -> hex(substring(if(o.kind = 'copy', old, new), cast(o.src_offset + 1 as int), cast(o.len as int))))"
-    return joined.select("rel_path", F.unhex(F.array_join(F.expr(piece), "")).alias("content"))
+    joined = per.join(src.select("rel_path", content_of(src).alias("new")), "rel_path").join(dst.select("rel_path", content_of(dst).alias("old")), "rel_path", "left")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                new, old = (memoryview(x.as_buffer()) if x.is_valid else b"" for x in (batch.column(2)[k], batch.column(3)[k]))
+                parts, good = [], True
+                for op in batch.column(1)[k].as_py():
+                    data, at, n = old if op["kind"] == "copy" else new, op["src_offset"], op["len"]
+                    good &= 0 <= at <= at + n <= len(data)
+                    parts.append(data[at : at + n])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([b"".join(parts) if good else None], pa.binary())], names=["rel_path", "content"])
+
+    return joined.select("rel_path", "ops", "new", "old").mapInArrow(made, "rel_path string, content binary")
 
 
 def verified(content: DataFrame, src: DataFrame) -> DataFrame:
     """(rel_path, size, digest, ok): the rebuilt content against the source's digest."""
-    want = src.select("rel_path", F.sha2(F.encode("text", "UTF-8"), 256).alias("want"))
+    want = src.select("rel_path", F.sha2(content_of(src), 256).alias("want"))
     got = F.sha2("content", 256)
-    return content.join(want, "rel_path").select("rel_path", F.octet_length("content").cast("long").alias("size"), got.alias("digest"), (got == F.col("want")).alias("ok"))
+    return content.join(want, "rel_path").select("rel_path", F.octet_length("content").cast("long").alias("size"), got.alias("digest"), F.coalesce(got == F.col("want"), F.lit(False)).alias("ok"))
 
 
 def appended(src: DataFrame, dst: DataFrame) -> DataFrame:
     """(rel_path, append_bytes, tail_digest): what lies beyond the destination's length, where there is anything."""
-    both = src.select("rel_path", "size", F.encode("text", "UTF-8").alias("content")).join(dst.select("rel_path", F.col("size").alias("dst_size")), "rel_path")
+    both = src.select("rel_path", "size", content_of(src).alias("content")).join(dst.select("rel_path", F.col("size").alias("dst_size")), "rel_path")
     return both.where("size > dst_size").select("rel_path", (F.col("size") - F.col("dst_size")).alias("append_bytes"), F.sha2(F.expr("substring(content, cast(dst_size + 1 as int))"), 256).alias("tail_digest"))
 
 

@@ -25,12 +25,14 @@ def scan_totals(files: DataFrame) -> DataFrame:
 
 
 def itemized(pairs: DataFrame) -> DataFrame:
-    """pairs: s (source) and d (destination) metadata as structs. (rel_path, line): kind and flags of what changes."""
+    """pairs: s (source) and d (destination) metadata as structs. (rel_path, line): kind and flags of what changes.
+    Where both have is_dir, directories have lines too: made ones begin with c, others change in metadata only."""
     new = F.col("d").isNull()
     flag = lambda c, letter: F.when(new, "+").when(c, letter).otherwise(".")
     s, d = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"d.{c}"))
     differ = lambda c: s(c) != d(c)
-    line = F.concat(F.when(new, ">").when(differ("size") | differ("mtime_ns"), ">").otherwise("."), F.when(s("is_symlink"), "L").otherwise("f"), flag(F.lit(False), "c"), flag(differ("size"), "s"), flag(differ("mtime_ns"), "t"), flag(differ("mode"), "p"), flag(differ("uid"), "o"), flag(differ("gid"), "g"), F.lit(" "), s("rel_path"))
+    is_dir = F.coalesce(s("is_dir"), F.lit(False)) if "is_dir" in pairs.schema["s"].dataType.names else F.lit(False)
+    line = F.concat(F.when(is_dir, F.when(new, "c").otherwise(".")).when(new, ">").when(differ("size") | differ("mtime_ns"), ">").otherwise("."), F.when(is_dir, "d").when(s("is_symlink"), "L").otherwise("f"), flag(F.lit(False), "c"), flag(differ("size"), "s"), flag(differ("mtime_ns"), "t"), flag(differ("mode"), "p"), flag(differ("uid"), "o"), flag(differ("gid"), "g"), F.lit(" "), s("rel_path"))
     gone = F.concat(F.lit("*deleting "), d("rel_path"))
     return pairs.select(F.coalesce(s("rel_path"), d("rel_path")).alias("rel_path"), F.when(F.col("s").isNull(), gone).otherwise(line).alias("line"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import grp
+import pwd
 import re
 from dataclasses import dataclass, replace
 
@@ -49,9 +51,18 @@ def parse_chmod(text: str):
 
 
 def parse_chown(text: str) -> tuple[int | None, int | None]:
-    """user:group, numeric; either part may be missing."""
+    """user:group, numbers or names that this machine knows; either part may be missing."""
     user, _, group = text.partition(":")
-    return (int(user) if user else None), (int(group) if group else None)
+
+    def number(part: str, known) -> int | None:
+        if not part or part.isdigit():
+            return int(part) if part else None
+        try:
+            return known(part)
+        except KeyError:
+            raise ValueError(f"no such name: {part!r}") from None
+
+    return number(user, lambda x: pwd.getpwnam(x).pw_uid), number(group, lambda x: grp.getgrnam(x).gr_gid)
 
 
 @dataclass(frozen=True)
@@ -66,6 +77,8 @@ class SyncOptions:
     #: None; "rule" ignores size and time, so all existing files are copied; "content" compares digests.
     checksum: str | None = None
     size_only: bool = False
+    #: Directory times alone may tell that nothing has changed (manifest.trusted).
+    trust_mtime: bool = False
     modify_window: int = 0
     delete: bool = False
     delete_excluded: bool = False

@@ -2,33 +2,72 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from treeplan.functions import paths
+from treeplan.options import SyncOptions
 from treeplan.sources.snapshots import META, dir_times
 
-VERSION = 3
-
-
-def save(spark: SparkSession, path: str, snapshot_id: str, source_path: str, files: DataFrame, created_ns: int = 0) -> None:
-    """Writes files, directory times (the root too) and then the header, whose row makes it valid."""
-    files.select(*META).write.mode("overwrite").parquet(f"{path}/{snapshot_id}/files")
-    dir_times(files).write.mode("overwrite").parquet(f"{path}/{snapshot_id}/dirs")
-    head = spark.read.parquet(f"{path}/{snapshot_id}/files").agg(F.count("*").alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"))
-    head.select(F.lit(snapshot_id).alias("snapshot_id"), F.lit(VERSION).alias("version"), F.lit(created_ns).cast("long").alias("created_ns"), F.lit(source_path).alias("source_path"), "file_count", "total_bytes").coalesce(1).write.mode("overwrite").parquet(f"{path}/{snapshot_id}/header")
+VERSION = 4
+
+
+def save(spark: SparkSession, path: str, snapshot_id: str, source_path: str, files: DataFrame, created_ns: int = 0, dirs: DataFrame | None = None) -> None:
+    """Writes files and directory times (rel_path, mtime_ns; by default those of files) under a new name, then the
+    header, whose row names them and makes them valid, then removes what the header before named. So a reader finds
+    the old manifest, none or the new one, never a mixture."""
+    place, name = f"{path}/{snapshot_id}", uuid.uuid4().hex
+    before = _header(spark, place)
+    files.select(*META).write.parquet(f"{place}/files-{name}")
+    (dir_times(files) if dirs is None else dirs.select("rel_path", "mtime_ns")).write.parquet(f"{place}/dirs-{name}")
+    head = spark.read.parquet(f"{place}/files-{name}").agg(F.count("*").alias("file_count"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"))
+    known = {"snapshot_id": F.lit(snapshot_id), "version": F.lit(VERSION), "created_ns": F.lit(created_ns).cast("long"), "source_path": F.lit(source_path), "data": F.lit(name)}
+    head.withColumns(known).coalesce(1).write.mode("overwrite").parquet(f"{place}/header")
+    if before is not None:
+        jvm = spark._jvm
+        for part in ("files", "dirs"):
+            old = jvm.org.apache.hadoop.fs.Path(f"{place}/{part}-{before.data}")
+            old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+
+
+def _header(spark: SparkSession, place: str, source_path: str | None = None):
+    """The header's row, or None if there is no valid one of this version and source."""
+    try:
+        head = spark.read.parquet(f"{place}/header").first()
+    except AnalysisException:
+        return None
+    return None if head is None or head.version != VERSION or source_path not in (None, head.source_path) else head
 
 
 def load(spark: SparkSession, path: str, snapshot_id: str, source_path: str | None = None) -> tuple[DataFrame, DataFrame] | None:
     """(files, dirs), or None if there is no valid manifest of this version and source."""
-    try:
-        head = spark.read.parquet(f"{path}/{snapshot_id}/header").first()
-    except AnalysisException:
-        return None
-    if head is None or head.version != VERSION or source_path not in (None, head.source_path):
-        return None
-    return spark.read.parquet(f"{path}/{snapshot_id}/files"), spark.read.parquet(f"{path}/{snapshot_id}/dirs")
+    place = f"{path}/{snapshot_id}"
+    head = _header(spark, place, source_path)
+    return None if head is None else (spark.read.parquet(f"{place}/files-{head.data}"), spark.read.parquet(f"{place}/dirs-{head.data}"))
+
+
+def load_toc(spark: SparkSession, path: str, snapshot_id: str, source_path: str | None = None):
+    """(header, dirs), the small part of a manifest: counts, bytes, and directory times ordered by path; or None."""
+    place = f"{path}/{snapshot_id}"
+    head = _header(spark, place, source_path)
+    return None if head is None else (head, spark.read.parquet(f"{place}/dirs-{head.data}").orderBy("rel_path"))
+
+
+def trusted(spark: SparkSession, path: str, snapshot_id: str, source_path: str, now_dirs: DataFrame, o: SyncOptions) -> bool:
+    """Whether nothing is to be done, as no directory's time has changed: no file is looked at. Only with
+    o.trust_mtime, and not where files are deleted or compared by content."""
+    if not o.trust_mtime or o.delete or o.checksum:
+        return False
+    toc = load_toc(spark, path, snapshot_id, source_path)
+    return toc is not None and unchanged(now_dirs, toc[1]).first().unchanged
+
+
+def changed(planned: DataFrame) -> bool:
+    """Whether a plan does anything, which is when its manifest is written again."""
+    return not planned.where("action <> 'skip'").isEmpty()
 
 
 def as_destination(files: DataFrame, root: str) -> DataFrame:
@@ -40,6 +79,17 @@ def by_directory(files: DataFrame) -> DataFrame:
     return files.groupBy(paths.parent(F.col("rel_path")).alias("parent")).agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"))
 
 
+def names_by_directory(files: DataFrame) -> DataFrame:
+    """(parent, entries): the names, sizes and times of the files of each directory, by name."""
+    entry = F.struct(paths.name(F.col("rel_path")).alias("name"), "size", "mtime_ns")
+    return files.groupBy(paths.parent(F.col("rel_path")).alias("parent")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+
+
+def parents(files: DataFrame) -> DataFrame:
+    """The directories that files are in."""
+    return files.select(paths.parent(F.col("rel_path")).alias("parent")).distinct()
+
+
 def subdirectories(dirs: DataFrame) -> DataFrame:
     return dirs.where("rel_path <> ''").groupBy(paths.parent(F.col("rel_path")).alias("parent")).agg(F.count("*").alias("dirs"))
 

@@ -99,6 +99,19 @@ def orphan_dirs(src_dirs: DataFrame, dst_dirs: DataFrame) -> DataFrame:
     return dst_dirs.join(src_dirs, "rel_path", "left_anti").select("rel_path", paths.depth(F.col("rel_path")).alias("depth"))
 
 
+def orphan_dirs_pushed(src: DataFrame, dst_dirs: DataFrame) -> DataFrame:
+    """The server's rule: it knows files only, so just the directories that files are directly in are kept."""
+    kept_dirs = src.select(paths.parent(F.col("rel_path")).alias("rel_path")).distinct()
+    return orphan_dirs(kept_dirs, dst_dirs)
+
+
+def looked_up(planned: DataFrame, local: DataFrame) -> DataFrame:
+    """The local entries of what a plan transfers, with its action and an error where there is no such entry."""
+    asked = planned.where("action in ('copy_new', 'copy_full', 'delta')").select("rel_path", "action")
+    own = local.select("rel_path", F.struct(*[c for c in local.columns if c != "rel_path"]).alias("entry"))
+    return asked.join(own, "rel_path", "left").select("rel_path", "action", "entry.*", F.when(F.col("entry").isNull(), "not in the local tree").alias("error"))
+
+
 def empty_dirs(dirs: DataFrame, files: DataFrame) -> DataFrame:
     """Directories without any file below them."""
     full = files.select(F.explode(paths.directories(F.col("rel_path"))).alias("rel_path")).distinct()

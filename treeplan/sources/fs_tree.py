@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import filecmp
 import os
 import shutil
 import stat
@@ -21,11 +22,12 @@ class _Subtree(InputPartition):
 
 
 class FsTree(DataSource):
-    """spark.read.format("fs_tree").load(root); options recursive, links (preserve or follow), one_file_system.
+    """spark.read.format("fs_tree").load(root); options recursive, links (preserve or follow), one_file_system, subtrees.
 
-    The root must be visible to all executors. A partition is a directory of the first level;
-    its rows are files and directories below, the root left out. What cannot be read becomes a
-    row with `error`, links that lead nowhere are left out when they are followed."""
+    The root must be visible to all executors. A partition is a subtree: directories are opened
+    level by level until there are `subtrees` of them (32) or no more. Rows are files and
+    directories, the root left out. What cannot be read becomes a row with `error`, links that
+    lead nowhere are left out when they are followed."""
 
     @classmethod
     def name(cls) -> str:
@@ -44,12 +46,25 @@ class _Reader(DataSourceReader):
         self.recursive = options.get("recursive", "true") == "true"
         self.follow = options.get("links", "preserve") == "follow"
         self.one = options.get("one_file_system", "false") == "true"
+        self.subtrees = int(options.get("subtrees", "32"))
 
     def partitions(self) -> list[InputPartition]:
-        parts = [_Subtree("", False)]
-        if self.recursive:
-            parts += [_Subtree(e.name, True) for e in sorted(os.scandir(self.root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
-        return parts
+        if not self.recursive:
+            return [_Subtree("", False)]
+        parts, level = [], [""]
+        while level and len(parts) + len(level) < self.subtrees:
+            parts += [_Subtree(rel, False) for rel in level]
+            level = [f"{rel}/{n}" if rel else n for rel in level for n in self._directories(rel)]
+        return parts + [_Subtree(rel, True) for rel in level]
+
+    def _directories(self, rel: str) -> list[str]:
+        """Names of the directories in one that would be walked into; an unreadable one has none here and is told of by read()."""
+        try:
+            with os.scandir(os.path.join(self.root, rel)) as entries:
+                found = [e.name for e in entries if e.is_dir(follow_symlinks=False) and not (self.one and e.stat().st_dev != os.stat(self.root).st_dev)]
+        except OSError:
+            return []
+        return sorted(found)
 
     def read(self, partition: _Subtree) -> Iterator[tuple]:
         dev = os.stat(self.root).st_dev
@@ -85,6 +100,121 @@ def scan(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return spark.read.format("fs_tree").options(**options).load(root)
 
 
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """(rel_path, content binary, error): the bytes of these files (rel_path), read where the rows are. Symbolic links and
+    what cannot be read have null. A file is one value, so up to 2 GB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                content = error = None
+                try:
+                    place = os.path.join(root, path)
+                    if not os.path.islink(place):
+                        with open(place, "rb") as f:
+                            content = f.read()
+                except OSError as e:
+                    error = str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["rel_path", "content", "error"])
+
+    return files.select("rel_path").mapInArrow(run, "rel_path string, content binary, error string")
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """files and their content, for the chunkers: read beside the metadata only where a plan asks for it."""
+    return files.join(contents(files, root).where("content is not null").select("rel_path", "content"), "rel_path")
+
+
+def extents(files: DataFrame, root: str) -> DataFrame:
+    """(rel_path, ord, logical, length): where these files hold data, the holes between left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    f = os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW)
+                except OSError:
+                    continue
+                try:
+                    at = n = 0
+                    while True:
+                        at = os.lseek(f, at, os.SEEK_DATA)
+                        end = os.lseek(f, at, os.SEEK_HOLE)
+                        rows.append((path, n, at, end - at))
+                        at, n = end, n + 1
+                except OSError:  # no data any more
+                    pass
+                finally:
+                    os.close(f)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["rel_path", "ord", "logical", "length"])
+
+    return files.select("rel_path").mapInArrow(run, "rel_path string, ord int, logical long, length long")
+
+
+def scan_again(root: str, files: DataFrame, dirs: DataFrame) -> DataFrame:
+    """A scan that reuses names: (rel_path, is_dir, size, mtime_ns, mode, is_symlink, symlink_target, uid, gid, dev, ino, error, origin).
+
+    files and dirs (rel_path, mtime_ns; '' is the root) are those of the scan before. A directory whose time is the same is
+    not listed: its names are known (`cached`). Others are listed, and directories new in them walked (`listed`). Every
+    name is looked at live; what is gone is left out."""
+    key = lambda frame: frame.select(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1).alias("dir"), F.struct(F.substring_index("rel_path", "/", -1).alias("name")).alias("e"))
+    names = key(files).groupBy("dir").agg(F.sort_array(F.collect_list("e.name")).alias("names"))
+    below = key(dirs.where("rel_path <> ''")).groupBy("dir").agg(F.sort_array(F.collect_list("e.name")).alias("dirs"))
+    known = dirs.select(F.col("rel_path").alias("dir"), "mtime_ns").join(names, "dir", "left").join(below, "dir", "left")
+
+    def row(path: str, info: os.stat_result, origin: str) -> tuple:
+        link, is_dir = stat.S_ISLNK(info.st_mode), stat.S_ISDIR(info.st_mode)
+        target = os.readlink(os.path.join(root, path)) if link else None
+        return (path, is_dir, 0 if link or is_dir else info.st_size, info.st_mtime_ns, info.st_mode & 0o7777, link, target, info.st_uid, info.st_gid, info.st_dev, info.st_ino, None, origin)
+
+    def walk(rel: str, old: set[str] | None) -> Iterator[tuple]:
+        """old: directories that have a row of their own in `dirs`; those are not walked into."""
+        try:
+            with os.scandir(os.path.join(root, rel)) as entries:
+                found = sorted(entries, key=lambda e: e.name)
+        except OSError as e:
+            yield (rel, True, 0, 0, 0, False, None, 0, 0, 0, 0, str(e), "listed")
+            return
+        for entry in found:
+            path = f"{rel}/{entry.name}" if rel else entry.name
+            try:
+                yield row(path, entry.stat(follow_symlinks=False), "listed")
+            except OSError:
+                continue
+            if entry.is_dir(follow_symlinks=False) and entry.name not in (old or ()):
+                yield from walk(path, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.string())
+        for batch in batches:
+            for one in batch.to_pylist():
+                rel, rows = one["dir"], []
+                try:
+                    same = os.stat(os.path.join(root, rel)).st_mtime_ns == one["mtime_ns"]
+                except OSError:
+                    continue  # gone; its parent's time tells
+                if not same:
+                    rows = list(walk(rel, set(one["dirs"] or [])))
+                else:
+                    for name in [*(one["names"] or []), *(one["dirs"] or [])]:
+                        path = f"{rel}/{name}" if rel else name
+                        try:
+                            rows.append(row(path, os.lstat(os.path.join(root, path)), "cached"))
+                        except OSError:
+                            pass
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")] + ["origin"])
+
+    return known.select("dir", "mtime_ns", "names", "dirs").mapInArrow(run, SCHEMA + ", origin string")
+
+
+def dir_times(root: str, scanned: DataFrame) -> DataFrame:
+    """(rel_path, mtime_ns) of a scan's directories and of the root, as ''."""
+    own = scanned.where("is_dir and error is null").select("rel_path", "mtime_ns")
+    top = scanned.sparkSession.range(1).select(F.lit("").alias("rel_path"), F.lit(os.stat(root).st_mtime_ns).cast("long").alias("mtime_ns"))
+    return own.unionByName(top)
+
+
 DONE = "rel_path string, action string, ok boolean, error string"
 
 
@@ -99,8 +229,11 @@ def _each(rows: DataFrame, act) -> DataFrame:
                 error = None
                 try:
                     act(row)
-                except OSError as e:
-                    error = str(e)
+                except OSError:
+                    try:
+                        act(row)
+                    except OSError as e:
+                        error = str(e)
                 out.append((row["rel_path"], row["action"], error is None, error))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["rel_path", "action", "ok", "error"])
 
@@ -121,12 +254,13 @@ def _replaced(dst: str, make) -> None:
         raise
 
 
-def execute(planned: DataFrame, src_root: str, dst_root: str, backups: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+def execute(planned: DataFrame, src_root: str, dst_root: str, backups: DataFrame | None = None, metadata: DataFrame | None = None, xattrs: bool = False) -> DataFrame:
     """Carries a plan out on file systems that all executors see: (rel_path, action, ok, error).
 
     Rows of a directory are dealt to one task. backups (rel_path, backup_path, below dst_root): what a file is moved
     to before it is overwritten; metadata (as sync.final_metadata): what a copy ends with, nulls left as they are.
-    Without it a copy has the source's mode and time."""
+    Without it a copy has the source's mode, time and extended attributes; with it those attributes if xattrs is set.
+    What fails is tried once more by itself."""
 
     def act(row: dict) -> None:
         path, action = row["rel_path"], row["action"]
@@ -153,6 +287,8 @@ def execute(planned: DataFrame, src_root: str, dst_root: str, backups: DataFrame
                 shutil.copy2(src, part)
                 return
             shutil.copyfile(src, part)
+            for name in os.listxattr(src) if xattrs else ():
+                os.setxattr(part, name, os.getxattr(src, name))
             own = [-1 if row[c] is None else row[c] for c in ("final_uid", "final_gid")]
             now = os.stat(part)
             if own[0] not in (-1, now.st_uid) or own[1] not in (-1, now.st_gid):
@@ -172,6 +308,42 @@ def execute(planned: DataFrame, src_root: str, dst_root: str, backups: DataFrame
     return _each(rows.repartition(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1)), act)
 
 
+def apply_ops(ops: DataFrame, src_root: str, dst_root: str) -> DataFrame:
+    """Carries deltas out on live trees: (rel_path, action, ok, error). ops: rel_path, op_idx, kind, src_offset, len.
+
+    A file's operations are done in order into a part beside it, copies from what is there, writes from the source,
+    and the part takes its place. An operation that reaches beyond what it reads from is an error and changes nothing;
+    done again, as after a lost executor, copies would read the new content, so a file whose content is the source's
+    already is left alone."""
+    rows = ops.groupBy("rel_path").agg(F.sort_array(F.collect_list(F.struct("op_idx", "kind", "src_offset", "len"))).alias("ops"))
+
+    def act(row: dict) -> None:
+        src, dst = os.path.join(src_root, row["rel_path"]), os.path.join(dst_root, row["rel_path"])
+        os.makedirs(os.path.dirname(dst), exist_ok=True)
+        if os.path.exists(dst) and os.path.getsize(dst) == os.path.getsize(src) and filecmp.cmp(src, dst, shallow=False):
+            return
+
+        def make(part: str) -> None:
+            with open(src, "rb") as new, open(dst if os.path.exists(dst) else os.devnull, "rb") as old, open(part, "wb") as out:
+                size = {f: os.fstat(f.fileno()).st_size for f in (new, old)}
+                for op in row["ops"]:
+                    f, at, left = old if op["kind"] == "copy" else new, op["src_offset"], op["len"]
+                    if not 0 <= at <= at + left <= size[f]:
+                        raise OSError(f"operation {op['op_idx']} reaches beyond {size[f]} bytes")
+                    f.seek(at)
+                    while left:
+                        data = f.read(min(left, 4 << 20))
+                        if not data:
+                            raise OSError(f"operation {op['op_idx']} ends early")
+                        out.write(data)
+                        left -= len(data)
+            shutil.copystat(src, part)
+
+        _replaced(dst, make)
+
+    return _each(rows.select("rel_path", F.lit("delta").alias("action"), "ops"), act)
+
+
 def link_up(links: DataFrame, dst_root: str, leader_root: str | None = None) -> DataFrame:
     """Makes files hard links of their leaders (rel_path, leader; as sync.hard_links), which must be there: run it after
     the copies. leader_root: where the leaders are, if not in dst_root (an older copy on the same file system)."""

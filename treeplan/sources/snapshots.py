@@ -65,10 +65,23 @@ def dir_times(files: DataFrame) -> DataFrame:
     return files.groupBy(paths.parent(F.col("rel_path")).alias("rel_path")).agg(F.max("mtime_ns").alias("mtime_ns"))
 
 
-def resolved_links(files: DataFrame) -> DataFrame:
-    """Symbolic links replaced by what they point to in the same directory; dangling ones go."""
-    links = files.where("is_symlink")
-    place = F.concat_ws("/", F.nullif(paths.parent(F.col("rel_path")), F.lit("")), F.col("symlink_target"))
+def resolved_links(files: DataFrame, most: int = 8) -> DataFrame:
+    """Symbolic links replaced by what they point to, in any directory of the tree, over at most `most` links in a row;
+    those that dangle, leave the tree or go round go."""
+    base = F.nullif(paths.parent(F.col("rel_path")), F.lit(""))
+    to = lambda place, target: paths.normalized(F.when(target.startswith("/"), target).otherwise(F.concat_ws("/", place, target)))
+    links = files.where("is_symlink").withColumn("__place", to(base, F.col("symlink_target")))
     target = files.where("not is_symlink").select(F.col("rel_path").alias("__place"), F.col("size").alias("__size"), F.col("mtime_ns").alias("__time"), F.col("mode").alias("__mode"))
-    followed = links.withColumn("__place", place).join(target, "__place").withColumns({"size": F.col("__size"), "mtime_ns": F.col("__time"), "mode": F.col("__mode"), "is_symlink": F.lit(False), "symlink_target": F.lit(None).cast("string")})
-    return files.where("not is_symlink").unionByName(followed.select(*files.columns))
+    way = links.select(F.col("rel_path").alias("__from"), F.col("__place").alias("__to"))
+    left, found = links, []
+    for step in range(most):
+        hit = left.join(target, "__place").withColumns({"size": F.col("__size"), "mtime_ns": F.col("__time"), "mode": F.col("__mode"), "is_symlink": F.lit(False), "symlink_target": F.lit(None).cast("string")})
+        found.append(hit.select(*files.columns))
+        if step + 1 < most:
+            left = left.join(way, F.col("__place") == F.col("__from")).withColumn("__place", F.col("__to")).drop("__from", "__to")
+            if left.isEmpty():  # usually at once: few links point to links
+                break
+    out = files.where("not is_symlink")
+    for part in found:
+        out = out.unionByName(part)
+    return out

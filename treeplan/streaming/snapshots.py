@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeplan.options import SyncOptions
+from treeplan.plans import manifest, sync
+
 
 def changes(spark: SparkSession, folder: str, schema, dst: DataFrame) -> DataFrame:
     """A stream of planned rows: each file of `folder` is part of a source snapshot, planned against dst.
@@ -19,3 +22,27 @@ def changes(spark: SparkSession, folder: str, schema, dst: DataFrame) -> DataFra
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Handles all that has arrived, exactly once, and stops."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def follow(spark: SparkSession, folder: str, schema, state: str, snapshot_id: str, out: str, checkpoint: str, o: SyncOptions = SyncOptions()) -> None:
+    """Handles all snapshots that have arrived, one file of `folder` at a time, and stops: each is planned against the
+    manifest `snapshot_id` below `state`, its plan written to `out`/batch=N, and the manifest becomes what it leaves.
+
+    A batch that is done again, as after a failure, overwrites its plan; where its manifest was written already it plans
+    nothing but skips, which changes no state."""
+
+    def one(rows: DataFrame, number: int) -> None:
+        src = rows.select(*schema.names)
+        known = manifest.load(spark, state, snapshot_id)
+        dst = known[0] if known else src.limit(0)
+        planned = sync.plan(src, dst, o)
+        planned.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done = spark.read.parquet(f"{out}/batch={number}")
+        if known is None or manifest.changed(done):
+            held = manifest.synced(done, src, dst)
+            if not o.delete:  # what this snapshot does not name stays
+                held = held.unionByName(dst.join(src.select("rel_path"), "rel_path", "left_anti").select(*held.columns))
+            manifest.save(spark, state, snapshot_id, folder, held)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

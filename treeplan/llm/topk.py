@@ -7,12 +7,14 @@ the standard deviation are kept. For two vectors,
 
 and as q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2, a lower bound of the distance is an upper bound
 of the inner product: sum of len * (mean_q mean_x + dev_q dev_x). Bounds are taken coarse to
-fine; a candidate that cannot reach the query's k-th best score so far is dropped, and
-exact integer scores are computed for the survivors only.
-
-Queries and candidates are cut into blocks of bounded size by a hash of their ids, and one
-task row searches one block of queries in one block of candidates; each block's best k per
-query are merged by a window over the query.
+fine: a level is computed only for candidates that the level before left to some query of
+the same step. At each level the candidates that it likes best are scored exactly, which
+raises the query's threshold (its k-th best score so far); what cannot reach that is
+dropped, and at the end exact integer scores are computed for the survivors.
+
+Queries and candidates are cut into blocks by a hash of their ids, of a bounded size and
+small enough that all cores have some; one task row searches one block of queries in one
+block of candidates, and each block's best k per query are merged by a window over the query.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeplan.llm.shared import attach
+from treeplan.llm.shared import attach, partitions
 
+#: Rows of a block at most, and at least where there are more cores than blocks.
 QUERIES = 4096
-CANDIDATES = 8192
-#: Queries, and survivors, that are compared at a time.
-ROWS, STEP = 64, 4096
+CANDIDATES, LEAST = 8192, 1024
+#: Queries that are compared at a time; survivors that are scored one by one, beyond that share of a step all are.
+ROWS, STEP, DENSE = 64, 4096, 1 / 32
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -40,38 +43,42 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([means, devs], axis=1)
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: (its row, rows of its best candidates, their scores); rows of float64 integers."""
+def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, seen: list | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query: (its row, rows of its best candidates, their scores); rows of float64 integers.
+
+    seen gets, for each step, the pairs that were left after each level."""
     levels = [s for s in (1, 2, 4, 8, 16, 32) if s <= max(1, x.shape[1] // 2)]
     sx = [statistics(x, s).astype(np.float32) for s in levels]
     longest = np.sqrt((x * x).sum(axis=1).max(initial=0))
     for at in range(0, len(q), ROWS):
         own, ids = q[at : at + ROWS], q_ids[at : at + ROWS]
-        sq = [statistics(own, s).astype(np.float32) for s in levels]
-        other = ids[:, None] != x_ids[None, :]
-        # exact scores of the candidates that the finest level likes best give the threshold
-        finest = sq[-1] @ sx[-1].T
-        some = min(4 * k, len(x))
-        likely = np.argpartition(np.where(other, -finest, np.inf), some - 1, axis=1)[:, :some]
-        scores = np.einsum("rd,rcd->rc", own, x[likely])
-        scores[~np.take_along_axis(other, likely, 1)] = -np.inf
-        least = -np.sort(-scores, axis=1)[:, k - 1 : k] if some >= k else np.full((len(own), 1), -np.inf)
         # single precision: sums of up to thousands of products err by less than this share of |q| |x|
-        low = (least - 2e-5 * (1 + longest * np.sqrt((own * own).sum(axis=1, keepdims=True)))).astype(np.float32)
-        alive, columns = other, None
-        for level in range(len(levels) - 1):
-            alive = alive & (sq[level] @ (sx[level] if columns is None else sx[level][columns]).T >= low)
+        slack = 2e-5 * (1 + longest * np.sqrt((own * own).sum(axis=1, keepdims=True)))
+        columns, alive = np.arange(len(x)), ids[:, None] != x_ids[None, :]
+        least, left = np.full((len(own), 1), -np.inf), [int(alive.sum())]
+        for level, segments in enumerate(levels):
+            bound = np.where(alive, statistics(own, segments).astype(np.float32) @ sx[level][columns].T, -np.inf)
+            if len(columns) >= k:  # the k that this level likes best are as good as they are: a threshold
+                likely = np.argpartition(-bound, k - 1, axis=1)[:, :k]
+                scores = np.einsum("rd,rcd->rc", own, x[columns[likely]])
+                scores[~np.take_along_axis(alive, likely, 1)] = -np.inf
+                least = np.maximum(least, scores.min(axis=1, keepdims=True))
+            alive &= bound >= (least - slack).astype(np.float32)
             used = alive.any(axis=0)
-            if 2 * used.sum() < len(used):
-                columns = np.flatnonzero(used) if columns is None else columns[used]
-                alive = alive[:, used]
-        alive = alive & ((finest if columns is None else finest[:, columns]) >= low)
-        r, c = np.nonzero(alive)
-        c = c if columns is None else columns[c]
-        exact = np.concatenate([np.einsum("nd,nd->n", own[r[i : i + STEP]], x[c[i : i + STEP]]) for i in range(0, len(r), STEP)] or [np.zeros(0)])
-        good = exact >= least[r, 0]
-        r, c, exact = r[good], c[good], exact[good]
-        cut = np.searchsorted(r, np.arange(len(own) + 1))
+            columns, alive = columns[used], alive[:, used]
+            left.append(int(alive.sum()))
+        if seen is not None:
+            seen.append(left)
+        if left[-1] > DENSE * alive.size:  # so many that one product of all is less work than to gather them
+            exact = own @ x[columns].T
+            r, c = np.nonzero(alive & (exact >= least))
+            exact = exact[r, c]
+        else:
+            r, c = np.nonzero(alive)
+            exact = np.concatenate([np.einsum("nd,nd->n", own[r[i : i + STEP]], x[columns[c[i : i + STEP]]]) for i in range(0, len(r), STEP)] or [np.zeros(0)])
+            good = exact >= least[r, 0]
+            r, c, exact = r[good], c[good], exact[good]
+        c, cut = columns[c], np.searchsorted(r, np.arange(len(own) + 1))
         for i in range(len(own)):
             rows, s = c[cut[i] : cut[i + 1]], exact[cut[i] : cut[i + 1]]
             order = np.lexsort((x_ids[rows], -s))[:k]
@@ -95,14 +102,7 @@ def _work(k: int):
                 got[query].append((np.frombuffer(ids, np.int64), np.frombuffer(parts, np.float64).reshape(-1, dims)))
         if not got[True] or not got[False]:
             return
-        both = []
-        for side in (True, False):
-            ids, x = (np.concatenate(v) for v in zip(*got[side], strict=True))
-            order = np.lexsort((*x.T[::-1], ids)) if x.shape[1] < 64 else np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            once = np.concatenate([[True], ids[1:] != ids[:-1]])
-            both += [x[once], ids[once]]
-        q, q_ids, x, x_ids = both
+        (q_ids, q), (x_ids, x) = (tuple(np.concatenate(v) for v in zip(*got[side], strict=True)) for side in (True, False))
         most = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0))
         find = search if q.shape[1] * most * most < 2**53 else _plain
         out = [(int(q_ids[i]), int(x_ids[j]), int(s)) for i, rows, scores in find(q, q_ids, x, x_ids, k) for j, s in zip(rows, scores, strict=True)]
@@ -118,8 +118,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
 
     Score: the inner product of floor(scale * component), as integers. Vectors that are null,
     empty, or hold null or non-finite components take no part, nor do null ids; vectors are
-    compared with those of as many components. Rows that repeat an id count once. An empty
-    table gives no rows; other columns are not looked at.
+    compared with those of as many components. Rows that repeat an id are rows of their own, also among
+    the results; as queries they share one list of ranks. An empty table gives no rows; other columns are not
+    looked at; a very long vector is one row of its block.
     """
     attach(vectors.sparkSession)
     v = F.col("v")
@@ -127,7 +128,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
         v.isNotNull() & F.col("id").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     )
     counts = good.agg(F.count("*").alias("n"), F.count_if("query").alias("q")).first()
-    slabs, groups = max(1, -(-counts.n // CANDIDATES)), max(1, -(-counts.q // QUERIES))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    slabs, groups = -(-max(counts.n, 1) // CANDIDATES), -(-max(counts.q, 1) // QUERIES)
+    slabs = max(slabs, min(-(-counts.n // LEAST), -(-8 * cores // groups)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,6 +159,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     made = good.select("id", "v", "query", block(slabs, 1), block(groups, 2)).mapInArrow(blocks, "block int, query boolean, dims int, ids binary, vectors binary")
     across = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), slabs).otherwise(groups) - 1)).alias("other")
     dealt = made.select("*", across).select("query", "dims", "ids", "vectors", F.when(F.col("query"), F.col("block")).otherwise(F.col("other")).alias("g"), F.when(F.col("query"), F.col("other")).otherwise(F.col("block")).alias("s"))
-    best = dealt.groupBy("dims", "g", "s").applyInArrow(_work(k), "query_id long, vec_id long, score long")
+    # as many partitions as there is work for: without the number small blocks would be put together in few tasks
+    tasks = min(slabs * groups, max(partitions(vectors.sparkSession), 4 * cores))
+    best = dealt.repartition(tasks, "dims", "g", "s").groupBy("dims", "g", "s").applyInArrow(_work(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

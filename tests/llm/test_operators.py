@@ -34,7 +34,7 @@ def odd(spark):
     """The rows with columns whose names clash with the operators' own."""
     rows = [(d, t, "en" if d and d % 2 else None, "s", len(t or "")) for d, t in ODD]
     frame = spark.createDataFrame(rows, DOCS)
-    for c in ("fingerprint", "component_id", "key", "tag", "node", "fp", "__id_", "n", "hashes", "kept", "extra", "part", "ids", "starts", "length", "lang_pred", "query", "v", "window", "place", "conv", "cost"):
+    for c in ("fingerprint", "component_id", "key", "tag", "node", "fp", "__id", "__n", "__lead", "__text", "id", "row", "made", "n", "hashes", "kept", "extra", "part", "ids", "starts", "length", "lang_pred", "query", "v", "window", "place", "conv", "cost"):
         frame = frame.withColumn(c, F.lit("clash"))
     return frame
 
@@ -166,12 +166,13 @@ def test_similar_groups_ignore_repeats(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
-def test_one_of_each_by_component(spark):
+def test_one_of_each_by_component(spark, odd):
     rng = random.Random(11)
     text = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
     near = [t + " end" for t in text]
     rows = [(None, t) for t in text[:20]] + [(None, near[0]), (None, text[1].upper()), (None, text[1])]  # null ids: 20 components
     rows += [(7, text[20]), (7, text[21]), (7, near[21]), (7, text[22]), (5, near[22])]  # one id over three components, one led by another id
+    assert simhash.one_of_each(odd).columns == odd.columns
     rows += [(None, text[23]), (9, near[23]), (-(1 << 63), text[24]), (10, text[25]), (11, near[25]), (None, None), (None, "")]
     frame = lambda some, n: spark.createDataFrame([(d, t, "x") for d, t in some], "doc_id long, text string, __own string").repartition(n)
     got = [sorted((r.doc_id or 0, r.text or "") for r in simhash.one_of_each(frame(some, n)).collect()) for some, n in ((rows, 3), (rows[::-1], 5))]
@@ -181,6 +182,73 @@ def test_one_of_each_by_component(spark):
     assert sorted((d, alike.get(t, -1)) for d, t in got[0]) == sorted(want)
 
 
+def plain_groups(texts, words=5, similarity=0.8):
+    """(doc_id -> smallest doc_id of its component, links) by comparing all pairs that share a shingle."""
+    sets, by, up = {d: frozenset(simhash.shingle_hashes(t, words).tolist()) for d, t in texts.items()}, collections.defaultdict(list), {d: d for d in texts}
+    for d, own in sets.items():
+        for x in own:
+            by[x].append(d)
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    links = set()
+    for d, own in sets.items():
+        for e, both in collections.Counter(e for x in own for e in by[x] if e < d).items():
+            if both >= similarity * (len(own) + len(sets[e]) - both) - 1e-9:
+                links.add((e, d))
+                up[max(root(d), root(e))] = min(root(d), root(e))
+    blank = [d for d, own in sets.items() if not own]
+    for d in blank[1:]:
+        up[max(root(d), root(blank[0]))] = min(root(d), root(blank[0]))
+    return {d: root(d) for d in texts}, links
+
+
+def test_similar_groups_recall(spark):
+    """Against all pairs, on the given documents and on ones that are edited to about the similarity asked for."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rng = random.Random(12)
+    for k in range(120):  # pairs of 0.74 to 0.92
+        own = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+        texts[10**6 + 2 * k] = " ".join(own)
+        for at in rng.sample(range(5, 195), rng.randrange(2, 7)):
+            own[at] = "new"
+        texts[10**6 + 2 * k + 1] = " ".join(own)
+    want, links = plain_groups(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    lost = [x for x in links if got[x[0]] != got[x[1]]]
+    assert all(want[d] == want[c] for d, c in got.items())  # no link is wrong
+    assert len(links) > 100 and len(lost) <= 0.02 * len(links)
+
+
+def test_similar_groups_in_a_hot_band(spark):
+    """A large group of near copies, some of them alike only to some others, in bands beyond the bound."""
+    rng = random.Random(13)
+    base, texts = [f"b{k}" for k in range(150)], {}
+    for k in range(500):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 1, 1, 2, 3])):
+            own[at] = f"n{rng.randrange(40)}"
+        texts[k] = " ".join(own)
+    want, _ = plain_groups(texts)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for hot in (4096, 100):
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame, hot=hot).collect()} == want
+
+
+def test_shards_of_one_kin_are_not_compared(spark):
+    entries = spark.range(1000).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("key"), F.when(F.col("id") < 800, F.lit(5)).when(F.col("id") < 950, F.col("id")).cast("long").alias("kin"))
+    nodes = spark.range(1000).select(F.col("id").alias("node"), F.col("id").alias("fp"), F.lit(b"s").alias("sig"))
+    pairs = simhash._shard_pairs(entries, nodes).collect()
+    met = set()
+    for r in pairs:
+        sides = [[n.node for n in s.nodes] for s in r.shards]
+        met |= {(min(x, y), max(x, y)) for x in sides[0] for y in sides[-1] if x != y}
+    assert met == {(x, y) for y in range(1000) for x in range(y) if y >= 800}
+
+
 def test_spare_forests():
     """A link in doubt has others beside it; one beyond doubt needs none."""
     import pyarrow as pa
@@ -451,6 +519,7 @@ def test_topk(spark, sf, duck):
 def test_topk_odd(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 16)
     monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "LEAST", 8)
     rng = random.Random(2)
     rows = [(k, [rng.uniform(-1, 1) for _ in range(5)]) for k in range(60)] + [(100 + k, [0.5] * 5) for k in range(40)]
     rows += [(200, None), (201, []), (202, [1.0, None, 0.0, 0.0, 0.0]), (203, [float("nan")] * 5), (204, [float("inf")] * 5), (None, [1.0] * 5), (205, [1.0, 2.0]), (300, [1e12] * 5), rows[20]]
@@ -458,9 +527,9 @@ def test_topk_odd(spark, monkeypatch):
     got = collections.defaultdict(list)
     for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, k=7).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
-    good = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    for q in (i for i in good if i % 20 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:7]
+    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    for q in {i for i, _ in good if i % 20 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for j, own in good if j == q for i, v in good if i != q and len(v) == len(own))[:7]
         assert sorted(got[q]) == [(n, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(scored, 1)]
     assert topk.top_k(frame.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
@@ -473,6 +542,22 @@ def test_bounds(seed, dims, segments):
     assert (topk.statistics(q, segments) @ topk.statistics(x, segments).T >= q @ x.T - 1e-9).all()
 
 
+def test_levels_go_coarse_to_fine(monkeypatch):
+    """Vectors with structure: each level leaves fewer pairs, the last few of all, and results are those of all scores."""
+    rng = np.random.default_rng(5)
+    shapes = np.repeat(rng.integers(-60, 61, (40, 8)), 8, axis=1)  # segments of eight differ in their means
+    x = (shapes[rng.integers(0, 40, 3000)] + rng.integers(-3, 4, (3000, 64))).astype(np.float64)
+    seen, ids = [], np.arange(3000)
+    for dense in (1 / 32, 2.0):
+        monkeypatch.setattr(topk, "DENSE", dense)
+        got = {i: (rows.tolist(), s.tolist()) for i, rows, s in topk.search(x[:200], ids[:200], x, ids, 20, seen)}
+        for i in range(200):
+            want = sorted((-float(x[i] @ x[j]), j) for j in range(3000) if j != i)[:20]
+            assert got[i] == ([j for _, j in want], [-s for s, _ in want])
+    left = np.array(seen).sum(axis=0)
+    assert (np.diff(left) <= 0).all() and left[1] < left[0] and left[-1] < 0.1 * left[0]
+
+
 # 4 and 8 packing, tokens
 
 

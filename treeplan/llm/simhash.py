@@ -25,6 +25,9 @@ so there the buckets are min-hash bands; inside a shard the BK-tree proposes lin
 REACH bits, signatures rank them, spanning forests of the likeliest are kept, and each of
 their links must pass an exact comparison of whole shingle sets. Where signatures leave a
 link in doubt, SPARE forests stand beside each other, so that a link that fails has others.
+A band of over HOT sets is first compared with its LEADERS only; sets that these connect
+(by exact links, over all bands) need no comparison with each other any more, and what is
+left is compared with all. So one large group of near copies costs no square of its size.
 """
 
 from __future__ import annotations
@@ -34,12 +37,12 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from treeplan.llm.shared import Forest, Members, attach, components, materialize, mixed, slices
+from treeplan.llm.shared import Forest, Members, attach, components, discard, materialize, mixed, slices
 
 SHARD = 192
 REFINE = 4096
@@ -50,6 +53,8 @@ BANDS, BAND_ROWS, HASHES = 16, 5, 128
 #: beyond it by as much, a link is taken to hold. Of links between, so many forests without common links are checked.
 SHORT = 0.12
 SPARE = 4
+#: Sets of a band beyond which it is compared with so many leaders first.
+HOT, LEADERS = 4096, 16
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -259,7 +264,49 @@ def _proposed(similarity: float):
     return link
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _led(similarity: float):
+    """Likely links of a set to the leaders of its band: the two likeliest."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for row in batch.to_pylist():
+                own = np.frombuffer(row["sig"], np.uint8)
+                sigs = np.stack([np.frombuffer(y["sig"], np.uint8) for y in row["leaders"]])
+                alike = (sigs == own).mean(axis=1)
+                near = [(-v, y["node"]) for v, y in zip(alike.tolist(), row["leaders"]) if v >= similarity - SHORT and y["node"] != row["node"] and (_unsigned(row["fp"]) ^ _unsigned(y["fp"])).bit_count() <= REACH]
+                for _, node in sorted(near)[:2]:
+                    a.append(row["node"])
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return link
+
+
+def _shard_pairs(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(shards): one row for each pair of shards that is to be compared. entries: (node, key, kin): of one band (key) all
+    pairs are, but those of a large group of equal kin, which are connected already; a null kin is equal to none."""
+    mine = Window.partitionBy("key")
+    groups = entries.where("kin is not null").groupBy("key", "kin").agg(F.count("*").alias("m")).where(F.col("m") > SHARD)
+    ranges = groups.withColumn("wide", F.ceil(F.col("m") / SHARD).cast("long"))
+    ranges = ranges.withColumns({"from": F.sum("wide").over(mine.orderBy("kin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("wide"), "all": F.sum("wide").over(mine)})
+    grouped = entries.join(ranges.select("key", "kin", "wide", "from"), ["key", "kin"], "left")
+    rest = grouped.where("wide is null").groupBy("key").agg(F.ceil(F.count("*") / SHARD).cast("long").alias("rest"))
+    sizes = rest.join(ranges.select("key", "all").distinct(), "key", "full").select("key", F.coalesce("rest", F.lit(0)).alias("rest"), F.coalesce("all", F.lit(0)).alias("all"))
+    # the shards of the rest come first, those of each group stand together behind
+    place = F.when(F.col("wide").isNull(), F.pmod(F.xxhash64("node"), F.col("rest"))).otherwise(F.col("rest") + F.col("from") + F.pmod(F.xxhash64("node"), F.col("wide")))
+    low = F.when(F.col("wide").isNotNull(), F.col("rest") + F.col("from"))
+    dealt = grouped.join(sizes, "key").select("node", "key", place.alias("shard"), low.alias("low"), (low + F.col("wide")).alias("high"), (F.col("rest") + F.col("all")).alias("of"))
+    shards = dealt.join(nodes.select("node", "fp", "sig"), "node").groupBy("key", "of", "shard", "low", "high").agg(F.sort_array(F.collect_list(F.struct("node", "fp", "sig"))).alias("nodes"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("of") - 1), lambda o: F.col("low").isNull() | (o < F.col("low")) | (o >= F.col("high")))
+    return (
+        shards.withColumn("other", F.explode(others)).groupBy("key", F.least("shard", "other").alias("lo"), F.greatest("shard", "other").alias("hi"))
+        .agg(F.sort_array(F.collect_list(F.struct("shard", "nodes"))).alias("shards"), F.first(F.col("shard") == F.col("other")).alias("self"))
+        .where("self or size(shards) = 2").select("shards")
+    )
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
     """(doc_id, component_id), one row for each row of docs: components of links between documents whose
     sets of word shingles have a Jaccard similarity of at least `similarity`; component_id is the
     smallest doc_id of the component.
@@ -268,12 +315,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chance of 0.998 (BANDS bands of BAND_ROWS), one at 0.9 of more than 0.999999.
     Texts without words are alike; equal shingle sets are one class however many copies there
     are; nulls are texts without words; a null doc_id is kept; repeated rows are copies;
-    an empty table gives no rows; other columns are not looked at.
+    an empty table gives no rows; other columns are not looked at; a very long text is one row of its task.
     """
-    return _grouped(docs, id_col, text_col, words, similarity).select("doc_id", "component_id")
+    return _grouped(docs, id_col, text_col, words, similarity, hot).select("doc_id", "component_id")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, hot: int = HOT) -> DataFrame:
     """(doc_id, node, root, component_id) for similar_groups(): a node is a shingle set, a root a component."""
     attach(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -291,22 +338,6 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     made = materialize(rows.mapInArrow(describe, "doc_id long, node long, fp long, sig binary, keys array<long>"), "described")
     nodes = made.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"))
     nodes = materialize(nodes, "classes")
-    entries = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    count = F.ceil(F.col("n") / SHARD).cast("int")
-    met = entries.join(sizes, "key").select("node", "key", count.alias("of"), F.pmod(F.xxhash64("node"), count.cast("long")).cast("int").alias("shard"))
-    shards = met.join(nodes.select("node", "fp", "sig"), "node").groupBy("key", "of", "shard").agg(F.sort_array(F.collect_list(F.struct("node", "fp", "sig"))).alias("nodes"))
-    pairs = (
-        shards.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-        .groupBy("key", F.least("shard", "other").alias("lo"), F.greatest("shard", "other").alias("hi"))
-        .agg(F.sort_array(F.collect_list(F.struct("shard", "nodes"))).alias("shards"))
-    )
-    likely = materialize(pairs.select("shards").mapInArrow(_proposed(similarity), "a long, b long").distinct(), "likely")
-
-    # whole shingle sets, of one document of each class that has a likely link
-    ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    chosen = materialize(nodes.join(ends, "node").select("node", "least"), "chosen")
-    wanted = Members(chosen.select(F.coalesce("least", F.lit(0).cast("long"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,10 +345,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
                 distinct = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column(0)]
                 yield pa.RecordBatch.from_arrays([pa.array([_set_hash(x) for x in distinct], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in distinct], pa.binary())], names=["node", "hashes"])
 
-    whole = rows.where(wanted.may_hold(F.col("doc_id"))).select("text").mapInArrow(sets, "node long, hashes binary")
-    whole = materialize(whole.join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -326,8 +354,37 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = likely.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    roots = components(both.select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"))
+    def true_links(likely: DataFrame) -> DataFrame:
+        """Those that hold on the whole shingle sets, of one document of each class that has a likely link."""
+        ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+        chosen = materialize(nodes.join(ends, "node").select("node", "least"), "chosen")
+        wanted = Members(chosen.select(F.coalesce("least", F.lit(0).cast("long"))))
+        whole = rows.where(wanted.may_hold(F.coalesce("doc_id", F.lit(0).cast("long")))).select("text").mapInArrow(sets, "node long, hashes binary")
+        whole = materialize(whole.join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+        both = likely.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        held = materialize(both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "held")
+        discard(chosen)
+        discard(whole)
+        return held
+
+    entries = nodes.select("node", F.explode("keys").alias("key"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(entries.join(sizes, "key"), "met")
+    large, kin = met.where(F.col("n") > hot), None
+    if large.take(1):
+        first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"))) <= LEADERS
+        leaders = large.withColumn("first", first).where("first").join(nodes.select("node", "fp", "sig"), "node")
+        leaders = leaders.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "fp", "sig"))).alias("leaders"))
+        led = large.select("node", "key").join(leaders, "key").join(nodes.select("node", "fp", "sig"), "node")
+        kin = true_links(materialize(led.select("node", "fp", "sig", "leaders").mapInArrow(_led(similarity), "a long, b long").distinct(), "likely"))
+        of = components(kin).select(F.col("item").alias("node"), F.col("root").alias("kin"))
+        met = met.join(of, "node", "left").withColumn("kin", F.when(F.col("n") > hot, F.col("kin")))
+    else:
+        met = met.withColumn("kin", F.lit(None).cast("long"))
+    likely = materialize(_shard_pairs(met.select("node", "key", "kin"), nodes).mapInArrow(_proposed(similarity), "a long, b long").distinct(), "likely")
+    held = true_links(likely)
+    discard(likely)
+    roots = components(held if kin is None else held.unionByName(kin))
     named = nodes.select("node", "least").join(roots.withColumnRenamed("item", "node"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
     return made.select("doc_id", "node").join(named, "node").select("doc_id", "node", "root", "component_id")

@@ -117,6 +117,13 @@ def test_bk_tree(values, asked, radius):
     assert sorted(tree.near(asked, radius)) == sorted(v for v in set(values) if (v ^ asked).bit_count() <= radius)
 
 
+def test_packed_trees():
+    rng = random.Random(1)
+    tree = simhash.BKTree(rng.getrandbits(12) for _ in range(200))
+    again = simhash.BKTree.unpacked(list(tree.values), *tree.packed())
+    assert again.children == tree.children and sorted(again.near(77, 3)) == sorted(tree.near(77, 3))
+
+
 def test_links_in_hot_buckets(spark, monkeypatch):
     """Many shards and refined buckets find the same components."""
     monkeypatch.setattr(simhash, "SHARD", 8)
@@ -652,6 +659,33 @@ def test_bestfit(spark, sf, texts, odd, none):
 # 5 languages
 
 
+def test_written_matrices_come_back(spark, docs, tmp_path):
+    made = bestfit.token_matrices(docs, **queries.vocabulary(), width=512)
+    bestfit.write_matrices(made, f"{tmp_path}/m")
+    back = spark.read.parquet(f"{tmp_path}/m")
+    assert back.schema == made.schema and unpacked(bestfit.sequences(back).collect(), 512) == unpacked(bestfit.sequences(made).collect(), 512)
+
+
+def test_work_tables_are_cleared(spark):
+    table = shared.materialize(spark.range(3), "some")
+    other = shared.materialize(spark.range(3), "other")
+    folder = shared.work_folder(spark).removeprefix("file://")
+    assert os.path.exists(other._treeplan_path.removeprefix("file://"))
+    shared.discard(other)
+    assert not os.path.exists(other._treeplan_path.removeprefix("file://")) and table.count() == 3
+    shared.discard(spark.range(1))  # no work table: nothing happens
+    assert os.path.isdir(folder)
+
+
+def test_langid_knows_what_it_has_not_learned(spark, docs):
+    """A whole text in a script that no label has is predicted, but with a score of 0; labels are bounded."""
+    model = langid.train(docs, "text", "lang", F.col("doc_id"))
+    lone = spark.createDataFrame([(1, "\u13a0\u13a1\u13a2 \u10a0\u10a1\u10a2 \u0531\u0532"), (2, "1 2 3"), (3, docs.where("lang = 'en'").first().text)], "doc_id long, text string")
+    got = {r.kept.doc_id: r for r in langid.predict(lone, model).collect()}
+    assert got[1].lang_pred != "und" and got[1].score == 0 and got[2].lang_pred == "und" and got[3].score > 0.9
+    assert len(langid.train(docs, "text", "lang", F.col("doc_id"), labels=2).langs) == 2
+
+
 def test_langid(spark, sf, docs):
     rows, langs = queries.op5_langid(spark, sf).collect(), {r.doc_id: r.lang for r in docs.collect()}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows) and len(rows) == len(langs)

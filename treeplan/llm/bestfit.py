@@ -94,7 +94,10 @@ def token_matrices(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 
     A document's ids are its text's and then end_id; a null or empty text is that id alone.
     A null doc_id is kept; repeated rows are packed again; an empty table gives no rows;
-    other columns are not looked at.
+    other columns are not looked at; a very long text is split at each `width` ids.
+
+    Documents are packed in runs of RUN_IDS ids within a task, so which share a sequence, and the matrix_id,
+    depend on how rows are dealt to tasks; the ids, their order and the padding rule do not.
     """
     if not 1 <= width <= 65536:
         raise ValueError("width must be from 1 to 65536")

@@ -31,6 +31,8 @@ CLIP = 4.0
 SWITCH = 12.0
 #: Labelled rows that a model is fitted on, of each language, about.
 SAMPLE = 3000
+#: Languages that are learned at most, those of most rows (a model has 256 KB for each, and is broadcast).
+LABELS = 128
 #: A language has a script if this share of its letters is of it.
 SHARE = 0.01
 TOP = 0x32400
@@ -101,6 +103,7 @@ class Model:
     langs: list[str]
     table: np.ndarray  # [2^BITS, langs] log likelihoods
     uses: np.ndarray  # [scripts, langs]
+    known: np.ndarray  # [scripts]: some language was learned with it
 
     def scores(self, w: Words) -> np.ndarray:
         """[words, langs], at most 0 and at least -CLIP; the best language of each word has 0."""
@@ -132,14 +135,14 @@ def path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def train(docs: DataFrame, text_col: str, lang_col: str, key: Column, sample: int = SAMPLE) -> Model:
-    """Fits a model on about `sample` rows of each language (those of the smallest hashes of `key`);
-    rows without text or language are not used."""
+def train(docs: DataFrame, text_col: str, lang_col: str, key: Column, sample: int = SAMPLE, labels: int = LABELS) -> Model:
+    """Fits a model on about `sample` rows of each language (those of the smallest hashes of `key`), of at most
+    `labels` languages (those of most rows); rows without text or language are not used. No such rows: nothing is learned."""
     attach(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(key).alias("place"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).collect()}
     if not counts:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((len(NAMES), 0), bool), np.zeros(len(NAMES), bool))
     most = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(int(min(1.0, sample / n) * 2**64), 2**64 - 1) - 2**63))])
     chosen = rows.where(F.col("place") <= most[F.col("lang")]).select("text", "lang")
 
@@ -166,8 +169,9 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key: Column, sample: in
     s = np.stack([np.frombuffer(r.scripts, "<i8") for r in got], axis=1)
     table = np.log((n + 0.1) / (n.sum(axis=0) + 0.1 * (1 << BITS))).astype(np.float32)
     uses = s >= np.maximum(1, SHARE * s.sum(axis=0))
-    uses[~uses.any(axis=1)] = True  # nobody's script: every language stays a candidate
-    return Model([r.lang for r in got], table, uses)
+    known = uses.any(axis=1)
+    uses[~known] = True  # nobody's script: every language stays a candidate
+    return Model([r.lang for r in got], table, uses, known)
 
 
 SPANS = "lang_pred string, score double, spans array<struct<start:int,stop:int,lang:string>>"
@@ -177,9 +181,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     """The columns named in `keep`, as a struct `kept`, then lang_pred, score, spans; a row for each row.
 
     lang_pred: the language with most letters on the best path (ties: the first in order), `und` if
-    the text is null, has no letter, or nothing was learned. score: its share of the letters (`und`: 0).
+    the text is null, has no letter, or nothing was learned. score: its share of the letters (`und`: 0);
+    letters of a script that no language was learned with count for none, so such a text has a low score.
     spans: code points from the first to after the last word of each stretch of one language.
-    Whole texts are read. Repeated rows are predicted again; an empty table gives no rows.
+    Whole texts are read, a very long one as a step of its own. Repeated rows are predicted again; an empty table gives no rows.
     """
     attach(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2^BITS numbers
@@ -206,7 +211,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
                     place, stop = w.place[own], (w.place + w.length)[own] if len(cut) > 2 else None
                     stop = stop if stop is not None else [int(w.place[own.stop - 1] + w.length[own.stop - 1])]
                     langs.append(m.langs[top])
-                    share.append(float(by[top]) / total)
+                    share.append(float((letters * m.known[w.script[own]])[best == top].sum()) / total)
                     spans.append([{"start": int(place[a]), "stop": int(stop[b - 1] if len(cut) > 2 else stop[0]), "lang": m.langs[int(best[a])]} for a, b in zip(cut, cut[1:])])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(share, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())])))], names=["kept", "lang_pred", "score", "spans"])
 
@@ -223,6 +228,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Learns from the labelled rows that are not held out, then predicts every row."""
+    """Learns from the labelled rows that are not held out, then predicts every row.
+
+    A null or empty text is `und`; a null id is as good as any; repeated rows are predicted again; where all labels
+    are null nothing is learned and all is `und`; an empty table gives no rows; other columns may have any names."""
     model = train(docs.where(~held_out(id_col)), text_col, lang_col, F.col(id_col))
     return predict(docs, model, text_col, keep or (id_col,))

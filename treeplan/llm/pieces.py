@@ -298,7 +298,7 @@ def encode(docs: DataFrame, model: str, seed: int = 7, alpha: float = 1.0, id_co
 
     The same key, text, seed and alpha give the same ids anywhere. A null text has null ids and
     0 pieces, an empty one none; a null key counts as an empty one; rows that repeat a key and text
-    repeat its ids; an empty table gives no rows; other columns are not looked at.
+    repeat its ids; an empty table gives no rows; other columns are not looked at; a very long text is drawn unit by unit.
     """
     attach(docs.sparkSession)
 
@@ -327,7 +327,8 @@ def encode(docs: DataFrame, model: str, seed: int = 7, alpha: float = 1.0, id_co
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) from ids; null ids give a null text."""
+    """(doc_id, text) from ids; null ids give a null text, none an empty one; null keys and repeated rows stay; an empty
+    table gives no rows; other columns are not looked at; a very long list of ids is one text."""
     attach(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     sequence_id is unique: the number of the task's input partition times 2^33, plus a count
     that runs through the task's pieces bucket by bucket within each batch of rows.
     A null doc_id is kept; repeated rows are packed again; an empty table gives no rows;
-    other columns are not looked at.
+    other columns are not looked at; a very long text is many pieces of `longest`.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")

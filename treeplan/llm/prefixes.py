@@ -162,13 +162,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Each document's fingerprint, that of its edited text, and its likeness to both neighbours.
 
     Edited text: the last floor(n/2) code points are replaced by the first as many (or all) of
-    the next document's; next is by ascending doc_id (ties: by text; null ids first), after
+    the next document's; next is by ascending doc_id (ties: by the text's hash; null ids first), after
     the last comes the first. Columns: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
     A null text is empty, two empty texts have likeness 1, a table of one row is its own
     next; repeated rows are rows of their own; an empty table gives no rows; other columns
-    are not looked at.
+    are not looked at; a very long text is one row of its task.
 
     One range exchange brings neighbours together; each text passes once, with only its
     predecessor in memory. Only the edges of partitions (two rows each) are joined later.
@@ -177,7 +177,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     attach(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = max(partitions(spark), -(-own.count() // ROWS_A_PART))
-    done = materialize(own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_neighbours, f"{RESULT}, part int, edge string, text string"), "neighbours")
+    own = own.withColumn("tie", F.xxhash64("text"))  # so that rows of one id, or without, are not one task
+    done = materialize(own.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text").mapInArrow(_neighbours, f"{RESULT}, part int, edge string, text string"), "neighbours")
     firsts = done.where("edge = 'first'").select("part", F.col("text").alias("after"))
     filled = sorted(r.part for r in firsts.select("part").collect())  # numbers of partitions
     follow = spark.createDataFrame([(a, filled[(k + 1) % len(filled)]) for k, a in enumerate(filled)], "own int, part int")

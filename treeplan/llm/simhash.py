@@ -14,9 +14,9 @@ How all links are found without comparing all pairs, exactly and for any corpus
   radius 2 that leaves 16 free bits, so no bucket can hold over 65,536 nodes;
 * a bucket is cut into shards of about SHARD nodes. A shard is a BK-tree: children are
   keyed by their integer Hamming distance to the parent, and a search for radius r visits
-  only edges with keys in [d - r, d + r]. Each shard's nodes are sent to every other shard
-  of their bucket (a broadcast inside the bucket, of bounded size, that never passes the
-  driver), one task row for each pair of shards;
+  only edges with keys in [d - r, d + r]. Each shard's tree is built once and sent to every
+  other shard of its bucket (a broadcast inside the bucket, of bounded size, that never
+  passes the driver), one task row for each pair of shards;
 * a pair of shards gives back a spanning forest of its links, never all pairs.
 
 similar_groups() groups by the Jaccard similarity of word shingles instead. Fingerprints of
@@ -101,6 +101,22 @@ class BKTree:
         values.append(value)
         children.append({})
 
+    def packed(self) -> tuple[list[int], list[int]]:
+        """For each value but the first, its parent's number and its distance from it."""
+        parents, edges = [0] * (len(self.values) - 1), [0] * (len(self.values) - 1)
+        for at, own in enumerate(self.children):
+            for d, to in own.items():
+                parents[to - 1], edges[to - 1] = at, d
+        return parents, edges
+
+    @classmethod
+    def unpacked(cls, values: list[int], parents: list[int], edges: list[int]) -> "BKTree":
+        self = cls()
+        self.values, self.children = values, [{} for _ in values]
+        for to, (at, d) in enumerate(zip(parents, edges, strict=True), 1):
+            self.children[at][d] = to
+        return self
+
     def near(self, value: int, radius: int) -> Iterator[int]:
         """The values within the radius."""
         values, children = self.values, self.children
@@ -136,7 +152,7 @@ def _linker(radius: int):
             for shards in batch.column(0).to_pylist():
                 first = [_unsigned(x) for x in shards[0]["fps"]]
                 rest = [_unsigned(x) for x in shards[1]["fps"]] if len(shards) > 1 else first
-                tree, joined = BKTree(first), Forest()
+                tree, joined = BKTree.unpacked(first, shards[0]["parents"], shards[0]["edges"]), Forest()
                 for x in rest:
                     for y in tree.near(x, radius):
                         if x != y and joined.join(x, y):
@@ -147,6 +163,14 @@ def _linker(radius: int):
     return link
 
 
+def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each shard's tree to (c, key, of, shard, fps)."""
+    for batch in batches:
+        made = [BKTree(_unsigned(x) for x in fps).packed() if fps else ([], []) for fps in batch.column(4).to_pylist()]
+        trees = [pa.array([m[k] for m in made], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.int8()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *trees], names=[*batch.schema.names, "parents", "edges"])
+
+
 def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     """nodes: distinct (fp long). Returns (a, b): links that connect all fingerprints within the radius."""
     top = _masks(list(range(64)), radius + 2, 2)
@@ -169,11 +193,12 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     shards = (
         entries.select("c", "key", "fp", count.alias("of"), F.pmod(F.xxhash64("fp"), count.cast("long")).cast("int").alias("shard"))
         .groupBy("c", "key", "of", "shard").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+        .mapInArrow(_planted, "c int, key long, of int, shard int, fps array<long>, parents array<int>, edges array<byte>")
     )
     pairs = (
         shards.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
         .groupBy("c", "key", F.least("shard", "other").alias("lo"), F.greatest("shard", "other").alias("hi"))
-        .agg(F.collect_list(F.struct("shard", "fps")).alias("shards"))
+        .agg(F.sort_array(F.collect_list(F.struct("shard", "fps", "parents", "edges"))).alias("shards"))
     )
     return pairs.select("shards").mapInArrow(_linker(radius), "a long, b long")
 
@@ -198,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Nulls and empty texts have fingerprint 0 and are linked like any other; a null doc_id is
     kept and never the smallest unless alone; repeated rows give repeated rows; an empty
-    table gives none; other columns of docs are not looked at.
+    table gives none; other columns of docs are not looked at; a very long text is one row of its task.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))

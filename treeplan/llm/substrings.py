@@ -15,10 +15,9 @@ their words:
   ranked by document and place.
 
 The sketch grows with the text (a counter of each row for eight bytes, about four for each
-anchor), so the share of unique windows that pass is the same at every size. Up to
-16 MB it is sent to all executors; a larger one stays where it was merged: the
-anchors are dealt to its blocks, and what is estimated repeated goes back to its document.
-Either way the same windows pass, and none is ever lost.
+anchor), so the share of unique windows that pass is the same at every size. It is never
+gathered or broadcast: its blocks stay where they were merged, the anchors are dealt to
+them, and those estimated repeated go back to their documents. No window is ever lost.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from treeplan.llm.shared import Members, attach, materialize, mixed, slices, utf8
+from treeplan.llm.shared import Members, attach, discard, materialize, mixed, slices, utf8
 
 #: Rows of counters; a merged counter is kept as one bit (counted twice or not).
 ROWS = 2
@@ -50,8 +49,6 @@ class Sizes:
     #: Counters of a block in a row are two to the power of this: at least, and at most; in between so that there are some `blocks`.
     block_bits: tuple[int, int] = (20, 23)
     blocks: int = 4096
-    #: Counters of all rows that are broadcast at most (2^27 bits are 16 MB).
-    broadcast: int = 1 << 27
     #: Windows that a task holds before it sends what it has decided.
     held: int = 300_000
     #: Text bytes that are hashed at a time; some 20 arrays of eight bytes for each are alive meanwhile.
@@ -157,10 +154,6 @@ class Layout:
         self.bits = min(max((counters // sizes.blocks).bit_length(), sizes.block_bits[0]), sizes.block_bits[1])
         self.blocks = max(1, -(-counters // (1 << self.bits)))
 
-    @property
-    def small(self) -> bool:
-        return ROWS * self.blocks << self.bits <= self.sizes.broadcast
-
     def block(self, anchors: np.ndarray) -> np.ndarray:
         high = mixed(anchors ^ _BASE) >> np.uint64(32)
         return (high * np.uint64(self.blocks) >> np.uint64(32)).astype(np.int64)
@@ -169,11 +162,11 @@ class Layout:
         """Within the block: the place of the counter among those of all rows."""
         return (mixed(anchors + np.uint64((row + 1) * int(_STEP) % 2**64)) >> np.uint64(64 - self.bits)).astype(np.int64) + (row << self.bits)
 
-    def repeated(self, bits: np.ndarray, base: np.ndarray | int, anchors: np.ndarray) -> np.ndarray:
-        """Whether all counters of each anchor counted two or more; bits: of blocks, of which its own starts at base."""
+    def repeated(self, bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+        """Whether all counters of each anchor of a block counted two or more."""
         out = np.ones(len(anchors), bool)
         for row in range(ROWS):
-            at = base + self.cell(anchors, row)
+            at = self.cell(anchors, row)
             out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
         return out
 
@@ -272,7 +265,7 @@ def repeated_anchors(docs: DataFrame, layout: Layout, counters: DataFrame, size:
         if not len(right):
             return rows.slice(0, 0)
         bits = np.frombuffer(right.column("bits")[0].as_py(), np.uint8)
-        return rows.filter(pa.array(layout.repeated(bits, 0, left.column("anchor").to_numpy().view(np.uint64))))
+        return rows.filter(pa.array(layout.repeated(bits, left.column("anchor").to_numpy().view(np.uint64))))
 
     question = docs.select("doc_id", "text").mapInArrow(asked, "block long, anchor long, doc_id long, tag int, at int")
     answer = question.groupBy("block").cogroup(counters.select(F.col("block").cast("long").alias("block"), "bits").groupBy("block")).applyInArrow(answered, "doc_id long, tag int, at int")
@@ -283,27 +276,18 @@ def repeated_windows(docs: DataFrame, size: int = 20, gram: int = 10, sizes: Siz
     """docs: (doc_id long, text string), no nulls. Returns, for documents that have any, the first words of
     the windows that also start earlier: (doc_id, tag int, at array<int>, decided array<binary>); decided
     holds more of them as little-endian 32-bit numbers."""
-    spark = docs.sparkSession
     layout = Layout(docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0, sizes)
-    counters = sketch(docs, layout, size, gram)
-    if layout.small:
-        per = ROWS << layout.bits >> 3
-        got, empty = {r.block: bytes(r.bits) for r in counters.collect()}, bytes(per)  # bounded by layout.small
-        bits = spark.sparkContext.broadcast(b"".join(got.get(k, empty) for k in range(layout.blocks)))
-        texts = docs.select("doc_id", "text", F.lit(None).cast("array<int>").alias("heads"))
-    else:
-        bits = None
-        heads = materialize(repeated_anchors(docs, layout, materialize(counters, "sketch"), size, gram), "heads")
-        some = docs.where(Members(heads.select("doc_id")).may_hold(F.col("doc_id")))
-        texts = _tagged(some).join(heads, ["doc_id", "tag"]).select("doc_id", "text", "heads")
+    counters = materialize(sketch(docs, layout, size, gram), "sketch")
+    heads = materialize(repeated_anchors(docs, layout, counters, size, gram), "heads")
+    discard(counters)
+    # only documents that have repeated anchors are dealt to meet them
+    some = docs.where(Members(heads.select("doc_id")).may_hold(F.col("doc_id")))
+    texts = _tagged(some).join(heads, ["doc_id", "tag"]).select("doc_id", "text", "heads")
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None if bits is None else np.frombuffer(bits.value, np.uint8)
         held, n = [], 0
 
         def passed(w: Windows, part: pa.RecordBatch) -> np.ndarray:
-            if counts is not None:
-                return np.flatnonzero(layout.repeated(counts, layout.block(w.anchor) * (ROWS << layout.bits), w.anchor))
             k = w.heads()
             place = np.repeat(k, np.diff(np.append(k, len(w.anchor))))  # of each window the first with its anchor
             lists = part.column(2)

@@ -271,6 +271,23 @@ def test_spare_forests():
     assert sent(0) == 5 and sent(19) > 10 and sent(21) == 0
 
 
+def test_likeliest_links_step_by_step():
+    """The same links as one by one over all forests, through several steps and with ties."""
+    rng = np.random.default_rng(5)
+    n = 150
+    pairs = np.array([(x, y) for x in range(n) for y in range(x)])
+    equal = np.where(pairs.sum(axis=1) % 2, rng.integers(85, 129, len(pairs)), rng.integers(60, 100, len(pairs)))
+    pairs = pairs[equal >= 87]
+    equal = equal[equal >= 87]
+    forests, want = [shared.Forest() for _ in range(simhash.SPARE)], []
+    for lack, x, y in sorted(zip((-equal).tolist(), *pairs.T.tolist())):
+        joined = [f.join(x, y) for f in forests] if -lack >= 118 else [any(f.join(x, y) for f in forests)]
+        if all(joined):
+            want.append((x, y))
+    x, y = simhash._likeliest(equal, pairs[:, 0], pairs[:, 1], n, 118)
+    assert len(pairs) > 4096 and list(zip(x.tolist(), y.tolist())) == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]

@@ -255,35 +255,52 @@ def _set_hash(distinct: np.ndarray) -> int:
     return _signed(xxh64_intdigest(distinct.astype("<u8").tobytes(), 42))
 
 
+def _likeliest(equal: np.ndarray, x: np.ndarray, y: np.ndarray, n: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of links (x, y) among n nodes with so many equal min-hashes, those of SPARE spanning forests of the
+    likeliest; one of at least `sure` needs no other beside it. Links inside trees of all forests are passed
+    over together, step by step, so a dense group costs little more than its forests."""
+    forests = [Forest() for _ in range(SPARE)]
+    order, kept = np.lexsort((y, x, -equal)), []
+    for at in range(0, len(order), 2048):
+        some = order[at : at + 2048]
+        roots = np.array([[f.root(v) for v in range(n)] for f in forests])
+        for k in some[(roots[:, x[some]] != roots[:, y[some]]).any(axis=0)].tolist():
+            ends = int(x[k]), int(y[k])
+            if equal[k] >= sure:
+                new = all([f.join(*ends) for f in forests])
+            else:
+                new = any(f.join(*ends) for f in forests)
+            if new:
+                kept.append(k)
+    return x[kept], y[kept]
+
+
 def _proposed(similarity: float):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for shards in batch.column(0).to_pylist():
                 sides = [s["nodes"] for s in shards]
-                first, rest = sides[0], sides[-1]
-                by: dict[int, list[dict]] = {}
-                for x in first:
-                    by.setdefault(_unsigned(x["fp"]), []).append(x)
+                nodes = np.unique([x["node"] for side in sides for x in side])
+                sigs = np.zeros((len(nodes), HASHES), np.uint8)
+                by: dict[int, list[int]] = {}
+                for side in sides:
+                    for x in side:
+                        x["at"] = int(np.searchsorted(nodes, x["node"]))
+                        sigs[x["at"]] = np.frombuffer(x["sig"], np.uint8)
+                for x in sides[0]:
+                    by.setdefault(_unsigned(x["fp"]), []).append(x["at"])
                 tree, found = BKTree(by), []
-                for x in rest:
-                    own = np.frombuffer(x["sig"], np.uint8)
-                    for fp in tree.near(_unsigned(x["fp"]), REACH):
-                        for y in by[fp]:
-                            if x["node"] == y["node"] or len(shards) == 1 and x["node"] < y["node"]:
-                                continue
-                            alike = (np.frombuffer(y["sig"], np.uint8) == own).mean()
-                            if alike >= similarity - SHORT:
-                                found.append((-alike, x["node"], y["node"]))
-                forests = [Forest() for _ in range(SPARE)]
-                for lack, x, y in sorted(found):  # the likeliest links first
-                    if -lack >= similarity + SHORT:  # needs no other beside it
-                        new = all([f.join(x, y) for f in forests])
-                    else:
-                        new = any(f.join(x, y) for f in forests)
-                    if new:
-                        a.append(x)
-                        b.append(y)
+                for x in sides[-1]:
+                    near = np.array([y for fp in tree.near(_unsigned(x["fp"]), REACH) for y in by[fp]], np.int64)
+                    near = near[near < x["at"]] if len(shards) == 1 else near[near != x["at"]]
+                    equal = (sigs[near] == sigs[x["at"]]).sum(axis=1)
+                    enough = equal >= (similarity - SHORT) * HASHES
+                    found.append((equal[enough], np.full(int(enough.sum()), x["at"]), near[enough]))
+                if found:
+                    x, y = _likeliest(*(np.concatenate(c) for c in zip(*found, strict=True)), len(nodes), (similarity + SHORT) * HASHES)
+                    a += nodes[x].tolist()
+                    b += nodes[y].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return link

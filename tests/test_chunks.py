@@ -88,9 +88,10 @@ def plain_boundaries(data, p):
     return cuts
 
 
-@pytest.mark.parametrize("piece, warm", [(4 << 20, 128), (3000, 128), (3000, 8)])
-def test_lanes_match_the_plain_loop(monkeypatch, piece, warm):
-    """Also where contents are cut into pieces, and where guesses are often wrong."""
+@pytest.mark.parametrize("piece, warm, many", [(4 << 20, 128, 64), (3000, 128, 64), (3000, 8, 64), (4 << 20, 128, 2), (3000, 128, 1), (4 << 20, 8, 2)])
+def test_lanes_match_the_plain_loop(monkeypatch, piece, warm, many):
+    """Also where contents are cut into pieces, where guesses are often wrong, and with contents stepped side by side."""
+    monkeypatch.setattr(chunks, "MANY", many)
     monkeypatch.setattr(chunks, "PIECE", piece)
     monkeypatch.setattr(chunks, "WARM", warm)
     rng = random.Random(3)
@@ -101,3 +102,23 @@ def test_lanes_match_the_plain_loop(monkeypatch, piece, warm):
         assert [chunks.boundaries(d, p) for d in made] == want
         assert list(chunks.boundaries_of(made, p)) == want
     assert list(chunks.boundaries_of([b"", b""], chunks.CdcParams(256))) == [[], []]
+
+
+def test_contents_side_by_side():
+    """Many contents in one step, of few and of many values, against the plain loop."""
+    rng = random.Random(11)
+    made = [bytes(rng.choices(range(rng.choice([1, 2, 5, 256])), k=rng.choice([0, 1, 63, 64, 65, 128, 256, 257, 1025, 3000]))) for _ in range(400)]
+    for p in (CdcParams(256), CdcParams(300, 100, 320), CdcParams(512, 300, 700)):
+        assert list(chunks.boundaries_of(made, p)) == [plain_boundaries(d, p) for d in made]
+
+
+def test_few_files_are_dealt(spark, sf, tmp_path):
+    """One file of a table goes to all cores; as many files as cores stay where they are read."""
+    rows = catalog._src(spark, sf).select("rel_path", "text", "size")
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(rel_path")
+    assert shuffles(chunks.cdc_chunks(rows, 256)) == 1
+    cores = spark.sparkContext.defaultParallelism
+    rows.repartition(cores).write.parquet(str(tmp_path / "many"))
+    many = chunks.cdc_chunks(spark.read.parquet(str(tmp_path / "many")), 256)
+    assert shuffles(many) == 0
+    assert sorted(many.collect()) == sorted(chunks.cdc_chunks(rows, 256).collect())

@@ -61,6 +61,8 @@ class CdcParams:
 
 #: Bytes whose hashes are held at a time (at least twice the largest chunk); bytes of a lane, and those it warms up on.
 PIECE, LANE, WARM = 4 << 20, 1024, 128
+#: So many open contents are stepped side by side; two answers beside the place of a cut.
+MANY, NONE, UNKNOWN = 64, -1, -2
 
 
 def running_hashes(raw: np.ndarray) -> np.ndarray:
@@ -92,14 +94,53 @@ def running_hashes(raw: np.ndarray) -> np.ndarray:
     return flat
 
 
+def _following_many(raw: np.ndarray, running: np.ndarray, hits: list[np.ndarray], starts: np.ndarray, stops: np.ndarray, p: CdcParams) -> np.ndarray:
+    """following() for many chunks side by side: where each next one starts, NONE without, UNKNOWN if its hash did not meet
+    the running one soon."""
+    table, one, out = np.array(gear(), np.uint64), np.uint64(1), np.full(len(starts), NONE)
+    own = np.flatnonzero(starts + p.least < stops)  # others are too short to be cut
+    first, stop, h = starts[own], stops[own], np.zeros(len(own), np.uint64)
+    warm = min(p.least, WARM)
+    for k in range(warm):  # no cut may be here
+        h = (h >> one) + table[raw[first + k]]
+    met = np.where(h == running[first + warm - 1], first + warm, UNKNOWN)
+    open_, out[own] = np.flatnonzero(met == UNKNOWN), UNKNOWN
+    h = h[open_]
+    for k in range(warm, warm + WARM):
+        at = first[open_] + k
+        inside = at < stop[open_]
+        out[own[open_[~inside]]] = NONE
+        open_, h, at = open_[inside], h[inside], at[inside]
+        if not len(open_):
+            break
+        h = (h >> one) + table[raw[at]]
+        cut = np.zeros(len(at), bool) if k < p.least else np.ones(len(at), bool) if k >= p.most else (h & np.uint64(p.masks[k >= p.target])) == 0
+        out[own[open_[cut]]] = at[cut]
+        same = (h == running[at]) & ~cut
+        met[open_[same]] = at[same] + 1
+        keep = ~cut & ~same
+        open_, h = open_[keep], h[keep]
+    rest = np.flatnonzero(met != UNKNOWN)
+    for found, low, high in ((hits[0], p.least, p.target), (hits[1], p.target, p.most)):
+        if len(found):
+            k = np.searchsorted(found, np.maximum(met[rest], first[rest] + low))
+            next_ = found[np.minimum(k, len(found) - 1)]
+            cut = (k < len(found)) & (next_ < np.minimum(first[rest] + high, stop[rest]))
+            out[own[rest[cut]]] = next_[cut]
+            rest = rest[~cut]
+    last = first[rest] + p.most
+    out[own[rest]] = np.where(last < stop[rest], last, NONE)
+    return out
+
+
 def _cuts(raw: np.ndarray, starts: list[int], p: CdcParams) -> list[list[int]]:
     """For each content raw[starts[i] : starts[i + 1]], where its chunks start, counted in raw.
 
     A chunk's own hash starts anew with it; it is stepped until it meets the running hash, from where on both are one
-    and the next cut is the next hit of that."""
-    running, (hard, easy), out = running_hashes(raw), p.masks, []
-    hits = [np.flatnonzero((running & np.uint64(m)) == 0).tolist() for m in (hard, easy)]
-    value = gear()
+    and the next cut is the next hit of that. As long as many contents are open, their chunks are stepped side by side."""
+    running, (hard, easy) = running_hashes(raw), p.masks
+    places = [np.flatnonzero((running & np.uint64(m)) == 0) for m in (hard, easy)]
+    hits, value = [x.tolist() for x in places], gear()
 
     def following(start: int, stop: int) -> int | None:
         h, met = 0, None
@@ -122,11 +163,22 @@ def _cuts(raw: np.ndarray, starts: list[int], p: CdcParams) -> list[list[int]]:
                 return found[k]
         return start + p.most if start + p.most < stop else None
 
-    for start, stop in zip(starts, starts[1:]):
-        cuts = [start] if stop > start else []
-        while cuts and (cut := following(cuts[-1], stop)) is not None:
+    out = [[start] if stop > start else [] for start, stop in zip(starts, starts[1:])]
+    begin = np.array(starts, np.int64)
+    active = np.flatnonzero(begin[1:] > begin[:-1])
+    now = begin[active]
+    while len(active) >= MANY:
+        cut = _following_many(raw, running, places, now, begin[active + 1], p)
+        for j in np.flatnonzero(cut == UNKNOWN).tolist():
+            found = following(int(now[j]), int(begin[active[j] + 1]))
+            cut[j] = NONE if found is None else found
+        active, now = active[cut != NONE], cut[cut != NONE]
+        for i, at in zip(active.tolist(), now.tolist()):
+            out[i].append(at)
+    for i in active.tolist():
+        cuts, stop = out[i], starts[i + 1]
+        while (cut := following(cuts[-1], stop)) is not None:
             cuts.append(cut)
-        out.append(cuts)
     return out
 
 
@@ -191,10 +243,17 @@ def cdc_chunks(files: DataFrame, target: int) -> DataFrame:
                         path.append(name), idx.append(k), off.append(a), size.append(b - a), digest.append(sha256(data[a:b]).hexdigest())
                 yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), *(pa.array(np.array(x, np.int64)) for x in (idx, off, size)), pa.array(digest, pa.string())], names=["rel_path", "idx", "off", "len", "h"])
 
-    rows = files.where("size > 0").select("rel_path", content_of(files).alias("content"))
+    rows = _dealt(files.where("size > 0").select("rel_path", content_of(files).alias("content")))
     return rows.mapInArrow(cut, "rel_path string, idx long, off long, len long, h string")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows, dealt by path if they come from fewer table files than there are cores: such a file may be one row group, so one
+    task, and hashing a content costs several times what its exchange does. Larger tables and live trees stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, "rel_path") if 0 < len(rows.inputFiles()) < cores else rows
+
+
 def _pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose contents hold at most `limit` bytes together, or one row; nothing is copied."""
     at = total = 0

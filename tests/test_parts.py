@@ -225,24 +225,41 @@ def test_links_across_directories(spark):
     assert {r.rel_path: (r.size, r.mtime_ns, r.is_symlink) for r in got} == {p: (5, 1, False) for p in ("a/f", "b/l", "l2", "l3")}
 
 
-def test_batches_of_null_streams(spark):
-    rng = random.Random(6)
-    rows = [(rng.choice(["s", None]), k, rng.choice([None, 1, 5, 30])) for k in range(200)]
-    frame = spark.createDataFrame(rows, "stream string, at long, size long")
-    got = batching.greedy(frame, "stream", "at", files=4, limit=12, alone=20).collect()
-    want = {}
-    for s in ("s", None):
+def plain_batches(rows, files, limit, alone):
+    """{(stream, at, size): batches}, row by row."""
+    out = {}
+    for s in {r[0] for r in rows}:
         batch = n = total = 0
-        for _, k, size in sorted((r for r in rows if r[0] == s), key=lambda r: r[1]):
-            size = size or 0
-            if size > 20:
+        for row in sorted((r for r in rows if r[0] == s), key=lambda r: (r[1], -1 if r[2] is None else r[2])):
+            size = row[2] or 0
+            if size > alone:
                 batch += n > 0
-                want[k], batch, n, total = batch, batch + 1, 0, 0
+                out.setdefault(row, []).append(batch)
+                batch, n, total = batch + 1, 0, 0
                 continue
-            want[k], n, total = batch, n + 1, total + size
-            if n >= 4 or total >= 12:
+            out.setdefault(row, []).append(batch)
+            n, total = n + 1, total + size
+            if n >= files or total >= limit:
                 batch, n, total = batch + 1, 0, 0
-    assert {r.at: r.batch for r in got} == want
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("files, limit, alone, block", [(4, 12, 20, 1 << 18), (4, 12, 20, 1), (3, 1000, 9, 7), (5, 30, 25, 16), (1, 10, 5, 4)])
+def test_batches_by_blocks(spark, files, limit, alone, block):
+    """Blocks of any size give the batches of one fold; null streams and sizes, ties, streams of one row."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", None, "c"]), i if rng.random() < 0.9 else i // 2, rng.choice([None, 0, 1, 3, 7, 10, 25, 31])) for i in range(400)] + [("one", 1, 50), ("two", 1, 1), ("two", 2, 99)]
+    got = {}
+    for r in batching.greedy(spark.createDataFrame(rows, "stream string, at long, size long"), "stream", "at", files, limit, alone, block).collect():
+        got.setdefault(tuple(r)[:3], []).append(r.batch)
+    assert {k: sorted(v) for k, v in got.items()} == plain_batches(rows, files, limit, alone)
+
+
+def test_batches_of_null_streams(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["s", None]), k, rng.choice([None, 1, 5, 30])) for k in range(200)]
+    frame = spark.createDataFrame(rows, "stream string, at long, size long")
+    assert batching.greedy(frame.limit(0), "stream", "at").collect() == []
     named = batching.greedy(frame.where("stream = 's'"), "stream", "at", files=4).withColumn("rel_path", F.col("at").cast("string"))
     sent = batching.payloads(named, frame.select(F.col("at").cast("string").alias("rel_path"), F.encode(F.concat(F.lit("<"), F.col("at").cast("string")), "UTF-8").alias("content")), "stream", "at").collect()
     assert all(bytes(r.payload) == b"".join(b"<" + p.encode() for p in r.rel_paths) and sum(r.lengths) == len(r.payload) for r in sent)

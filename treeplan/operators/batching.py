@@ -5,15 +5,19 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from treeplan.operators.ranking import running
 
 #: A batch closes at so many files or bytes; a larger file goes alone.
 FILES, BYTES, ALONE = 256, 64 << 20, 4 << 20
+#: Rows that are batched in one step; a bound of memory that changes no result.
+BLOCK = 1 << 18
 
 
 def frames(rows: DataFrame, stream: str, order: str, size: int) -> DataFrame:
@@ -21,36 +25,81 @@ def frames(rows: DataFrame, stream: str, order: str, size: int) -> DataFrame:
     return running(rows, stream, order).withColumn("frame", F.expr(f"(nth - 1) div {size}").cast("long")).drop("nth")
 
 
-def greedy(rows: DataFrame, stream: str, order: str, files: int = FILES, limit: int = BYTES, alone: int = ALONE) -> DataFrame:
+def _closings(size: np.ndarray, files: int, limit: int, alone: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, if a batch began there: the row after which nothing is open again, and how many batches that took."""
+    n, at = len(size), np.arange(len(size))
+    sums = np.concatenate([[0], np.cumsum(size)])
+    full = np.minimum(np.minimum(np.maximum(np.searchsorted(sums, sums[:-1] + limit), at + 1), at + files), n)
+    big = np.append(np.flatnonzero(size > alone), n)
+    lone = big[np.searchsorted(big, at)]
+    first = lone < full  # closes what is open, and is a batch of its own
+    return np.where(first, lone + 1, full), np.where(first & (lone > at), 2, 1)
+
+
+def greedy(rows: DataFrame, stream: str, order: str, files: int = FILES, limit: int = BYTES, alone: int = ALONE, block: int = BLOCK) -> DataFrame:
     """Adds batch: rows of each stream in order; a batch closes once it has `files` rows or `limit` bytes, and a
     row of over `alone` bytes closes the one before and is its own. Columns: stream, order and size. A null stream is
-    one, a null size is 0.
-
-    Resets make this a fold: one pass over the sorted stream, its state carried from batch to batch."""
+    one, a null size is 0; rows equal in order go by size.
 
-    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    No stream is a task of its own. Rows are numbered and cut into blocks, each with the first `files` rows of the next
+    one. A batch has at most so many rows, so the first one that begins in a block begins at one of its first `files`
+    rows: a block says for each of these where the next block would begin and how many batches lie between. Only these
+    short tables are followed along a stream; then every block numbers its own batches."""
+    block, files = max(block, files, 1), max(files, 1)
+    kept = rows.select(stream, order, "size")
+    named = kept.select(F.col(stream).alias("s"), F.col(order).alias("o"), F.col("size").alias("size"))
+    numbered = running(named, "s", F.struct("o", "size")).select("s", "o", "size", (F.col("nth") - 1).alias("at"))
+    own = F.expr(f"at div {block}")
+    both = F.when((F.col("at") % block < files) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = numbered.withColumn("block", F.explode(both))
+
+    def ready(table: pa.Table) -> tuple[pa.Table, int, np.ndarray, np.ndarray]:
+        table = table.sort_by("at")
+        at = table.column("at").to_numpy()
+        size = np.array(pc.fill_null(table.column("size").cast(pa.int64()), 0).to_numpy())
+        return table, int((at // block == table.column("block")[0].as_py()).sum()), *_closings(size, files, limit, alone)
+
+    def ways(table: pa.Table) -> pa.Table:
+        table, n, after, took = ready(table)
+        to, count = after.tolist(), took.tolist()
+        for i in range(n - 1, -1, -1):
+            if to[i] < n:
+                to[i], count[i] = to[to[i]], count[i] + count[to[i]]
+        some = min(n, files)
+        lists = [pa.array([[x - n for x in to[:some]]], pa.list_(pa.int64())), pa.array([count[:some]], pa.list_(pa.int64()))]
+        return pa.Table.from_arrays([table.column("s").slice(0, 1), table.column("block").slice(0, 1), *lists], names=["s", "block", "to", "count"])
+
+    def followed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = nothing = object()  # no key equals it, null is one
-        batch = n = total = 0
+        first = batch = 0
         for part in parts:
-            out = []
-            for key, size in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+            begins, batches = [], []
+            for key, to, count in zip(*(part.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                 if now is nothing or key != now:
-                    now, batch, n, total = key, 0, 0, 0
-                size = size or 0
-                if size > alone:
-                    batch += n > 0
-                    out.append(batch)
-                    batch, n, total = batch + 1, 0, 0
-                    continue
-                out.append(batch)
-                n, total = n + 1, total + size
-                if n >= files or total >= limit:
-                    batch, n, total = batch + 1, 0, 0
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], names=[*part.schema.names, "batch"])
-
-    kept = rows.select(stream, order, "size")
-    dealt = kept.repartition(stream).sortWithinPartitions(stream, order)
-    return dealt.mapInArrow(fold, StructType([*kept.schema.fields, StructField("batch", LongType())]))
+                    now, first, batch = key, 0, 0
+                begins.append(first), batches.append(batch)
+                if first < len(to):
+                    first, batch = to[first], batch + count[first]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(begins, pa.int64()), pa.array(batches, pa.int64())], names=["t", "own", "first", "batch"])
+
+    def batched(table: pa.Table) -> pa.Table:
+        table, n, after, took = ready(table)
+        begins, at, to = [], table.column("first")[0].as_py(), after.tolist()
+        first = end = at
+        while at < n:
+            begins.append(at)
+            at = end = to[at]
+        begins = np.array(begins, np.int64)
+        ends, steps = np.append(begins[1:], end)[: len(begins)], took[begins]
+        batch = np.repeat(table.column("batch")[0].as_py() + np.cumsum(steps) - steps, ends - begins)
+        batch[ends[steps == 2] - 1 - first] += 1
+        return table.select(["s", "o", "size"]).slice(first, end - first if len(begins) else 0).append_column("batch", pa.array(batch, pa.int64()))
+
+    kinds = [StructField(new, f.dataType) for new, f in zip(("s", "o", "size"), kept.schema.fields, strict=True)]
+    tables = dealt.groupBy("s", "block").applyInArrow(ways, StructType([kinds[0], StructField("block", LongType()), StructField("to", ArrayType(LongType())), StructField("count", ArrayType(LongType()))]))
+    entries = tables.repartition("s").sortWithinPartitions("s", "block").mapInArrow(followed, StructType([StructField("t", kinds[0].dataType), *(StructField(x, LongType()) for x in ("own", "first", "batch"))]))
+    joined = dealt.join(entries, F.col("s").eqNullSafe(F.col("t")) & (F.col("block") == F.col("own"))).drop("t", "own")
+    return joined.groupBy("s", "block").applyInArrow(batched, StructType([*kinds, StructField("batch", LongType())])).toDF(*kept.columns, "batch")
 
 
 def payloads(batches: DataFrame, contents: DataFrame, stream: str, order: str) -> DataFrame:

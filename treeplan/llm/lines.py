@@ -33,6 +33,8 @@ WHITE = " \t\n\x0b\x0c\r"
 LEAST = 10
 #: Buckets of a shard's filter (a power of two), entries of a bucket, and the keys that a shard is made for.
 BUCKETS, SLOTS, SHARD_KEYS = 1 << 14, 4, 40_000
+#: How many times those keys make a shard too full, references counted for keys.
+FULL = 1.25
 #: Entries moved for one that finds no place, before it goes to the shard's list of homeless cells.
 MOVES = 200
 #: Bits of a cell: 16 of the fingerprint, then those of the smaller bucket.
@@ -80,7 +82,11 @@ class Cuckoo:
     def copies(self, cells: np.ndarray) -> np.ndarray:
         print_, one, two = self._parts(cells)
         n = (self.table[one] == print_[:, None]).sum(axis=1) + np.where(one == two, 0, (self.table[two] == print_[:, None]).sum(axis=1))
-        return n + np.array([self.homeless.count(c) for c in cells.tolist()], np.int64) if self.homeless else n
+        if self.homeless:
+            at, counts = np.unique(np.array(self.homeless), return_counts=True)
+            k = np.minimum(np.searchsorted(at, cells), len(at) - 1)
+            n = n + np.where(at[k] == cells, counts[k], 0)
+        return n
 
     def add(self, cells: np.ndarray) -> None:
         for side in (1, 2):
@@ -99,8 +105,9 @@ class Cuckoo:
             self._push(cell)
 
     def _push(self, cell: int) -> None:
-        """Puts an entry into a full bucket; what stood there moves to its other bucket, and so on."""
-        for move in range(MOVES):
+        """Puts an entry into a full bucket; what stood there moves to its other bucket, and so on. In a filter that had no place before, no
+        more is tried."""
+        for move in range(0 if len(self.homeless) > SLOTS else MOVES):
             print_, one, two = (int(x[0]) for x in self._parts(np.array([cell])))
             bucket = one if move == 0 else two if bucket == one else one  # noqa: F821 - set by the move before
             free = np.flatnonzero(self.table[bucket] == 0)
@@ -258,11 +265,14 @@ def empty(spark: SparkSession, keys: int = 0) -> Index:
 
 
 def insert(index: Index | None, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> Index:
-    """The index with these documents too; rows it holds already must be removed first. Where shards get too full all filters are
-    made again for twice the keys."""
+    """The index with these documents too; rows it holds already must be removed first. Where shards would get too full all filters
+    are made again first, for twice the keys."""
     new = materialize(references(docs, id_col, text_col, least), "references")
     n = new.count()
     index = index or empty(docs.sparkSession, n)
+    n += index.refs.count()
+    if n > index.shards * FULL * SHARD_KEYS:
+        index = resharded(index, 2 * n)
     refs = index.refs.unionByName(new)
     turned = materialize(_turned(index.filters, _met(new, index.shards), "met"), "turned")
     may = Members(turned.select(F.explode("marks").alias("cell"))).may_hold(_whole_cell(index.shards))
@@ -272,9 +282,7 @@ def insert(index: Index | None, docs: DataFrame, id_col: str = "doc_id", text_co
     shared = keys.groupBy(_shard(index.shards).alias("shard"), _cell().alias("cell")).agg(F.count("*").cast("int").alias("n")).where("n > 1")
     filters = materialize(_turned(turned.select("shard", "bits", "homeless"), shared, "hold").drop("marks"), "filters")
     counts = index.counts.join(counted.select("key"), "key", "left_anti").unionByName(counted)
-    made = Index(refs, counts, filters, index.shards)
-    held = filters.agg(F.max(F.size("homeless"))).first()[0] or 0
-    return resharded(made, 2 * refs.count()) if held > SLOTS else made
+    return Index(refs, counts, filters, index.shards)
 
 
 def remove(index: Index, ids: DataFrame, id_col: str = "doc_id") -> Index:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from treeplan.functions import paths, rules
 from treeplan.operators import batching, chunks, delta, extents, ranking, rebuild, stats
 from treeplan.options import SyncOptions
-from treeplan.plans import manifest, sync
+from treeplan import work
+from treeplan.plans import log, manifest, sync
 from treeplan.sources import fs_tree, snapshots
+from treeplan.streaming import keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -600,6 +602,76 @@ def sparse_copy(spark, d):
     return extents.copied(_extents(spark, d))
 
 
+#: Three snapshots in a row, the second and third with what is gone since the one before.
+EVENTS = FILES + """, third AS (SELECT * REPLACE (mtime_ns + CASE WHEN doc_id % 3 = 0 THEN 1000000000 ELSE 0 END AS mtime_ns, size + doc_id % 7 // 6 AS size) FROM src WHERE doc_id % 10 <> 0),
+ev AS (SELECT 1 AS seq, rel_path, size, mtime_ns, false AS gone FROM dst
+    UNION ALL SELECT 2, rel_path, size, mtime_ns, false FROM src UNION ALL SELECT 2, rel_path, size, mtime_ns, true FROM dst WHERE rel_path NOT IN (SELECT rel_path FROM src)
+    UNION ALL SELECT 3, rel_path, size, mtime_ns, false FROM third UNION ALL SELECT 3, rel_path, size, mtime_ns, true FROM src WHERE doc_id % 10 = 0)
+"""
+
+
+@query(EVENTS + """SELECT seq, rel_path, CASE WHEN gone THEN 'delete' WHEN had IS NULL OR was_gone THEN 'copy_new' WHEN size = had AND mtime_ns = was THEN 'skip' ELSE 'copy_full' END AS action,
+    CASE WHEN gone THEN had ELSE size END AS size, CASE WHEN NOT coalesce(was_gone, true) THEN had END AS dst_size
+    FROM (SELECT *, lag(size) OVER w AS had, lag(mtime_ns) OVER w AS was, lag(gone) OVER w AS was_gone FROM ev WINDOW w AS (PARTITION BY rel_path ORDER BY seq))""")
+def stream_plan(spark, d):
+    """Snapshots that arrive one after another, planned from state kept by path."""
+    place, s = work.new_folder(spark), _src(spark, d)
+    i = F.col("doc_id")
+    third = s.where(i % 10 != 0).withColumns({"mtime_ns": F.col("mtime_ns") + F.when(i % 3 == 0, 1000000000).otherwise(0), "size": F.col("size") + F.expr("doc_id % 7 div 6")})
+    states = [_dst(spark, d), s, third]
+    for k, files in enumerate(states):
+        keyed.snapshot(files, k + 1, states[k - 1] if k else None).write.mode("append").parquet(f"{place}/in")
+        if k != 1:  # the second and third come in one batch
+            keyed.run_available(spark, f"{place}/in", f"{place}/out", f"{place}/state", SyncOptions(delete=True))
+    return spark.read.parquet(f"{place}/out").withColumn("seq", F.col("seq").cast("int"))
+
+
+@query(FILES + "SELECT s.rel_path, s.size, s.mtime_ns, CASE WHEN s.size = d.size AND s.mtime_ns = d.mtime_ns THEN d.mode ELSE s.mode END AS mode FROM src s LEFT JOIN dst d USING (rel_path)")
+def manifest_log(spark, d):
+    """A destination's manifest as a log: its base, an entry of what a plan changes, and both merged."""
+    place, s, t = work.new_folder(spark), _src(spark, d), _dst(spark, d)
+    log.commit(spark, place, 0, t, "src", "base")
+    log.commit(spark, place, 1, log.changes(sync.plan(s, log.load(spark, place), SyncOptions(delete=True)), s), "src")
+    return log.load(spark, place).select("rel_path", "size", "mtime_ns", "mode")
+
+
+@query(FILES + """, l AS (SELECT doc_id, rel_path, size, doc_id % 40 <> 0 AS link, doc_id - 1 AS next FROM src),
+way AS (SELECT rel_path, next FROM l WHERE link), found AS (
+    WITH RECURSIVE f AS (SELECT rel_path, next FROM way UNION ALL SELECT f.rel_path, l.next FROM f JOIN l ON l.doc_id = f.next AND l.link) SELECT f.rel_path, l.size FROM f JOIN l ON l.doc_id = f.next AND NOT l.link)
+SELECT rel_path, size FROM l WHERE NOT link UNION ALL SELECT rel_path, size FROM found""")
+def link_chains(spark, d):
+    """Links that point to links, up to 39 in a row."""
+    s = _src(spark, d).drop("text")
+    before = s.select((F.col("doc_id") + 1).alias("doc_id"), F.concat(F.lit("/"), "rel_path").alias("target"))
+    link = F.col("doc_id") % 40 != 0
+    up = F.concat(F.repeat(F.lit("../"), F.size(F.split("rel_path", "/")) - 1), F.substring("target", 2, 1000))
+    chained = s.join(before, "doc_id", "left").withColumns({"is_symlink": link, "symlink_target": F.when(link, F.coalesce(up, F.lit("nowhere")))})
+    return snapshots.resolved_links(chained).select("rel_path", "size")
+
+
+@query(FILES + f"SELECT parent, count(*) AS files, string_agg(n || ':' || size, ' ' ORDER BY n) AS names FROM (SELECT {PARENT} AS parent, string_split(rel_path, '/')[-1] AS n, size FROM src) GROUP BY parent")
+def names_by_dir(spark, d):
+    made = manifest.names_by_directory(_src(spark, d))
+    return made.select("parent", F.size("entries").cast("long").alias("files"), F.array_join(F.transform("entries", lambda e: F.concat(e["name"], F.lit(":"), e["size"].cast("string"))), " ").alias("names"))
+
+
+@query(DIRS + f", k AS (SELECT DISTINCT {PARENT} AS rel_path FROM src WHERE source <> 'src1') SELECT rel_path, len(string_split(rel_path, '/')) AS depth FROM dd WHERE rel_path NOT IN (SELECT rel_path FROM k)")
+def orphan_dirs_pushed(spark, d):
+    made = sync.orphan_dirs_pushed(_src(spark, d).where("source <> 'src1'"), snapshots.directories(_dst(spark, d)))
+    return made.withColumn("depth", F.col("depth").cast("long"))
+
+
+@query(FILES + f"SELECT p.rel_path, p.action, l.size, CASE WHEN l.rel_path IS NULL THEN 'not in the local tree' END AS error FROM (SELECT s.rel_path, CASE {NEW} {SAME} ELSE 'copy_full' END AS action FROM src s LEFT JOIN dst d USING (rel_path)) p LEFT JOIN (SELECT * FROM src WHERE doc_id % 4 <> 0) l ON l.rel_path = p.rel_path WHERE p.action <> 'skip'")
+def looked_up(spark, d):
+    s = _src(spark, d)
+    return sync.looked_up(sync.plan(s, _dst(spark, d)), s.where("doc_id % 4 <> 0").select("rel_path", "size", "mtime_ns")).select("rel_path", "action", "size", "error")
+
+
+@query(FILES + f"SELECT DISTINCT {PARENT} AS parent FROM src")
+def parents(spark, d):
+    return manifest.parents(_src(spark, d))
+
+
 @query()
 def compression_ratio(spark, d):
     """Wire size of frames of 200 files and of single files, by source."""

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeplan.work import shared_folder
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder of spark.checkpoint.dir; only a local master may do without that setting."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        place = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not place:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            place = f"file://{tempfile.mkdtemp(prefix='treeplan-')}"
-        context.setCheckpointDir(place)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

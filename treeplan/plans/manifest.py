@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from treeplan.functions import paths
 from treeplan.options import SyncOptions
+from treeplan.plans import log, sync
+from treeplan.work import UNREADABLE
+from treeplan.sources import fs_tree
 from treeplan.sources.snapshots import META, dir_times
 
 VERSION = 4
@@ -34,19 +36,23 @@ def save(spark: SparkSession, path: str, snapshot_id: str, source_path: str, fil
 
 
 def _header(spark: SparkSession, place: str, source_path: str | None = None):
-    """The header's row, or None if there is no valid one of this version and source."""
+    """The header's row, or None if there is no valid one of this version and source; one that can't be read is none."""
     try:
         head = spark.read.parquet(f"{place}/header").first()
-    except AnalysisException:
+        named = head is None or all(head[c] is not None for c in ("version", "data", "source_path"))
+    except UNREADABLE:
         return None
-    return None if head is None or head.version != VERSION or source_path not in (None, head.source_path) else head
+    return None if not named or head is None or head.version != VERSION or source_path not in (None, head.source_path) else head
 
 
 def load(spark: SparkSession, path: str, snapshot_id: str, source_path: str | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """(files, dirs), or None if there is no valid manifest of this version and source."""
+    """(files, dirs), or None if there is no valid manifest of this version and source; a manifest may be a log."""
     place = f"{path}/{snapshot_id}"
     head = _header(spark, place, source_path)
-    return None if head is None else (spark.read.parquet(f"{place}/files-{head.data}"), spark.read.parquet(f"{place}/dirs-{head.data}"))
+    if head is None:
+        files = log.load(spark, place, source_path)
+        return None if files is None else (files, dir_times(files))
+    return (spark.read.parquet(f"{place}/files-{head.data}"), spark.read.parquet(f"{place}/dirs-{head.data}"))
 
 
 def load_toc(spark: SparkSession, path: str, snapshot_id: str, source_path: str | None = None):
@@ -65,6 +71,22 @@ def trusted(spark: SparkSession, path: str, snapshot_id: str, source_path: str,
     return toc is not None and unchanged(now_dirs, toc[1]).first().unchanged
 
 
+def trusted_now(spark: SparkSession, path: str, snapshot_id: str, root: str, o: SyncOptions) -> bool:
+    """trusted() of the live tree at root: only the directories that the manifest knows are looked at, on the executors."""
+    toc = load_toc(spark, path, snapshot_id, root)
+    return toc is not None and trusted(spark, path, snapshot_id, root, fs_tree.times_now(toc[1], root), o)
+
+
+def plan_live(spark: SparkSession, path: str, snapshot_id: str, root: str, o: SyncOptions = SyncOptions(), chain: list = ()) -> DataFrame | None:
+    """What a tree has for its destination, whose manifest is kept: None, without a scan, if its directories' times can be trusted and none has
+    changed; else the plan over a scan with rules and sizes pushed into it."""
+    if trusted_now(spark, path, snapshot_id, root, o):
+        return None
+    known = load(spark, path, snapshot_id, root)
+    src = fs_tree.scan(spark, root, chain, min_size=o.min_size, max_size=o.max_size).where("not is_dir and error is null")
+    return sync.plan(src, src.limit(0) if known is None else known[0], o, chain)
+
+
 def changed(planned: DataFrame) -> bool:
     """Whether a plan does anything, which is when its manifest is written again."""
     return not planned.where("action <> 'skip'").isEmpty()

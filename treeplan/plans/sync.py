@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeplan.functions import paths
 from treeplan.functions.rules import Rule, kept, verdict
+from treeplan.operators.chunks import content_of
 from treeplan.options import SyncOptions, parse_chmod, parse_chown
 
 #: Sizes that physical writers treat differently.
@@ -18,28 +19,44 @@ def same_time(o: SyncOptions) -> Column:
     return paths.seconds(gap) <= o.modify_window if o.modify_window else gap == 0
 
 
-def action(o: SyncOptions) -> Column:
-    """The ladder, first match first; columns of both sides are qualified s. and d."""
-    here = F.col("d.rel_path").isNotNull()
-    steps: list[tuple[Column, str]] = []
-    if o.existing:
-        steps.append((~here, "skip"))
+def ladder(o: SyncOptions) -> list[tuple[str, str]]:
+    """(condition, action), first match first, by the names that action() and decided() know."""
+    steps = [("absent", "skip")] if o.existing else []
     if o.ignore_existing:
-        steps.append((here, "skip"))
+        steps.append(("present", "skip"))
     if o.update:
-        steps.append((F.coalesce(F.col("d.mtime_ns") > F.col("s.mtime_ns"), F.lit(False)), "skip"))
-    steps.append((~here, "copy_new"))
+        steps.append(("newer", "skip"))
+    steps.append(("absent", "copy_new"))
     if o.whole_file:
-        steps.append((F.lit(True), "copy_full"))
+        steps.append(("any", "copy_full"))
     if o.checksum == "content":
-        steps.append((F.col("s.digest") == F.col("d.digest"), "skip"))
+        steps.append(("same_content", "skip"))
     elif o.checksum is None:
-        same = F.col("s.size") == F.col("d.size")
-        steps.append((same if o.size_only else same & same_time(o), "skip"))
+        steps.append(("same_size" if o.size_only else "same", "skip"))
+    return [*steps, ("any", "delta" if o.mode == "network" else "copy_full")]
+
+
+def action(o: SyncOptions) -> Column:
+    """The ladder as one ordered CASE; columns of both sides are qualified s. and d."""
+    here, same_size = F.col("d.rel_path").isNotNull(), F.col("s.size") == F.col("d.size")
+    meaning = {
+        "absent": lambda: ~here, "present": lambda: here, "newer": lambda: F.col("d.mtime_ns") > F.col("s.mtime_ns"), "any": lambda: F.lit(True),
+        "same_content": lambda: F.col("s.digest") == F.col("d.digest"), "same_size": lambda: same_size, "same": lambda: same_size & same_time(o),
+    }
     out = F.when(F.col("s.rel_path").isNull(), "delete")
-    for condition, word in steps:
-        out = out.when(condition, word)
-    return out.otherwise("delta" if o.mode == "network" else "copy_full")
+    for condition, word in ladder(o):
+        out = out.when(meaning[condition](), word)
+    return out
+
+
+def decided(o: SyncOptions, s: dict, d: dict | None) -> str:
+    """The ladder for one path, where its state is at hand: s and d have size and mtime_ns, d is None without a destination."""
+    known = d is not None and None not in (s["mtime_ns"], d["mtime_ns"])
+    same_size = d is not None and None not in (s["size"], d["size"]) and s["size"] == d["size"]
+    gap = abs(s["mtime_ns"] - d["mtime_ns"]) if known else None
+    same_time = known and (gap // 1_000_000_000 <= o.modify_window if o.modify_window else gap == 0)
+    meaning = {"absent": d is None, "present": d is not None, "newer": known and d["mtime_ns"] > s["mtime_ns"], "any": True, "same_size": same_size, "same": same_size and same_time}
+    return next(word for condition, word in ladder(o) if meaning[condition])
 
 
 def selected(files: DataFrame, o: SyncOptions, chain: list[Rule] = (), prune_children: bool = False) -> DataFrame:
@@ -59,11 +76,12 @@ def plan(src: DataFrame, dst: DataFrame, o: SyncOptions = SyncOptions(), chain:
     """(rel_path, action, size, dst_size, size_gap_large): one row for each path of src, and with o.delete one
     for each path that goes. size is the source's, or the destination's for `delete`.
 
-    Only metadata is joined. With o.delete one full outer join serves both sides; else a left join.
+    Only metadata is joined. With o.delete one full outer join serves both sides; else a left join. By content, digests are
+    taken where the rows are, from `content` or `text`, or from a column `digest`, which may be null for paths that same_size() leaves out.
     """
     s, d = selected(src, o, chain), dst
     if o.checksum == "content":
-        s, d = s.withColumn("digest", F.sha2(F.col("text"), 256)), d.withColumn("digest", F.sha2(F.col("text"), 256))
+        s, d = (f if "digest" in f.columns else f.withColumn("digest", F.sha2(content_of(f), 256)) for f in (s, d))
     columns = ["rel_path", "size", "mtime_ns", *(["digest"] if o.checksum == "content" else [])]
     gone = F.lit(True)
     if o.delete and chain and not o.delete_excluded:
@@ -76,6 +94,11 @@ def plan(src: DataFrame, dst: DataFrame, o: SyncOptions = SyncOptions(), chain:
     )
 
 
+def same_size(src: DataFrame, dst: DataFrame) -> DataFrame:
+    """(rel_path) of files whose contents a plan by content has to compare: others differ by their sizes already."""
+    return src.select("rel_path", "size").join(dst.select("rel_path", "size"), ["rel_path", "size"]).select("rel_path")
+
+
 def totals(planned: DataFrame) -> DataFrame:
     return planned.groupBy("action").agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"))
 

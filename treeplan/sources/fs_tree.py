@@ -2,31 +2,47 @@
 
 from __future__ import annotations
 
+import errno
 import filecmp
+import hashlib
+import json
 import os
+import re
 import shutil
+import socket
 import stat
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from treeplan.functions import paths
+from treeplan.functions.rules import Rule
+
 SCHEMA = "rel_path string, is_dir boolean, size long, mtime_ns long, mode int, is_symlink boolean, symlink_target string, uid long, gid long, dev long, ino long, error string"
 
 
-class _Subtree(InputPartition):
-    def __init__(self, path: str, deep: bool) -> None:
-        self.path, self.deep = path, deep
+#: Names of one directory that a partition looks at; a directory with more, if the driver opens it, is split.
+WIDE = 50_000
+
+
+class _Part(InputPartition):
+    """Directories to read: (path, whether to walk on, share, shares). Of a split directory a part looks at the names whose hash is its share."""
+
+    def __init__(self, tasks: list[tuple[str, bool, int, int]]) -> None:
+        self.tasks = tasks
 
 
 class FsTree(DataSource):
-    """spark.read.format("fs_tree").load(root); options recursive, links (preserve or follow), one_file_system, subtrees.
+    """spark.read.format("fs_tree").load(root); options recursive, links (preserve or follow), one_file_system, subtrees, and what scan() pushes
+    down: rules, prune_children, min_size, max_size.
 
-    The root must be visible to all executors. A partition is a subtree: directories are opened
-    level by level until there are `subtrees` of them (32) or no more. Rows are files and
-    directories, the root left out. What cannot be read becomes a row with `error`, links that
+    The root must be visible to all executors. Directories are opened level by level until there are `subtrees` of them (32) or no more;
+    these, with what is below, are packed into at most `subtrees` partitions. A directory of over WIDE names that was opened so is split by
+    name. Rows are files and directories, the root left out. What cannot be read becomes a row with `error`, links that
     lead nowhere are left out when they are followed."""
 
     @classmethod
@@ -46,38 +62,67 @@ class _Reader(DataSourceReader):
         self.recursive = options.get("recursive", "true") == "true"
         self.follow = options.get("links", "preserve") == "follow"
         self.one = options.get("one_file_system", "false") == "true"
-        self.subtrees = int(options.get("subtrees", "32"))
+        self.subtrees = max(1, int(options.get("subtrees", "32")))
+        self.chain = [(kind, re.compile(regex), dir_only, anchored) for kind, regex, dir_only, anchored in json.loads(options.get("rules", "[]"))]
+        self.prune = options.get("prune_children", "false") == "true"
+        self.least, self.most = int(options.get("min_size", "-1")), int(options.get("max_size", str(1 << 62)))
+
+    def excluded(self, path: str, is_dir: bool) -> bool:
+        for kind, regex, dir_only, anchored in self.chain:
+            if (is_dir or not dir_only) and regex.search(path if anchored else path.rsplit("/", 1)[-1]):
+                return kind == "exclude"
+        return False
 
     def partitions(self) -> list[InputPartition]:
         if not self.recursive:
-            return [_Subtree("", False)]
-        parts, level = [], [""]
-        while level and len(parts) + len(level) < self.subtrees:
-            parts += [_Subtree(rel, False) for rel in level]
-            level = [f"{rel}/{n}" if rel else n for rel in level for n in self._directories(rel)]
-        return parts + [_Subtree(rel, True) for rel in level]
-
-    def _directories(self, rel: str) -> list[str]:
-        """Names of the directories in one that would be walked into; an unreadable one has none here and is told of by read()."""
+            return [_Part([("", False, 0, 1)])]
+        tasks, level = [], [""]
+        while level and len(level) < self.subtrees:
+            below = []
+            for rel in level:
+                names, n = self._directories(rel)
+                tasks += [(rel, False, k, shares) for shares in [-(-n // WIDE) or 1] for k in range(shares)]
+                below += [f"{rel}/{name}" if rel else name for name in names]
+            level = below
+        tasks += [(rel, True, 0, 1) for rel in level]
+        # the walked subtrees are dealt first, in turn, as they are the most work
+        tasks.sort(key=lambda t: not t[1])
+        return [_Part(tasks[k :: self.subtrees]) for k in range(min(self.subtrees, len(tasks)))]
+
+    def _directories(self, rel: str) -> tuple[list[str], int]:
+        """Names of the directories in one that would be walked into, and the number of all names; an unreadable one has none here and is told of
+        by read()."""
+        found, n = [], 0
         try:
             with os.scandir(os.path.join(self.root, rel)) as entries:
-                found = [e.name for e in entries if e.is_dir(follow_symlinks=False) and not (self.one and e.stat().st_dev != os.stat(self.root).st_dev)]
+                for e in entries:
+                    n += 1
+                    if e.is_dir(follow_symlinks=False) and self._walked(f"{rel}/{e.name}" if rel else e.name) and not (self.one and e.stat().st_dev != os.stat(self.root).st_dev):
+                        found.append(e.name)
         except OSError:
-            return []
-        return sorted(found)
+            return [], 0
+        return sorted(found), n
 
-    def read(self, partition: _Subtree) -> Iterator[tuple]:
+    def _walked(self, path: str) -> bool:
+        return not (self.prune and self.excluded(path, True))
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
         dev = os.stat(self.root).st_dev
-        todo = [partition.path]
+        todo = list(reversed(partition.tasks))
         while todo:
-            rel = todo.pop()
+            rel, deep, share, shares = todo.pop()
             try:
-                entries = sorted(os.scandir(os.path.join(self.root, rel)), key=lambda e: e.name)
+                with os.scandir(os.path.join(self.root, rel)) as found:
+                    entries = sorted((e for e in found if shares == 1 or zlib.crc32(os.fsencode(e.name)) % shares == share), key=lambda e: e.name)
             except OSError as e:
                 yield (rel, True, 0, 0, 0, False, None, 0, 0, 0, 0, str(e))
                 continue
             for entry in entries:
                 path = f"{rel}/{entry.name}" if rel else entry.name
+                known_dir = entry.is_dir(follow_symlinks=False)
+                out = self.excluded(path, known_dir)
+                if out and (not known_dir or self.prune):
+                    continue  # not looked at, nor what is below
                 try:
                     info = entry.stat(follow_symlinks=False)
                     link = stat.S_ISLNK(info.st_mode)
@@ -90,14 +135,84 @@ class _Reader(DataSourceReader):
                 is_dir = stat.S_ISDIR(info.st_mode) and not (self.follow and entry.is_symlink())
                 if is_dir and self.one and info.st_dev != dev:
                     continue
-                yield (path, is_dir, 0 if link or is_dir else info.st_size, info.st_mtime_ns, info.st_mode & 0o7777, link, os.readlink(entry.path) if link else None, info.st_uid, info.st_gid, info.st_dev, info.st_ino, None)
-                if is_dir and partition.deep:
-                    todo.append(path)
+                size = 0 if link or is_dir else info.st_size
+                if not out and (is_dir or self.least <= size <= self.most):
+                    yield (path, is_dir, size, info.st_mtime_ns, info.st_mode & 0o7777, link, os.readlink(entry.path) if link else None, info.st_uid, info.st_gid, info.st_dev, info.st_ino, None)
+                if is_dir and deep:
+                    todo.append((path, True, 0, 1))
 
 
-def scan(spark: SparkSession, root: str, **options: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, chain: list[Rule] = (), prune_children: bool = False, min_size: int | None = None, max_size: int | None = None, **options: str) -> DataFrame:
+    """Rows of FsTree. The rules of `chain` and the sizes are looked at where names are read: what is excluded is not looked at further, and with
+    prune_children an excluded directory is not opened. Same rows as rules.kept() and size limits on files afterwards."""
     spark.dataSource.register(FsTree)
-    return spark.read.format("fs_tree").options(**options).load(root)
+    pushed = {"rules": json.dumps([(r.kind, r.regex, r.dir_only, r.anchored) for r in chain])} if chain else {}
+    pushed |= {"prune_children": "true"} if prune_children else {}
+    pushed |= {k: str(v) for k, v in (("min_size", min_size), ("max_size", max_size)) if v is not None}
+    return spark.read.format("fs_tree").options(**pushed, **options).load(root)
+
+
+def stat_directories(root: str, names: Iterable[str | None]) -> Iterator[tuple[str, int]]:
+    """(rel_path, mtime_ns) of those that are directories still: one look at each, and at no file."""
+    for rel in names:
+        try:
+            info = os.lstat(os.path.join(root, rel)) if rel else os.stat(root)
+        except OSError:
+            continue
+        if stat.S_ISDIR(info.st_mode):
+            yield rel, info.st_mtime_ns
+
+
+def times_now(dirs: DataFrame, root: str) -> DataFrame:
+    """(rel_path, mtime_ns): the times that known directories (rel_path; the root is '') have now; those that are gone have no row. A new directory
+    changes the time of the one it is in, so a tree is known to be unchanged without a listing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(stat_directories(root, batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.int64()))], names=["rel_path", "mtime_ns"])
+
+    return dirs.select("rel_path").where("rel_path is not null").mapInArrow(run, "rel_path string, mtime_ns long")
+
+
+def digests(files: DataFrame, root: str) -> DataFrame:
+    """(rel_path, digest): SHA-256 of these files, read in blocks where the rows are, so of any size; null for links and what cannot be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column(0).to_pylist():
+                digest = None
+                try:
+                    place = inside(root, path)
+                    if not os.path.islink(place):
+                        with open(place, "rb") as f:
+                            digest = hashlib.file_digest(f, "sha256").hexdigest()
+                except OSError:
+                    pass
+                out.append(digest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["rel_path", "digest"])
+
+    return files.select("rel_path").mapInArrow(run, "rel_path string, digest string")
+
+
+def inside(root: str, path: str) -> str:
+    """The place of a relative path below root. Refused (OSError) are absolute and empty paths, those with a component `..`, and those whose parent
+    directory is, by links, outside of root."""
+    if not path or path.startswith("/") or "\0" in path or ".." in path.split("/"):
+        raise OSError(errno.EPERM, "refused, as it may leave the root", path)
+    top, parent = os.path.realpath(root), os.path.realpath(os.path.join(root, os.path.dirname(path)))
+    if parent != top and not parent.startswith(top.rstrip("/") + "/"):
+        raise OSError(errno.EPERM, "refused, as a link leads out of the root", path)
+    return os.path.join(root, path)
+
+
+def _destination(root: str, anywhere: bool) -> str:
+    """The root of a writer, unless it is a system directory."""
+    root = os.path.abspath(root)
+    if not anywhere and re.match("/(" + "|".join(paths.SYSTEM_DIRS) + ")", root):
+        raise ValueError(f"{root} begins like a system directory; anywhere=True allows it")
+    return root
 
 
 def contents(files: DataFrame, root: str) -> DataFrame:
@@ -242,7 +357,7 @@ def _each(rows: DataFrame, act) -> DataFrame:
 
 def _replaced(dst: str, make) -> None:
     """make(part), then dst becomes part: a task that runs again after a lost executor does no harm."""
-    part = f"{dst}.part{os.getpid()}"
+    part = f"{dst}.part{socket.gethostname()}-{os.getpid()}"
     if os.path.lexists(part):
         os.unlink(part)
     try:
@@ -254,26 +369,28 @@ def _replaced(dst: str, make) -> None:
         raise
 
 
-def execute(planned: DataFrame, src_root: str, dst_root: str, backups: DataFrame | None = None, metadata: DataFrame | None = None, xattrs: bool = False) -> DataFrame:
+def execute(planned: DataFrame, src_root: str, dst_root: str, backups: DataFrame | None = None, metadata: DataFrame | None = None, xattrs: bool = False, anywhere: bool = False) -> DataFrame:
     """Carries a plan out on file systems that all executors see: (rel_path, action, ok, error).
 
-    Rows of a directory are dealt to one task. backups (rel_path, backup_path, below dst_root): what a file is moved
+    Rows are dealt by path. Paths that would leave a root are refused: such a row has an error. backups (rel_path, backup_path, below dst_root): what a file is moved
     to before it is overwritten; metadata (as sync.final_metadata): what a copy ends with, nulls left as they are.
     Without it a copy has the source's mode, time and extended attributes; with it those attributes if xattrs is set.
     What fails is tried once more by itself."""
+    dst_root = _destination(dst_root, anywhere)
 
     def act(row: dict) -> None:
         path, action = row["rel_path"], row["action"]
-        src, dst = os.path.join(src_root, path), os.path.join(dst_root, path)
+        if action == "skip":
+            return
+        dst = inside(dst_root, path)
         if action == "delete":
             if os.path.lexists(dst):
                 os.unlink(dst)
             return
-        if action == "skip":
-            return
+        src = inside(src_root, path)
         os.makedirs(os.path.dirname(dst), exist_ok=True)
         if row.get("backup_path") and os.path.lexists(dst):
-            to = os.path.join(dst_root, row["backup_path"])
+            to = inside(dst_root, row["backup_path"])
             os.makedirs(os.path.dirname(to), exist_ok=True)
             # a copy, so that a task that dies between the two steps leaves the file in place
             _replaced(to, lambda part: shutil.copy2(dst, part, follow_symlinks=False))
@@ -305,20 +422,20 @@ def execute(planned: DataFrame, src_root: str, dst_root: str, backups: DataFrame
         rows = rows.join(backups.select("rel_path", "backup_path"), "rel_path", "left")
     if metadata is not None:
         rows = rows.join(metadata.select("rel_path", "final_mode", "final_mtime_ns", "final_uid", "final_gid"), "rel_path", "left")
-    return _each(rows.repartition(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1)), act)
+    return _each(rows.repartition("rel_path"), act)
 
 
-def apply_ops(ops: DataFrame, src_root: str, dst_root: str) -> DataFrame:
+def apply_ops(ops: DataFrame, src_root: str, dst_root: str, anywhere: bool = False) -> DataFrame:
     """Carries deltas out on live trees: (rel_path, action, ok, error). ops: rel_path, op_idx, kind, src_offset, len.
 
     A file's operations are done in order into a part beside it, copies from what is there, writes from the source,
     and the part takes its place. An operation that reaches beyond what it reads from is an error and changes nothing;
     done again, as after a lost executor, copies would read the new content, so a file whose content is the source's
     already is left alone."""
-    rows = ops.groupBy("rel_path").agg(F.sort_array(F.collect_list(F.struct("op_idx", "kind", "src_offset", "len"))).alias("ops"))
+    rows, dst_root = ops.groupBy("rel_path").agg(F.sort_array(F.collect_list(F.struct("op_idx", "kind", "src_offset", "len"))).alias("ops")), _destination(dst_root, anywhere)
 
     def act(row: dict) -> None:
-        src, dst = os.path.join(src_root, row["rel_path"]), os.path.join(dst_root, row["rel_path"])
+        src, dst = inside(src_root, row["rel_path"]), inside(dst_root, row["rel_path"])
         os.makedirs(os.path.dirname(dst), exist_ok=True)
         if os.path.exists(dst) and os.path.getsize(dst) == os.path.getsize(src) and filecmp.cmp(src, dst, shallow=False):
             return
@@ -344,13 +461,14 @@ def apply_ops(ops: DataFrame, src_root: str, dst_root: str) -> DataFrame:
     return _each(rows.select("rel_path", F.lit("delta").alias("action"), "ops"), act)
 
 
-def link_up(links: DataFrame, dst_root: str, leader_root: str | None = None) -> DataFrame:
+def link_up(links: DataFrame, dst_root: str, leader_root: str | None = None, anywhere: bool = False) -> DataFrame:
     """Makes files hard links of their leaders (rel_path, leader; as sync.hard_links), which must be there: run it after
     the copies. leader_root: where the leaders are, if not in dst_root (an older copy on the same file system)."""
+    dst_root = _destination(dst_root, anywhere)
     base = leader_root or dst_root
 
     def act(row: dict) -> None:
-        first, dst = os.path.join(base, row["leader"]), os.path.join(dst_root, row["rel_path"])
+        first, dst = inside(base, row["leader"]), inside(dst_root, row["rel_path"])
         if os.path.lexists(dst) and os.path.samefile(first, dst):
             return
         os.makedirs(os.path.dirname(dst), exist_ok=True)
@@ -360,17 +478,19 @@ def link_up(links: DataFrame, dst_root: str, leader_root: str | None = None) ->
     return _each(rows if leader_root else rows.where("rel_path <> leader"), act)
 
 
-def make_dirs(dirs: DataFrame, root: str) -> DataFrame:
+def make_dirs(dirs: DataFrame, root: str, anywhere: bool = False) -> DataFrame:
     """Makes directories (rel_path), in any order."""
-    return _each(dirs.select("rel_path", F.lit("mkdir").alias("action")), lambda row: os.makedirs(os.path.join(root, row["rel_path"]), exist_ok=True))
+    root = _destination(root, anywhere)
+    return _each(dirs.select("rel_path", F.lit("mkdir").alias("action")), lambda row: os.makedirs(inside(root, row["rel_path"]), exist_ok=True))
 
 
-def remove_dirs(dirs: DataFrame, root: str, force: bool = False) -> DataFrame:
+def remove_dirs(dirs: DataFrame, root: str, force: bool = False, anywhere: bool = False) -> DataFrame:
     """Removes directories (rel_path), the deepest first; with force what is in them too. Directories below one of
     the first level go in one task, as they wait for each other."""
+    root = _destination(root, anywhere)
 
     def act(row: dict) -> None:
-        path = os.path.join(root, row["rel_path"])
+        path = inside(root, row["rel_path"])
         if not os.path.lexists(path):
             return
         if force:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeplan.functions import paths
+from treeplan.operators.ranking import checkpointed
 
 META = ("rel_path", "size", "mtime_ns", "mode", "is_symlink", "symlink_target", "uid", "gid", "dev", "ino")
 
@@ -65,23 +66,25 @@ def dir_times(files: DataFrame) -> DataFrame:
     return files.groupBy(paths.parent(F.col("rel_path")).alias("rel_path")).agg(F.max("mtime_ns").alias("mtime_ns"))
 
 
-def resolved_links(files: DataFrame, most: int = 8) -> DataFrame:
-    """Symbolic links replaced by what they point to, in any directory of the tree, over at most `most` links in a row;
-    those that dangle, leave the tree or go round go."""
+def resolved_links(files: DataFrame) -> DataFrame:
+    """Symbolic links replaced by what they point to, in any directory of the tree, over any number of links in a row;
+    those that dangle, leave the tree or go round go.
+
+    A link that points to a link takes over where that one points, all at once, so a row of n links is followed in log2(n) rounds;
+    what points to a link after as many rounds as all links could need goes round."""
     base = F.nullif(paths.parent(F.col("rel_path")), F.lit(""))
     to = lambda place, target: paths.normalized(F.when(target.startswith("/"), target).otherwise(F.concat_ws("/", place, target)))
-    links = files.where("is_symlink").withColumn("__place", to(base, F.col("symlink_target")))
-    target = files.where("not is_symlink").select(F.col("rel_path").alias("__place"), F.col("size").alias("__size"), F.col("mtime_ns").alias("__time"), F.col("mode").alias("__mode"))
-    way = links.select(F.col("rel_path").alias("__from"), F.col("__place").alias("__to"))
-    left, found = links, []
-    for step in range(most):
-        hit = left.join(target, "__place").withColumns({"size": F.col("__size"), "mtime_ns": F.col("__time"), "mode": F.col("__mode"), "is_symlink": F.lit(False), "symlink_target": F.lit(None).cast("string")})
-        found.append(hit.select(*files.columns))
-        if step + 1 < most:
-            left = left.join(way, F.col("__place") == F.col("__from")).withColumn("__place", F.col("__to")).drop("__from", "__to")
-            if left.isEmpty():  # usually at once: few links point to links
-                break
-    out = files.where("not is_symlink")
-    for part in found:
-        out = out.unionByName(part)
-    return out
+    links = files.where("is_symlink").select("rel_path", to(base, F.col("symlink_target")).alias("to")).where("to is not null")
+    now = checkpointed(links)
+    for _ in range(now.count().bit_length()):
+        onward = now.select(F.col("rel_path").alias("to"), F.col("to").alias("onward"))
+        if now.join(onward, "to", "left_semi").isEmpty():  # usually at once: few links point to links
+            break
+        now = checkpointed(now.join(onward, "to", "left").select("rel_path", F.coalesce("onward", "to").alias("to")))
+    real = files.where("not is_symlink")
+    target = real.select(F.col("rel_path").alias("to"), F.struct("size", "mtime_ns", "mode").alias("target"))
+    found = now.join(target, "to").select("rel_path", "target")
+    own = {c: F.col(f"link.`{c}`") for c in files.columns}
+    own |= {c: F.col(f"target.{c}") for c in ("size", "mtime_ns", "mode")} | {"is_symlink": F.lit(False), "symlink_target": F.lit(None).cast("string")}
+    rows = files.where("is_symlink").select("rel_path", F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("link")).join(found, "rel_path")
+    return real.unionByName(rows.select(*[own[c].alias(c) for c in files.columns]))

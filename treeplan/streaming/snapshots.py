@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeplan.options import SyncOptions
-from treeplan.plans import manifest, sync
+from treeplan.plans import log, manifest, sync
 
 
-def changes(spark: SparkSession, folder: str, schema, dst: DataFrame) -> DataFrame:
-    """A stream of planned rows: each file of `folder` is part of a source snapshot, planned against dst.
-    A stream-static join on the path; the state across runs is dst, a manifest."""
-    rows = spark.readStream.schema(schema).parquet(folder)
-    d = dst.select("rel_path", F.col("size").alias("dst_size"), F.col("mtime_ns").alias("dst_mtime_ns"))
-    same = (F.col("size") == F.col("dst_size")) & (F.col("mtime_ns") == F.col("dst_mtime_ns"))
-    action = F.when(F.col("dst_size").isNull(), "copy_new").when(same, "skip").otherwise("copy_full")
-    return rows.join(d, "rel_path", "left").select("rel_path", action.alias("action"), "size")
+def changes(spark: SparkSession, folder: str, schema, dst: DataFrame, o: SyncOptions = SyncOptions()) -> DataFrame:
+    """A stream of planned rows: each file of `folder` is part of a source snapshot, planned against dst, which stays as it is.
+    A stream-static join on the path; keyed.planned() carries state along."""
+    rows = spark.readStream.schema(schema).parquet(folder).alias("s")
+    here = F.col("s.rel_path") == F.col("d.rel_path")
+    return rows.join(dst.alias("d"), here, "left").select("s.rel_path", sync.action(o).alias("action"), "s.size")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -26,23 +24,30 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def follow(spark: SparkSession, folder: str, schema, state: str, snapshot_id: str, out: str, checkpoint: str, o: SyncOptions = SyncOptions()) -> None:
     """Handles all snapshots that have arrived, one file of `folder` at a time, and stops: each is planned against the
-    manifest `snapshot_id` below `state`, its plan written to `out`/batch=N, and the manifest becomes what it leaves.
+    manifest log `snapshot_id` below `state`, its plan written to `out`/batch=N, and the log gets an entry of what changes.
 
-    A batch that is done again, as after a failure, overwrites its plan; where its manifest was written already it plans
-    nothing but skips, which changes no state."""
+    Every batch joins the whole manifest, as it must to find what is to be deleted; keyed.py does without where snapshots say what is gone.
+
+    An entry tells the batch that it is of. A batch that is done again, after a crash at any place, is planned against
+    the entries before its own, so its plan is the same, and its entry is not written twice."""
+    place = f"{state}/{snapshot_id}"
 
     def one(rows: DataFrame, number: int) -> None:
-        src = rows.select(*schema.names)
-        known = manifest.load(spark, state, snapshot_id)
-        dst = known[0] if known else src.limit(0)
-        planned = sync.plan(src, dst, o)
-        planned.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        done = spark.read.parquet(f"{out}/batch={number}")
-        if known is None or manifest.changed(done):
-            held = manifest.synced(done, src, dst)
-            if not o.delete:  # what this snapshot does not name stays
-                held = held.unionByName(dst.join(src.select("rel_path"), "rel_path", "left_anti").select(*held.columns))
-            manifest.save(spark, state, snapshot_id, folder, held)
+        src, tag = rows.select(*schema.names), f"{checkpoint}#{number}"
+        found = log.entries(spark, place)
+        if found is None:  # nothing yet, or nothing to be trusted
+            log.reset(spark, place)
+            log.commit(spark, place, 0, src.limit(0), folder, "base")
+            found = log.entries(spark, place)
+        mine = next((e for e in found if e.tag == tag), None)
+        if mine is None and len(found) > log.COMPACT and log.compact(spark, place):
+            found = log.entries(spark, place)
+        known = log.load(spark, place, before=mine.number if mine else None)
+        sync.plan(src, known, o).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if mine is None:
+            done = spark.read.parquet(f"{out}/batch={number}")
+            if manifest.changed(done):
+                log.commit(spark, place, found[-1].number + 1, log.changes(done, src), folder, tag=tag)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -17,14 +17,18 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from treeplan.functions import paths
 from treeplan.functions.rules import Rule
+from treeplan.operators.ranking import checkpointed
 
 SCHEMA = "rel_path string, is_dir boolean, size long, mtime_ns long, mode int, is_symlink boolean, symlink_target string, uid long, gid long, dev long, ino long, error string"
 
 
+#: The end of a part's name that many tasks write to.
+PLACED = ".treeplan-part"
 #: Names of one directory that a partition looks at; a directory with more, if the driver opens it, is split.
 WIDE = 50_000
 
@@ -235,6 +239,90 @@ def contents(files: DataFrame, root: str) -> DataFrame:
     return files.select("rel_path").mapInArrow(run, "rel_path string, content binary, error string")
 
 
+def ranges_of(root: str):
+    """A reader for operators/segments.py: rows (rel_path, at, n, ...) get `data`, n bytes of the file from `at`. Rows are dealt first, so that the segments of
+    one large file are read by many tasks. What cannot be read has null."""
+
+    def read(wanted: DataFrame) -> DataFrame:
+        kept = [c for c in wanted.columns if c not in ("rel_path", "at", "n")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k, (path, at, n) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                    data = None
+                    try:
+                        f = os.open(inside(root, path), os.O_RDONLY | os.O_NOFOLLOW)
+                        try:
+                            data = b"".join(_blocks(f, at, n))
+                        finally:
+                            os.close(f)
+                    except OSError:
+                        pass
+                    yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns), pa.array([data], pa.binary())], names=[*batch.schema.names, "data"])
+
+        rows = wanted.select("rel_path", "at", "n", *kept)
+        return rows.repartition("rel_path", "at").mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("data", T.BinaryType())]))
+
+    return read
+
+
+def _blocks(f: int, at: int, n: int) -> Iterator[bytes]:
+    """n bytes of an open file from `at`, or what there is; one call may give less."""
+    while n > 0 and (data := os.pread(f, n, at)):
+        yield data
+        at, n = at + len(data), n - len(data)
+
+
+def place_segments(segments: DataFrame, root: str, segment: int, anywhere: bool = False) -> DataFrame:
+    """Writes segments (rel_path, seg, data) at their places in a part beside each file, many tasks at once: (rel_path, action, ok, error) for each
+    segment. Done again, as after a lost executor, it writes the same. finish_segments() then puts the part in place."""
+    root = _destination(root, anywhere)
+
+    def act(row: dict) -> None:
+        dst = inside(root, row["rel_path"])
+        if row["data"] is None:
+            raise OSError(errno.EINVAL, "a segment without data", row["rel_path"])
+        os.makedirs(os.path.dirname(dst), exist_ok=True)
+        f = os.open(f"{dst}{PLACED}", os.O_WRONLY | os.O_CREAT | os.O_NOFOLLOW, 0o600)
+        try:
+            at, left = row["seg"] * segment, memoryview(row["data"])
+            while left:
+                done = os.pwrite(f, left, at)
+                at, left = at + done, left[done:]
+        finally:
+            os.close(f)
+
+    return _each(segments.select("rel_path", F.concat(F.lit("segment "), F.col("seg").cast("string")).alias("action"), "seg", "data"), act)
+
+
+def finish_segments(files: DataFrame, placed: DataFrame, root: str, segment: int, anywhere: bool = False) -> DataFrame:
+    """Puts the parts of files (rel_path, size, mtime_ns, mode) in place where `placed` has all their segments, written; else the part goes and the file
+    stays as it was: (rel_path, action, ok, error)."""
+    root = _destination(root, anywhere)
+    counts = checkpointed(placed).groupBy("rel_path").agg(F.bool_and("ok").alias("all_ok"), F.count_distinct("action").alias("n"))
+    good = counts.join(files.select("rel_path", F.expr(f"(size + {segment - 1}L) div {segment}L").alias("want")), "rel_path").select("rel_path", (F.col("all_ok") & (F.col("n") == F.col("want"))).alias("good"))
+    rows = files.where("size > 0").select("rel_path", F.lit("place").alias("action"), "size", "mtime_ns", "mode").join(good, "rel_path")
+
+    def act(row: dict) -> None:
+        dst = inside(root, row["rel_path"])
+        part = f"{dst}{PLACED}"
+        if not os.path.lexists(part):
+            info = os.stat(dst)
+            if row["good"] and (info.st_size, info.st_mtime_ns) == (row["size"], row["mtime_ns"]):
+                return  # done before, by a task that was lost
+            raise OSError(errno.ENOENT, "no part", part)
+        if row["good"] and os.path.getsize(part) > row["size"]:
+            os.truncate(part, row["size"])  # left from an earlier, longer one
+        if not row["good"] or os.path.getsize(part) != row["size"]:
+            os.unlink(part)
+            raise OSError(errno.EINVAL, "not all segments were written", row["rel_path"])
+        os.chmod(part, row["mode"])
+        os.utime(part, ns=(row["mtime_ns"],) * 2)
+        os.replace(part, dst)
+
+    return _each(rows, act)
+
+
 def with_content(files: DataFrame, root: str) -> DataFrame:
     """files and their content, for the chunkers: read beside the metadata only where a plan asks for it."""
     return files.join(contents(files, root).where("content is not null").select("rel_path", "content"), "rel_path")

@@ -141,6 +141,21 @@ def filter_size(spark, d):
     return sync.selected(_src(spark, d), SyncOptions(min_size=1 << 10, max_size=8 << 10)).select("rel_path", "size")
 
 
+@query(FILES + """, r AS (SELECT doc_id AS ord, rel_path AS p, 'n' AS how, string_split(rel_path, '/')[-1] AS k, CASE WHEN doc_id % 6 = 0 THEN 'included' ELSE 'excluded' END AS kind FROM src WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id + 100000000, rel_path, 'p', rel_path, 'included' FROM src WHERE doc_id % 7 = 1),
+g AS (SELECT rel_path, min(ord) AS ord FROM (SELECT s.rel_path, r.ord FROM src s JOIN r ON r.how = 'n' AND r.k = string_split(s.rel_path, '/')[-1] UNION ALL SELECT s.rel_path, r.ord FROM src s JOIN r ON r.how = 'p' AND r.k = s.rel_path
+    UNION ALL SELECT rel_path, 200000000 FROM src WHERE rel_path LIKE 'src1/en/%' AND rel_path LIKE '%.json' UNION ALL SELECT rel_path, 200000001 FROM src WHERE rel_path LIKE '%.log' UNION ALL SELECT rel_path, 200000002 FROM src WHERE regexp_full_match(string_split(rel_path, '/')[-1], '[^/]*99[^/]*')) GROUP BY rel_path)
+SELECT s.rel_path, coalesce(r.kind, CASE g.ord WHEN 200000000 THEN 'included' WHEN 200000001 THEN 'excluded' WHEN 200000002 THEN 'excluded' END, 'neutral') AS verdict FROM src s LEFT JOIN g USING (rel_path) LEFT JOIN r ON r.ord = g.ord""")
+def filter_relation(spark, d):
+    """As many rules as a table has: names and paths of its files, then three patterns."""
+    s = _src(spark, d)
+    i = F.col("doc_id")
+    lines = s.where(i % 3 == 0).select(i.alias("ord"), F.when(i % 6 == 0, "include").otherwise("exclude").alias("kind"), paths.name(F.col("rel_path")).alias("line"))
+    lines = lines.unionByName(s.where(i % 7 == 1).select((i + 100000000).alias("ord"), F.lit("include").alias("kind"), F.col("rel_path").alias("line")))
+    few = spark.createDataFrame([(200000000, "include", "src1/en/*.json"), (200000001, "exclude", " *.log "), (200000002, "exclude", "*99*"), (200000003, "exclude", "# nothing")], "ord long, kind string, line string")
+    return rules.judged(s, ranking.checkpointed(rules.relation(spark, lines=lines.unionByName(few)))).select("rel_path", "verdict")
+
+
 @query(FILES + "SELECT rel_path, size FROM src WHERE doc_id % 9 = 0")
 def files_from(spark, d):
     lines = _src(spark, d).where("doc_id % 9 = 0").select(F.concat(F.lit("  "), "rel_path", F.lit(" ")).alias("value"))
@@ -383,6 +398,15 @@ def rebuild_verify(spark, d):
     return rebuild.verified(rebuild.rebuilt(_cdc_ops(spark, d), s, _dst(spark, d)), s)
 
 
+@query(CDC_OPS + """, c AS (SELECT *, off > src_offset AS ahead FROM ops WHERE kind = 'copy' AND off <> src_offset AND len > 0),
+met AS (SELECT DISTINCT r.rel_path, r.op_idx FROM c r JOIN c w ON r.rel_path = w.rel_path AND r.ahead <> w.ahead AND r.src_offset < w.off + w.len AND w.off < r.src_offset + r.len),
+cost AS (SELECT rel_path, coalesce(sum(len) FILTER (m.op_idx IS NOT NULL AND ahead), 0) <= coalesce(sum(len) FILTER (m.op_idx IS NOT NULL AND NOT ahead), 0) AS back_first FROM c LEFT JOIN met m USING (rel_path, op_idx) GROUP BY rel_path)
+SELECT rel_path, op_idx, CASE WHEN spool THEN 0 WHEN ahead = back_first THEN 2 ELSE 1 END AS phase, spool FROM (SELECT c.*, back_first, m.op_idx IS NOT NULL AND ahead = back_first AS spool FROM c JOIN cost USING (rel_path) LEFT JOIN met m USING (rel_path, op_idx))
+UNION ALL SELECT rel_path, op_idx, 3, false FROM ops WHERE kind = 'write' AND len > 0""")
+def inplace_steps(spark, d):
+    return rebuild.in_place_steps(_cdc_ops(spark, d)).select("rel_path", "op_idx", "phase", "spool")
+
+
 #: Segments so small that most contents of the tables have several.
 SMALL = 4096
 

@@ -57,3 +57,36 @@ def in_place(ops: DataFrame) -> DataFrame:
 def zero_blocks(blocks: DataFrame) -> DataFrame:
     """Adds is_zero to (.., data binary): of 4096 bytes or more and all zero."""
     return blocks.withColumn("is_zero", (F.octet_length("data") >= 4096) & (F.octet_length(F.expr("btrim(data, X'00')")) == 0))
+
+
+#: Bytes of the buckets that ranges meet in.
+BUCKET = 1 << 20
+
+
+def _overlapping(reads: DataFrame, writes: DataFrame) -> DataFrame:
+    """(rel_path, op_idx) of `reads` whose source range meets a result range of `writes`."""
+    over = lambda place: F.explode(F.sequence(F.floor(F.col(place) / BUCKET), F.floor((F.col(place) + F.col("len") - 1) / BUCKET)))
+    r = reads.select("rel_path", "op_idx", F.col("src_offset").alias("a"), (F.col("src_offset") + F.col("len")).alias("b"), over("src_offset").alias("bucket"))
+    w = writes.select("rel_path", F.col("off").alias("c"), (F.col("off") + F.col("len")).alias("d"), over("off").alias("bucket"))
+    return r.join(w, ["rel_path", "bucket"]).where("a < d and c < b").select("rel_path", "op_idx").distinct()
+
+
+def in_place_steps(ops: DataFrame) -> DataFrame:
+    """(rel_path, op_idx, kind, off, src_offset, len, phase, spool): how operations are done inside the old content itself.
+
+    Copies that stay where they are need nothing and have no row. Copies that move back are done from the front, those that move ahead from
+    the end: so none of one kind overwrites what another of its kind still reads, as results do not overlap. The kinds do meet: a copy of the
+    second kind whose source the first kind overwrites waits on it and the other way round, so it is read beforehand (spool). For each file the
+    kind goes first that leaves less to spool. Order by phase (0 spooled, 1, 2, then 3 writes), and inside 1 and 2 by off, falling
+    where off > src_offset."""
+    moved = ops.where("len > 0 and not (kind = 'copy' and off = src_offset)")
+    copies = moved.where("kind = 'copy'")
+    back, ahead = copies.where("off < src_offset"), copies.where("off > src_offset")
+    hit = _overlapping(ahead, back).withColumn("ahead", F.lit(True)).unionByName(_overlapping(back, ahead).withColumn("ahead", F.lit(False)))
+    rows = moved.join(hit, ["rel_path", "op_idx"], "left")
+    cost = rows.groupBy("rel_path").agg(*[F.coalesce(F.sum(F.when(F.col("ahead") == on, F.col("len"))), F.lit(0)).alias(c) for c, on in (("ahead_bytes", True), ("back_bytes", False))])
+    rows = rows.join(cost, "rel_path").withColumn("back_first", F.col("ahead_bytes") <= F.col("back_bytes"))
+    is_copy, goes_ahead = F.col("kind") == "copy", F.col("off") > F.col("src_offset")
+    spool = is_copy & F.coalesce(F.col("ahead") == F.col("back_first"), F.lit(False))
+    phase = F.when(~is_copy, 3).when(spool, 0).when(goes_ahead == F.col("back_first"), 2).otherwise(1)
+    return rows.select("rel_path", "op_idx", "kind", "off", "src_offset", "len", phase.alias("phase"), spool.alias("spool"))

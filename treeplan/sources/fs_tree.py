@@ -11,8 +11,10 @@ import re
 import shutil
 import socket
 import stat
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -549,6 +551,113 @@ def apply_ops(ops: DataFrame, src_root: str, dst_root: str, anywhere: bool = Fal
     return _each(rows.select("rel_path", F.lit("delta").alias("action"), "ops"), act)
 
 
+class _Journal:
+    """What a file held where it is written to in place, so that a task that is lost can be undone: records of (offset, length, bytes)."""
+
+    HEAD = struct.Struct("<QQ")
+
+    def __init__(self, path: str, old: BinaryIO, size: int) -> None:
+        self.path, self.old, self.size = path, old, size
+        with open(f"{path}.new", "wb") as f:
+            f.write(self.HEAD.pack(size, 0))
+        os.replace(f"{path}.new", path)
+        self.out = open(path, "ab")  # noqa: SIM115 - closed by done()
+
+    def save(self, at: int, n: int) -> None:
+        self.old.seek(at)
+        data = self.old.read(max(0, min(n, self.size - at)))
+        if data:
+            self.out.write(self.HEAD.pack(at, len(data)) + data)
+            self.out.flush()
+
+    def done(self) -> None:
+        self.out.close()
+        os.unlink(self.path)
+
+    @classmethod
+    def undo(cls, path: str, dst: str) -> None:
+        """Puts a file back, the last record first; a record cut short was not followed by its write."""
+        if not os.path.exists(path):
+            return
+        with open(path, "rb") as f, open(dst, "r+b") as out:
+            size, places = cls.HEAD.unpack(f.read(cls.HEAD.size))[0], []
+            while len(head := f.read(cls.HEAD.size)) == cls.HEAD.size:
+                at, n = cls.HEAD.unpack(head)
+                if f.tell() + n > os.fstat(f.fileno()).st_size:
+                    break
+                places.append((f.tell(), at, n))
+                f.seek(n, os.SEEK_CUR)
+            for where, at, n in reversed(places):
+                f.seek(where)
+                out.seek(at)
+                out.write(f.read(n))
+            out.truncate(size)
+        os.unlink(path)
+
+
+def apply_in_place(steps: DataFrame, files: DataFrame, src_root: str, dst_root: str, anywhere: bool = False) -> DataFrame:
+    """Carries deltas out inside the destination's files, without a second copy: (rel_path, action, ok, error).
+
+    steps as rebuild.in_place_steps() gives them; files (rel_path): what they are for, also those that only get another size or time. Bytes are saved
+    to a journal beside the file before they are overwritten. A task that runs again, as after a lost executor, first undoes what the
+    journal tells of; one that finds the source's size, time and bytes does nothing. An operation that reaches beyond what it reads from is an
+    error that leaves the file as it was. Files with several links or none yet are better served by apply_ops()."""
+    dst_root = _destination(dst_root, anywhere)
+    per = steps.groupBy("rel_path").agg(F.collect_list(F.struct("phase", "op_idx", "kind", "off", "src_offset", "len")).alias("steps"))
+    rows = files.select("rel_path", F.lit("in_place").alias("action")).join(per, "rel_path", "left")
+
+    def act(row: dict) -> None:
+        src, dst = inside(src_root, row["rel_path"]), inside(dst_root, row["rel_path"])
+        log, spool = f"{dst}.treeplan-journal", f"{dst}.treeplan-spool"
+        _Journal.undo(log, dst)
+        want = os.stat(src)
+        now = os.lstat(dst)
+        if not stat.S_ISREG(now.st_mode):
+            raise OSError(errno.EINVAL, "no regular file", row["rel_path"])
+        if (now.st_size, now.st_mtime_ns) == (want.st_size, want.st_mtime_ns) and filecmp.cmp(src, dst, shallow=False):
+            return
+        todo = sorted(row["steps"] or [], key=lambda s: (s["phase"], -s["off"] if s["phase"] in (1, 2) and s["off"] > s["src_offset"] else s["off"]))
+        for s in todo:
+            size = now.st_size if s["kind"] == "copy" else want.st_size
+            if not 0 <= s["src_offset"] <= s["src_offset"] + s["len"] <= size:
+                raise OSError(errno.EINVAL, f"operation {s['op_idx']} reaches beyond {size} bytes")
+        with open(src, "rb") as new, open(dst, "r+b") as out, open(dst, "rb") as old, open(spool, "w+b") as kept:
+            places = []
+            for s in todo:
+                if s["phase"] == 0:
+                    places.append((s, kept.tell()))
+                    _copied(out, s["src_offset"], kept, kept.tell(), s["len"], None)
+            journal = _Journal(log, old, now.st_size)
+            for s in todo:
+                if s["phase"] > 0:
+                    _copied(out if s["kind"] == "copy" else new, s["src_offset"], out, s["off"], s["len"], journal)
+            for s, at in places:
+                _copied(kept, at, out, s["off"], s["len"], journal)
+            if want.st_size < now.st_size:
+                journal.save(want.st_size, now.st_size - want.st_size)
+            out.truncate(want.st_size)
+        shutil.copystat(src, dst)
+        journal.done()
+        os.unlink(spool)
+
+    return _each(rows, act)
+
+
+def _copied(source: BinaryIO, at: int, out: BinaryIO, to: int, n: int, journal: _Journal | None, block: int = 1 << 20) -> None:
+    """n bytes from one place to another, also inside one file: in blocks from the end where they move ahead, else from the front."""
+    starts = range(0, n, block)
+    for k in reversed(starts) if source is out and to > at else starts:
+        source.seek(at + k)
+        data = source.read(min(block, n - k))
+        if len(data) != min(block, n - k):
+            raise OSError(errno.EIO, "a read ended early")
+        if journal is not None:
+            journal.save(to + k, len(data))
+        out.seek(to + k)
+        out.write(data)
+        out.flush()
+
+
 def link_up(links: DataFrame, dst_root: str, leader_root: str | None = None, anywhere: bool = False) -> DataFrame:
     """Makes files hard links of their leaders (rel_path, leader; as sync.hard_links), which must be there: run it after
     the copies. leader_root: where the leaders are, if not in dst_root (an older copy on the same file system)."""

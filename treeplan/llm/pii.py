@@ -35,6 +35,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeplan.llm.shared import named
+
 ROUNDS = 10
 #: What finds candidates, by kind (Java regular expressions).
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
@@ -299,7 +301,19 @@ def _read(new: Column, m: Column) -> Column:
     return let(new, lambda v: F.when(v.isNull(), _left(m)).otherwise(F.struct(F.lit(HELD).alias("text"), F.array(v).alias("values"))))
 
 
-def _swept(text: Column, pattern: str, read) -> Column:
+#: What a text must have, at the least, for a sweep to be worth its while. Each is implied by the patterns it stands before, also on a text where
+#: values are held back already, and is a test that most texts fail after one quick pass.
+GATES = {
+    "word": lambda t: t.contains("@") | t.rlike(r"[0-9A-Fa-f]{24}"),
+    "land": lambda t: t.rlike(r"[A-Z]{2}\d{2}"),
+    "few": lambda t: t.rlike(r"\d(?:[./-]?\d){3}"),
+    "more": lambda t: t.rlike(r"\d(?:[ .()-]{0,3}\d){6}"),
+    "many": lambda t: t.rlike(r"\d(?:[ -]?\d){12}"),
+    "plus": lambda t: t.contains("+") & t.rlike(r"\+\d"),
+}
+
+
+def _swept(text: Column, may: Column, pattern: str, read) -> Column:
     """struct(text, values, n): the text with HELD for each value that `read` finds in candidates, what stands there,
     and how many new values that are. HELD itself is found again in its turn."""
     every = rf"\x00|{pattern}"
@@ -314,7 +328,7 @@ def _swept(text: Column, pattern: str, read) -> Column:
     held = lambda m: F.struct(F.lit(HELD).alias("text"), F.array(F.lit(HELD)).alias("values"))
     found = F.transform(F.regexp_extract_all(text, F.lit(every), F.lit(0)), lambda m: F.when(m == HELD, held(m)).otherwise(read(m)))
     none = F.struct(text.alias("text"), F.lit(None).cast("array<string>").alias("values"), F.lit(0).cast("long").alias("n"))
-    return F.when(text.rlike(pattern), let(found, joined)).otherwise(none)
+    return F.when(may & text.rlike(pattern), let(found, joined)).otherwise(none)
 
 
 def _filled(text: Column, values: Column) -> Column:
@@ -324,7 +338,7 @@ def _filled(text: Column, values: Column) -> Column:
 
 
 def _sweeps(key: str) -> list[tuple]:
-    """Arguments of _swept(), in order of precedence."""
+    """A gate, then arguments of _swept(), in order of precedence."""
 
     def named(m: Column) -> Column:
         return _read(F.when(m.contains("@"), _email(m, key)).otherwise(permuted(m, key, "secret", 6)), m)
@@ -336,13 +350,13 @@ def _sweeps(key: str) -> list[tuple]:
         return _read(_phone(m, key), m)
 
     return [
-        (rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]*+@){EMAIL}|(?<![A-Za-z0-9]){SECRET}", named),
-        (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d){IBAN}", lambda m: _ibans(m, key)),
-        (rf"{FREE}(?:(?<![\d.]){IP}|(?<![\d./-]){DATE}|(?<![\d-]){SSN})", dotted),
-        (rf"(?<![\d+]){AMERICA}", phone),
-        (rf"(?<![\d+]){NUMBER}", lambda m: _numbers(m, key, CARD)),
-        (rf"(?<![\d+])(?:{WORLD})", phone),
-        (rf"(?<!\d){NUMBER}", lambda m: _numbers(m, key, ANY)),
+        ("word", rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]*+@){EMAIL}|(?<![A-Za-z0-9]){SECRET}", named),
+        ("land", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d){IBAN}", lambda m: _ibans(m, key)),
+        ("few", rf"{FREE}(?:(?<![\d.]){IP}|(?<![\d./-]){DATE}|(?<![\d-]){SSN})", dotted),
+        ("more", rf"(?<![\d+]){AMERICA}", phone),
+        ("many", rf"(?<![\d+]){NUMBER}", lambda m: _numbers(m, key, CARD)),
+        ("plus", rf"(?<![\d+])(?:{WORLD})", phone),
+        ("many", rf"(?<!\d){NUMBER}", lambda m: _numbers(m, key, ANY)),
     ]
 
 
@@ -350,10 +364,11 @@ def pseudonymized(docs: DataFrame, text: Column, key: str) -> DataFrame:
     """(row, made): the columns of docs, which may have any names, as a struct; and struct(text, n_replaced), the text
     with every valid value replaced, and how many that were; the text is null for null."""
     sweeps = _sweeps(key)
-    made, now = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text")), F.col("text")
+    made, now = docs.select(F.struct(*[named(c).alias(c) for c in docs.columns]).alias("row"), text.alias("text")), F.col("text")
+    made = made.withColumn("may", F.struct(*[gate(now).alias(c) for c, gate in GATES.items()]))
     done = [f"sweep{k}" for k in range(len(sweeps))]
     for column, sweep in zip(done, sweeps, strict=True):  # one projection each: nested in one, they are too deep for the analyzer
-        made = made.withColumn(column, _swept(now, *sweep))
+        made = made.withColumn(column, _swept(now, F.col("may")[sweep[0]], *sweep[1:]))
         now = F.col(column)["text"]
     for column in reversed(done):
         now = _filled(now, F.col(column)["values"])

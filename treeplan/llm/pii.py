@@ -7,7 +7,7 @@ documents and different ones stay different:
 
 * number (13 to 19 digits, also in groups, Luhn valid): all digits but the last are permuted,
   the last is the new check digit. Of a longer run of groups every valid part on group borders
-  is replaced: first parts in the groups of cards, then any; of parts that overlap the leftmost,
+  is replaced: first parts in the groups of cards, then any of up to five groups of three digits or more; of parts that overlap the leftmost,
   then the longest. A number that fails the check is no card and stays;
 * phone (international or North American, whole groups of 8 to 15 digits): digits after the
   country code;
@@ -50,10 +50,11 @@ _TAIL = rf"[ .-]?\d(?:(?:(?: (?!{IP}|{DATE})|[.-])(?=\d\d))?\d)"
 WORLD = "|".join(rf"\+\d{{{c}}}{rf'[ .-]?\(\d{{{a}}}\)' if a else ''}{_TAIL}{{{max(7 - c - a, 1)},{14 - c - a}}}(?!\d)" for c in (1, 2, 3) for a in range(5))
 #: Of ten digits, so that its end is known whatever follows.
 AMERICA = r"(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
-#: A whole run of groups with 13 digits or more; the groups that cards are written in, and any.
+#: A whole run of groups with 13 digits or more; the groups that cards are written in, and any up to five groups of three digits or more: what
+#: has more or shorter ones is a list of numbers.
 NUMBER = r"(?=\d(?:[ -]?\d){12})\d++(?:[ -]\d++)*+"
 CARD = r"^(?:\d{13,19}|\d{4} \d{6} \d{4,5}|\d{4} \d{4} \d{4} \d{4}(?: \d{3})?)$"
-ANY = "^"
+ANY = r"^\d{3,}(?: \d{3,}){0,4}$"
 #: Stands for a value that is replaced already.
 HELD = "\x00"
 #: Not the rest of a phone number behind its country code.

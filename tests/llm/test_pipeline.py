@@ -68,7 +68,7 @@ def test_odd_rows(spark, sf):
     words = " ".join(f"w{k}" for k in range(80))
     rows = [(1, words, "en", "s", 5, "x"), (1, words, "en", "s", 5, "x"), (2, words + " more", "en", "s", None, "x"), (3, None, "en", "s", 0, "x"), (4, "", None, "s", 0, "x"), (None, "some other text entirely", "en", None, 1, "x"), (6, "1 2 3", "en", "s", 1, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id string")
-    for name in ("__id", "__n", "__lead", "__text", "__made", "row", "made", "kept", "extra", "id", "node", "key", "clash"):
+    for name in ("__id", "__n", "__lead", "__text", "__made", "row", "made", "kept", "extra", "id", "node", "key", "a.b", "back`tick", "x.`y`", "clash"):
         docs = docs.withColumn(name, F.lit("clash"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf), name)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeplan.llm.shared import attach, named, slices
+from treeplan.llm.shared import attach, exactly, slices
 
 BITS = 16
 CLIP = 4.0
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
                     spans.append([{"start": int(place[a]), "stop": int(stop[b - 1] if len(cut) > 2 else stop[0]), "lang": m.langs[int(best[a])]} for a, b in zip(cut, cut[1:])])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(share, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())])))], names=["kept", "lang_pred", "score", "spans"])
 
-    rows = docs.select(F.struct(*[named(c).alias(c) for c in keep]).alias("kept"), named(text_col).alias("text"))
+    rows = docs.select(F.struct(*[exactly(c).alias(c) for c in keep]).alias("kept"), exactly(text_col).alias("text"))
     from pyspark.sql import types as T
 
     schema = T.StructType([rows.schema["kept"], *T._parse_datatype_string(SPANS).fields])

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeplan.llm.shared import named
+from treeplan.llm.shared import exactly
 
 ROUNDS = 10
 #: What finds candidates, by kind (Java regular expressions).
@@ -365,7 +365,7 @@ def pseudonymized(docs: DataFrame, text: Column, key: str) -> DataFrame:
     """(row, made): the columns of docs, which may have any names, as a struct; and struct(text, n_replaced), the text
     with every valid value replaced, and how many that were; the text is null for null."""
     sweeps = _sweeps(key)
-    made, now = docs.select(F.struct(*[named(c).alias(c) for c in docs.columns]).alias("row"), text.alias("text")), F.col("text")
+    made, now = docs.select(F.struct(*[exactly(c).alias(c) for c in docs.columns]).alias("row"), text.alias("text")), F.col("text")
     made = made.withColumn("may", F.struct(*[gate(now).alias(c) for c, gate in GATES.items()]))
     done = [f"sweep{k}" for k in range(len(sweeps))]
     for column, sweep in zip(done, sweeps, strict=True):  # one projection each: nested in one, they are too deep for the analyzer

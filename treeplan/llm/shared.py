@@ -188,7 +188,7 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("item"), "root").distinct())
 
 
-def named(column: str) -> Column:
+def exactly(column: str) -> Column:
     """The column of this very name, whatever is in it."""
     return F.col("`" + column.replace("`", "``") + "`")
 

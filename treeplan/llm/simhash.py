@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from treeplan.llm.shared import Forest, Members, attach, components, discard, materialize, mixed, named, slices
+from treeplan.llm.shared import Forest, Members, attach, components, discard, materialize, mixed, exactly, slices
 
 SHARD = 192
 REFINE = 4096
@@ -441,7 +441,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no rows; other columns may have any names and stay; a very long text is one row of its task."""
     groups = materialize(_grouped(docs, id_col, text_col, words, similarity), "groups")
     # the row itself is a struct, so its columns may have any names
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[named(c).alias(c) for c in docs.columns]).alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[exactly(c).alias(c) for c in docs.columns]).alias("row"))
     # an id of one row decides by itself; where rows repeat an id or have none, each is looked up by its shingle set
     state = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("lead"))
     odd = materialize(state.where("n > 1 or not lead"), "odd")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from treeplan.llm.shared import attach, discard, materialize, Members, mixed, named, slices, utf8
+from treeplan.llm.shared import attach, discard, materialize, Members, mixed, exactly, slices, utf8
 
 #: Rows of counters; a merged counter is kept as one bit (counted twice or not).
 ROWS = 2
@@ -392,7 +392,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """
     attach(docs.sparkSession)
     lowest = -(1 << 63)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[named(c).alias(c) for c in extra] or [F.lit(0).alias("none")]).alias("extra"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[exactly(c).alias(c) for c in extra] or [F.lit(0).alias("none")]).alias("extra"))
     keyed = _tagged(rows.withColumn("key", F.coalesce("doc_id", F.lit(lowest))))
     marks = repeated_windows(rows.where("text is not null").select(F.coalesce("doc_id", F.lit(lowest)).alias("doc_id"), "text"), size, gram, sizes)
     # only documents that may have marks are dealt to meet them

@@ -5,6 +5,8 @@ import json
 import os
 import random
 import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -345,3 +347,24 @@ def test_writers_stay_inside(spark, tmp_path):
         for root in ("/etc", "/usr/share/x", "/tmp/../etc/x"):
             with pytest.raises(ValueError, match="system"):
                 write(root)
+
+
+def test_workers_find_the_package(tmp_path):
+    """From another folder, with the package on the driver's path only."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(work.__file__)))
+    make_tree(f"{tmp_path}/s", ["a/b", "c"])
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from treeplan.operators import segments
+from treeplan.plans import sync
+from treeplan.sources import fs_tree
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+s = fs_tree.scan(spark, "{tmp_path}/s").where("not is_dir")
+assert all(r.ok for r in fs_tree.execute(sync.plan(s, s.limit(0)), "{tmp_path}/s", "{tmp_path}/d").collect())
+assert segments.cdc_chunks(s.select("rel_path", "size"), fs_tree.ranges_of("{tmp_path}/d"), 256, 4096).count() == 2
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeplan.functions import paths
+from treeplan.work import importable
 
 
 def glob_regex(pattern: str) -> str:
@@ -142,6 +143,7 @@ def relation(spark: SparkSession, chain: list[Rule] | None = None, lines: DataFr
             kinds = (pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _RULE.split(", ")])
 
+    importable(lines.sparkSession)
     return lines.select(F.col("ord").cast("long").alias("ord"), "kind", "line").mapInArrow(parsed, _RULE)
 
 
@@ -157,6 +159,8 @@ def judged(files: DataFrame, chain: DataFrame, is_dir: Column | None = None) ->
         raise ValueError(f"rules that begin with a wildcard have {size} characters, more than {KEYLESS}")
     tried = [(r.ord, r.kind, r.dir_only, r.anchored, r.regex) for r in keyless.orderBy("ord").collect()]
 
+    importable(files.sparkSession)
+
     @F.arrow_udf("long")
     def first_keyless(path: pa.Array, folder: pa.Array) -> pa.Array:
         compiled = [(o, d, a, re.compile(x)) for o, _, d, a, x in tried]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from treeplan.operators.ranking import running
+from treeplan.work import importable
 
 #: A batch closes at so many files or bytes; a larger file goes alone.
 FILES, BYTES, ALONE = 256, 64 << 20, 4 << 20
@@ -96,6 +97,7 @@ def greedy(rows: DataFrame, stream: str, order: str, files: int = FILES, limit:
         return table.select(["s", "o", "size"]).slice(first, end - first if len(begins) else 0).append_column("batch", pa.array(batch, pa.int64()))
 
     kinds = [StructField(new, f.dataType) for new, f in zip(("s", "o", "size"), kept.schema.fields, strict=True)]
+    importable(dealt.sparkSession)
     tables = dealt.groupBy("s", "block").applyInArrow(ways, StructType([kinds[0], StructField("block", LongType()), StructField("to", ArrayType(LongType())), StructField("count", ArrayType(LongType()))]))
     entries = tables.repartition("s").sortWithinPartitions("s", "block").mapInArrow(followed, StructType([StructField("t", kinds[0].dataType), *(StructField(x, LongType()) for x in ("own", "first", "batch"))]))
     joined = dealt.join(entries, F.col("s").eqNullSafe(F.col("t")) & (F.col("block") == F.col("own"))).drop("t", "own")
@@ -115,6 +117,7 @@ def payloads(batches: DataFrame, contents: DataFrame, stream: str, order: str) -
                 row = batch.slice(k, 1)
                 yield pa.RecordBatch.from_arrays([*row.columns[:4], pa.array([b"".join(x or b"" for x in row.column(4)[0].as_py())], pa.binary())], names=[*row.schema.names[:4], "payload"])
 
+    importable(parts.sparkSession)
     return parts.mapInArrow(joined, StructType([*parts.schema.fields[:4], StructField("payload", BinaryType())]))
 
 

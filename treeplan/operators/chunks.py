@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeplan.work import importable
+
 MASK64 = (1 << 64) - 1
 #: Fixed value: what the table of byte values is made from.
 SEED = 0x123456789ABCDEF0
@@ -244,6 +246,7 @@ def cdc_chunks(files: DataFrame, target: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), *(pa.array(np.array(x, np.int64)) for x in (idx, off, size)), pa.array(digest, pa.string())], names=["rel_path", "idx", "off", "len", "h"])
 
     rows = _dealt(files.where("size > 0").select("rel_path", content_of(files).alias("content")))
+    importable(rows.sparkSession)
     return rows.mapInArrow(cut, "rel_path string, idx long, off long, len long, h string")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeplan.operators.chunks import content_of
+from treeplan.work import importable
 
 
 def rebuilt(ops: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
@@ -30,6 +31,7 @@ def rebuilt(ops: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
                     parts.append(data[at : at + n])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([b"".join(parts) if good else None], pa.binary())], names=["rel_path", "content"])
 
+    importable(joined.sparkSession)
     return joined.select("rel_path", "ops", "new", "old").mapInArrow(made, "rel_path string, content binary")
 
 

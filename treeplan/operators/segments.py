@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from treeplan.operators.chunks import CdcParams, boundaries, content_of
 from treeplan.operators.ranking import checkpointed
+from treeplan.work import importable
 
 #: Bytes of a segment, and rounds before what is still open is walked.
 SEGMENT, ROUNDS = 64 << 20, 4
@@ -98,6 +99,7 @@ def cdc_chunks(files: DataFrame, reader: Reader, target: int, segment: int = SEG
         got = reader(ranges(wanted, segment, behind, p.most)).select("rel_path", "size", "seg", "entry", "at", "data").where("data is not null")
         if how is walk:
             got = got.repartition("rel_path").sortWithinPartitions("rel_path", "seg")
+        importable(got.sparkSession)
         return got.mapInArrow(how, _CUT)
 
     all_ = numbered(files, segment).withColumn("entry", F.when(F.col("seg") == 0, F.lit(0).cast("long")))
@@ -187,7 +189,9 @@ def rebuilt(ops: DataFrame, new: DataFrame, old: DataFrame, segment: int = SEGME
             yield out()
 
     dealt = stream.repartition("rel_path", "kind", "seg").sortWithinPartitions("rel_path", "kind", "seg", F.col("out").isNotNull())
+    importable(dealt.sparkSession)
     made = dealt.mapInArrow(pieces, "rel_path string, seg long, to long, data binary")
+    importable(made.sparkSession)
     return made.repartition("rel_path", "seg").sortWithinPartitions("rel_path", "seg", "to").mapInArrow(joined, "rel_path string, seg long, data binary")
 
 
@@ -221,6 +225,7 @@ def digests(segments: DataFrame) -> DataFrame:
             yield out()
 
     rows = segments.select("rel_path", "seg", "data").repartition("rel_path").sortWithinPartitions("rel_path", "seg")
+    importable(rows.sparkSession)
     return rows.mapInArrow(run, "rel_path string, size long, digest string")
 
 

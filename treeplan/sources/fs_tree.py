@@ -25,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from treeplan.functions import paths
 from treeplan.functions.rules import Rule
 from treeplan.operators.ranking import checkpointed
+from treeplan.work import importable
 
 SCHEMA = "rel_path string, is_dir boolean, size long, mtime_ns long, mode int, is_symlink boolean, symlink_target string, uid long, gid long, dev long, ino long, error string"
 
@@ -151,6 +152,7 @@ class _Reader(DataSourceReader):
 def scan(spark: SparkSession, root: str, chain: list[Rule] = (), prune_children: bool = False, min_size: int | None = None, max_size: int | None = None, **options: str) -> DataFrame:
     """Rows of FsTree. The rules of `chain` and the sizes are looked at where names are read: what is excluded is not looked at further, and with
     prune_children an excluded directory is not opened. Same rows as rules.kept() and size limits on files afterwards."""
+    importable(spark)
     spark.dataSource.register(FsTree)
     pushed = {"rules": json.dumps([(r.kind, r.regex, r.dir_only, r.anchored) for r in chain])} if chain else {}
     pushed |= {"prune_children": "true"} if prune_children else {}
@@ -178,6 +180,7 @@ def times_now(dirs: DataFrame, root: str) -> DataFrame:
             rows = list(stat_directories(root, batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.int64()))], names=["rel_path", "mtime_ns"])
 
+    importable(dirs.sparkSession)
     return dirs.select("rel_path").where("rel_path is not null").mapInArrow(run, "rel_path string, mtime_ns long")
 
 
@@ -199,6 +202,7 @@ def digests(files: DataFrame, root: str) -> DataFrame:
                 out.append(digest)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["rel_path", "digest"])
 
+    importable(files.sparkSession)
     return files.select("rel_path").mapInArrow(run, "rel_path string, digest string")
 
 
@@ -238,6 +242,7 @@ def contents(files: DataFrame, root: str) -> DataFrame:
                     error = str(e)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["rel_path", "content", "error"])
 
+    importable(files.sparkSession)
     return files.select("rel_path").mapInArrow(run, "rel_path string, content binary, error string")
 
 
@@ -263,6 +268,7 @@ def ranges_of(root: str):
                     yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns), pa.array([data], pa.binary())], names=[*batch.schema.names, "data"])
 
         rows = wanted.select("rel_path", "at", "n", *kept)
+        importable(rows.sparkSession)
         return rows.repartition("rel_path", "at").mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("data", T.BinaryType())]))
 
     return read
@@ -354,6 +360,7 @@ def extents(files: DataFrame, root: str) -> DataFrame:
                     os.close(f)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["rel_path", "ord", "logical", "length"])
 
+    importable(files.sparkSession)
     return files.select("rel_path").mapInArrow(run, "rel_path string, ord int, logical long, length long")
 
 
@@ -410,6 +417,7 @@ def scan_again(root: str, files: DataFrame, dirs: DataFrame) -> DataFrame:
                             pass
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")] + ["origin"])
 
+    importable(known.sparkSession)
     return known.select("dir", "mtime_ns", "names", "dirs").mapInArrow(run, SCHEMA + ", origin string")
 
 
@@ -442,6 +450,7 @@ def _each(rows: DataFrame, act) -> DataFrame:
                 out.append((row["rel_path"], row["action"], error is None, error))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["rel_path", "action", "ok", "error"])
 
+    importable(rows.sparkSession)
     return rows.mapInArrow(run, DONE)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from treeplan import work
 from treeplan.options import SyncOptions
 from treeplan.plans import sync
 
@@ -61,6 +62,7 @@ def planned(arriving: DataFrame, o: SyncOptions = SyncOptions()) -> DataFrame:
     """PLANNED rows for SNAPSHOT rows, by the ladder of `o` (not by content); several of one path are taken in the order of seq."""
     if o.checksum == "content":
         raise ValueError("state by path holds no contents")
+    work.importable(arriving.sparkSession)
     wanted = arriving.select(*[c.split()[0] for c in SNAPSHOT.split(", ")])
     return wanted.groupBy("rel_path").transformWithState(_Paths(o), PLANNED, "append", "none")
 

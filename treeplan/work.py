@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -13,6 +15,15 @@ from pyspark.sql import SparkSession
 UNREADABLE = (PySparkException, Py4JJavaError, ValueError)
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder they start in. On a cluster that folder
+    is shared, or the package is installed."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([root, *parts])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only a local master may do without that setting."""
     context = spark.sparkContext

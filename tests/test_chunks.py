@@ -122,3 +122,18 @@ def test_few_files_are_dealt(spark, sf, tmp_path):
     many = chunks.cdc_chunks(spark.read.parquet(str(tmp_path / "many")), 256)
     assert shuffles(many) == 0
     assert sorted(many.collect()) == sorted(chunks.cdc_chunks(rows, 256).collect())
+
+
+def test_table_functions(spark):
+    """Contents of any kind in a lateral join give the rows of the operators."""
+    from treeplan.functions import tables
+
+    tables.register(spark)
+    rng = random.Random(8)
+    rows = [("a", rng.randbytes(9000)), ("b", b""), ("c", None), ("d", bytes(5000)), ("e", b"x")]
+    frame = spark.createDataFrame([(p, len(b or b""), b) for p, b in rows], "rel_path string, size long, content binary")
+    frame.createOrReplaceTempView("some_files")
+    ask = lambda call: sorted(map(tuple, spark.sql(f"SELECT f.rel_path, c.* FROM some_files f, LATERAL {call} c").collect()))
+    assert ask("cdc_chunks(f.content, 256)") == sorted(map(tuple, chunks.cdc_chunks(frame, 256).collect()))
+    assert ask("fixed_chunks(f.content, 512)") == sorted(map(tuple, chunks.fixed_chunks(frame, 512).collect()))
+    assert spark.sql("SELECT count(*) AS n FROM cdc_chunks(NULL, 256)").first().n == 0

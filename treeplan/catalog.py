@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeplan.functions import paths, rules
+from treeplan.functions import paths, rules, tables
 from treeplan.operators import batching, chunks, delta, extents, ranking, rebuild, segments, stats
 from treeplan.options import SyncOptions
 from treeplan import work
@@ -352,6 +352,15 @@ def chunks_cdc(spark, d):
     return chunks.cdc_chunks(_src(spark, d).where("not is_symlink"), 256)
 
 
+@query(CDC + " SELECT rel_path, idx, off, len, h FROM sc")
+def chunks_cdc_sql(spark, d):
+    """The chunks of chunks_cdc, by a table function in SQL."""
+    tables.register(spark)
+    cores = spark.sparkContext.defaultParallelism
+    files = _src(spark, d).where("not is_symlink").select("rel_path", F.encode("text", "UTF-8").alias("content")).repartition(cores, "rel_path")
+    return spark.sql("SELECT f.rel_path, c.* FROM {files} f, LATERAL cdc_chunks(f.content, 256) c", files=files)
+
+
 def _cdc_ops(spark, d):
     pair = lambda f: chunks.cdc_chunks(f.where("not is_symlink"), 256)
     return delta.by_hash(pair(_src(spark, d)), pair(_dst(spark, d)))

@@ -368,3 +368,31 @@ assert segments.cdc_chunks(s.select("rel_path", "size"), fs_tree.ranges_of("{tmp
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_sparse_copies(spark, tmp_path):
+    """Copies have the source's bytes and allocated blocks, and a live tree tells its holes."""
+    from treeplan.operators import extents
+
+    src, dst = f"{tmp_path}/s", f"{tmp_path}/d"
+    os.makedirs(f"{src}/x")
+    for name, parts, size in (("x/holes", [(1 << 20, b"a" * 70_000), (5 << 20, b"b" * 4096)], 9 << 20), ("x/full", [(0, b"c" * 300_000)], 300_000), ("empty", [], 0), ("hole", [], 3 << 20)):
+        with open(f"{src}/{name}", "wb") as f:
+            f.truncate(size)
+            for at, data in parts:
+                f.seek(at)
+                f.write(data)
+    s = fs_tree.scan(spark, src).where("not is_dir")
+    found = fs_tree.extents(s, src).cache()
+    found.count()
+    done = fs_tree.copy_sparse(sync.plan(s, s.limit(0)), found, src, dst).collect()
+    assert len(done) == 4 and all(r.ok for r in done)
+    for name in ("x/holes", "x/full", "empty", "hole"):
+        a, b = os.stat(f"{src}/{name}"), os.stat(f"{dst}/{name}")
+        assert open(f"{src}/{name}", "rb").read() == open(f"{dst}/{name}", "rb").read() and (a.st_blocks, a.st_mtime_ns) == (b.st_blocks, b.st_mtime_ns)
+    info = {r.file_id: r for r in extents.sparse_info(extents.of_tree(found), s.select(F.col("rel_path").alias("file_id"), "size")).collect()}
+    assert info["x/holes"].hole_count == 3 and info["hole"].density == 0 and not info["x/full"].is_sparse and info["empty"].density == 1
+    assert extents.compared(extents.of_tree(found), extents.of_tree(fs_tree.extents(s, dst))).where("not same").isEmpty()
+    os.truncate(f"{src}/x/holes", 2000)
+    done = {r.rel_path: r.ok for r in fs_tree.copy_sparse(sync.plan(s, s.limit(0)), found, src, dst).collect()}
+    assert not done["x/holes"] and os.path.getsize(f"{dst}/x/holes") == 9 << 20 and sorted(os.listdir(f"{dst}/x")) == ["full", "holes"]

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 LAST, UNWRITTEN, SHARED = 0x1, 0x800, 0x2000
 
 
+def of_tree(found: DataFrame) -> DataFrame:
+    """Extents of a live tree, as fs_tree.extents() finds them, in the columns that the others take; the paths are the ids, physical places are not known."""
+    last = Window.partitionBy("rel_path").orderBy(F.desc("ord"))
+    flag = F.when(F.row_number().over(last) == 1, LAST).otherwise(0)
+    return found.select(F.col("rel_path").alias("file_id"), "ord", "logical", F.lit(None).cast("long").alias("physical"), "length", flag.alias("flags"))
+
+
 def flags(extents: DataFrame) -> DataFrame:
     bit = lambda b: F.col("flags").bitwiseAND(F.lit(b)) != 0
     return extents.withColumns({"is_last": bit(LAST), "is_unwritten": bit(UNWRITTEN), "is_shared": bit(SHARED), "end": F.col("logical") + F.col("length")})

@@ -560,6 +560,34 @@ def apply_ops(ops: DataFrame, src_root: str, dst_root: str, anywhere: bool = Fal
     return _each(rows.select("rel_path", F.lit("delta").alias("action"), "ops"), act)
 
 
+def copy_sparse(planned: DataFrame, found: DataFrame, src_root: str, dst_root: str, anywhere: bool = False) -> DataFrame:
+    """Copies files of a plan (rel_path, action) with their holes: (rel_path, action, ok, error). found: where they hold data, as extents() gives it.
+
+    Only data is read and written, the part takes the source's size by being cut to it, and then the file's place. A file that has changed since its
+    extents were read, so that they reach beyond its end, is an error and leaves the destination as it was."""
+    dst_root = _destination(dst_root, anywhere)
+    held = found.groupBy("rel_path").agg(F.sort_array(F.collect_list(F.struct("logical", "length"))).alias("extents"))
+    rows = planned.where("action in ('copy_new', 'copy_full')").select("rel_path", "action").join(held, "rel_path", "left")
+
+    def act(row: dict) -> None:
+        src, dst = inside(src_root, row["rel_path"]), inside(dst_root, row["rel_path"])
+        os.makedirs(os.path.dirname(dst), exist_ok=True)
+
+        def make(part: str) -> None:
+            with open(src, "rb") as new, open(part, "wb") as out:
+                size = os.fstat(new.fileno()).st_size
+                out.truncate(size)
+                for e in row["extents"] or []:
+                    if e["logical"] + min(e["length"], 1) > size:
+                        raise OSError(errno.EIO, "changed since its extents were read", row["rel_path"])
+                    _copied(new, e["logical"], out, e["logical"], min(e["length"], size - e["logical"]), None)
+            shutil.copystat(src, part)
+
+        _replaced(dst, make)
+
+    return _each(rows, act)
+
+
 class _Journal:
     """What a file held where it is written to in place, so that a task that is lost can be undone: records of (offset, length, bytes)."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeplan.operators.chunks import CdcParams, boundaries, content_of
+from treeplan.operators.chunks import CdcParams, boundaries, boundaries_of, content_of
 from treeplan.operators.ranking import checkpointed
 from treeplan.work import importable
 
@@ -59,19 +59,18 @@ _KINDS = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(
 _NAMES = [c.split()[0] for c in _CUT.split(", ")]
 
 
-def _row(path: str, size: int, seg: int, entry: int | None, at: int, data: memoryview, p: CdcParams, segment: int) -> tuple:
-    """Chunks that start in a segment, the first at `entry` (by a guess, if None), and where the first after it starts."""
+def _row(path: str, size: int, seg: int, start: int, at: int, data: memoryview, cuts: list[int], segment: int) -> tuple:
+    """Chunks that start in a segment, of those that were cut from `start`, and where the first after it starts."""
     begin, end = seg * segment, min((seg + 1) * segment, size)
-    start = at if entry is None else entry
-    cuts = [start + c for c in boundaries(data[start - at :], p)] if start < at + len(data) else []
+    cuts = [start + c for c in cuts]
     own = [c for c in cuts if begin <= c < end]
     leave = next((c for c in cuts if c >= end), size)
     stops = [*own[1:], leave][: len(own)]
     return (path, size, seg, own[0] if own else leave, leave, own, [b - a for a, b in zip(own, stops)], [hashlib.sha256(data[a - at : b - at]).hexdigest() for a, b in zip(own, stops)])
 
 
-def _batch(row: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _KINDS)], names=_NAMES)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], names=_NAMES)
 
 
 def cdc_chunks(files: DataFrame, reader: Reader, target: int, segment: int = SEGMENT, rounds: int = ROUNDS) -> DataFrame:
@@ -82,17 +81,20 @@ def cdc_chunks(files: DataFrame, reader: Reader, target: int, segment: int = SEG
     behind = 4 * p.most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, size, seg, entry, at, data in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
-                yield _batch(_row(path, size, seg, entry, at, memoryview(data.as_buffer()), p, segment))
+        for batch in batches:  # small segments are hashed together
+            rows = [(*r, memoryview(data.as_buffer())) for *r, data in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True)]
+            starts = [at if entry is None else entry for _, _, _, entry, at, _ in rows]
+            cuts = boundaries_of([data[start - at :] for start, (*_, at, data) in zip(starts, rows, strict=True)], p)
+            yield _batch([_row(path, size, seg, start, at, data, c, segment) for start, c, (path, size, seg, _, at, data) in zip(starts, cuts, rows, strict=True)])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, entry = None, 0
         for batch in batches:
             for path, size, seg, first, at, data in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True):
-                row = _row(path, size, seg, entry if path == last else first, at, memoryview(data.as_buffer()), p, segment)
+                held, start = memoryview(data.as_buffer()), entry if path == last else first
+                row = _row(path, size, seg, start, at, held, boundaries(held[start - at :], p), segment)
                 last, entry = path, row[4]
-                yield _batch(row)
+                yield _batch([row])
 
     def made(wanted: DataFrame, how=cut) -> DataFrame:
         """wanted: (rel_path, size, seg, entry)."""

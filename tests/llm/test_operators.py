@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, a round trip or held-out accuracy, and its edge cases."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import os
@@ -865,12 +866,37 @@ def test_pieces_short_and_long_units_agree(monkeypatch):
 # 9 fingerprints
 
 
+def common(a, b):
+    p = len(os.path.commonprefix([a, b]))
+    return p + min(min(len(a), len(b)) - p, len(os.path.commonprefix([a[::-1], b[::-1]])))
+
+
+@functools.cache
+def gram_level(gram):
+    """Zero bits at the end of a gram's hash, from its code points one by one."""
+    p, b = prefixes.PRIMES[0]
+    value = sum((ord(c) + 1) * pow(b, i, p) for i, c in enumerate(gram)) % p
+    mixed = (value * prefixes.MIX % 2**64) >> 32
+    return next((z for z in range(32) if mixed >> z & 1), 32)
+
+
 def likeness(a, b):
+    """Share of the longer text in equal spans, from the texts themselves: the plain version of what two fingerprints tell."""
     if not a and not b:
         return 1.0
-    p = len(os.path.commonprefix([a, b]))
-    s = min(min(len(a), len(b)) - p, len(os.path.commonprefix([a[::-1], b[::-1]])))
-    return (p + s) / max(len(a), len(b))
+
+    def levels(t):
+        may = [(i, z, t[i - prefixes.GRAM : i]) for i in range(prefixes.GRAM, len(t)) if (z := gram_level(t[i - prefixes.GRAM : i])) >= prefixes.LEAST]
+        found = {i: z for k, (i, z, gram) in enumerate(may) if all(gram != g for _, _, g in may[max(0, k - prefixes.SINCE) : k])}
+        return found, next(z for z in range(prefixes.LEAST, 40) if sum(x >= z for x in found.values()) <= prefixes.CUTS)
+
+    (x, p), (y, q) = levels(a), levels(b)
+
+    def spans(t, found):
+        at = [0, *sorted(i for i, z in found.items() if z >= max(p, q)), len(t)]
+        return collections.Counter(t[i:j] for i, j in zip(at, at[1:]))
+
+    return sum(len(t) * n for t, n in (spans(a, x) & spans(b, y)).items()) / max(len(a), len(b))
 
 
 def check_prefixes(rows, ordered):
@@ -882,13 +908,42 @@ def check_prefixes(rows, ordered):
         edited = t[: len(t) - k] + n[:k]
         assert (r.doc_id, r.n_chars, r.edited_sha256) == (d, len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.near_edited == pytest.approx(likeness(t, edited)) and r.near_next == pytest.approx(likeness(t, n))
+        assert r.near_edited == prefixes.likeness(r.fingerprint, r.edited_fingerprint)
+        assert (r.common_edited, r.common_next) == (common(t, edited), common(t, n))
         prints[t].add(r.fingerprint)
         prints[edited].add(r.edited_fingerprint)
     assert all(len(v) == 1 for v in prints.values()) and len({x for v in prints.values() for x in v}) == len(prints)
 
 
 def test_prefixes(spark, sf, texts):
-    check_prefixes(sorted(queries.op9_prefixes(spark, sf).collect(), key=lambda r: r.doc_id), sorted(texts.items()))
+    rows = sorted(queries.op9_prefixes(spark, sf).collect(), key=lambda r: r.doc_id)
+    check_prefixes(rows, sorted(texts.items()))
+    # the half that stays is told from fingerprints alone, up to the span at its edge; unlike neighbours have little
+    long = [r for r in rows if r.n_chars >= 1000]
+    assert np.mean([abs(r.near_edited - r.common_edited / r.n_chars) for r in long]) < 0.1
+    assert np.median([r.near_next for r in long]) < 0.05 and max(len(r.fingerprint) for r in rows) < 1000
+
+
+def test_prefixes_moved(texts):
+    """A passage is found again wherever it stands; one word changed costs one span."""
+    told = lambda t: prefixes.Prefixes(t).fingerprint()
+    some = sorted((t for t in texts.values() if t and 2000 < len(t) < 6000), key=len)[:20]
+    moved = [prefixes.likeness(told(t), told(t[k:] + t[:k])) for t in some for k in (len(t) // 3,)]
+    changed = [prefixes.likeness(told(t), told(t[:k] + "#" + t[k + 1 :])) for t in some for k in (len(t) // 3,)]
+    assert np.median(moved) > 0.7 and np.median(changed) > 0.8
+    runs = "La " * 300 + "qui " * 300 + "etze " * 300 + "ne " * 300
+    assert prefixes.likeness(told(runs), told(runs[:2500] + "x" + runs[2500:])) > 0.4
+    for odd in ("", "a", "a" * 5000, "ab" * 3000, "\U0001f600" * 40):
+        assert prefixes.likeness(told(odd), told(odd)) == 1.0 and len(told(odd)) < 1000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abc", max_size=300), st.text("abc", max_size=300), st.integers(0, 300))
+def test_prefixes_likeness(a, b, k):
+    b = a[:k] + b
+    x, y = prefixes.Prefixes(a).fingerprint(), prefixes.Prefixes(b).fingerprint()
+    assert prefixes.likeness(x, y) == pytest.approx(likeness(a, b))
+    assert prefixes.likeness(x, y) == prefixes.likeness(y, x)
 
 
 def test_prefixes_odd(odd, none, spark):

@@ -51,12 +51,12 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/treeplan/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: later steps neither repeat its
-    work nor depend on the executors that did it."""
+    work nor depend on the executors that did it. Options are those of Spark's Parquet writer."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._treeplan_path = path
     return out

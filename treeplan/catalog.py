@@ -737,6 +737,55 @@ def parents(spark, d):
     return manifest.parents(_src(spark, d))
 
 
+@query(DIRS + f"SELECT rel_path, rel_path IN (SELECT {PARENT} FROM src WHERE source = 'src1') AS changed FROM sd")
+def changed_dirs_live(spark, d):
+    """The directories of the snapshot are made in the shared folder, their times kept; then something new is put beside each file of
+    one source. The times of known directories alone, read on the executors, tell where."""
+    s, place = _src(spark, d), work.new_folder(spark)
+    root = place.removeprefix("file://")
+    if ":" in root:
+        raise ValueError("a live tree needs a shared folder that executors can open by path")
+    made = fs_tree.make_dirs(snapshots.directories(s), f"{root}/tree", anywhere=True)
+    if made.where("not ok").count():
+        raise OSError(f"directories could not be made in {root}")
+    fs_tree.times_now(snapshots.directories(s), f"{root}/tree").write.parquet(f"{place}/toc")
+    toc = spark.read.parquet(f"{place}/toc")
+    beside = s.where("source = 'src1'").select(F.concat(paths.parent(F.col("rel_path")), F.lit("/.new")).alias("rel_path")).distinct()
+    if fs_tree.make_dirs(beside, f"{root}/tree", anywhere=True).where("not ok").count():
+        raise OSError(f"directories could not be made in {root}")
+    return manifest.changed_dirs(fs_tree.times_now(toc, f"{root}/tree"), toc)
+
+
+@query(DIRS + f""", st AS (SELECT rel_path, coalesce(m, 0) AS m FROM sd LEFT JOIN (SELECT {PARENT} AS rel_path, max(mtime_ns) AS m FROM src GROUP BY ALL) USING (rel_path)),
+dt AS (SELECT rel_path, coalesce(m, 0) AS m FROM dd LEFT JOIN (SELECT {PARENT} AS rel_path, max(mtime_ns) AS m FROM dst GROUP BY ALL) USING (rel_path))
+SELECT coalesce(s.rel_path, d.rel_path) AS rel_path, CASE WHEN s.rel_path IS NULL THEN '*deleting ' || d.rel_path WHEN d.rel_path IS NULL THEN 'cd++++++ ' || s.rel_path ELSE '.d..' || CASE WHEN s.m <> d.m THEN 't' ELSE '.' END || '... ' || s.rel_path END AS line
+FROM st s FULL JOIN dt d ON s.rel_path = d.rel_path""")
+def itemize_dirs(spark, d):
+    def pack(files, n):
+        dirs = snapshots.directories(files).join(snapshots.dir_times(files), "rel_path", "left")
+        fixed = [F.lit(v).alias(k) for k, v in (("size", 0), ("mode", 0o755), ("uid", 1000), ("gid", 1000), ("is_symlink", False), ("is_dir", True))]
+        return dirs.select(F.col("rel_path").alias(f"{n}p"), F.struct("rel_path", F.coalesce("mtime_ns", F.lit(0)).alias("mtime_ns"), *fixed).alias(n))
+
+    return stats.itemized(pack(_src(spark, d), "s").join(pack(_dst(spark, d), "d"), F.col("sp") == F.col("dp"), "full"))
+
+
+@query(f"SELECT b.source, b.batch, count(*) AS files, CAST(sum(b.size) AS BIGINT) AS bytes, sha256(string_agg(d.text, '' ORDER BY d.doc_id)) AS payload_sha256 FROM ({ORACLES['greedy_batches']}) b JOIN documents d USING (doc_id) GROUP BY ALL")
+def batch_payloads(spark, d):
+    """What each message of the greedy batches carries: digest of the contents behind each other."""
+    named = greedy_batches(spark, d).withColumn("rel_path", F.col("doc_id").cast("string"))
+    contents = snapshots._documents(spark, d).select(F.col("doc_id").cast("string").alias("rel_path"), F.encode("text", "UTF-8").alias("content"))
+    sent = batching.payloads(named, contents, "source", "doc_id")
+    bytes_ = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    return sent.select("source", "batch", F.size("rel_paths").cast("long").alias("files"), bytes_.alias("bytes"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
+@query(FILES + f"SELECT EXISTS (SELECT 1 FROM (SELECT CASE {NEW} {SAME} ELSE 'copy_full' END AS action FROM src s LEFT JOIN dst d USING (rel_path)) WHERE action <> 'skip') AS first_run, EXISTS (SELECT 1 FROM src s LEFT JOIN src d USING (rel_path) WHERE d.rel_path IS NULL OR s.size <> d.size OR s.mtime_ns <> d.mtime_ns) AS second_run")
+def anything_changed(spark, d):
+    """Whether a manifest has to be written again: against the destination, and against itself."""
+    s = _src(spark, d)
+    return spark.range(1).select(*[F.lit(manifest.changed(sync.plan(s, other))).alias(n) for n, other in (("first_run", _dst(spark, d)), ("second_run", s))])
+
+
 @query()
 def compression_ratio(spark, d):
     """Wire size of frames of 200 files and of single files, by source."""

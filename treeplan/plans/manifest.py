@@ -77,6 +77,13 @@ def trusted_now(spark: SparkSession, path: str, snapshot_id: str, root: str, o:
     return toc is not None and trusted(spark, path, snapshot_id, root, fs_tree.times_now(toc[1], root), o)
 
 
+def changed_dirs(now: DataFrame, toc: DataFrame) -> DataFrame:
+    """(rel_path, changed) of the directories that a manifest knows (rel_path, mtime_ns): another time now, or gone. Only files directly
+    in these have to be looked at, if times can be trusted."""
+    both = toc.select("rel_path", F.col("mtime_ns").alias("was")).join(now.select("rel_path", "mtime_ns"), "rel_path", "left")
+    return both.select("rel_path", F.coalesce(F.col("was") != F.col("mtime_ns"), F.lit(True)).alias("changed"))
+
+
 def plan_live(spark: SparkSession, path: str, snapshot_id: str, root: str, o: SyncOptions = SyncOptions(), chain: list = ()) -> DataFrame | None:
     """What a tree has for its destination, whose manifest is kept: None, without a scan, if its directories' times can be trusted and none has
     changed; else the plan over a scan with rules and sizes pushed into it."""
@@ -118,9 +125,7 @@ def subdirectories(dirs: DataFrame) -> DataFrame:
 
 def unchanged(now: DataFrame, before: DataFrame) -> DataFrame:
     """(dirs, changed, unchanged): whether every directory known before still has its time; a missing one has changed."""
-    both = before.select("rel_path", F.col("mtime_ns").alias("was")).join(now.select("rel_path", "mtime_ns"), "rel_path", "left")
-    same = F.coalesce(F.col("was") == F.col("mtime_ns"), F.lit(False))
-    return both.agg(F.count("*").alias("dirs"), F.count_if(~same).alias("changed"), F.coalesce(F.bool_and(same), F.lit(True)).alias("unchanged"))
+    return changed_dirs(now, before).agg(F.count("*").alias("dirs"), F.count_if("changed").alias("changed"), F.coalesce(F.bool_and(~F.col("changed")), F.lit(True)).alias("unchanged"))
 
 
 def incremental(now_files: DataFrame, now_dirs: DataFrame, was_files: DataFrame, was_dirs: DataFrame) -> DataFrame:

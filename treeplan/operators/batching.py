@@ -45,14 +45,19 @@ def greedy(rows: DataFrame, stream: str, order: str, files: int = FILES, limit:
     No stream is a task of its own. Rows are numbered and cut into blocks, each with the first `files` rows of the next
     one. A batch has at most so many rows, so the first one that begins in a block begins at one of its first `files`
     rows: a block says for each of these where the next block would begin and how many batches lie between. Only these
-    short tables are followed along a stream; then every block numbers its own batches."""
+    short tables are followed along a stream; then every block numbers its own batches. A stream of one block has nothing
+    to follow, so it is batched at once."""
     block, files = max(block, files, 1), max(files, 1)
     kept = rows.select(stream, order, "size")
     named = kept.select(F.col(stream).alias("s"), F.col(order).alias("o"), F.col("size").alias("size"))
     numbered = running(named, "s", F.struct("o", "size")).select("s", "o", "size", (F.col("nth") - 1).alias("at"))
+    wide = numbered.where(F.col("at") == block).select(F.col("s").alias("t"))  # streams of more than one block
+    several = not wide.isEmpty()
+    same = F.col("s").eqNullSafe(F.col("t"))
+    narrow = numbered.join(wide, same, "left_anti") if several else numbered
     own = F.expr(f"at div {block}")
     both = F.when((F.col("at") % block < files) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    dealt = numbered.withColumn("block", F.explode(both))
+    dealt = numbered.join(wide, same, "left_semi").withColumn("block", F.explode(both))
 
     def ready(table: pa.Table) -> tuple[pa.Table, int, np.ndarray, np.ndarray]:
         table = table.sort_by("at")
@@ -97,11 +102,16 @@ def greedy(rows: DataFrame, stream: str, order: str, files: int = FILES, limit:
         return table.select(["s", "o", "size"]).slice(first, end - first if len(begins) else 0).append_column("batch", pa.array(batch, pa.int64()))
 
     kinds = [StructField(new, f.dataType) for new, f in zip(("s", "o", "size"), kept.schema.fields, strict=True)]
+    kinds.append(StructField("batch", LongType()))
     importable(dealt.sparkSession)
+    none = F.lit(0).cast("long")
+    single = narrow.withColumns({"block": none, "first": none, "batch": none}).groupBy("s").applyInArrow(batched, StructType(kinds))
+    if not several:
+        return single.toDF(*kept.columns, "batch")
     tables = dealt.groupBy("s", "block").applyInArrow(ways, StructType([kinds[0], StructField("block", LongType()), StructField("to", ArrayType(LongType())), StructField("count", ArrayType(LongType()))]))
     entries = tables.repartition("s").sortWithinPartitions("s", "block").mapInArrow(followed, StructType([StructField("t", kinds[0].dataType), *(StructField(x, LongType()) for x in ("own", "first", "batch"))]))
     joined = dealt.join(entries, F.col("s").eqNullSafe(F.col("t")) & (F.col("block") == F.col("own"))).drop("t", "own")
-    return joined.groupBy("s", "block").applyInArrow(batched, StructType([*kinds, StructField("batch", LongType())])).toDF(*kept.columns, "batch")
+    return joined.groupBy("s", "block").applyInArrow(batched, StructType(kinds)).unionByName(single).toDF(*kept.columns, "batch")
 
 
 def payloads(batches: DataFrame, contents: DataFrame, stream: str, order: str) -> DataFrame:

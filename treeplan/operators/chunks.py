@@ -251,12 +251,13 @@ def cdc_chunks(files: DataFrame, target: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """rows, dealt by path if by the plan's estimate each core would have less than one scan partition: such a table may be one row
-    group, so one task, and hashing a content costs several times what its exchange does. Larger tables, and live trees, whose size
-    is not known beforehand, stay as they are read."""
+    """rows, dealt by path if they come from fewer table files than there are cores, and by the plan's estimate would give each core
+    less than one scan partition: such a file may be one row group, so one task, and hashing a content costs several times what its
+    exchange does. Larger tables, whose files are not listed for this, and live trees, whose size is not known beforehand, stay as they are read."""
     spark = rows.sparkSession
     cores, size = spark.sparkContext.defaultParallelism, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores, "rel_path") if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else rows
+    small = size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return rows.repartition(cores, "rel_path") if small and 0 < len(rows.inputFiles()) < cores else rows
 
 
 def _pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:

@@ -31,8 +31,9 @@ CLIP = 4.0
 SWITCH = 12.0
 #: Labelled rows that a model is fitted on, of each language, about.
 SAMPLE = 3000
-#: Languages that are learned at most, those of most rows (a model has 256 KB for each, and is broadcast).
-LABELS = 128
+#: Numbers that a model has at most (4 bytes each, and it is broadcast): up to 128 languages have 2^BITS trigram buckets
+#: each, beyond that buckets are halved until all languages fit.
+CELLS = 128 << BITS
 #: A language has a script if this share of its letters is of it.
 SHARE = 0.01
 TOP = 0x32400
@@ -101,7 +102,7 @@ def words_of(texts: list[str | None]) -> Words:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # [2^BITS, langs] log likelihoods
+    table: np.ndarray  # [buckets, langs] log likelihoods; as many buckets as a power of two, at most 2^BITS
     uses: np.ndarray  # [scripts, langs]
     known: np.ndarray  # [scripts]: some language was learned with it
 
@@ -109,7 +110,7 @@ class Model:
         """[words, langs], at most 0 and at least -CLIP; the best language of each word has 0."""
         if not len(w.begin) or not self.langs:
             return np.zeros((len(w.begin), len(self.langs)), np.float32)
-        out = np.add.reduceat(self.table[w.bucket], w.begin, axis=0)
+        out = np.add.reduceat(self.table[w.bucket >> (BITS + 1 - len(self.table).bit_length())], w.begin, axis=0)
         out[~self.uses[w.script]] = -np.inf
         return np.maximum(out - out.max(axis=1, keepdims=True), -CLIP)
 
@@ -135,16 +136,18 @@ def path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def train(docs: DataFrame, text_col: str, lang_col: str, key: Column, sample: int = SAMPLE, labels: int = LABELS) -> Model:
-    """Fits a model on about `sample` rows of each language (those of the smallest hashes of `key`), of at most
-    `labels` languages (those of most rows); rows without text or language are not used. No such rows: nothing is learned."""
+def train(docs: DataFrame, text_col: str, lang_col: str, key: Column, sample: int = SAMPLE, cells: int = CELLS) -> Model:
+    """Fits a model on about `sample` rows of each language (those of the smallest hashes of `key`); rows without
+    text or language are not used. No such rows: nothing is learned. All languages are learned; where they are so
+    many that the model would have over `cells` numbers, trigrams share buckets."""
     attach(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(key).alias("place"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).collect()}
+    counts = sorted((r.lang, r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())  # one row for each language
     if not counts:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((len(NAMES), 0), bool), np.zeros(len(NAMES), bool))
-    most = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(int(min(1.0, sample / n) * 2**64), 2**64 - 1) - 2**63))])
-    chosen = rows.where(F.col("place") <= most[F.col("lang")]).select("text", "lang")
+    bits = max(1, min(BITS, (cells // len(counts)).bit_length() - 1))
+    most = docs.sparkSession.createDataFrame([(k, min(int(min(1.0, sample / n) * 2**64), 2**64 - 1) - 2**63) for k, n in counts], "lang string, most long")
+    chosen = rows.join(F.broadcast(most), "lang").where(F.col("place") <= F.col("most")).select("text", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,12 +155,12 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key: Column, sample: in
                 texts, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for lang in sorted(set(langs)):
                     w = words_of([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                    bucket, n = np.unique(w.bucket, return_counts=True)
+                    bucket, n = np.unique(w.bucket >> (BITS - bits), return_counts=True)
                     scripts = np.bincount(w.script, weights=w.letters, minlength=len(NAMES)).astype("<i8")
                     yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (lang, bucket.astype("<i4").tobytes(), n.astype("<i8").tobytes(), scripts.tobytes())], names=["lang", "bucket", "n", "scripts"])
 
     def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, scripts = np.zeros(1 << BITS, "<i8"), np.zeros(len(NAMES), "<i8")
+        total, scripts = np.zeros(1 << bits, "<i8"), np.zeros(len(NAMES), "<i8")
         for batch in batches:
             for b, n, s in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "scripts")), strict=True):
                 np.add.at(total, np.frombuffer(b, "<i4"), np.frombuffer(n, "<i8"))
@@ -167,7 +170,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, key: Column, sample: in
     got = sorted(chosen.mapInArrow(counted, "lang string, bucket binary, n binary, scripts binary").groupBy("lang").applyInArrow(merged, "lang string, n binary, scripts binary").collect())
     n = np.stack([np.frombuffer(r.n, "<i8") for r in got], axis=1)
     s = np.stack([np.frombuffer(r.scripts, "<i8") for r in got], axis=1)
-    table = np.log((n + 0.1) / (n.sum(axis=0) + 0.1 * (1 << BITS))).astype(np.float32)
+    table = np.log((n + 0.1) / (n.sum(axis=0) + 0.1 * (1 << bits))).astype(np.float32)
     uses = s >= np.maximum(1, SHARE * s.sum(axis=0))
     known = uses.any(axis=1)
     uses[~known] = True  # nobody's script: every language stays a candidate
@@ -187,7 +190,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     Whole texts are read, a very long one as a step of its own. Repeated rows are predicted again; an empty table gives no rows.
     """
     attach(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2^BITS numbers
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

@@ -4,9 +4,11 @@ import collections
 import functools
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -246,6 +248,38 @@ def test_similar_groups_in_a_hot_band(spark):
         assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame, hot=hot).collect()} == want
 
 
+def test_unlike_sets_in_a_hot_band(spark):
+    """20,000 sets that share a band and nothing else are not compared with each other; likely pairs among them are."""
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 256, (20_000, simhash.HASHES), dtype=np.uint8)
+    for k in range(0, 200, 2):  # alike to 0.87
+        sigs[k + 1] = np.where(rng.random(simhash.HASHES) < 0.87, sigs[k], sigs[k + 1])
+    nodes = spark.createDataFrame([(k, k, x.tobytes()) for k, x in enumerate(sigs)], "node long, fp long, sig binary")
+    met = nodes.select("node", F.lit(7).cast("long").alias("key"), F.lit(20_000).cast("long").alias("n"), F.when(F.col("node") >= 15_000, F.lit(1)).cast("long").alias("kin"))
+    pairs = set()
+    for row in simhash._shard_pairs(simhash._dealt_again(met, nodes, simhash.HOT), nodes).collect():
+        sides = [[x.node for x in s.nodes] for s in row.shards]
+        pairs |= {(min(x, y), max(x, y)) for x in sides[0] for y in sides[-1] if x != y}
+    assert len(pairs) < 1000 and sum((k, k + 1) in pairs for k in range(0, 200, 2)) >= 99
+    assert simhash._dealt_again(met.withColumn("kin", F.lit(1).cast("long")), nodes, simhash.HOT).count() == 0
+    assert simhash._dealt_again(met, nodes, 20_000).count() == 20_000
+
+
+def test_similar_groups_of_a_common_passage(spark):
+    """Documents that share a long passage, so bands are hot with unlike sets; pairs among them are alike."""
+    rng = random.Random(14)
+    passage, texts = [f"p{k}" for k in range(120)], {}
+    for k in range(0, 500, 2):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(50)]
+        texts[k] = " ".join(passage + own)
+        own[rng.randrange(50)] = "new"
+        texts[k + 1] = " ".join(passage + own) if k % 4 else " ".join(passage + own[:10])
+    want, links = plain_groups(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), hot=30).collect()}
+    assert all(want[d] == want[c] for d, c in got.items())
+    assert len(links) > 100 and sum(got[a] != got[b] for a, b, *_ in links) <= 0.02 * len(links)
+
+
 def test_shards_of_one_kin_are_not_compared(spark):
     entries = spark.range(1000).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("key"), F.when(F.col("id") < 800, F.lit(5)).when(F.col("id") < 950, F.col("id")).cast("long").alias("kin"))
     nodes = spark.range(1000).select(F.col("id").alias("node"), F.col("id").alias("fp"), F.lit(b"s").alias("sig"))
@@ -693,15 +727,17 @@ def test_work_tables_are_cleared(spark):
     assert not os.path.exists(other._treeplan_path.removeprefix("file://")) and table.count() == 3
     shared.discard(spark.range(1))  # no work table: nothing happens
     assert os.path.isdir(folder)
+    shared.clear_work(spark)
+    assert not os.path.exists(folder)
+    assert shared.materialize(spark.range(3), "again").count() == 3
 
 
 def test_langid_knows_what_it_has_not_learned(spark, docs):
-    """A whole text in a script that no label has is predicted, but with a score of 0; labels are bounded."""
+    """A whole text in a script that no label has is predicted, but with a score of 0."""
     model = langid.train(docs, "text", "lang", F.col("doc_id"))
     lone = spark.createDataFrame([(1, "\u13a0\u13a1\u13a2 \u10a0\u10a1\u10a2 \u0531\u0532"), (2, "1 2 3"), (3, docs.where("lang = 'en'").first().text)], "doc_id long, text string")
     got = {r.kept.doc_id: r for r in langid.predict(lone, model).collect()}
     assert got[1].lang_pred != "und" and got[1].score == 0 and got[2].lang_pred == "und" and got[3].score > 0.9
-    assert len(langid.train(docs, "text", "lang", F.col("doc_id"), labels=2).langs) == 2
 
 
 def test_langid(spark, sf, docs):
@@ -711,6 +747,90 @@ def test_langid(spark, sf, docs):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_langid_learns_any_number_of_languages(spark, docs):
+    """Languages beyond those that have all buckets are learned too, with fewer buckets, in a model of the same bound."""
+    many = docs.where("lang is not null").select("doc_id", F.col("text"), F.concat("lang", F.lit("-"), (F.col("doc_id") % 400).cast("string")).alias("lang"))
+    wide, narrow = (langid.train(many, "text", "lang", F.col("doc_id"), cells=c) for c in (langid.CELLS, 1 << 18))
+    assert wide.langs == narrow.langs == sorted({r.lang for r in many.collect()}) and len(wide.langs) > 128
+    assert narrow.table.size <= 1 << 18 and wide.table.size <= langid.CELLS
+    few = langid.train(docs, "text", "lang", F.col("doc_id"), cells=6 << 13)
+    assert few.table.shape[0] < 1 << langid.BITS
+    got, truth = langid.predict(docs, few).collect(), {r.doc_id: r.lang for r in docs.collect()}
+    known = [(r.lang_pred, truth[r.kept.doc_id]) for r in got if truth[r.kept.doc_id]]
+    assert sum(a == b for a, b in known) >= 0.95 * len(known)
+
+
+def _plain_words(text):
+    """(first code point, code points) of each run of letters and marks."""
+    at, found = 0, []
+    for inside, run in itertools.groupby(text, lambda c: unicodedata.category(c)[0] in "LM"):
+        n = len(list(run))
+        if inside:
+            found.append((at, text[at : at + n]))
+        at += n
+    return found
+
+
+def _plain_trigrams(word):
+    """The bucket of each letter with its neighbours, by Python's integers."""
+    low = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in word]
+    for a, b, c in zip([0, *low], low, [*low[1:], 0]):
+        h = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) % 2**64
+        yield ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> (64 - langid.BITS)
+
+
+def _plain_script(c):
+    return [name for first, name in langid.SCRIPTS if first <= ord(c)][-1]
+
+
+def test_langid_is_the_plain_scorer(spark, docs):
+    """The learned counts, word scores, scripts, paths, spans and shares, all made again letter by letter."""
+    rows = [r for r in docs.collect() if r.text is not None]
+    fitted = [r for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    grams, scripts = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for r in fitted:
+        for _, word in _plain_words(r.text):
+            grams[r.lang].update(_plain_trigrams(word))
+            scripts[r.lang][_plain_script(word[0])] += sum(unicodedata.category(c)[0] == "L" for c in word)
+    langs = sorted(grams)
+    total = {x: sum(grams[x].values()) + 0.1 * 2**langid.BITS for x in langs}
+    uses = {x: {s for s, n in scripts[x].items() if n >= max(1, langid.SHARE * sum(scripts[x].values()))} for x in langs}
+    known = set().union(*uses.values())
+
+    def scores(word):
+        script = _plain_script(word[0])
+        out = [sum(math.log((grams[x][g] + 0.1) / total[x]) for g in _plain_trigrams(word)) if script in uses[x] or script not in known else -math.inf for x in langs]
+        return [max(v - max(out), -langid.CLIP) for v in out]
+
+    mixed = [(10**6, f"{rows[0].text[:300]} {rows[-1].text[-300:]}"), (10**6 + 1, "Ελληνικά κείμενο, then some words of another kind"), (10**6 + 2, "12 34"), (10**6 + 3, "")]
+    asked = [(r.doc_id, r.text[:1500]) for r in rows[:60]] + mixed
+    frame = spark.createDataFrame(asked, "doc_id long, text string")
+    got = {r.kept.doc_id: r for r in langid.predict(frame, langid.train(docs.where(~langid.held_out()), "text", "lang", F.col("doc_id"))).collect()}
+    assert len(got) == len(asked)
+    for doc_id, text in asked:
+        words, row = _plain_words(text), got[doc_id]
+        letters = [sum(unicodedata.category(c)[0] == "L" for c in w) for _, w in words]
+        if not sum(letters):
+            assert (row.lang_pred, row.score, row.spans) == ("und", 0.0, [])
+            continue
+        s = [scores(w) for _, w in words]
+        best = [(s[0][j], (j,)) for j in range(len(langs))]
+        for line in s[1:]:
+            before = max(range(len(langs)), key=lambda j: best[j][0])
+            best = [max((best[j][0], best[j][1]), (best[before][0] - langid.SWITCH, best[before][1]), key=lambda p: p[0]) for j in range(len(langs))]
+            best = [(v + line[j], (*way, j)) for j, (v, way) in enumerate(best)]
+        # the operator's path, read off its spans, is worth as much as the best; all else follows from that path
+        own = [next(langs.index(x.lang) for x in row.spans if x.start <= at < x.stop) for at, _ in words]
+        worth = sum(line[j] for line, j in zip(s, own)) - langid.SWITCH * sum(a != b for a, b in zip(own, own[1:]))
+        assert worth >= max(v for v, _ in best) - 1e-2
+        by = [sum(n for n, j in zip(letters, own) if j == k) for k in range(len(langs))]
+        assert row.lang_pred == langs[by.index(max(by))]
+        sure = sum(n for n, j, (_, w) in zip(letters, own, words) if langs[j] == row.lang_pred and _plain_script(w[0]) in known)
+        assert row.score == pytest.approx(sure / sum(letters))
+        assert [x.start for x in row.spans] == [at for k, (at, _) in enumerate(words) if not k or own[k] != own[k - 1]]
+        assert [x.stop for x in row.spans] == [at + len(w) for k, (at, w) in enumerate(words) if k + 1 == len(own) or own[k] != own[k + 1]]
+
+
 def test_langid_ignores_labels_of_held_out(docs):
     changed = docs.withColumn("lang", F.when(langid.held_out(), "zz").otherwise(F.col("lang"))).withColumn("source", F.lit("?"))
     pick = lambda d: {r.kept.doc_id: (r.lang_pred, r.score) for r in langid.identify(d).collect()}

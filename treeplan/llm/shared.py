@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -231,15 +231,24 @@ class Members:
         empty = bytes(1 << (_RANGE - 3))
         self.bits, self.sent = bits, values.sparkSession.sparkContext.broadcast(b"".join(got.get(k, empty) for k in range(1 << (bits - _RANGE))))
 
-    def may_hold(self, column: Column) -> Column:
+    def holder(self) -> Callable[[pa.Array], pa.Array]:
+        """The test of `may_hold` for Arrow kernels, which then need no Python worker beside their own."""
         sent, bits = self.sent, self.bits
 
-        @F.arrow_udf("boolean")
         def test(x: pa.Array) -> pa.Array:
             at = _cell(x, bits)
             held = np.frombuffer(sent.value, np.uint8)
             return pa.array((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
 
+        return test
+
+    def may_hold(self, column: Column) -> Column:
+        holds = self.holder()
+
+        @F.arrow_udf("boolean")
+        def test(x: pa.Array) -> pa.Array:
+            return holds(x)
+
         return test(column)
 
 

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -397,16 +398,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     marks = repeated_windows(rows.where("text is not null").select(F.coalesce("doc_id", F.lit(lowest)).alias("doc_id"), "text"), size, gram, sizes)
     # only documents that may have marks are dealt to meet them
     marks = materialize(marks.withColumnRenamed("doc_id", "key"), "marks")
-    some = Members(marks.select("key")).may_hold(F.col("key"))
-    columns = ["doc_id", "text", "at", "decided", "extra"]
-    rest = keyed.where(~some).withColumns({"at": F.lit(None).cast("array<int>"), "decided": F.lit(None).cast("array<binary>")})
-    joined = keyed.where(some).join(marks, ["key", "tag"], "left").select(*columns).unionByName(rest.select(*columns))
+    members = Members(marks.select("key"))
+    holds = members.holder()
+    joined = keyed.where(members.may_hold(F.col("key"))).join(marks, ["key", "tag"], "left").select("doc_id", "text", "extra", "at", "decided")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 rows = []
-                for text, at, decided in zip(part.column(1), part.column(2), part.column(3), strict=True):
+                for text, at, decided in zip(part.column(1), part.column(3), part.column(4), strict=True):
                     text, at, decided = text.as_py(), at.as_py(), decided.as_py()
                     raw = (text or "").encode("utf-8", "replace")
                     if at or decided:
@@ -417,7 +417,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                         found = raw.split()
                         rows.append((len(found), 0, text, hashlib.sha256(b" ".join(found)).hexdigest()))
                 made = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *made, part.column(4)], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "extra"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *made, part.column(2)], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "extra"])
+
+    def uncut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that surely have no marks."""
+        for batch in batches:
+            part = batch.filter(pc.invert(holds(batch.column(3)))).select([0, 1, 2])
+            none = [pa.nulls(part.num_rows, pa.list_(t)) for t in (pa.int32(), pa.binary())]
+            yield from cut(iter([pa.RecordBatch.from_arrays([*part.columns, *none], names=["doc_id", "text", "extra", "at", "decided"])]))
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType()), joined.schema["extra"]])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).unionByName(keyed.select("doc_id", "text", "extra", "key").mapInArrow(uncut, schema))

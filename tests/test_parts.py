@@ -281,6 +281,16 @@ def test_small_rules(spark):
     assert entries.parent == "a/b" and [e.name for e in entries.entries] == ["a", "c"]
 
 
+def test_human_sizes_round_halves_to_even(spark):
+    """As printf does, which SQL has: whole halves at every unit, carries into the next whole number, nulls."""
+    sizes = [k * step + d for step in (1 << 10, 1 << 20, 1 << 30) for k in (1, 125, 625) for d in (0, step // 8, 3 * step // 8, 5 * step // 8, 7 * step // 8, step - 1, step // 200)] + [0, 1023, 1 << 50]
+    unit = lambda n: next(((k, u) for k, u in ((30, "GiB"), (20, "MiB"), (10, "KiB")) if n >= 1 << k), None)
+    plain = lambda n: f"{n / (1 << unit(n)[0]):.2f} {unit(n)[1]}" if unit(n) else f"{n} B"
+    got = spark.createDataFrame([(n,) for n in [*sizes, None]], "n long").select("n", paths.human_size(F.col("n")).alias("x")).collect()
+    assert [r.x for r in got] == [*map(plain, sizes), None]
+    assert plain(128128) == "125.12 KiB"
+
+
 def test_manifest(spark, sf, tmp_path):
     src = snapshots.src_files(spark, sf)
     manifest.save(spark, str(tmp_path), "one", "/data", src)

@@ -59,8 +59,17 @@ def final_mode(mode: Column, superuser: bool = True) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    big = lambda k, unit: F.format_string(f"%.2f {unit}", n / F.lit(float(1 << k)))
-    return F.when(n >= 1 << 30, big(30, "GiB")).when(n >= 1 << 20, big(20, "MiB")).when(n >= 1 << 10, big(10, "KiB")).otherwise(F.format_string("%d B", n))
+    """A whole number of bytes with two digits after the point, null if it is null. As printf has it, the exact value is rounded, and a half
+    to the even digit; format_string rounds halves up."""
+    n = n.cast("long")
+
+    def big(k: int, unit: str) -> Column:
+        whole, rest = F.shiftright(n, k), n.bitwiseAND(F.lit((1 << k) - 1).cast("long")) * 100
+        digits, left, half = F.shiftright(rest, k), rest.bitwiseAND(F.lit((1 << k) - 1).cast("long")), 1 << (k - 1)
+        digits = digits + F.when((left > half) | ((left == half) & (digits % 2 == 1)), 1).otherwise(0)
+        return F.format_string(f"%d.%02d {unit}", whole + F.when(digits == 100, 1).otherwise(0), digits % 100)
+
+    return F.when(n >= 1 << 30, big(30, "GiB")).when(n >= 1 << 20, big(20, "MiB")).when(n >= 1 << 10, big(10, "KiB")).when(n.isNotNull(), F.format_string("%d B", n))
 
 
 def human_speed(n: Column, elapsed: Column) -> Column:

@@ -233,6 +233,44 @@ def test_similar_groups_recall(spark):
     assert len(links) > 100 and len(lost) <= 0.02 * len(links)
 
 
+def test_similar_groups_lose_no_link(spark):
+    """Pairs at 0.8 and a little above, of which bands miss some: all are found, also where bands and shingles are common to very many sets."""
+    rng = random.Random(15)
+    passage, texts = [f"p{k}" for k in range(60)], {}
+    for k in range(0, 6000, 2):
+        own = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(49, 52))] + (passage if k < 800 else [])
+        n, texts[k] = len(own) - 4, " ".join(own)
+        differ = int(n / 9)  # of n shingles of each
+        texts[k + 1] = " ".join([f"x{k}-{i}" for i in range(differ)] + own[differ:])
+    want, links = plain_groups(texts)
+    assert len(links) == 3000
+    got = simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), hot=100)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_meetings_over_batches():
+    """Runs that end in other batches than they begin in; those of over RUN sets are told as such, whole."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    count = [int(rng.choice([1, 2, 3, 200, 257, 900], p=[0.5, 0.3, 0.18, 0.01, 0.005, 0.005])) for _ in range(40_000)] + [70_000, 1, 140_000]
+    shingle = np.repeat(np.arange(len(count)), count)
+    node = np.arange(len(shingle))
+    columns = [shingle, node, np.full(len(node), 10), np.zeros(len(node), int), node // 2]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 1000]) for c in columns], names=["shingle", "node", "n", "place", "kin"]) for i in range(0, len(node), 1000)]
+    pairs, many = set(), []
+    for b in simhash._meetings(0.8)(iter(batches)):
+        for x, y, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            many.append((x, key)) if y is None else pairs.add((x, y))
+    first, want = np.concatenate([[0], np.cumsum(count)]), set()
+    for k, n in enumerate(count):
+        if n <= simhash.RUN:
+            own = range(first[k], first[k + 1])
+            want |= {(x, y) for x in own for y in own if x < y and x // 2 != y // 2}
+    assert pairs == want
+    assert sorted(many) == [(x, k) for k, n in enumerate(count) if n > simhash.RUN for x in range(first[k], first[k + 1])]
+
+
 def test_similar_groups_in_a_hot_band(spark):
     """A large group of near copies, some of them alike only to some others, in bands beyond the bound."""
     rng = random.Random(13)

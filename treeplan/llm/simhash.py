@@ -30,6 +30,13 @@ A band of over HOT sets is first compared with its LEADERS only; sets that these
 sets that share a passage and little else, is dealt again by FINE keys of min-hashes that no
 band uses, so only sets that agree in one of these too are compared. So neither one large
 group of near copies nor a passage in very many documents costs a square of its size.
+
+All this finds most links, and may miss some: pairs that share no band or no key of a hot one,
+candidates beyond the forests or the bounds. The rest is found exactly, between components that
+are not connected yet: shingles have one order, rare ones first, and two sets that are alike
+enough share one among the first (1 - similarity) of each. Sets that share such a shingle meet,
+unless their sizes, the shingle's places or bit maps of their shingles rule it out for certain;
+what remains passes the same exact check. Shingles of over RUN sets meet by shards.
 """
 
 from __future__ import annotations
@@ -59,6 +66,11 @@ SPARE = 4
 HOT, LEADERS = 4096, 16
 #: Keys by which such a band is dealt again, and min-hashes of each; a pair at 0.8 shares one with a chance of 0.998.
 FINE, FINE_ROWS = 12, 4
+#: Sets, about, that tell which shingles are common, and so many of the commonest. Only the order of shingles hangs on that, and
+#: links are found by any order; a good one lets few sets meet.
+KNOWN, COMMON = 8000, 1 << 18
+#: Sets of a shingle that meet in one step; bits of a set's bit map.
+RUN, BITS = 256, 1024
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -364,13 +376,148 @@ def _shard_pairs(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+class Order:
+    """One order of all shingles: those not known as common by their hashes, then the common ones, rare ones first."""
+
+    def __init__(self, commonest: np.ndarray) -> None:
+        """commonest: signed hashes, the most common first."""
+        hashes = commonest.view(np.uint64)
+        by = np.argsort(hashes)
+        self.hashes, self.ranks = hashes[by], (len(by) - by).astype(np.int32)
+
+    def first(self, distinct: np.ndarray, similarity: float) -> np.ndarray:
+        """The shingles of a set of which it shares one with every set that is as similar; each shares at least similarity * n of n."""
+        n = len(distinct)
+        if not n:
+            return distinct.astype(np.int64)
+        rank = np.zeros(n, np.int32)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
+            rank = np.where(self.hashes[at] == distinct, self.ranks[at], 0)
+        return distinct[np.lexsort((distinct, rank))][: n - int(np.ceil(similarity * n - 1e-6)) + 1].view(np.int64)
+
+
+def bit_map(distinct: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls on each of BITS bits: maps differ in at most as many bits as sets in shingles."""
+    odd = np.bincount((mixed(distinct) >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _unlike(similarity: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """In how many shingles at most sets of these sizes differ if they are similar."""
+    return (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
+
+
+def _meetings(similarity: float):
+    """From (shingle, node, n, place, kin), sorted by shingle: (a, b, null) for sets of unlike kin that share a shingle and may be similar,
+    or (node, null, shingle) for each set of a shingle of over RUN sets."""
+    least = similarity / (1 + similarity)
+
+    def out(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
+        columns = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (a, b, key)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shingle, node, n, place, kin = rows
+        for d in range(1, len(shingle)):
+            i = np.flatnonzero(shingle[:-d] == shingle[d:])
+            if not len(i):
+                break
+            j = i + d
+            most = np.minimum(n[i] - place[i], n[j] - place[j])  # shingles that both may share, if none before this one
+            k = (kin[i] != kin[j]) & (most >= least * (n[i] + n[j]) - 1e-6)
+            i, j = i[k], j[k]
+            if len(i):
+                yield out(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), None)
+
+    def done(rows: np.ndarray, known: int | None) -> Iterator[pa.RecordBatch]:
+        """Whole runs, but for one of the shingle `known`, of which many came before."""
+        _, at, count = np.unique(rows[0], return_inverse=True, return_counts=True)
+        long = count[at] > RUN if known is None else (count[at] > RUN) | (rows[0] == known)
+        if long.any():
+            yield out(rows[1][long], None, rows[0][long])
+        yield from pairs(rows[:, ~long & (count[at] > 1)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, known = [], 0, None
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            total += batch.num_rows
+            if total < 1 << 16:
+                continue
+            rows = np.concatenate(held, axis=1)
+            last = rows[0][-1]
+            cut = int(np.searchsorted(rows[0], last))  # the last run may go on
+            yield from done(rows[:, :cut], known)
+            rows, known = rows[:, cut:], known if known == last else None
+            if rows.shape[1] > RUN or known is not None:
+                yield out(rows[1], None, rows[0])
+                rows, known = rows[:, :0], int(last)
+            held, total = [rows], rows.shape[1]
+        if total:
+            yield from done(np.concatenate(held, axis=1), known)
+
+    return run
+
+
+def _possible(similarity: float):
+    """Pairs (a, b) of which sizes and bit maps leave open whether they are similar; of rows (a, b, n, m, x, y)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5))
+            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= _unlike(similarity, n, m)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep & (np.abs(n - m) <= _unlike(similarity, n, m))))
+
+    return run
+
+
+def _possible_of_shards(similarity: float):
+    """The same of pairs of shards, whose nodes have their size as fp and their bit map as sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shards in batch.column(0).to_pylist():
+                (p, n, x), (q, m, y) = ((np.array([o["node"] for o in own]), np.array([o["fp"] for o in own]), np.frombuffer(b"".join(o["sig"] for o in own), np.uint64).reshape(len(own), -1)) for own in (shards[0]["nodes"], shards[-1]["nodes"]))
+                for k in range(len(p)):
+                    unlike = _unlike(similarity, n[k], m)
+                    other = q[(np.bitwise_count(x[k] ^ y).sum(axis=1, dtype=np.int64) <= unlike) & (np.abs(n[k] - m) <= unlike) & ((q > p[k]) if len(shards) == 1 else (q != p[k]))]
+                    if len(other):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, p[k])), pa.array(np.maximum(other, p[k]))], names=["a", "b"])
+
+    return run
+
+
+def _not_yet_found(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of sets of unlike components that may be similar. nodes: (node, n, map, first); roots: (item, root)."""
+    kin = nodes.select("node").join(roots.select(F.col("item").alias("node"), "root"), "node", "left").select("node", F.coalesce("root", "node").alias("kin"))
+    kin = materialize(kin, "kin")
+    entries = nodes.join(kin, "node").select("node", "n", "kin", F.posexplode("first").alias("place", "shingle")).select("shingle", "node", "n", "place", "kin")
+    met = entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meetings(similarity), "a long, b long, key long")
+    met = materialize(met, "meetings")
+    sized = nodes.select("node", "n", "map")
+    end = lambda of, n, m: sized.select(F.col("node").alias(of), F.col("n").alias(n), F.col("map").alias(m))
+    few = met.where("b is not null").select("a", "b").distinct().join(end("a", "n", "x"), "a").join(end("b", "m", "y"), "b")
+    found = few.select("a", "b", "n", "m", "x", "y").mapInArrow(_possible(similarity), "a long, b long")
+    many = met.where("b is null").select(F.col("a").alias("node"), "key").join(kin, "node")
+    unlike = many.groupBy("key").agg(F.min("kin").alias("least"), F.max("kin").alias("most")).where("least < most").select("key")
+    shards = _shard_pairs(many.join(unlike, "key", "left_semi").select("node", "key", "kin"), sized.select("node", F.col("n").cast("long").alias("fp"), F.col("map").alias("sig")))
+    found = found.unionByName(shards.mapInArrow(_possible_of_shards(similarity), "a long, b long")).distinct()
+    of = lambda c: kin.select(F.col("node").alias(c), F.col("kin").alias(f"{c}_kin"))
+    found = materialize(found.join(of("a"), "a").join(of("b"), "b").where("a_kin <> b_kin").select("a", "b"), "likely")
+    discard(met)
+    discard(kin)
+    return found
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
     """(doc_id, component_id), one row for each row of docs: components of links between documents whose
     sets of word shingles have a Jaccard similarity of at least `similarity`; component_id is the
     smallest doc_id of the component.
 
-    No link is wrong: each is checked on the whole sets. A pair at 0.8 shares a band with a
-    chance of 0.998 (BANDS bands of BAND_ROWS), one at 0.9 of more than 0.999999.
+    No link is wrong: each is checked on the whole sets. None between unlike components is lost: what
+    bands miss is found by the first shingles of each set.
     Texts without words are alike; equal shingle sets are one class however many copies there
     are; nulls are texts without words; a null doc_id is kept; repeated rows are copies;
     an empty table gives no rows; other columns are not looked at; a very long text is one row of its task.
@@ -383,18 +530,33 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     attach(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(value.as_py(), words)).view(np.int64))], names=["shingle"])
+
+    every = max(1, rows.count() // KNOWN)
+    some = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(every)) == 0)).select("text").distinct()
+    counts = some.mapInArrow(shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    commonest = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow().column(0).to_numpy().astype(np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(Order(commonest))  # at most COMMON numbers
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = sent.value
         for batch in batches:
-            out = []
+            out, first = [], []
             for text in batch.column(1):
                 distinct = np.unique(shingle_hashes(text.as_py(), words))  # repeats don't count in sets, so not in these fingerprints
-                out.append((_set_hash(distinct), _signed(fingerprint_of(distinct)), *signature(distinct)))
+                out.append((_set_hash(distinct), _signed(fingerprint_of(distinct)), *signature(distinct), len(distinct), bit_map(distinct)))
+                first.append(order.first(distinct, similarity))
             if out:
-                node, fp, sig, keys = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "sig", "keys"])
+                node, fp, sig, keys, n, bits = zip(*out, strict=True)
+                firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]), pa.int32()), pa.array(np.concatenate(first)))
+                columns = [batch.column(0), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), firsts]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "sig", "keys", "n", "map", "first"])
 
-    made = materialize(rows.mapInArrow(describe, "doc_id long, node long, fp long, sig binary, keys array<long>"), "described")
-    nodes = made.groupBy("node").agg(F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"))
+    made = materialize(rows.mapInArrow(describe, "doc_id long, node long, fp long, sig binary, keys array<long>, n int, map binary, first array<long>"), "described")
+    nodes = made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sig", "keys", "n", "map", "first")], F.min("doc_id").alias("least"))
     nodes = materialize(nodes, "classes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +605,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     likely = materialize(_shard_pairs(met.select("node", "key", "kin"), nodes).mapInArrow(_proposed(similarity), "a long, b long").distinct(), "likely")
     held = true_links(likely)
     discard(likely)
-    roots = components(held if kin is None else held.unionByName(kin))
+    held = held if kin is None else held.unionByName(kin)
+    rest = _not_yet_found(nodes, components(held), similarity)
+    if rest.take(1):
+        held = held.unionByName(true_links(rest))
+    discard(rest)
+    roots = components(held)
     named = nodes.select("node", "least").join(roots.withColumnRenamed("item", "node"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
     return made.select("doc_id", "node").join(named, "node").select("doc_id", "node", "root", "component_id")

@@ -137,3 +137,15 @@ def test_table_functions(spark):
     assert ask("cdc_chunks(f.content, 256)") == sorted(map(tuple, chunks.cdc_chunks(frame, 256).collect()))
     assert ask("fixed_chunks(f.content, 512)") == sorted(map(tuple, chunks.fixed_chunks(frame, 512).collect()))
     assert spark.sql("SELECT count(*) AS n FROM cdc_chunks(NULL, 256)").first().n == 0
+
+
+def test_small_contents_alone_need_no_lanes(monkeypatch):
+    """A content of a few KB is stepped, as lanes cost the same for any content below a thousand of them; both give the same chunks."""
+    rng, p = random.Random(4), CdcParams(256)
+    held = [rng.randbytes(n) for n in (1, 63, 64, 65, 1024, 5000, 16384)] + [bytes(9000), b"abc" * 3000]
+    stepped = [boundaries(x, p) for x in held]
+    with monkeypatch.context() as m:
+        m.setattr(chunks, "ALONE", 0)
+        assert [boundaries(x, p) for x in held] == stepped
+    monkeypatch.setattr(chunks, "running_hashes", None)
+    assert [boundaries(x, p) for x in held] == stepped

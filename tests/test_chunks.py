@@ -149,3 +149,13 @@ def test_small_contents_alone_need_no_lanes(monkeypatch):
         assert [boundaries(x, p) for x in held] == stepped
     monkeypatch.setattr(chunks, "running_hashes", None)
     assert [boundaries(x, p) for x in held] == stepped
+
+
+def test_workers_hold_bounded_batches(spark, sf):
+    """Chunking and rebuilding bound the rows of a batch and let workers give memory back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for made in ("delta_totals_cdc", "rebuild_strategy"):
+        spark.conf.set(name, "10000")
+        catalog.QUERIES[made](spark, sf)
+        assert int(spark.conf.get(name)) <= 1000 and spark.sparkContext.environment["MALLOC_ARENA_MAX"] == "2"
+    assert chunks.PIECE <= 2 << 20

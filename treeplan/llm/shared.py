@@ -14,16 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeplan.work import BATCH_ROWS, MALLOC
+
 #: Text bytes that one step of an Arrow kernel handles at a time; a longer text is a step of its own.
 SLICE_BYTES = 1 << 20
 
 
-#: Environment of Python workers: large arrays go back to the system when they are freed.
-MALLOC = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "16777216", "ARROW_DEFAULT_MEMORY_POOL": "system"}
-#: Rows of text that an Arrow batch holds at most; JVM and Python each keep a few batches.
-BATCH_ROWS = 1000
-
-
 def attach(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, and bounds the
     session's Arrow batches, whose default of 10,000 rows is meant for rows of a few numbers."""

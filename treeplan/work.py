@@ -15,9 +15,21 @@ from pyspark.sql import SparkSession
 UNREADABLE = (PySparkException, Py4JJavaError, ValueError)
 
 
+#: Environment of Python workers: large arrays go back to the system when they are freed.
+MALLOC = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "16777216", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows with contents that an Arrow batch holds at most.
+BATCH_ROWS = 1000
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, whatever folder they start in. On a cluster that folder
-    is shared, or the package is installed."""
+    is shared, or the package is installed. Bounds what workers hold too: the session's Arrow batches, whose default of 10,000 rows is
+    meant for rows of a few numbers, and memory that is freed but kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    for k, v in MALLOC.items():
+        spark.sparkContext.environment.setdefault(k, v)
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in parts:

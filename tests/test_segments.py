@@ -35,6 +35,14 @@ def test_chunks_at_any_segment(spark, segment, rounds):
     assert rows(segments.cdc_chunks(held.select("rel_path", "size"), segments.from_rows(held), 256, segment, rounds)) == rows(chunks.cdc_chunks(held, 256))
 
 
+def test_wrong_guesses_are_cut_again_at_once(spark, monkeypatch):
+    """Where a task has the segment before, a wrong guess needs no round, so no contents are read or dealt again; cuts never meet here."""
+    held, steps, kept = frame(spark, {"zeros": bytes(40_000), "mixed": contents()["mixed"]}).coalesce(1), [], segments.checkpointed
+    monkeypatch.setattr(segments, "checkpointed", lambda df: steps.append(df) or kept(df))
+    got = rows(segments.cdc_chunks(held.select("rel_path", "size"), segments.from_rows(held), 256, 4096))
+    assert got == rows(chunks.cdc_chunks(held, 256)) and len(steps) == 2
+
+
 def test_fixed_chunks(spark):
     held = frame(spark, contents())
     for segment in (512, 4096, 1 << 20):

@@ -3,7 +3,7 @@
 A segment is read with some bytes behind it and ahead of it. Content-defined chunks are cut from a guess: chunking starts behind the segment, and as
 cuts depend on what is near, it has usually met the true cuts by where the segment begins. A segment then tells where its first chunk
 starts and where the first chunk after it does. The guess is right if the segment before says the same; segments where it
-is not are cut again from there, until all agree. Data that keeps no cuts, as a long run of one byte does, would need as many rounds as
+is not are cut again from there, at once if a task has both, else in rounds, until all agree. Data that keeps no cuts, as a long run of one byte does, would need as many rounds as
 it has segments, so after some rounds the files still open are walked from front to end, a segment at a time.
 
 Operations are split where segments of what they read from and of the result begin, meet the segments they read in an exchange, and their pieces
@@ -25,6 +25,8 @@ from treeplan.work import importable
 
 #: Bytes of a segment, and rounds before what is still open is walked.
 SEGMENT, ROUNDS = 64 << 20, 4
+#: Segments that are few enough to be sent to all tasks by name, so that no contents are dealt to meet them.
+FEW = 20_000
 
 #: From ranges (rel_path, size, seg, at, n, ...) of files to the same rows with `data`, the bytes there.
 Reader = Callable[[DataFrame], DataFrame]
@@ -81,11 +83,19 @@ def cdc_chunks(files: DataFrame, reader: Reader, target: int, segment: int = SEG
     behind = 4 * p.most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = ("", -1, 0)  # path, number and leave of the segment before
         for batch in batches:  # small segments are hashed together
-            rows = [(*r, memoryview(data.as_buffer())) for *r, data in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True)]
+            rows = sorted(((*r, memoryview(data.as_buffer())) for *r, data in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True)), key=lambda r: (r[0], r[2]))
             starts = [at if entry is None else entry for _, _, _, entry, at, _ in rows]
-            cuts = boundaries_of([data[start - at :] for start, (*_, at, data) in zip(starts, rows, strict=True)], p)
-            yield _batch([_row(path, size, seg, start, at, data, c, segment) for start, c, (path, size, seg, _, at, data) in zip(starts, cuts, rows, strict=True)])
+            found = boundaries_of([data[start - at :] for start, (*_, at, data) in zip(starts, rows, strict=True)], p)
+            out = []
+            for start, cuts, (path, size, seg, _, at, data) in zip(starts, found, rows, strict=True):
+                true = last[2] if last[:2] == (path, seg - 1) else None
+                if true is not None and true != next((start + c for c in cuts if start + c >= seg * segment), size):
+                    start, cuts = true, boundaries(data[true - at :], p)
+                out.append(_row(path, size, seg, start, at, data, cuts, segment))
+                last = (path, seg, out[-1][4])
+            yield _batch(out)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, entry = None, 0
@@ -96,9 +106,10 @@ def cdc_chunks(files: DataFrame, reader: Reader, target: int, segment: int = SEG
                 last, entry = path, row[4]
                 yield _batch([row])
 
-    def made(wanted: DataFrame, how=cut) -> DataFrame:
+    def made(wanted: DataFrame, how=cut, few: bool = False) -> DataFrame:
         """wanted: (rel_path, size, seg, entry)."""
-        got = reader(ranges(wanted, segment, behind, p.most)).select("rel_path", "size", "seg", "entry", "at", "data").where("data is not null")
+        asked = ranges(wanted, segment, behind, p.most)
+        got = reader(F.broadcast(asked) if few else asked).select("rel_path", "size", "seg", "entry", "at", "data").where("data is not null")
         if how is walk:
             got = got.repartition("rel_path").sortWithinPartitions("rel_path", "seg")
         importable(got.sparkSession)
@@ -109,15 +120,18 @@ def cdc_chunks(files: DataFrame, reader: Reader, target: int, segment: int = SEG
     for round_ in range(rounds + 1):
         told = now.select("rel_path", "size", "seg", "entry", F.coalesce(F.lag("leave").over(order), F.lit(0).cast("long")).alias("begins"))
         wrong = checkpointed(told.where("entry <> begins").select("rel_path", "size", "seg", F.col("begins").alias("entry")))
-        if wrong.isEmpty():
+        open_ = wrong.count()
+        if not open_:
             break
+        few = open_ <= FEW
         if round_ == rounds:  # from the first wrong one on, in order
             first = wrong.groupBy("rel_path").agg(F.min(F.struct("seg", "entry")).alias("first"))
             rest = now.select("rel_path", "size", "seg").join(first, "rel_path").where("seg >= first.seg")
             again = checkpointed(made(rest.select("rel_path", "size", "seg", F.when(F.col("seg") == F.col("first.seg"), F.col("first.entry")).alias("entry")), walk))
         else:
-            again = checkpointed(made(wrong))
-        now = checkpointed(now.join(again.select("rel_path", "seg"), ["rel_path", "seg"], "left_anti").unionByName(again))
+            again = checkpointed(made(wrong, few=few))
+        done = again.select("rel_path", "seg")
+        now = checkpointed(now.join(F.broadcast(done) if few and round_ < rounds else done, ["rel_path", "seg"], "left_anti").unionByName(again))
     before = F.coalesce(F.sum(F.size("off")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = now.select("rel_path", "seg", before.alias("before"))
     rows = now.join(counts, ["rel_path", "seg"]).select("rel_path", "before", F.posexplode(F.arrays_zip("off", "len", "h")).alias("k", "c"))

@@ -41,7 +41,7 @@ what remains passes the same exact check. Shingles of over RUN sets meet by shar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -559,10 +559,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     nodes = made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sig", "keys", "n", "map", "first")], F.min("doc_id").alias("least"))
     nodes = materialize(nodes, "classes")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch], holds: Callable[[pa.Array], pa.Array]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
-                distinct = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column(0)]
+            for part in slices(batch.filter(holds(batch.column(0))), 1):
+                distinct = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([pa.array([_set_hash(x) for x in distinct], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in distinct], pa.binary())], names=["node", "hashes"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -578,8 +578,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
         """Those that hold on the whole shingle sets, of one document of each class that has a likely link."""
         ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
         chosen = materialize(nodes.join(ends, "node").select("node", "least"), "chosen")
-        wanted = Members(chosen.select(F.coalesce("least", F.lit(0).cast("long"))))
-        whole = rows.where(wanted.may_hold(F.coalesce("doc_id", F.lit(0).cast("long")))).select("text").mapInArrow(sets, "node long, hashes binary")
+        holds = Members(chosen.select(F.coalesce("least", F.lit(0).cast("long")))).holder()  # a null is 0 to it
+        # tested in the kernel, so that a task has one Python worker, not two: idle ones keep their memory as long as others work
+        whole = rows.mapInArrow(lambda batches: sets(batches, holds), "node long, hashes binary")
         whole = materialize(whole.join(chosen.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
         both = likely.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         held = materialize(both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "held")
@@ -632,7 +633,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     may = Members(odd.select("id")).may_hold
     some = may(F.coalesce("id", F.lit(0).cast("long")))
     sure = rows.where("id is not null").where(~some)
-    dealt = rows.where("id is not null").where(some).join(odd, "id", "left")
+    dealt = rows.where("id is not null").where(some).join(odd.hint("merge"), "id", "left")  # an exchange: the test's Python worker and the next one's are of two stages
     several = dealt.where("n > 1 and lead").select("id", "text", "row").unionByName(rows.where("id is null"))
 
     def noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -283,7 +283,8 @@ def repeated_windows(docs: DataFrame, size: int = 20, gram: int = 10, sizes: Siz
     discard(counters)
     # only documents that have repeated anchors are dealt to meet them
     some = docs.where(Members(heads.select("doc_id")).may_hold(F.col("doc_id")))
-    texts = _tagged(some).join(heads, ["doc_id", "tag"]).select("doc_id", "text", "heads")
+    # by exchange at any size, so that no task has two Python workers
+    texts = _tagged(some).join(heads.hint("merge"), ["doc_id", "tag"]).select("doc_id", "text", "heads")
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -400,7 +401,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     marks = materialize(marks.withColumnRenamed("doc_id", "key"), "marks")
     members = Members(marks.select("key"))
     holds = members.holder()
-    joined = keyed.where(members.may_hold(F.col("key"))).join(marks, ["key", "tag"], "left").select("doc_id", "text", "extra", "at", "decided")
+    joined = keyed.where(members.may_hold(F.col("key"))).join(marks.hint("merge"), ["key", "tag"], "left").select("doc_id", "text", "extra", "at", "decided")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

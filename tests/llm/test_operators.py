@@ -271,6 +271,56 @@ def test_meetings_over_batches():
     assert sorted(many) == [(x, k) for k, n in enumerate(count) if n > simhash.RUN for x in range(first[k], first[k + 1])]
 
 
+def test_bit_maps_of_large_sets():
+    """Sets of any size that are unlike are told apart, pair by pair and by shards; no pair that is alike enough is, also where maps differ in size."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    fresh = lambda n: np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    sets, alike = [], set()
+    for n in (0, 1, 5, 40, 300, 1000, 1024, 1030, 2047, 2100, 4000, 4090, 9000, 20_000):
+        own = fresh(n)
+        both = round(n * 8 / 9)
+        sets += [own, np.unique(np.concatenate([own[:both], fresh(n - both)])) if n % 2 else own[: int(np.ceil(0.8 * n))], fresh(n), np.unique(np.concatenate([own, fresh(n // 4)]))]
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                alike.add((a, b))
+    sizes, maps = [len(x) for x in sets], [simhash.bit_map(x) for x in sets]
+    assert len(set(map(len, maps))) > 3 and len(alike) > 30
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+    columns = [[a for a, _ in pairs], [b for _, b in pairs], [sizes[a] for a, _ in pairs], [sizes[b] for _, b in pairs], [maps[a] for a, _ in pairs], [maps[b] for _, b in pairs]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n", "m", "x", "y"])
+    found = lambda kernel, batch: {(r["a"], r["b"]) for out in kernel(0.8)(iter([batch])) for r in out.to_pylist()}
+    some = found(simhash._possible, batch)
+    large = lambda pairs: {(a, b) for a, b in pairs if min(sizes[a], sizes[b]) > 100}
+    assert alike <= some and large(some) == large(alike)
+    nodes = [{"node": k, "fp": sizes[k], "sig": maps[k]} for k in range(len(sets))]
+    shards = [[{"shard": 0, "nodes": nodes[::2]}], [{"shard": 0, "nodes": nodes[::2]}, {"shard": 1, "nodes": nodes[1::2]}], [{"shard": 1, "nodes": nodes[1::2]}]]
+    assert found(simhash._possible_of_shards, pa.RecordBatch.from_arrays([pa.array(shards)], names=["shards"])) == some
+
+
+def test_large_sets_of_one_passage_are_not_compared(spark, monkeypatch):
+    """Couples of long texts share a rare passage and nothing else: their whole sets need not meet."""
+    rng, texts, left = random.Random(16), {}, []
+    for k in range(0, 60, 2):
+        passage = " ".join(f"p{k}-{i}" for i in range(20))
+        for d in (k, k + 1):
+            texts[d] = " ".join([passage, *(f"v{rng.randrange(10**6)}" for _ in range(4000))])
+    texts[60] = texts[59].replace("v1", "w1", 30)
+    find = simhash._not_yet_found
+
+    def counted(*args):
+        rest = find(*args)
+        left.append(rest.count())
+        return rest
+
+    monkeypatch.setattr(simhash, "_not_yet_found", counted)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert left == [0] and got == {d: min(d, 59) for d in texts}
+
+
 def test_similar_groups_in_a_hot_band(spark):
     """A large group of near copies, some of them alike only to some others, in bands beyond the bound."""
     rng = random.Random(13)

@@ -42,7 +42,7 @@ what remains passes the same exact check. Shingles of over RUN sets meet by shar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +69,7 @@ FINE, FINE_ROWS = 12, 4
 #: Sets, about, that tell which shingles are common, and so many of the commonest. Only the order of shingles hangs on that, and
 #: links are found by any order; a good one lets few sets meet.
 KNOWN, COMMON = 8000, 1 << 18
-#: Sets of a shingle that meet in one step; bits of a set's bit map.
+#: Sets of a shingle that meet in one step; bits of a small set's bit map (larger sets have as many bits as shingles, or up to twice that).
 RUN, BITS = 256, 1024
 
 
@@ -398,11 +398,30 @@ class Order:
 
 
 def bit_map(distinct: np.ndarray) -> bytes:
-    """Whether an odd number of shingles falls on each of BITS bits: maps differ in at most as many bits as sets in shingles."""
-    odd = np.bincount((mixed(distinct) >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    """Whether an odd number of shingles falls on each bit: maps differ in at most as many bits as sets in shingles. There are BITS bits,
+    doubled until they are as many as shingles: a map of fewer would differ in too few bits to tell large sets apart."""
+    bits = BITS
+    while bits < len(distinct):
+        bits *= 2
+    odd = np.bincount((mixed(distinct) >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(maps: list[bytes], size: int) -> np.ndarray:
+    """Maps of `size` bytes or more as those of so many bytes, a row each: halves laid upon each other are the map of half the bits."""
+    parts = [x if len(x) == size else np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0).tobytes() for x in maps]
+    return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, size // 8)
+
+
+def _differ(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many bits the maps of each pair differ, at the size of the smaller."""
+    sizes, out = np.array([min(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64), np.zeros(len(x), np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[at] = np.bitwise_count(_folded([x[k] for k in at], size) ^ _folded([y[k] for k in at], size)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _unlike(similarity: float, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """In how many shingles at most sets of these sizes differ if they are similar."""
     return (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
@@ -466,9 +485,10 @@ def _possible(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(k).to_numpy() for k in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5))
-            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= _unlike(similarity, n, m)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep & (np.abs(n - m) <= _unlike(similarity, n, m))))
+            keep = np.abs(n - m) <= _unlike(similarity, n, m)
+            at = np.flatnonzero(keep)
+            keep[at] = _differ(*(batch.column(k).take(pa.array(at)).to_pylist() for k in (4, 5))) <= _unlike(similarity, n[at], m[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -476,15 +496,29 @@ def _possible(similarity: float):
 def _possible_of_shards(similarity: float):
     """The same of pairs of shards, whose nodes have their size as fp and their bit map as sig."""
 
+    def by_map(nodes: list[dict]) -> list[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """(nodes, sizes, bit maps) of those whose maps have one size."""
+        some: dict[int, list[dict]] = {}
+        for o in nodes:
+            some.setdefault(len(o["sig"]), []).append(o)
+        return [(np.array([o["node"] for o in own]), np.array([o["fp"] for o in own]), [o["sig"] for o in own]) for own in some.values()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shards in batch.column(0).to_pylist():
-                (p, n, x), (q, m, y) = ((np.array([o["node"] for o in own]), np.array([o["fp"] for o in own]), np.frombuffer(b"".join(o["sig"] for o in own), np.uint64).reshape(len(own), -1)) for own in (shards[0]["nodes"], shards[-1]["nodes"]))
-                for k in range(len(p)):
-                    unlike = _unlike(similarity, n[k], m)
-                    other = q[(np.bitwise_count(x[k] ^ y).sum(axis=1, dtype=np.int64) <= unlike) & (np.abs(n[k] - m) <= unlike) & ((q > p[k]) if len(shards) == 1 else (q != p[k]))]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, p[k])), pa.array(np.maximum(other, p[k]))], names=["a", "b"])
+            for value in batch.column(0):
+                shards = value.as_py()
+                for (p, n, x), (q, m, y) in product(by_map(shards[0]["nodes"]), by_map(shards[-1]["nodes"])):
+                    near = np.abs(n[:, None] - m) <= _unlike(similarity, n[:, None], m)
+                    near &= (q > p[:, None]) if len(shards) == 1 else (q != p[:, None])
+                    if not near.any():
+                        continue
+                    size = min(len(x[0]), len(y[0]))
+                    x, y = _folded(x, size), _folded(y, size)
+                    for k in np.flatnonzero(near.any(axis=1)):
+                        at = np.flatnonzero(near[k])
+                        other = q[at[np.bitwise_count(x[k] ^ y[at]).sum(axis=1, dtype=np.int64) <= _unlike(similarity, n[k], m[at])]]
+                        if len(other):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, p[k])), pa.array(np.maximum(other, p[k]))], names=["a", "b"])
 
     return run
 
@@ -558,6 +592,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     made = materialize(rows.mapInArrow(describe, "doc_id long, node long, fp long, sig binary, keys array<long>, n int, map binary, first array<long>"), "described")
     nodes = made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "sig", "keys", "n", "map", "first")], F.min("doc_id").alias("least"))
     nodes = materialize(nodes, "classes")
+    ids = materialize(made.select("doc_id", "node"), "named")
+    discard(made)
 
     def sets(batches: Iterator[pa.RecordBatch], holds: Callable[[pa.Array], pa.Array]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -614,7 +650,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     roots = components(held)
     named = nodes.select("node", "least").join(roots.withColumnRenamed("item", "node"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
-    return made.select("doc_id", "node").join(named, "node").select("doc_id", "node", "root", "component_id")
+    return ids.join(named, "node").select("doc_id", "node", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

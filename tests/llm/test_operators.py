@@ -301,6 +301,63 @@ def test_bit_maps_of_large_sets():
     assert found(simhash._possible_of_shards, pa.RecordBatch.from_arrays([pa.array(shards)], names=["shards"])) == some
 
 
+def test_meetings_grow_with_the_table(spark, monkeypatch):
+    """Passages of 40 documents each are known as common however many documents there are, so few sets meet by them."""
+    made, write, rng = [], simhash.materialize, random.Random(21)
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        if name == "meetings":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    monkeypatch.setattr(simhash, "KNOWN", 200)
+    for n in (400, 4000):
+        texts = {d: " ".join([*(f"p{d % (n // 40)}-{i}" for i in range(30)), *(f"v{rng.randrange(10**7)}" for _ in range(200))]) for d in range(n)}
+        got = simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8))
+        assert {r.doc_id: r.component_id for r in got.collect()} == {d: d for d in texts}
+    assert made[1] < 40_000
+
+
+def test_common_shingles_without_a_rank(spark, monkeypatch):
+    """Where more shingles are common than have a rank, the rest is told by a bit map: one order of all, and no link is lost."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    values = np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64))
+    order, common = simhash.Order(rng.permutation(values[:40]).view(np.int64)), values[:200].view(np.int64).tolist()
+    known = lambda x: pa.array([v in common for v in x.to_pylist()])
+    line = order.first(values, 0.0, known)[: len(values)].tolist()
+    assert set(line[:300]) == set(values[200:].view(np.int64).tolist()) and set(line[-40:]) == set(values[:40].view(np.int64).tolist())
+    for _ in range(20):
+        own = np.sort(rng.choice(values, 60, replace=False))
+        assert order.first(own, 0.8, known).tolist() == sorted(own.view(np.int64).tolist(), key=line.index)[:13]
+    monkeypatch.setattr(simhash, "COMMON", 20)
+    rand, passage, texts = random.Random(17), [f"p{k}" for k in range(40)], {}
+    for k in range(0, 800, 2):
+        own = [f"v{rand.randrange(10**6)}" for _ in range(50)] + passage
+        differ = int((len(own) - 4) / 9)
+        texts[k], texts[k + 1] = " ".join(own), " ".join([f"x{k}-{i}" for i in range(differ)] + own[differ:])
+    want, links = plain_groups(texts)
+    got = simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), hot=100)
+    assert len(links) >= 400 and {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Rows of shards or whole sets may be large: a batch has a bound of bytes, not of rows only."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from treeplan.llm import shared
+
+    shared.attach(spark)
+    kernel = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    rows = spark.range(0, 600, 1, 1).select(F.array_repeat(F.struct(F.col("id").alias("node"), F.repeat(F.lit("y"), 128).alias("sig")), 400).alias("nodes"))
+    sizes = [r.n for r in rows.mapInArrow(kernel, "n long").collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * shared.BATCH_BYTES
+
+
 def test_large_sets_of_one_passage_are_not_compared(spark, monkeypatch):
     """Couples of long texts share a rare passage and nothing else: their whole sets need not meet."""
     rng, texts, left = random.Random(16), {}, []

@@ -16,16 +16,23 @@ from pyspark.sql import functions as F
 
 from treeplan.work import BATCH_ROWS, MALLOC
 
+#: Bytes of an Arrow batch, about: rows of whole shingle sets or shards may have 100 KB each, and a batch stands in the executor
+#: and in its Python worker.
+BATCH_BYTES = 4 << 20
 #: Text bytes that one step of an Arrow kernel handles at a time; a longer text is a step of its own.
 SLICE_BYTES = 1 << 20
 
 
 def attach(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, and bounds the
-    session's Arrow batches, whose default of 10,000 rows is meant for rows of a few numbers."""
+    session's Arrow batches, whose default of 10,000 rows is meant for rows of a few numbers, and
+    which may have any number of bytes."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     for k, v in MALLOC.items():

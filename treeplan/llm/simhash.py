@@ -66,9 +66,10 @@ SPARE = 4
 HOT, LEADERS = 4096, 16
 #: Keys by which such a band is dealt again, and min-hashes of each; a pair at 0.8 shares one with a chance of 0.998.
 FINE, FINE_ROWS = 12, 4
-#: Sets, about, that tell which shingles are common, and so many of the commonest. Only the order of shingles hangs on that, and
-#: links are found by any order; a good one lets few sets meet.
-KNOWN, COMMON = 8000, 1 << 18
+#: One row of EVERY tells which shingles are common, at least KNOWN rows, about, and so many of the commonest have a rank of their own.
+#: A share, not a number: so a shingle of more than a few dozen sets is known at any size of the table. Only the order of shingles
+#: hangs on that, and links are found by any order; a good one lets few sets meet.
+KNOWN, EVERY, COMMON = 8000, 6, 1 << 18
 #: Sets of a shingle that meet in one step; bits of a small set's bit map (larger sets have as many bits as shingles, or up to twice that).
 RUN, BITS = 256, 1024
 
@@ -295,8 +296,9 @@ def _proposed(similarity: float):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for shards in batch.column(0).to_pylist():
-                sides = [s["nodes"] for s in shards]
+            for value in batch.column(0):  # one by one, as a batch may hold very many nodes
+                sides = [s["nodes"] for s in value.as_py()]
+                alone = len(sides) == 1
                 nodes = np.unique([x["node"] for side in sides for x in side])
                 sigs = np.zeros((len(nodes), HASHES), np.uint8)
                 by: dict[int, list[int]] = {}
@@ -309,7 +311,7 @@ def _proposed(similarity: float):
                 tree, found = BKTree(by), []
                 for x in sides[-1]:
                     near = np.array([y for fp in tree.near(_unsigned(x["fp"]), REACH) for y in by[fp]], np.int64)
-                    near = near[near < x["at"]] if len(shards) == 1 else near[near != x["at"]]
+                    near = near[near < x["at"]] if alone else near[near != x["at"]]
                     equal = (sigs[near] == sigs[x["at"]]).sum(axis=1)
                     enough = equal >= (similarity - SHORT) * HASHES
                     found.append((equal[enough], np.full(int(enough.sum()), x["at"]), near[enough]))
@@ -377,7 +379,8 @@ def _shard_pairs(entries: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 class Order:
-    """One order of all shingles: those not known as common by their hashes, then the common ones, rare ones first."""
+    """One order of all shingles: those not known as common by their hashes, then the common ones without a rank by theirs, then
+    the commonest, rare ones first."""
 
     def __init__(self, commonest: np.ndarray) -> None:
         """commonest: signed hashes, the most common first."""
@@ -385,15 +388,18 @@ class Order:
         by = np.argsort(hashes)
         self.hashes, self.ranks = hashes[by], (len(by) - by).astype(np.int32)
 
-    def first(self, distinct: np.ndarray, similarity: float) -> np.ndarray:
-        """The shingles of a set of which it shares one with every set that is as similar; each shares at least similarity * n of n."""
+    def first(self, distinct: np.ndarray, similarity: float, known: Callable[[pa.Array], pa.Array] | None = None) -> np.ndarray:
+        """The shingles of a set of which it shares one with every set that is as similar; each shares at least similarity * n of n.
+        known: whether signed hashes may be common; it may let others through, the same ones for all sets."""
         n = len(distinct)
         if not n:
             return distinct.astype(np.int64)
         rank = np.zeros(n, np.int32)
+        if known is not None:
+            rank += known(pa.array(distinct.view(np.int64))).to_numpy(zero_copy_only=False)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
-            rank = np.where(self.hashes[at] == distinct, self.ranks[at], 0)
+            rank = np.where(self.hashes[at] == distinct, self.ranks[at] + 1, rank)
         return distinct[np.lexsort((distinct, rank))][: n - int(np.ceil(similarity * n - 1e-6)) + 1].view(np.int64)
 
 
@@ -569,11 +575,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
             for value in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(value.as_py(), words)).view(np.int64))], names=["shingle"])
 
-    every = max(1, rows.count() // KNOWN)
+    every = min(EVERY, max(1, rows.count() // KNOWN))
     some = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(every)) == 0)).select("text").distinct()
-    counts = some.mapInArrow(shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    counts = materialize(some.mapInArrow(shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2"), "common")
     commonest = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow().column(0).to_numpy().astype(np.int64)
     sent = docs.sparkSession.sparkContext.broadcast(Order(commonest))  # at most COMMON numbers
+    known = Members(counts.select("shingle")).holder() if len(commonest) == COMMON else None  # of the others, a bit map of bounded size
+    discard(counts)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sent.value
@@ -582,7 +590,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
             for text in batch.column(1):
                 distinct = np.unique(shingle_hashes(text.as_py(), words))  # repeats don't count in sets, so not in these fingerprints
                 out.append((_set_hash(distinct), _signed(fingerprint_of(distinct)), *signature(distinct), len(distinct), bit_map(distinct)))
-                first.append(order.first(distinct, similarity))
+                first.append(order.first(distinct, similarity, known))
             if out:
                 node, fp, sig, keys, n, bits = zip(*out, strict=True)
                 firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]), pa.int32()), pa.array(np.concatenate(first)))

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from treeplan import catalog
 from treeplan.operators import chunks, delta, segments
 from treeplan.sources import fs_tree
 
@@ -43,6 +44,45 @@ def test_wrong_guesses_are_cut_again_at_once(spark, monkeypatch):
     assert got == rows(chunks.cdc_chunks(held, 256)) and len(steps) == 2
 
 
+@pytest.mark.parametrize("segment", [1024, 4096, 5000, 1 << 20])
+def test_own_rows_are_cut_where_they_are(spark, tmp_path, segment):
+    """Rows that hold their contents are not dealt, also where guesses are wrong and a file goes over many batches."""
+    held = contents() | {"long": bytes(3_000_000) + contents(4)["noise"] * 30, "zzz": contents(9)["noise"]}
+    frame(spark, held).repartition(8).write.parquet(f"{tmp_path}/held")
+    table = spark.read.parquet(f"{tmp_path}/held")
+    cut, places, parts = segments.cdc_chunks(table, None, 256, segment), segments.cdc_places(table, None, 256, segment), segments.read(table, None, segment)
+    for df in (cut, places, parts):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    want = rows(chunks.cdc_chunks(table, 256))
+    assert rows(cut) == want
+    assert sorted((p, off, n, bytes(h).hex()) for p, _, off, n, h in places.collect()) == sorted((p, off, n, h) for p, _, off, n, h in want)
+    assert sorted((r.rel_path, r.size, r.seg, bytes(r.data)) for r in parts.collect()) == sorted((p, len(b), k, b[k * segment : (k + 1) * segment]) for p, b in held.items() for k in range(-(-len(b) // segment)))
+
+
+def shuffled(spark):
+    """Bytes that each stage has written for others."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(k) for k in range(found.size()))}
+
+
+def test_contents_are_dealt_few_times(spark, tmp_path):
+    """What rebuild_segments writes to disk is in proportion to few copies of the contents: old ones to the operations, pieces to their file."""
+    rng = random.Random(2)
+    docs = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=12_000)), "en", "src0") for k in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        made = catalog.rebuild_segments(spark, str(tmp_path)).collect()
+        took = sum(n for k, n in shuffled(spark).items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(made) == 196 and all(r.ok and r.digest == hashlib.sha256(docs[int(r.rel_path[-13:].split("_")[-1].split(".")[0])][1].encode()).hexdigest() for r in made)
+    assert took < 3 * 200 * 12_000
+
+
 def test_fixed_chunks(spark):
     held = frame(spark, contents())
     for segment in (512, 4096, 1 << 20):
@@ -81,9 +121,25 @@ def test_rebuilt(spark, segment):
     assert made.agg(F.max(F.octet_length("data"))).first()[0] <= segment
     assert {r.rel_path: (r.size, r.digest) for r in segments.digests(made).collect()} == want
     assert {(r.rel_path, r.size, r.ok) for r in segments.verified(made, wanted).collect()} == {(p, n, True) for p, (n, _) in want.items()}
+    assert {r.rel_path: (r.size, r.digest, r.ok) for r in segments.checked(table, wanted, had, segment).collect()} == {p: (*w, True) for p, w in want.items()}
     # beyond the old content, a gap, and a missing file
     bad = spark.createDataFrame([("edge", 0, "copy", 0, len(old["edge"]) - 2, 50), ("one", 0, "write", 5, 0, 1), ("gone", 0, "copy", 0, 0, 3)], table.schema)
     assert all(r.digest is None for r in segments.digests(segments.rebuilt(bad, wanted, had, segment)).collect())
+    # the same, a result that is right but longer, one that is short, one that is wrong but whole
+    odd = [("noise", 0, "write", 0, 0, 100), ("zeros", 0, "write", 0, 0, 30_000), ("zeros", 1, "copy", 30_000, 0, 9), ("text", 0, "copy", 0, 0, len(old["text"])), ("below", 0, "write", 0, 0, 1), ("below", 1, "write", 4090, 0, 1)]
+    for ops in (bad, bad.unionByName(spark.createDataFrame([(p, k, kind, off, at, min(n, len((new if kind == "write" else old)[p]) - at)) for p, k, kind, off, at, n in odd], table.schema))):
+        whole = segments.rebuilt(ops, wanted, had, segment)
+        told = segments.digests(whole).join(segments.verified(whole, wanted).select("rel_path", "ok"), "rel_path")
+        assert rows(segments.checked(ops, wanted, had, segment)) == rows(told.select("rel_path", "size", "digest", "ok"))
+
+
+def test_segments_that_none_reads(spark):
+    """Those that are read are kept whatever their keys, most others go; no rows, no map."""
+    side = spark.range(3000).select(F.concat(F.lit("f"), F.col("id") % 50).alias("rel_path"), F.when(F.col("id") % 2 == 0, "write").otherwise("copy").alias("kind"), F.col("id").alias("seg"))
+    used = side.where("seg % 7 = 3")
+    got, want = rows(segments._read_of(side, used.unionByName(used))), rows(used)
+    assert set(want) <= set(got) and len(set(got)) == len(got) < len(want) + 5
+    assert rows(segments._read_of(side, used.where("false"))) == []
 
 
 def test_live_segments(spark, tmp_path):

@@ -421,31 +421,26 @@ SMALL = 4096
 
 
 def _segmented(spark, d):
-    s, t = (f.where("not is_symlink") for f in (_src(spark, d), _dst(spark, d)))
-    return (s, segments.from_rows(s)), (t, segments.from_rows(t))
+    return [f.where("not is_symlink").select("rel_path", "size", "text") for f in (_src(spark, d), _dst(spark, d))]
 
 
 @query(CDC + " SELECT rel_path, idx, off, len, h FROM sc")
 def chunks_cdc_segments(spark, d):
     """The chunks of chunks_cdc, from segments that are cut side by side."""
-    (s, reader), _ = _segmented(spark, d)
-    return segments.cdc_chunks(s.select("rel_path", "size"), reader, 256, SMALL)
+    return segments.cdc_chunks(_segmented(spark, d)[0], None, 256, SMALL)
 
 
 @query(FIXED + "SELECT rel_path, idx, off, len, h FROM sc")
 def chunks_fixed_segments(spark, d):
-    (s, reader), _ = _segmented(spark, d)
-    return segments.fixed_chunks(s.select("rel_path", "size"), reader, CHUNK, SMALL)
+    return segments.fixed_chunks(_segmented(spark, d)[0], None, CHUNK, SMALL)
 
 
 @query(FILES + "SELECT rel_path, size, sha256(text) AS digest, true AS ok FROM src WHERE NOT is_symlink AND size > 0")
 def rebuild_segments(spark, d):
     """The contents of rebuild_verify, from operations and segments that meet by place; no content is one row."""
-    (s, new), (t, old) = _segmented(spark, d)
-    ops = delta.by_hash(*(segments.cdc_chunks(f.select("rel_path", "size"), r, 256, SMALL) for f, r in ((s, new), (t, old))))
-    wanted, had = (segments.read(f.select("rel_path", "size"), r, SMALL) for f, r in ((s, new), (t, old)))
-    made = ranking.checkpointed(segments.rebuilt(ops, wanted, had, SMALL))
-    return segments.digests(made).join(segments.verified(made, wanted).select("rel_path", "ok"), "rel_path")
+    s, t = _segmented(spark, d)
+    ops = delta.by_hash(*(segments.cdc_places(f, None, 256, SMALL) for f in (s, t)))
+    return segments.checked(ops, *(segments.read(f, None, SMALL) for f in (s, t)), SMALL)
 
 
 @query(FILES + "SELECT rel_path, s.size - d.size AS append_bytes, sha256(encode(s.text)[d.size + 1 :]) AS tail_digest FROM src s JOIN dst d USING (rel_path) WHERE s.size > d.size")

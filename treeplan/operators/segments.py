@@ -7,19 +7,23 @@ is not are cut again from there, at once if a task has both, else in rounds, unt
 it has segments, so after some rounds the files still open are walked from front to end, a segment at a time.
 
 Operations are split where segments of what they read from and of the result begin, meet the segments they read in an exchange, and their pieces
-meet in the segments of the result.
+meet in the segments of the result. Segments that no operation reads stay out of it.
+
+Contents are the largest thing here, so they are dealt as seldom as can be: rows that hold theirs are cut where they are, and checked() takes
+digests as the pieces of a file arrive, so that no result is written.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeplan.operators.chunks import CdcParams, boundaries, boundaries_of, content_of
+from treeplan.operators.chunks import PIECE, CdcParams, _dealt, boundaries, boundaries_of, content_of
 from treeplan.operators.ranking import checkpointed
 from treeplan.work import importable
 
@@ -27,6 +31,8 @@ from treeplan.work import importable
 SEGMENT, ROUNDS = 64 << 20, 4
 #: Segments that are few enough to be sent to all tasks by name, so that no contents are dealt to meet them.
 FEW = 20_000
+#: Bits of the map of segments that operations read: 16 MB. Where very many are read, it lets through some that are not.
+MAP_BITS = 1 << 27
 
 #: From ranges (rel_path, size, seg, at, n, ...) of files to the same rows with `data`, the bytes there.
 Reader = Callable[[DataFrame], DataFrame]
@@ -51,41 +57,73 @@ def from_rows(files: DataFrame) -> Reader:
     return lambda wanted: wanted.join(held, "rel_path").select(*wanted.columns, F.expr("substring(content, cast(at + 1 as int), cast(n as int))").alias("data"))
 
 
-def read(files: DataFrame, reader: Reader, segment: int = SEGMENT) -> DataFrame:
-    """(rel_path, size, seg, data): files (rel_path, size) in segments."""
+def _held(files: DataFrame) -> DataFrame:
+    """(rel_path, content, size) of files with `content` or `text`, for _sliced()."""
+    rows = _dealt(files.where("size > 0").select("rel_path", content_of(files).alias("content"), F.col("size").cast("long").alias("size")))
+    importable(rows.sparkSession)
+    return rows
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], segment: int, behind: int = 0, ahead: int = 0) -> Iterator[pa.RecordBatch]:
+    """What a reader gives of all segments (rel_path, size, seg, entry, at, data) of rows (rel_path, content, size); a batch holds little more than PIECE bytes."""
+    kinds = (("rel_path", pa.string()), ("size", pa.int64()), ("seg", pa.int64()), ("entry", pa.int64()), ("at", pa.int64()), ("data", pa.binary()))
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+    rows, total = [], 0
+    for batch in batches:
+        for path, content, size in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            held = memoryview(content.as_buffer()) if content.is_valid else None
+            for seg in range(-(-size // segment)):
+                at = max(seg * segment - behind, 0)
+                data = None if held is None else bytes(held[at : seg * segment + segment + ahead])
+                rows.append((path, size, seg, None if seg else 0, at, data))
+                total += len(data or b"")
+                if total >= PIECE:
+                    yield batch_of(rows)
+                    rows, total = [], 0
+    if rows:
+        yield batch_of(rows)
+
+
+def read(files: DataFrame, reader: Reader | None = None, segment: int = SEGMENT) -> DataFrame:
+    """(rel_path, size, seg, data): files (rel_path, size) in segments; without a reader, of their own `content` or `text`, which is not dealt."""
+    if reader is None:
+        names = ["rel_path", "size", "seg", "data"]
+        return _held(files).mapInArrow(lambda batches: (b.select(names) for b in _sliced(batches, segment)), "rel_path string, size long, seg long, data binary")
     return reader(ranges(numbered(files, segment), segment)).select("rel_path", "size", "seg", "data")
 
 
-_CUT = "rel_path string, size long, seg long, entry long, leave long, off array<long>, len array<long>, h array<string>"
-_KINDS = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
+_CUT = "rel_path string, size long, seg long, entry long, leave long, off array<long>, len array<long>, h array<binary>, before long"
+_KINDS = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.int64())
 _NAMES = [c.split()[0] for c in _CUT.split(", ")]
 
 
-def _row(path: str, size: int, seg: int, start: int, at: int, data: memoryview, cuts: list[int], segment: int) -> tuple:
-    """Chunks that start in a segment, of those that were cut from `start`, and where the first after it starts."""
+def _row(path: str, size: int, seg: int, start: int, at: int, data: memoryview, cuts: list[int], segment: int, before: int | None = None) -> tuple:
+    """Chunks that start in a segment, of those that were cut from `start`, where the first after it starts, and where known, how many are before."""
     begin, end = seg * segment, min((seg + 1) * segment, size)
     cuts = [start + c for c in cuts]
     own = [c for c in cuts if begin <= c < end]
     leave = next((c for c in cuts if c >= end), size)
     stops = [*own[1:], leave][: len(own)]
-    return (path, size, seg, own[0] if own else leave, leave, own, [b - a for a, b in zip(own, stops)], [hashlib.sha256(data[a - at : b - at]).hexdigest() for a, b in zip(own, stops)])
+    return (path, size, seg, own[0] if own else leave, leave, own, [b - a for a, b in zip(own, stops)], [hashlib.sha256(data[a - at : b - at]).digest() for a, b in zip(own, stops)], before)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], names=_NAMES)
 
 
-def cdc_chunks(files: DataFrame, reader: Reader, target: int, segment: int = SEGMENT, rounds: int = ROUNDS) -> DataFrame:
-    """(rel_path, idx, off, len, h) of files (rel_path, size), the same as chunks.cdc_chunks() whatever the segments."""
+def _cut(files: DataFrame, reader: Reader | None, target: int, segment: int, rounds: int) -> DataFrame:
+    """The columns of _CUT: true chunks of each segment, with digests as bytes."""
     p = CdcParams(target)
     if segment < p.most:
         raise ValueError(f"segments of at least the largest chunk, {p.most}")
-    behind = 4 * p.most
+    behind, here = 4 * p.most, reader is None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = ("", -1, 0)  # path, number and leave of the segment before
+        last = ("", -1, 0, 0)  # path, number and leave of the segment before, and chunks up to its end
         for batch in batches:  # small segments are hashed together
-            rows = sorted(((*r, memoryview(data.as_buffer())) for *r, data in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True)), key=lambda r: (r[0], r[2]))
+            rows = [(*r, memoryview(data.as_buffer())) for *r, data in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5), strict=True) if data.is_valid]
+            if not here:
+                rows.sort(key=lambda r: (r[0], r[2]))
             starts = [at if entry is None else entry for _, _, _, entry, at, _ in rows]
             found = boundaries_of([data[start - at :] for start, (*_, at, data) in zip(starts, rows, strict=True)], p)
             out = []
@@ -93,8 +131,9 @@ def cdc_chunks(files: DataFrame, reader: Reader, target: int, segment: int = SEG
                 true = last[2] if last[:2] == (path, seg - 1) else None
                 if true is not None and true != next((start + c for c in cuts if start + c >= seg * segment), size):
                     start, cuts = true, boundaries(data[true - at :], p)
-                out.append(_row(path, size, seg, start, at, data, cuts, segment))
-                last = (path, seg, out[-1][4])
+                before = 0 if seg == 0 else last[3] if true is not None else None
+                out.append(_row(path, size, seg, start, at, data, cuts, segment, before))
+                last = (path, seg, out[-1][4], (before or 0) + len(out[-1][5]))
             yield _batch(out)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +154,8 @@ def cdc_chunks(files: DataFrame, reader: Reader, target: int, segment: int = SEG
         importable(got.sparkSession)
         return got.mapInArrow(how, _CUT)
 
+    if here:  # a task has all segments of its files in order, so each meets the one before and no guess is left
+        return _held(files).mapInArrow(lambda batches: cut(_sliced(batches, segment, behind, p.most)), _CUT)
     all_ = numbered(files, segment).withColumn("entry", F.when(F.col("seg") == 0, F.lit(0).cast("long")))
     now, order = checkpointed(made(all_)), Window.partitionBy("rel_path").orderBy("seg")
     for round_ in range(rounds + 1):
@@ -132,13 +173,28 @@ def cdc_chunks(files: DataFrame, reader: Reader, target: int, segment: int = SEG
             again = checkpointed(made(wrong, few=few))
         done = again.select("rel_path", "seg")
         now = checkpointed(now.join(F.broadcast(done) if few and round_ < rounds else done, ["rel_path", "seg"], "left_anti").unionByName(again))
-    before = F.coalesce(F.sum(F.size("off")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = now.select("rel_path", "seg", before.alias("before"))
-    rows = now.join(counts, ["rel_path", "seg"]).select("rel_path", "before", F.posexplode(F.arrays_zip("off", "len", "h")).alias("k", "c"))
-    return rows.select("rel_path", (F.col("before") + F.col("k")).alias("idx"), "c.off", "c.len", "c.h")
+    return now
+
 
+def cdc_chunks(files: DataFrame, reader: Reader | None, target: int, segment: int = SEGMENT, rounds: int = ROUNDS) -> DataFrame:
+    """(rel_path, idx, off, len, h) of files (rel_path, size), the same as chunks.cdc_chunks() whatever the segments; without a reader,
+    files hold their `content` or `text`, which is cut where it is."""
+    now, order = _cut(files, reader, target, segment, rounds), Window.partitionBy("rel_path").orderBy("seg")
+    if reader is not None:
+        before = F.coalesce(F.sum(F.size("off")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = now.select("rel_path", "seg", before.alias("before"))
+        now = now.drop("before").join(counts, ["rel_path", "seg"])
+    rows = now.select("rel_path", "before", F.posexplode(F.arrays_zip("off", "len", "h")).alias("k", "c"))
+    return rows.select("rel_path", (F.col("before") + F.col("k")).alias("idx"), "c.off", "c.len", F.lower(F.hex("c.h")).alias("h"))
 
-def fixed_chunks(files: DataFrame, reader: Reader, size: int, segment: int = SEGMENT) -> DataFrame:
+
+def cdc_places(files: DataFrame, reader: Reader | None, target: int, segment: int = SEGMENT, rounds: int = ROUNDS) -> DataFrame:
+    """cdc_chunks() for delta.by_hash(), with no exchange: `idx` is a chunk's place, which has the same order, and `h` the digest as bytes."""
+    rows = _cut(files, reader, target, segment, rounds).select("rel_path", F.explode(F.arrays_zip("off", "len", "h")).alias("c"))
+    return rows.select("rel_path", F.col("c.off").alias("idx"), "c.off", "c.len", "c.h")
+
+
+def fixed_chunks(files: DataFrame, reader: Reader | None, size: int, segment: int = SEGMENT) -> DataFrame:
     """(rel_path, idx, off, len, h); `size` divides `segment`."""
     if size < 512 or segment % size:
         raise ValueError("chunks have 512 bytes or more and fill segments")
@@ -153,26 +209,33 @@ def _within(place: Column, n: Column, segment: int) -> Column:
     return F.sequence(F.floor(place / segment), F.floor((place + n - 1) / segment))
 
 
-def rebuilt(ops: DataFrame, new: DataFrame, old: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(rel_path, seg, data): the results of operations, in segments; new and old as read() gives them, with the same `segment`.
+def _read_of(side: DataFrame, used: DataFrame) -> DataFrame:
+    """Rows of side (rel_path, kind, seg, ...) that used (rel_path, kind, seg) has too, and few others: a bit map of bounded size tells, so that
+    contents need not be dealt to know."""
+    bit = F.pmod(F.xxhash64("rel_path", "kind", "seg"), F.lit(MAP_BITS)) + 1
+    bits = used.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("place"))
+    map_ = bits.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    both = side.withColumn("place", F.bitmap_bit_position(bit)).withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(map_), "bucket")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    return both.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select(*side.columns)
 
-    data is null where an operation reaches beyond what it reads from or none writes a byte. An empty result has no rows.
-    Pieces of one old segment that very many operations copy are made in one task, which holds only the segment."""
+
+def _made(ops: DataFrame, new: DataFrame, old: DataFrame, segment: int) -> DataFrame:
+    """(rel_path, seg, to, data): the pieces of results, by the segment of the result that they belong to."""
     S = segment
     used = ops.where("len > 0").select("rel_path", "kind", "off", "src_offset", "len", F.explode(_within(F.col("src_offset"), F.col("len"), S)).alias("seg"))
     lo, hi = F.greatest(F.col("src_offset"), F.col("seg") * S), F.least(F.col("src_offset") + F.col("len"), (F.col("seg") + 1) * S)
-    used = used.select("rel_path", "kind", "seg", lo.alias("lo"), (hi - lo).alias("n"), (F.col("off") + lo - F.col("src_offset")).alias("to"))
-    parts = used.select("*", F.explode(_within(F.col("to"), F.col("n"), S)).alias("out"))
+    parts = used.select("rel_path", "kind", "seg", lo.alias("lo"), (hi - lo).alias("n"), (F.col("off") + lo - F.col("src_offset")).alias("to"))
+    parts = parts.select("*", F.explode(_within(F.col("to"), F.col("n"), S)).alias("out"))
     lo, hi = F.greatest(F.col("to"), F.col("out") * S), F.least(F.col("to") + F.col("n"), (F.col("out") + 1) * S)
     parts = parts.select("rel_path", "kind", "seg", "out", lo.alias("to"), (F.col("lo") + lo - F.col("to") - F.col("seg") * S).alias("at"), (hi - lo).alias("n"))
     none = F.lit(None).cast("long")
     side = lambda f, kind: f.select("rel_path", F.lit(kind).alias("kind"), "seg", none.alias("out"), none.alias("to"), none.alias("at"), none.alias("n"), "data")
-    stream = side(new, "write").unionByName(side(old, "copy")).unionByName(parts.withColumn("data", F.lit(None).cast("binary")))
+    stream = _read_of(side(new, "write").unionByName(side(old, "copy")), used).unionByName(parts.withColumn("data", F.lit(None).cast("binary")))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, b""
+        key, held, rows, total = None, b"", [], 0
         for batch in batches:
-            rows, total = [], 0
             for k, (path, kind, seg, out, to, at, n) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:7]), strict=True)):
                 if out is None:
                     key, held = (path, kind, seg), memoryview(batch.column(7)[k].as_buffer())
@@ -180,42 +243,89 @@ def rebuilt(ops: DataFrame, new: DataFrame, old: DataFrame, segment: int = SEGME
                 data = bytes(held[at : at + n]) if (path, kind, seg) == key else b""
                 rows.append((path, out, to, data if len(data) == n else None))
                 total += n
-                if total > S:
-                    yield _pieces(rows)
+                if total >= PIECE:
+                    yield _batch_of(rows)
                     rows, total = [], 0
-            yield _pieces(rows)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, end = None, [], 0
-
-        def out() -> pa.RecordBatch:
-            data = None if None in parts else b"".join(parts)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int64()), pa.array([data], pa.binary())], names=["rel_path", "seg", "data"])
-
-        for batch in batches:
-            for k, (path, seg, to) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
-                if (path, seg) != key:
-                    if key is not None:
-                        yield out()
-                    key, parts, end = (path, seg), [], seg * S
-                data = batch.column(3)[k].as_py()
-                parts.append(data if data is not None and to == end else None)
-                end = to + len(data or b"")
-        if key is not None:
-            yield out()
+        if rows:
+            yield _batch_of(rows)
 
     dealt = stream.repartition("rel_path", "kind", "seg").sortWithinPartitions("rel_path", "kind", "seg", F.col("out").isNotNull())
     importable(dealt.sparkSession)
-    made = dealt.mapInArrow(pieces, "rel_path string, seg long, to long, data binary")
-    importable(made.sparkSession)
-    return made.repartition("rel_path", "seg").sortWithinPartitions("rel_path", "seg", "to").mapInArrow(joined, "rel_path string, seg long, data binary")
+    return dealt.mapInArrow(pieces, "rel_path string, seg long, to long, data binary")
 
 
-def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (("rel_path", pa.string()), ("seg", pa.int64()), ("to", pa.int64()), ("data", pa.binary()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
+def _results(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[tuple[str, int, bool, bytes | None, bytes | None]]:
+    """(path, seg, whether it has pieces, data, wanted digest) from pieces in order, a segment at a time; data is None without a row of pieces that has no gap.
+    A row without a place holds the digest that is wanted."""
+    key, parts, end, want = None, [], 0, None
+    whole = lambda: (*key, bool(parts), b"".join(parts) if parts and None not in parts else None, want)
+    for batch in batches:
+        for path, seg, to, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (path, seg) != key:
+                if key is not None:
+                    yield whole()
+                key, parts, end, want = (path, seg), [], seg * segment, None
+            if to is None:
+                want = data
+                continue
+            parts.append(data if data is not None and to == end else None)
+            end = to + len(data or b"")
+    if key is not None:
+        yield whole()
+
+
+def rebuilt(ops: DataFrame, new: DataFrame, old: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(rel_path, seg, data): the results of operations, in segments; new and old as read() gives them, with the same `segment`.
+
+    data is null where an operation reaches beyond what it reads from or none writes a byte. An empty result has no rows.
+    Pieces of one old segment that very many operations copy are made in one task, which holds only the segment."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, seg, _, data, _ in _results(batches, segment):
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([seg], pa.int64()), pa.array([data], pa.binary())], names=["rel_path", "seg", "data"])
+
+    made = _made(ops, new, old, segment)
+    return made.repartition("rel_path", "seg").sortWithinPartitions("rel_path", "seg", "to").mapInArrow(joined, "rel_path string, seg long, data binary")
+
+
+def checked(ops: DataFrame, new: DataFrame, old: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(rel_path, size, digest, ok): what digests() and verified() tell of rebuilt(), where it has rows, in one pass.
+
+    Pieces pass through the task of their file in order, as for any digest of a whole file, a segment at a time, and meet the digests of the
+    segments that are wanted; no result is written or dealt once more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for path, group in groupby(_results(batches, segment), key=lambda r: r[0]):
+            held, size, good, same, after = hashlib.sha256(), 0, True, True, 0
+            for _, seg, some, data, want in group:
+                same &= data is not None and want == hashlib.sha256(data).digest()
+                if some:
+                    good &= data is not None and seg == after
+                    if good:
+                        held.update(data)
+                        size += len(data)
+                    after = seg + 1
+            if after:
+                rows.append((path, size, held.hexdigest() if good else None, same))
+            if len(rows) >= 1000:
+                yield batch_of(rows)
+                rows = []
+        if rows:
+            yield batch_of(rows)
+
+    kinds = (("rel_path", pa.string()), ("size", pa.int64()), ("digest", pa.string()), ("ok", pa.bool_()))
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+    wanted = new.select("rel_path", "seg", F.lit(None).cast("long").alias("to"), F.unhex(F.sha2("data", 256)).alias("data"))
+    both = _made(ops, new, old, segment).unionByName(wanted)
+    return both.repartition("rel_path").sortWithinPartitions("rel_path", "seg", "to").mapInArrow(run, "rel_path string, size long, digest string, ok boolean")
+
+
 def digests(segments: DataFrame) -> DataFrame:
     """(rel_path, size, digest): SHA-256 of whole contents from their segments, which pass through a task in order, one at a time; null if one is null or missing."""
 

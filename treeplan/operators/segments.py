@@ -10,14 +10,14 @@ Operations are split where segments of what they read from and of the result beg
 meet in the segments of the result. Segments that no operation reads stay out of it.
 
 Contents are the largest thing here, so they are dealt as seldom as can be: rows that hold theirs are cut where they are, and checked() takes
-digests as the pieces of a file arrive, so that no result is written.
+digests where the pieces of a small file are made, or as those of a larger one arrive, so that no result is written.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +33,8 @@ SEGMENT, ROUNDS = 64 << 20, 4
 FEW = 20_000
 #: Bits of the map of segments that operations read: 16 MB. Where very many are read, it lets through some that are not.
 MAP_BITS = 1 << 27
+#: Segments of a file that lie in the same BLOCK bytes (or one, if larger) meet in a task; a result within the first is told of there.
+BLOCK = 1 << 20
 
 #: From ranges (rel_path, size, seg, at, n, ...) of files to the same rows with `data`, the bytes there.
 Reader = Callable[[DataFrame], DataFrame]
@@ -67,7 +69,6 @@ def _held(files: DataFrame) -> DataFrame:
 def _sliced(batches: Iterator[pa.RecordBatch], segment: int, behind: int = 0, ahead: int = 0) -> Iterator[pa.RecordBatch]:
     """What a reader gives of all segments (rel_path, size, seg, entry, at, data) of rows (rel_path, content, size); a batch holds little more than PIECE bytes."""
     kinds = (("rel_path", pa.string()), ("size", pa.int64()), ("seg", pa.int64()), ("entry", pa.int64()), ("at", pa.int64()), ("data", pa.binary()))
-    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
     rows, total = [], 0
     for batch in batches:
         for path, content, size in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -78,10 +79,10 @@ def _sliced(batches: Iterator[pa.RecordBatch], segment: int, behind: int = 0, ah
                 rows.append((path, size, seg, None if seg else 0, at, data))
                 total += len(data or b"")
                 if total >= PIECE:
-                    yield batch_of(rows)
+                    yield _batch_of(rows, kinds)
                     rows, total = [], 0
     if rows:
-        yield batch_of(rows)
+        yield _batch_of(rows, kinds)
 
 
 def read(files: DataFrame, reader: Reader | None = None, segment: int = SEGMENT) -> DataFrame:
@@ -220,65 +221,117 @@ def _read_of(side: DataFrame, used: DataFrame) -> DataFrame:
     return both.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select(*side.columns)
 
 
-def _made(ops: DataFrame, new: DataFrame, old: DataFrame, segment: int) -> DataFrame:
-    """(rel_path, seg, to, data): the pieces of results, by the segment of the result that they belong to."""
-    S = segment
-    used = ops.where("len > 0").select("rel_path", "kind", "off", "src_offset", "len", F.explode(_within(F.col("src_offset"), F.col("len"), S)).alias("seg"))
+#: Rows of pieces: by the segment of the result that they belong to, the bytes at a place; without a place the digest that is wanted of the
+#: segment; with a size what _told() says of a whole file, as segment -1.
+_PIECE = (("rel_path", pa.string()), ("seg", pa.int64()), ("to", pa.int64()), ("data", pa.binary()), ("size", pa.int64()), ("digest", pa.string()), ("ok", pa.bool_()))
+_PIECES = "rel_path string, seg long, to long, data binary, size long, digest string, ok boolean"
+
+
+def _batch_of(rows: list[tuple], kinds: tuple = _PIECE) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+
+def _made(ops: DataFrame, new: DataFrame, old: DataFrame, segment: int, tell: bool = False) -> DataFrame:
+    """The pieces of results, as _PIECES. With `tell`, the digests that are wanted too, and of files whose operations read and write within
+    the first block only what _told() says."""
+    S, per, none = segment, max(BLOCK // segment, 1), F.lit(None).cast("long")
+    ops = ops.where("len > 0")
+    used = ops.select("rel_path", "kind", "off", "src_offset", "len", F.explode(_within(F.col("src_offset"), F.col("len"), S)).alias("seg"))
     lo, hi = F.greatest(F.col("src_offset"), F.col("seg") * S), F.least(F.col("src_offset") + F.col("len"), (F.col("seg") + 1) * S)
     parts = used.select("rel_path", "kind", "seg", lo.alias("lo"), (hi - lo).alias("n"), (F.col("off") + lo - F.col("src_offset")).alias("to"))
     parts = parts.select("*", F.explode(_within(F.col("to"), F.col("n"), S)).alias("out"))
     lo, hi = F.greatest(F.col("to"), F.col("out") * S), F.least(F.col("to") + F.col("n"), (F.col("out") + 1) * S)
-    parts = parts.select("rel_path", "kind", "seg", "out", lo.alias("to"), (F.col("lo") + lo - F.col("to") - F.col("seg") * S).alias("at"), (hi - lo).alias("n"))
-    none = F.lit(None).cast("long")
-    side = lambda f, kind: f.select("rel_path", F.lit(kind).alias("kind"), "seg", none.alias("out"), none.alias("to"), none.alias("at"), none.alias("n"), "data")
-    stream = _read_of(side(new, "write").unionByName(side(old, "copy")), used).unionByName(parts.withColumn("data", F.lit(None).cast("binary")))
+    parts = parts.select("rel_path", "kind", "seg", "out", lo.alias("to"), (F.col("lo") + lo - F.col("to") - F.col("seg") * S).alias("at"), (hi - lo).alias("n"), F.lit(None).cast("binary").alias("data"))
+    side = lambda f, kind, data="data": f.select("rel_path", F.lit(kind).alias("kind"), "seg", none.alias("out"), none.alias("to"), none.alias("at"), none.alias("n"), data)
+    stream = _read_of(side(new, "write").unionByName(side(old, "copy")), used).unionByName(parts)
+    if tell:
+        ends = ops.groupBy("rel_path").agg(F.max(F.greatest("off", "src_offset") + F.col("len")).alias("end"), F.min(F.least("off", "src_offset")).alias("start"))
+        first = ends.where(f"start >= 0 and end <= {per * S}L").select("rel_path", F.lit(0).cast("long").alias("seg"), F.lit(None).cast("binary").alias("data"))
+        stream = stream.unionByName(side(first, " first")).unionByName(side(new, " want", F.unhex(F.sha2("data", 256)).alias("data")))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, rows, total = None, b"", [], 0
+        group, key, held = None, None, b""
+        rows, total = [], 0  # to be sent
+        own, size = None, 0  # pieces of a file that is whole here, else None
+
+        def closed() -> list[tuple]:
+            found = sorted(own, key=lambda r: (r[1], r[2] is not None, r[2]))
+            size, digest, ok, _ = _told(_results(found, S))
+            return [(group[0], -1, None, None, size, digest, ok)]
+
         for batch in batches:
             for k, (path, kind, seg, out, to, at, n) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:7]), strict=True)):
-                if out is None:
-                    key, held = (path, kind, seg), memoryview(batch.column(7)[k].as_buffer())
-                    continue
-                data = bytes(held[at : at + n]) if (path, kind, seg) == key else b""
-                rows.append((path, out, to, data if len(data) == n else None))
-                total += n
-                if total >= PIECE:
+                if (path, seg // per) != group:
+                    if own is not None:
+                        rows += closed()
+                    group, own, size = (path, seg // per), None, 0
+                if total >= PIECE or len(rows) >= 1000:
                     yield _batch_of(rows)
                     rows, total = [], 0
+                if kind == " first":
+                    own = []
+                    continue
+                if kind == " want":
+                    row = (path, seg, None, batch.column(7)[k].as_py(), None, None, None)
+                elif out is None:
+                    key, held = (path, kind, seg), memoryview(batch.column(7)[k].as_buffer())
+                    continue
+                else:
+                    data = bytes(held[at : at + n]) if (path, kind, seg) == key else b""
+                    row = (path, out, to, data if len(data) == n else None, None, None, None)
+                (rows if own is None else own).append(row)
+                if own is None:
+                    total += n or 0
+                elif (size := size + (n or 0)) > per * S:  # operations that write the same places
+                    rows, total, own = rows + own, total + size, None
+        if own is not None:
+            rows += closed()
         if rows:
             yield _batch_of(rows)
 
-    dealt = stream.repartition("rel_path", "kind", "seg").sortWithinPartitions("rel_path", "kind", "seg", F.col("out").isNotNull())
+    block = F.floor(F.col("seg") / per)
+    dealt = stream.repartition("rel_path", block).sortWithinPartitions("rel_path", block, "kind", "seg", F.col("out").isNotNull())
     importable(dealt.sparkSession)
-    return dealt.mapInArrow(pieces, "rel_path string, seg long, to long, data binary")
-
-
-def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (("rel_path", pa.string()), ("seg", pa.int64()), ("to", pa.int64()), ("data", pa.binary()))
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+    return dealt.mapInArrow(pieces, _PIECES)
 
 
-def _results(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[tuple[str, int, bool, bytes | None, bytes | None]]:
-    """(path, seg, whether it has pieces, data, wanted digest) from pieces in order, a segment at a time; data is None without a row of pieces that has no gap.
-    A row without a place holds the digest that is wanted."""
+def _results(rows: Iterable[tuple], segment: int) -> Iterator[tuple[str, int, bool, bytes | None, bytes | None]]:
+    """(path, seg, whether it has pieces, data, wanted digest) from pieces in order, a segment at a time; data is None without a row of pieces that has no gap."""
     key, parts, end, want = None, [], 0, None
     whole = lambda: (*key, bool(parts), b"".join(parts) if parts and None not in parts else None, want)
-    for batch in batches:
-        for path, seg, to, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (path, seg) != key:
-                if key is not None:
-                    yield whole()
-                key, parts, end, want = (path, seg), [], seg * segment, None
-            if to is None:
-                want = data
-                continue
-            parts.append(data if data is not None and to == end else None)
-            end = to + len(data or b"")
+    for path, seg, to, data, *_ in rows:
+        if (path, seg) != key:
+            if key is not None:
+                yield whole()
+            key, parts, end, want = (path, seg), [], seg * segment, None
+        if to is None:
+            want = data
+            continue
+        parts.append(data if data is not None and to == end else None)
+        end = to + len(data or b"")
     if key is not None:
         yield whole()
 
 
+def _told(results: Iterable[tuple]) -> tuple[int, str | None, bool, int]:
+    """Of one file: size and digest, null where a segment is null or missing, whether all segments are as wanted, and behind the last that has pieces."""
+    held, size, good, same, after = hashlib.sha256(), 0, True, True, 0
+    for _, seg, some, data, want in results:
+        same &= data is not None and want == hashlib.sha256(data).digest()
+        if some:
+            good &= data is not None and seg == after
+            if good:
+                held.update(data)
+                size += len(data)
+            after = seg + 1
+    return size, held.hexdigest() if good else None, same, after
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
 def rebuilt(ops: DataFrame, new: DataFrame, old: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(rel_path, seg, data): the results of operations, in segments; new and old as read() gives them, with the same `segment`.
 
@@ -286,44 +339,38 @@ def rebuilt(ops: DataFrame, new: DataFrame, old: DataFrame, segment: int = SEGME
     Pieces of one old segment that very many operations copy are made in one task, which holds only the segment."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for path, seg, _, data, _ in _results(batches, segment):
+        for path, seg, _, data, _ in _results(_rows(batches), segment):
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([seg], pa.int64()), pa.array([data], pa.binary())], names=["rel_path", "seg", "data"])
 
-    made = _made(ops, new, old, segment)
+    made = _made(ops, new, old, segment).select("rel_path", "seg", "to", "data")
     return made.repartition("rel_path", "seg").sortWithinPartitions("rel_path", "seg", "to").mapInArrow(joined, "rel_path string, seg long, data binary")
 
 
 def checked(ops: DataFrame, new: DataFrame, old: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(rel_path, size, digest, ok): what digests() and verified() tell of rebuilt(), where it has rows, in one pass.
 
-    Pieces pass through the task of their file in order, as for any digest of a whole file, a segment at a time, and meet the digests of the
-    segments that are wanted; no result is written or dealt once more."""
+    A file within one block is told of where its pieces are made. Pieces of others pass through the task of their file in order, as for any
+    digest of a whole file, a segment at a time, and meet the digests of the segments that are wanted; no result is written or dealt once more."""
+    kinds = (("rel_path", pa.string()), ("size", pa.int64()), ("digest", pa.string()), ("ok", pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for path, group in groupby(_results(batches, segment), key=lambda r: r[0]):
-            held, size, good, same, after = hashlib.sha256(), 0, True, True, 0
-            for _, seg, some, data, want in group:
-                same &= data is not None and want == hashlib.sha256(data).digest()
+        for path, group in groupby(_rows(batches), key=lambda r: r[0]):
+            first = next(group)
+            if first[4] is not None:  # told already; what else there is of the file are segments that are wanted beyond its result
+                rows.append((path, first[4], first[5], first[6] and next(group, None) is None))
+            else:
+                size, digest, ok, some = _told(_results(chain([first], group), segment))
                 if some:
-                    good &= data is not None and seg == after
-                    if good:
-                        held.update(data)
-                        size += len(data)
-                    after = seg + 1
-            if after:
-                rows.append((path, size, held.hexdigest() if good else None, same))
+                    rows.append((path, size, digest, ok))
             if len(rows) >= 1000:
-                yield batch_of(rows)
+                yield _batch_of(rows, kinds)
                 rows = []
         if rows:
-            yield batch_of(rows)
+            yield _batch_of(rows, kinds)
 
-    kinds = (("rel_path", pa.string()), ("size", pa.int64()), ("digest", pa.string()), ("ok", pa.bool_()))
-    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
-    wanted = new.select("rel_path", "seg", F.lit(None).cast("long").alias("to"), F.unhex(F.sha2("data", 256)).alias("data"))
-    both = _made(ops, new, old, segment).unionByName(wanted)
-    return both.repartition("rel_path").sortWithinPartitions("rel_path", "seg", "to").mapInArrow(run, "rel_path string, size long, digest string, ok boolean")
+    made = _made(ops, new, old, segment, tell=True)
+    return made.repartition("rel_path").sortWithinPartitions("rel_path", "seg", "to").mapInArrow(run, "rel_path string, size long, digest string, ok boolean")
 
 
 def digests(segments: DataFrame) -> DataFrame:
